@@ -1,0 +1,10 @@
+"""Registered queries by area: name -> (callable, comparison SQL or None)."""
+
+
+def all_queries() -> dict:
+    from statloom.catalog import statistics
+
+    out: dict = {}
+    for area in (statistics,):
+        out |= area.QUERIES
+    return out

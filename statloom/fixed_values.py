@@ -9,6 +9,8 @@ NULL_MARKERS = [
     "N/A", "NA", "n/a", "na", "None", "none", "null", "NULL", "NaN",
     "-", "#N/A", "#VALUE!", "?", ".", "", " ", "  ",
 ]
+# Markers that count as missing when a text file is loaded; the others are found by the cleaning step.
+LOAD_NULLS = ["", "#N/A", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 NUMBER_NULL_TOKENS = ["", "N/A", "NA", "n/a", "na", "None", "null", "NULL", "-", "#N/A"]
 CURRENCY_SYMBOLS = "$€£¥₦"
 DATE_PATTERNS = [

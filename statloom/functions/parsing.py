@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from statloom import fixed_values as fv
 
 _EDGE_SPACE = r"(?U)^[\s\u001c-\u001f]+|[\s\u001c-\u001f]+$"
+_PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _FLOAT = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?\s*$"
 _INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
@@ -19,48 +20,61 @@ def null_markers(c: Column) -> Column:
     return F.when(c.isin(fv.NULL_MARKERS), None).otherwise(c)
 
 
+def load_nulls(c: Column) -> Column:
+    """The markers that already count as missing when a file is read."""
+    return F.when(c.isin(fv.LOAD_NULLS), None).otherwise(c)
+
+
 def clean_cell(c: Column) -> Column:
     return null_markers(strip_text(c))
 
 
+def _with(value: Column, body) -> Column:
+    """Evaluate `value` once per row and hand it to `body`; keeps long case chains from repeating regexes."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _as_double(text: Column) -> Column:
     return F.when(text.rlike(_FLOAT), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def parse_number(c: Column) -> Column:
-    """Number or currency text to double; commas and dots are told apart by position."""
-    s = F.regexp_replace(c, _EDGE_SPACE, "")
-    bare = F.regexp_replace(F.translate(s, fv.CURRENCY_SYMBOLS, ""), _EDGE_SPACE, "")
-    bare = F.translate(bare, " ", " ")
+def _point_decimal(bare: Column) -> Column:
+    """The text with its decimal mark as a point and its thousands marks gone."""
     n_comma = F.length(bare) - F.length(F.translate(bare, ",", ""))
     n_dot = F.length(bare) - F.length(F.translate(bare, ".", ""))
-    tail_of_three = F.length(F.substring_index(bare, ",", -1)) == 3
-    comma_is_last = F.length(F.substring_index(bare, ",", -1)) < F.length(F.substring_index(bare, ".", -1))
-    decimal_comma = F.translate(F.translate(bare, ". ", ""), ",", ".")
-    text = (
-        F.when((n_comma > 0) & (n_dot > 0) & comma_is_last, decimal_comma)
+    after_comma = F.length(F.substring_index(bare, ",", -1))
+    comma_is_last = after_comma < F.length(F.substring_index(bare, ".", -1))
+    return (
+        F.when((n_comma > 0) & (n_dot > 0) & comma_is_last, F.translate(F.translate(bare, ". ", ""), ",", "."))
         .when((n_comma > 0) & (n_dot > 0), F.translate(bare, ", ", ""))
-        .when((n_comma == 1) & ~tail_of_three, F.translate(bare, ",", "."))
+        .when((n_comma == 1) & (after_comma != 3), F.translate(bare, ",", "."))
         .when(n_comma > 0, F.translate(bare, ", ", ""))
         .when((n_dot == 1) & bare.rlike(r"\.[\s\S]{3}$") & ~bare.rlike(_FLOAT), F.translate(bare, ". ", ""))
         .when(n_dot == 1, F.translate(bare, " ", ""))
         .otherwise(F.translate(bare, ". ", ""))
     )
-    infinite = F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return (
-        F.when(s.isin(fv.NUMBER_NULL_TOKENS), None)
-        .when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
-        .when(s.rlike(_INFINITE), infinite)
-        .otherwise(_as_double(text))
-    )
+
+
+def parse_number(c: Column) -> Column:
+    """Number or currency text to double; commas and dots are told apart by position."""
+    def bare(s):
+        return F.translate(F.regexp_replace(F.translate(s, fv.CURRENCY_SYMBOLS, ""), _EDGE_SPACE, ""), "\u00a0", " ")
+
+    def parsed(s):
+        infinite = F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+        return (F.when(s.isin(fv.NUMBER_NULL_TOKENS), None)
+                .when(s.rlike(_PLAIN), s.try_cast("double"))
+                .when(s.rlike(_INFINITE), infinite)
+                .otherwise(_with(bare(s), lambda b: _as_double(_point_decimal(b)))))
+
+    return _with(F.regexp_replace(c, _EDGE_SPACE, ""), parsed)
 
 
 def to_number(c: Column, dtype: str) -> Column:
     """Strict numeric reading of a column: typed columns cast, text must be a plain number, NaN is missing."""
     if dtype == "string":
         s = F.regexp_replace(c, _EDGE_SPACE, "")
-        plain = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-        return F.when(plain, s.try_cast("double"))
+        return F.when(s.rlike(_PLAIN), s.try_cast("double"))
     if dtype in ("double", "float"):
         return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if dtype in ("date", "boolean") or dtype.startswith(("timestamp", "array", "map", "struct", "binary", "interval")):
@@ -70,10 +84,11 @@ def to_number(c: Column, dtype: str) -> Column:
 
 def parse_date(c: Column) -> Column:
     """First pattern that fits wins, day before month; ISO date-times are the last resort."""
-    s = F.regexp_replace(F.regexp_replace(c, _EDGE_SPACE, ""), r"\s+", " ")
-    tries = [F.to_date(F.try_to_timestamp(s, F.lit(p))) for p in fv.DATE_PATTERNS]
-    iso = F.when(s.rlike(r"^\d{4}"), F.to_date(s.try_cast("timestamp")))
-    return F.coalesce(*tries, iso)
+    def parsed(s):
+        tries = [F.to_date(F.try_to_timestamp(s, F.lit(p))) for p in fv.DATE_PATTERNS]
+        return F.coalesce(*tries, F.when(s.rlike(r"^\d{4}"), F.to_date(s.try_cast("timestamp"))))
+
+    return _with(F.regexp_replace(F.regexp_replace(c, _EDGE_SPACE, ""), r"\s+", " "), parsed)
 
 
 def title_case(c: Column) -> Column:

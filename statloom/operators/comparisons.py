@@ -57,7 +57,7 @@ def t_test(df: DataFrame, value: str, group: str, by: list[str] = (), alpha: flo
             .withColumn("ci_high", F.col("mean_difference") + F.col("_half"))
             .withColumn("effect_size", effect_label("cohens_d", F.col("cohens_d")))
             .withColumn("significance", stars(F.col("p_pooled")))
-            .withColumn("p_display", p_text(F.col("p_pooled"))).drop("_half"))
+            .withColumn("p_display", p_text(F.col("p_pooled"))).withColumn("p_value", F.col("p_pooled")).drop("_half"))
 
 
 def anova_from_groups(groups: DataFrame, by: list[str] = ()) -> DataFrame:

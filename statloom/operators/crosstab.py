@@ -59,23 +59,42 @@ def row_percents(df: DataFrame, var1: str, var2: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
-    """Chi-square of independence (continuity-corrected at one degree of freedom) with Cramér's V."""
+    """Chi-square of independence (continuity-corrected at one degree of freedom) with Cramér's V.
+
+    Works on the observed cells alone: an absent cell adds its expected count, and all absent cells together
+    add what the observed ones leave of the total. So the level grid is never built.
+    """
     by = list(by)
-    g = grid(counts(df, var1, var2, by), by)
-    shape = g.groupBy(*by).agg(F.count_distinct("v1").alias("r"), F.count_distinct("v2").alias("c"))
+    cells = counts(df, var1, var2, by)
+    total = cells.groupBy(*by).agg(F.sum("n").alias("total"), F.count("*").alias("held"))
     if by:
-        g = g.join(shape, by)
+        cells = cells.join(total, by)
     else:
-        g = g.withColumns({c: shape.select(c).scalar() for c in ("r", "c")})
-    dof = (F.col("r") - 1) * (F.col("c") - 1)
-    gap = F.abs(F.col("n") - F.col("expected"))
-    off = gap - F.when(dof == 1, F.least(F.lit(0.5), gap)).otherwise(F.lit(0.0))
-    agg = g.groupBy(*by).agg(F.sum(off * off / F.col("expected")).alias("chi2"), F.max(dof).alias("dof"),
-                             F.max("total").alias("n"), F.min("expected").alias("min_expected"),
-                             F.max(F.least("r", "c") - 1).alias("_dim"))
-    v = F.sqrt(F.col("chi2") / (F.col("n") * F.greatest(F.col("_dim"), F.lit(1))))
+        cells = cells.withColumns({c: total.select(c).scalar() for c in ("total", "held")})
+    row_n = F.sum("n").over(Window.partitionBy(*by, "v1"))
+    col_n = F.sum("n").over(Window.partitionBy(*by, "v2"))
+    in_row = F.count("*").over(Window.partitionBy(*by, "v1"))
+    in_col = F.count("*").over(Window.partitionBy(*by, "v2"))
+    cells = cells.select("*", row_n.alias("rn"), col_n.alias("cn"), (1.0 / in_row).alias("rw"),
+                         (1.0 / in_col).alias("cw"))
+    expected = F.col("rn") * F.col("cn") / F.col("total")
+    gap = F.abs(F.col("n") - expected)
+    agg = cells.groupBy(*by).agg(
+        F.max("total").alias("n"), F.max("held").alias("_held"),
+        F.round(F.sum("rw")).cast("long").alias("_r"), F.round(F.sum("cw")).cast("long").alias("_c"),
+        F.sum(gap * gap / expected).alias("_seen"), F.sum(expected).alias("_seen_e"), F.max(gap).alias("_gap"),
+        F.sum(F.col("rw") / F.col("rn")).alias("_inv_r"), F.sum(F.col("cw") / F.col("cn")).alias("_inv_c"),
+        (F.min("rn") * F.min("cn") / F.max("total")).alias("min_expected"))
+    r, c = F.col("_r"), F.col("_c")
+    dof = (r - 1) * (c - 1)
+    absent = F.when(F.col("_held") < r * c, F.col("n") - F.col("_seen_e")).otherwise(F.lit(0.0))
+    cut = F.col("_gap") - F.least(F.lit(0.5), F.col("_gap"))
+    corrected = cut * cut * F.col("n") * F.col("_inv_r") * F.col("_inv_c")
+    out = agg.select(*by, F.when(dof == 1, corrected).otherwise(F.col("_seen") + absent).alias("chi2"),
+                     dof.alias("dof"), "n", "min_expected", F.greatest(F.least(r, c) - 1, F.lit(1)).alias("_dim"))
     p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(chi2_upper("chi2", F.col("dof").cast("double")))
-    return (agg.withColumn("p_value", p).withColumn("cramers_v", v)
+    return (out.withColumn("p_value", p)
+            .withColumn("cramers_v", F.sqrt(F.col("chi2") / (F.col("n") * F.col("_dim"))))
             .withColumn("effect_size", effect_label("cramers_v", F.col("cramers_v")))
             .withColumn("significance", stars(F.col("p_value"))).withColumn("p_display", p_text(F.col("p_value")))
             .drop("_dim"))
