@@ -2,9 +2,9 @@
 
 
 def all_queries() -> dict:
-    from statloom.catalog import statistics
+    from statloom.catalog import accounts, charts, cleaning, statistics, streams
 
     out: dict = {}
-    for area in (statistics,):
+    for area in (statistics, cleaning, charts, accounts, streams):
         out |= area.QUERIES
     return out

@@ -1,5 +1,7 @@
 """Text cells to values: trimming, null markers, numbers, dates, category case."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,11 +84,30 @@ def to_number(c: Column, dtype: str) -> Column:
     return c.cast("double")
 
 
+def _shape(pattern: str) -> str:
+    """Regex of the texts a date pattern can read at all."""
+    out = pattern
+    for token, regex in (("yyyy", r"\d{4}"), ("MMMM", "[A-Za-z]+"), ("MMM", "[A-Za-z]+"), ("MM", r"\d{2}"), ("dd", r"\d{2}")):
+        out = out.replace(token, regex)
+    return "^" + re.sub(r"(?<!\\)\b[Md]\b", r"\\d{1,2}", out) + "$"
+
+
 def parse_date(c: Column) -> Column:
-    """First pattern that fits wins, day before month; ISO date-times are the last resort."""
+    """First pattern that fits wins, day before month; ISO date-times are the last resort.
+
+    Texts are sorted by shape first: a pattern is only tried on texts of its shape, since failed parses are slow.
+    """
+    shapes: dict[str, list[str]] = {}
+    for p in fv.DATE_PATTERNS:
+        shapes.setdefault(_shape(p), []).append(p)
+
     def parsed(s):
-        tries = [F.to_date(F.try_to_timestamp(s, F.lit(p))) for p in fv.DATE_PATTERNS]
-        return F.coalesce(*tries, F.when(s.rlike(r"^\d{4}"), F.to_date(s.try_cast("timestamp"))))
+        iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]|^\d{4}(-\d{1,2})?$"), F.to_date(s.try_cast("timestamp")))
+        out = None
+        for shape, patterns in shapes.items():
+            tries = F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(p))) for p in patterns])
+            out = F.when(s.rlike(shape), tries) if out is None else out.when(s.rlike(shape), tries)
+        return out.otherwise(iso)
 
     return _with(F.regexp_replace(F.regexp_replace(c, _EDGE_SPACE, ""), r"\s+", " "), parsed)
 

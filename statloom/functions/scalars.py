@@ -81,7 +81,7 @@ def headline_chips(p: Column, n: Column | None = None, **effects: Column) -> Col
 
 
 def strip_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"\*\*(.+?)\*\*", "$1")
+    return F.regexp_replace(text, r"(?d)\*\*(.+?)\*\*", "$1")
 
 
 def guard_formula(text: Column) -> Column:

@@ -2,13 +2,14 @@
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import r4
 from statloom.functions.tails import normal_quantile, t_quantile
 from statloom.operators import crosstab, regression
 from statloom.operators.ranks import cumulative, quantiles
+from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import group_summary, numeric
 
 
@@ -43,16 +44,22 @@ def histogram(df: DataFrame, value: str, small: bool | None = None) -> DataFrame
         "mean", "median")
 
 
+def _beside_group(num: DataFrame, per_group: DataFrame, value: str, group: str, small: bool | None) -> DataFrame:
+    """Detail rows next to the figures of their group, large groups matched by broadcast."""
+    size = num.groupBy(group).agg(F.count("*").alias("_rows"))
+    return lookup_by_key(num, per_group.join(size, group), [group], "_rows", small=small).drop("_rows")
+
+
 def box_plot(df: DataFrame, value: str, group: str, small: bool | None = None) -> DataFrame:
     """Quartiles, whiskers at the furthest points inside 1.5 IQR, and the count of points beyond them."""
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
     q = quantiles(num, [value], [0.25, 0.5, 0.75], [group], small).select(
-        F.col(group).alias("_g"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"),
+        group, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"),
         F.get("q", F.lit(2)).alias("q3"))
-    rows = num.join(q, F.col(group) == F.col("_g"))
+    rows = _beside_group(num, q, value, group, small)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.groupBy(F.col("_g").alias("grp"), "q1", "median", "q3").agg(
+    return rows.groupBy(F.col(group).alias("grp"), "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.count_if(~inside).alias("fliers"))
 
@@ -60,11 +67,11 @@ def box_plot(df: DataFrame, value: str, group: str, small: bool | None = None) -
 def box_fliers(df: DataFrame, value: str, group: str, row_id: list[str], small: bool | None = None) -> DataFrame:
     """The points beyond the whiskers."""
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    q = quantiles(num, [value], [0.25, 0.75], [group], small).select(F.col(group).alias("_g"), "q")
+    q = quantiles(num, [value], [0.25, 0.75], [group], small).select(group, "q")
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     reach = 1.5 * (q3 - q1)
-    return (num.join(q, F.col(group) == F.col("_g")).where(~F.col(value).between(q1 - reach, q3 + reach))
-            .select(*row_id, F.col("_g").alias("grp"), F.col(value).alias("value")))
+    return (_beside_group(num, q, value, group, small).where(~F.col(value).between(q1 - reach, q3 + reach))
+            .select(*row_id, F.col(group).alias("grp"), F.col(value).alias("value")))
 
 
 def qq_points(df: DataFrame, value: str, points: int = 1000, small: bool | None = None) -> DataFrame:
@@ -99,7 +106,8 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     """Bar heights and pie shares."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("category")).agg(
         F.count("*").alias("n"))
-    return counts.select("category", "n", r4(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("percent"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("category", "n", r4(F.col("n") * 100.0 / total).alias("percent"))
 
 
 def stacked_percents(df: DataFrame, var1: str, var2: str) -> DataFrame:
@@ -122,8 +130,7 @@ def density(df: DataFrame, value: str, group: str | None = None, cells: int = 51
     stats = num.groupBy(*by).agg(F.count("*").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"),
                                  F.stddev_samp(value).alias("_sd"))
     if by:
-        stats = stats.where(F.col(group).isNotNull())
-        rows = num.join(stats, by)
+        rows = lookup_by_key(num.where(F.col(group).isNotNull()), stats.where(F.col(group).isNotNull()), by, "_n")
     else:
         rows = num.withColumns({c: stats.select(c).scalar() for c in ("_n", "_low", "_high", "_sd")})
     width = (F.col("_high") - F.col("_low")) / cells

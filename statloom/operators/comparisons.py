@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType
 from statloom.functions.scalars import effect_label, p_text, r4, stars
 from statloom.functions.tails import chi2_upper, f_upper, normal_quantile, normal_upper, t_quantile, t_two_sided
 from statloom.operators.ranks import average_ranks
+from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import group_medians, group_summary, numeric
 
 # Mann-Whitney is exact when a group has at most this many rows and no value repeats.
@@ -63,9 +64,9 @@ def t_test(df: DataFrame, value: str, group: str, by: list[str] = (), alpha: flo
 def anova_from_groups(groups: DataFrame, by: list[str] = ()) -> DataFrame:
     """F test from (n, mean, var) per group: sums of squares about the grand mean, no second pass over details."""
     by = list(by)
-    seg = Window.partitionBy(*by)
-    grand = F.sum(F.col("n") * F.col("mean")).over(seg) / F.sum("n").over(seg)
-    agg = (groups.withColumn("_grand", grand).groupBy(*by).agg(
+    mean = groups.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"))
+    centred = groups.join(mean, by) if by else groups.withColumn("_grand", mean.scalar())
+    agg = (centred.groupBy(*by).agg(
         F.count("*").alias("k"), F.sum("n").alias("n"),
         F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) * (F.col("mean") - F.col("_grand"))).alias("ss_between"),
         F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ss_within")))
@@ -110,7 +111,9 @@ def levene(df: DataFrame, value: str, group: str, by: list[str] = (), small: boo
     by = list(by)
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
     med = group_medians(df, value, group, by, small)
-    dev = (num.select(*by, F.col(group).alias("grp"), F.col(value).alias("_x")).join(med, [*by, "grp"])
+    size = group_summary(df, value, group, by).select(*by, "grp", F.col("n").alias("_rows"))
+    rows = num.select(*by, F.col(group).alias("grp"), F.col(value).alias("_x"))
+    dev = (lookup_by_key(rows, med.join(size, [*by, "grp"]), [*by, "grp"], "_rows", small=small)
            .withColumn("_dev", F.abs(F.col("_x") - F.col("median"))))
     groups = group_summary(dev, "_dev", "grp", by)
     enough = groups.groupBy(*by).agg(F.min("n").alias("_least"))

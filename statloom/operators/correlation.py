@@ -38,10 +38,7 @@ def spearman(df: DataFrame, columns: list[str], by: list[str] = (), small: bool
     ranked = complete
     for c in columns:
         table = average_ranks(complete, c, by, small=small).select(*by, c, F.col("rank").alias(f"_rank_{c}"), "n")
-        if small:
-            ranked = ranked.join(table.drop("n"), [*by, c])
-        else:
-            ranked = lookup_by_key(ranked, table, [*by, c], "n").drop("n")
+        ranked = lookup_by_key(ranked, table, [*by, c], "n", small=small).drop("n")
     return correlate(ranked.select(*by, *[F.col(f"_rank_{c}").alias(c) for c in columns]), columns, by)
 
 

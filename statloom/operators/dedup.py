@@ -1,6 +1,6 @@
 """Duplicate rows: drop, flag, count, and guarded enrolment."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.skew import lookup_by_key
@@ -15,20 +15,27 @@ def drop_duplicates(df: DataFrame, columns: list[str], row_id: str, keep: str =
     return df.groupBy(*columns).agg(pick.alias(row_id)).select(row_id, *columns)
 
 
-def flag_duplicates(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+def digest(columns: list[str]) -> Column:
+    """A 256-bit key of a row's content, so that long texts are hashed where they are read and never shuffled."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
+
+
+def flag_duplicates(df: DataFrame, columns: list[str], row_id: str, small: bool | None = None) -> DataFrame:
     """Every row, with `_duplicate_flag` telling whether another row has the same content.
 
-    Contents are counted first; those that hold a large share of the table are matched by broadcast, so a
-    row repeated a billion times never meets its copies in one task.
+    Contents are counted by digest and only those with copies are looked up. A content that fills a large share
+    of the table is matched by broadcast, so its copies never meet in one task.
     """
-    sizes = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    out = lookup_by_key(df, sizes, columns, "_copies")
-    return out.select(*df.columns, (F.col("_copies") > 1).alias("_duplicate_flag"))
+    keyed = df.withColumn("_digest", digest(columns))
+    copied = keyed.groupBy("_digest").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    total = df.agg(F.count("*")).scalar()
+    out = lookup_by_key(keyed, copied, ["_digest"], "_copies", total, "left", small)
+    return out.select(*df.columns, F.col("_copies").isNotNull().alias("_duplicate_flag"))
 
 
 def duplicate_count(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that repeat an earlier row."""
-    sizes = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(digest(columns).alias("_digest")).agg(F.count("*").alias("n"))
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows"),
                      F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 

@@ -84,7 +84,7 @@ def _smallest(df: DataFrame, by: list[str], limit: int) -> DataFrame:
     """First rows per segment in two ranked steps: inside hashed slices, then over the survivors."""
     from pyspark.sql import Window
 
-    slices = df.withColumn("_slice", F.pmod(F.xxhash64("_pack"), F.lit(64)))
+    slices = df.withColumn("_slice", F.pmod(F.xxhash64("_pack"), F.lit(1024)))
     inner = Window.partitionBy(*by, "_slice").orderBy("_pack")
     outer = Window.partitionBy(*by).orderBy("_pack")
     kept = slices.withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= limit)

@@ -124,20 +124,23 @@ def fast_profile(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
 
     For tables whose columns are close to unique everywhere, where exact distinct counts would move the table.
     """
+    index = range(len(columns))
+    text = df.select(row_id, *[F.col(c).cast("string").alias(f"_s{i}") for i, c in enumerate(columns)])
+    parsed = text.withColumns({f"_n{i}": parse_number(F.col(f"_s{i}")) for i in index}
+                              | {f"_d{i}": parse_date(F.col(f"_s{i}")) for i in index})
     rows = []
-    for c in columns:
-        s = F.col(c).cast("string")
-        num = parse_number(s)
+    for i, c in enumerate(columns):
+        s, num = F.col(f"_s{i}"), F.col(f"_n{i}")
         held = F.count(s)
+        odd = s.isNotNull() & num.isNull()
         rows.append(F.struct(
             F.lit(c).alias("variable"), F.count("*").alias("rows"), held.alias("filled"),
-            F.approx_count_distinct(s, 0.01).alias("distinct"),
-            F.approx_count_distinct(num, 0.01).alias("distinct_numbers"), F.count(num).alias("numeric_cells"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(s, 16)).alias("distinct"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(num.cast("string"), 16)).alias("distinct_numbers"), F.count(num).alias("numeric_cells"),
             F.try_divide(F.count_if(is_boolean_token(F.trim(s))), held).alias("bool_share"),
             F.try_divide(F.count(num), held).alias("numeric_share"),
-            F.try_divide(F.count(parse_date(s)), held).alias("date_share"),
+            F.try_divide(F.count(f"_d{i}"), held).alias("date_share"),
             F.coalesce(F.bool_and(num % 1 == 0), F.lit(False)).alias("whole"),
             F.min(num).alias("min_number"), F.max(num).alias("max_number"),
-            F.min_by(F.when(num.isNull(), s), F.when(s.isNotNull() & num.isNull(), F.col(row_id)))
-            .alias("first_offender")))
-    return df.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))
+            F.min_by(s, F.when(odd, F.col(row_id))).alias("first_offender")))
+    return parsed.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))

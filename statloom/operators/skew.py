@@ -1,30 +1,38 @@
 """Joins that stay balanced when one key holds a large share of the rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.operators.bucketing import is_small
+
 # A key is hot when it holds more than 1/HOT_SHARE of all rows; at most HOT_SHARE keys can.
 HOT_SHARE = 1000
 
 
-def lookup_by_key(detail: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Inner join of detail rows to a table with one row per key and its row count in `weight`.
+def lookup_by_key(detail: DataFrame, table: DataFrame, keys: list[str], weight: str, total: Column | None = None,
+                  how: str = "inner", small: bool | None = None) -> DataFrame:
+    """Join detail rows to a table with one row per key and its row count in `weight`; nulls match nulls.
 
-    Hot keys (fewer than HOT_SHARE by counting) are broadcast, so their rows never move; the others are
-    spread evenly by an ordinary shuffle join. Nulls in a key match each other.
+    Hot keys (fewer than HOT_SHARE of them can exist) are broadcast, so their rows never move. The rows of the
+    other keys, each a small share of the table, go through an ordinary shuffle join. `total` is the number of
+    detail rows where the table does not cover all of them. Small plans use one join.
     """
-    total = table.agg(F.sum(weight)).scalar()
-    hot = table.where(F.col(weight) * HOT_SHARE > total)
-    cold = table.where(F.col(weight) * HOT_SHARE <= total)
     right = [f"_k{i}" for i in range(len(keys))]
     extra = [c for c in table.columns if c not in keys]
 
-    def matched(left, side, hint):
-        other = side.select(*[F.col(k).alias(r) for k, r in zip(keys, right)], *extra)
-        on = None
-        for k, r in zip(keys, right):
-            part = F.col(k).eqNullSafe(F.col(r))
-            on = part if on is None else on & part
-        return left.join(hint(other), on, "inner").drop(*right)
+    def renamed(side):
+        return side.select(*[F.col(k).alias(r) for k, r in zip(keys, right)], *extra)
 
-    return matched(detail, hot, F.broadcast).unionByName(matched(detail, cold, lambda d: d))
+    on = F.lit(True)
+    for k, r in zip(keys, right):
+        on = on & F.col(k).eqNullSafe(F.col(r))
+    small = is_small(detail) if small is None else small
+    if small:
+        return detail.join(renamed(table), on, how).drop(*right)
+    rows = table.agg(F.sum(weight)).scalar() if total is None else total
+    is_hot = F.col(weight) * HOT_SHARE > rows
+    hot = F.broadcast(renamed(table.where(is_hot)))
+    cold = renamed(table.where(~is_hot))
+    first = detail.join(hot, on, "inner").drop(*right)
+    rest = detail.join(hot.select(*right), on, "left_anti").join(cold, on, how).drop(*right)
+    return first.unionByName(rest)
