@@ -9,6 +9,7 @@ from statloom.functions import parsing, scalars as sc
 from statloom.operators import dedup, outliers, profile, summaries
 from statloom.plans import cleaning
 from statloom.sources import readers, sinks
+from statloom.session import literal_rows
 
 QUERIES: dict = {}
 MESSY = ["raw_balance", "raw_segment", "raw_mode", "raw_mixed", "raw_blank"]
@@ -38,7 +39,7 @@ def strip_nulls(spark, d):
   CAST(count(*) + count(*) FILTER (c_custkey % 6 = 4) AS BIGINT) AS load_missing,
   CAST(count(*) FILTER (c_custkey % 9 = 0) AS BIGINT) AS marker_missing FROM customer""")
 def null_marker_counts(spark, d):
-    return cleaning.marker_counts(views.messy_customer(spark, d), MESSY)
+    return cleaning.marker_counts(views.messy_customer(spark, d), MESSY).drop("rows", "blank_rows")
 
 
 @register("parse_currency", f"SELECT c_custkey, {_BALANCE} AS balance FROM customer")
@@ -158,7 +159,7 @@ def _clean_customer(spark, d):
 def column_summary(spark, d):
     clean = _clean_customer(spark, d)
     counts = profile.value_counts(clean, ["balance", "segment"], "c_custkey")
-    types = spark.createDataFrame([("balance", "numeric", False), ("segment", "categorical", False)],
+    types = literal_rows(spark, [("balance", "numeric", False), ("segment", "categorical", False)],
                                   "variable string, type string, mixed boolean")
     return profile.column_summary(counts, types).drop("mixed")
 
@@ -212,7 +213,7 @@ SELECT CAST(1 AS INTEGER) AS kind, 'balance' AS variable, printf('''balance'' ha
 UNION ALL SELECT 1, 'segment', printf('''segment'' has %.1f%% missing — review before conclusions.', b) FROM p
 UNION ALL SELECT 2, 'raw_mixed', '''raw_mixed'' has mixed types (e.g., abc) — consider standardising.' FROM p""")
 def recommendations(spark, d):
-    none = spark.createDataFrame([], "variable string, outliers long")
+    none = literal_rows(spark, [], "variable string, outliers long")
     return cleaning.recommendations(column_summary(spark, d), mixed_columns(spark, d), none, 0, "iqr", "first")
 
 

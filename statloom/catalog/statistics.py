@@ -8,6 +8,7 @@ from statloom.functions import scalars as sc
 from statloom.operators import (assumptions, comparisons, correlation, crosstab, normality, outliers, ranks, regression,
                                 summaries)
 from statloom.plans import interpret, study
+from statloom.session import literal_rows
 
 LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -564,7 +565,7 @@ def recommend(spark, d):
 def suggest(spark, d):
     meta = study.column_metadata(table(spark, d, "lineitem"), _META_COLS).collect()
     rows = [(t, str(p)) for t, p in study.suggest(meta).items()]
-    return spark.createDataFrame(rows, "test string, params string")
+    return literal_rows(spark, rows, "test string, params string")
 
 
 # --- texts ----------------------------------------------------------------------

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from statloom.functions.scalars import p_text, stars, strength_text
 from statloom.functions.tails import t_two_sided
-from statloom.operators.bucketing import is_small
+from statloom.operators.bucketing import SMALL_BYTES
 from statloom.operators.ranks import average_ranks
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import numeric
+from statloom.session import estimated_bytes
 
 
 def correlate(complete: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -34,11 +35,12 @@ def spearman(df: DataFrame, columns: list[str], by: list[str] = (), small: bool
     """Pearson on average ranks; the ranks of distinct values are looked up by value, hot values by broadcast."""
     by = list(by)
     complete = numeric(df, columns).select(*by, *columns).dropna(subset=columns)
-    small = is_small(complete) if small is None else small
+    size = estimated_bytes(complete)
+    small = size is not None and size <= SMALL_BYTES if small is None else small
     ranked = complete
     for c in columns:
         table = average_ranks(complete, c, by, small=small).select(*by, c, F.col("rank").alias(f"_rank_{c}"), "n")
-        ranked = lookup_by_key(ranked, table, [*by, c], "n", small=small).drop("n")
+        ranked = lookup_by_key(ranked, table, [*by, c], "n", small=small, size=size).drop("n")
     return correlate(ranked.select(*by, *[F.col(f"_rank_{c}").alias(c) for c in columns]), columns, by)
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from statloom import fixed_values as fv
 from statloom.functions.scalars import format_price
 from statloom.operators.prefix import running_sum
+from statloom.session import literal_rows
 
 
 def lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed lookup table as a broadcastable frame; its size is the length of a constant."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(literal_rows(spark, rows, schema))
 
 
 def entry_rows(df: DataFrame, user: str, action: str, amount: str, grants: list[str], spends: list[str],
@@ -107,7 +108,7 @@ def charge(requests: DataFrame, analysis: str, predictors: Column, role: Column,
 
 def price_table(spark: SparkSession) -> DataFrame:
     rows = [(i, k, label, c) for i, (k, label, c) in enumerate(fv.PRICES)]
-    table = spark.createDataFrame(rows, "position int, key string, label string, credits int")
+    table = literal_rows(spark, rows, "position int, key string, label string, credits int")
     return table.select("position", "key", "label", "credits", F.col("credits").alias("usd"),
                         (F.col("credits") == 0).alias("free"))
 

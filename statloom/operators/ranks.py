@@ -1,9 +1,22 @@
 """Average ranks, cumulative counts and exact quantiles without a single-task sort."""
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.operators.bucketing import bucket_of, cut_points, is_small
+from statloom.operators.bucketing import SMALL_BYTES, bucket_of, cut_points, is_small
+
+# Columns estimated above this size are searched by narrowing instead of holding their distinct values in a buffer.
+NARROW_BYTES = 512 * 1024
+# A search interval with at most this many rows is small enough to sort.
+NARROW_ROWS = 2_000_000
+MAX_ROUNDS = 8
+# Columns with at most about this many distinct values keep the built-in percentile.
+FEW_VALUES = 10_000
+# Steps of the quantile grid that a sketch is asked for.
+GRID = 200
 
 
 def counted(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
@@ -44,43 +57,155 @@ def average_ranks(df: DataFrame, value: str, by: list[str] = (), keep: list[str]
     return cumulative(df, value, by, keep, small).withColumn("rank", F.col("below") + (F.col("tie") + 1) / 2)
 
 
-def quantile_column(value: str, prob: float) -> Column:
-    return F.percentile(F.col(value), F.lit(prob))
-
-
 def quantiles(df: DataFrame, values: list[str], probs: list[float], by: list[str] = (),
               small: bool | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (by, column), column `q` an array in order of `probs`.
 
-    Small plans use the built-in `percentile`, whose buffer holds every distinct value. Larger ones read the
-    two neighbouring order statistics of each quantile out of the cumulative counts.
+    Small plans use the built-in `percentile`, whose buffer holds every distinct value. Larger ones narrow the
+    search first (no segments) or read the order statistics out of the cumulative counts (segments).
     """
     by = list(by)
-    small = is_small(df.select(*by, *values)) if small is None else small
+    limit = SMALL_BYTES if by else NARROW_BYTES * len(values)
+    small = is_small(df.select(*by, *values), limit) if small is None else small
     if small:
         grid = F.array(*[F.lit(float(p)) for p in probs])
         agg = df.groupBy(*by).agg(*[F.percentile(F.col(v), grid).alias(v) for v in values])
         rows = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("q")) for v in values])
         return agg.select(*by, F.inline(rows))
+    if not by:
+        return _narrowed(df, values, probs)
     out = None
     for v in values:
         cum = cumulative(df, v, by, small=False)
         size = df.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("_size"))
-        if by:
-            cum = cum.join(size, by)
-        else:
-            cum = cum.withColumn("_size", size.select("_size").scalar())
-        picks = []
-        for i, p in enumerate(probs):
-            at = F.lit(float(p)) * (F.col("_size") - 1)
-            low, high = F.floor(at), F.ceil(at)
-            held = F.col("below") + F.col("n")
-            picks.append(F.max(F.when((F.col("below") <= low) & (low < held), F.col(v))).alias(f"_lo{i}"))
-            picks.append(F.max(F.when((F.col("below") <= high) & (high < held), F.col(v))).alias(f"_hi{i}"))
-            picks.append(F.first(at - low).alias(f"_w{i}"))
-        row = cum.groupBy(*by).agg(*picks)
-        q = F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")
-                      for i in range(len(probs))])
-        part = row.select(*by, F.lit(v).alias("variable"), q.alias("q"))
+        picks, q = _order_statistics(v, [F.lit(float(p)) * (F.col("_size") - 1) for p in probs])
+        part = cum.join(size, by).groupBy(*by).agg(*picks).select(*by, F.lit(v).alias("variable"), q.alias("q"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _order_statistics(value: str, positions: list[Column]) -> tuple[list[Column], Column]:
+    """Aggregates over cumulative counts that pick the neighbours of each position, and their interpolation."""
+    held = F.col("below") + F.col("n")
+    picks = []
+    for i, at in enumerate(positions):
+        low, high = F.floor(at), F.ceil(at)
+        picks.append(F.max(F.when((F.col("below") <= low) & (low < held), F.col(value))).alias(f"_lo{i}"))
+        picks.append(F.max(F.when((F.col("below") <= high) & (high < held), F.col(value))).alias(f"_hi{i}"))
+        picks.append(F.first(at - low).alias(f"_w{i}"))
+    q = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(positions))]
+    return picks, F.array(*q)
+
+
+@dataclass
+class _Target:
+    """Search interval of one order statistic pair: rows below `low` and rows inside [low, high]."""
+
+    value: str
+    at: float
+    low: float
+    high: float
+    below: int
+    inside: int
+    grid: list[float] | None = None
+    margin: int = 1
+    done: bool = False
+
+    def proposal(self) -> tuple[float, float]:
+        """Grid cells around the target's place inside the interval; the interval itself without a grid."""
+        if self.grid is None:
+            return self.low, self.high
+        spot = (self.at - self.below) / max(self.inside, 1) * GRID
+        first, last = math.floor(spot) - self.margin, math.ceil(spot) + self.margin
+        low = self.low if first <= 0 else self.grid[first]
+        high = self.high if last >= GRID else self.grid[last]
+        return low, high
+
+    def expected(self) -> float:
+        return self.inside * (1 if self.grid is None else min(1.0, (2 * self.margin + 1) / GRID))
+
+
+def _grid(x: Column, size: Column) -> Column:
+    """Evenly spaced quantiles of a column as a sketch sees them."""
+    cuts = F.expr("array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")")
+    return F.when(size > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x, F.lit(2000)), cuts))
+
+
+def _narrowed(df: DataFrame, values: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of whole columns by narrowing: sketch, check by counting, repeat on what is left.
+
+    Every round is one scan that returns a few numbers per quantile and shuffles nothing. A proposed interval is
+    only taken once exact counts show that it holds the wanted rows, so the result is exact whatever the sketch
+    says. What remains at the end, a few million rows at most, is sorted. Columns with few distinct values go to
+    the built-in `percentile` instead.
+    """
+    data = df.select(*[F.col(v).cast("double").alias(v) for v in values])
+    first = data.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
+                                F.approx_count_distinct(v).alias("distinct"),
+                                _grid(F.col(v), F.count(v)).alias("grid")).alias(v) for v in values]).first()
+    few = [v for v in values if first[v]["distinct"] <= FEW_VALUES]
+    targets = []
+    for v in values:
+        n, low, high, _, grid = first[v]
+        if v not in few:
+            targets += [_Target(v, p * (n - 1), low, high, 0, n, grid) for p in probs]
+    for _ in range(MAX_ROUNDS):
+        live = [t for t in targets if not t.done]
+        if not live:
+            break
+        _round(data, live)
+    parts = []
+    if few:
+        parts.append(quantiles(data, few, probs, small=True))
+    if targets:
+        hits = [F.when(F.col(t.value).between(t.low, t.high), F.struct(F.lit(i).alias("target"), F.col(t.value).alias("x")))
+                for i, t in enumerate(targets) if t.low != t.high]
+        one = _search(data, targets, hits) if hits else df.sparkSession.range(1)
+        q = [F.lit(t.low) if t.low == t.high else F.col(f"q{i}") for i, t in enumerate(targets)]
+        step = len(probs)
+        rows = [F.struct(F.lit(targets[i].value).alias("variable"), F.array(*q[i:i + step]).alias("q"))
+                for i in range(0, len(targets), step)]
+        parts.append(one.select(F.inline(F.array(*rows))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _search(data: DataFrame, targets: list[_Target], hits: list[Column]) -> DataFrame:
+    """One row with the interpolated value of every target, from the sorted rows of the final intervals."""
+    left = data.select(F.inline(F.array_compact(F.array(*hits)))).groupBy("target", "x").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("target").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    counts = left.withColumn("below", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    held = F.col("below") + F.col("n")
+    aggs, out = [], []
+    for i, t in enumerate(targets):
+        if t.low == t.high:
+            continue
+        at = t.at - t.below
+        for side, spot in (("lo", math.floor(at)), ("hi", math.ceil(at))):
+            hit = (F.col("target") == i) & (F.col("below") <= spot) & (held > spot)
+            aggs.append(F.max(F.when(hit, F.col("x"))).alias(f"{side}{i}"))
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        out.append((lo + (hi - lo) * (at - math.floor(at))).alias(f"q{i}"))
+    return counts.agg(*aggs).select(*out)
+
+
+def _round(data: DataFrame, live: list[_Target]) -> None:
+    """Count below and inside each proposed interval, and take those that hold their target."""
+    proposals = [t.proposal() for t in live]
+    sketched = [t.grid is None or t.expected() > NARROW_ROWS for t in live]
+    aggs = []
+    for i, (t, (low, high)) in enumerate(zip(live, proposals)):
+        x = F.col(t.value)
+        inside = x.between(low, high)
+        grid = _grid(F.when(inside, x), F.count_if(inside)) if sketched[i] else F.lit(None).cast("array<double>")
+        aggs.append(F.struct(F.count_if(x < low).alias("below"), F.count_if(inside).alias("inside"),
+                             grid.alias("grid")).alias(f"t{i}"))
+    row = data.agg(*aggs).first()
+    for i, (t, (low, high)) in enumerate(zip(live, proposals)):
+        below, inside, grid = row[f"t{i}"]
+        if not (below <= math.floor(t.at) and math.ceil(t.at) < below + inside):
+            t.done = (low, high) == (t.low, t.high)
+            t.margin *= 4
+            continue
+        stuck = t.grid is not None and (low, high) == (t.low, t.high)
+        t.low, t.high, t.below, t.inside, t.grid, t.margin = low, high, below, inside, grid, 1
+        t.done = stuck or inside <= NARROW_ROWS or low == high

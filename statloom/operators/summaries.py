@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from statloom.functions.parsing import to_number
 from statloom.functions.scalars import r4, skew_label
-from statloom.operators.bucketing import is_small
 from statloom.operators.normality import shapiro_table
 from statloom.operators.ranks import quantiles
 
@@ -59,18 +58,15 @@ def describe(df: DataFrame, columns: list[str], by: list[str] = (), order: list[
     types = dict(df.dtypes)
     flags = {f"_missing_{i}": missing_cell(c, types[c]) for i, c in enumerate(columns)}
     num = numeric(df.withColumns(flags), columns)
-    small = is_small(df.select(*by, *columns)) if small is None else small
-    probs = [0.5, 0.25, 0.75]
     aggs = []
     for i, c in enumerate(columns):
         aggs.append(F.struct(
             F.lit(c).alias("variable"), F.count(c).alias("n"), F.count_if(f"_missing_{i}").alias("missing"),
             F.avg(c).alias("mean"), F.stddev_samp(c).alias("std_dev"), F.min(c).alias("min"), F.max(c).alias("max"),
-            sample_skew(c).alias("skewness"), sample_kurtosis(c).alias("kurtosis"),
-            *([F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias("q")] if small else [])))
-    out = num.groupBy(*by).agg(F.array(*aggs).alias("_r")).select(*by, F.inline("_r")).where("n > 0")
-    if not small:
-        out = out.join(quantiles(num, columns, probs, by, small=False), [*by, "variable"])
+            sample_skew(c).alias("skewness"), sample_kurtosis(c).alias("kurtosis")))
+    # the moments stay apart from the quantiles: together they would leave the generated-code aggregate
+    moments = num.groupBy(*by).agg(F.array(*aggs).alias("_r")).select(*by, F.inline("_r")).where("n > 0")
+    out = moments.join(quantiles(num, columns, [0.5, 0.25, 0.75], by, small), [*by, "variable"])
     cols = [*by, "variable", "n", "missing", r4("mean").alias("mean"), r4(F.get("q", F.lit(0))).alias("median"),
             r4("std_dev").alias("std_dev"), r4("min").alias("min"), r4("max").alias("max"),
             r4(F.get("q", F.lit(1))).alias("q1"), r4(F.get("q", F.lit(2))).alias("q3"),

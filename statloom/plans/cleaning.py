@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
-from statloom.functions.parsing import clean_cell, load_nulls, parse_date, parse_number, strip_text, title_case
+from statloom.functions.parsing import clean_cell, load_nulls, null_markers, parse_date, parse_number, strip_text, title_case
 from statloom.operators import dedup, outliers, profile
-from statloom.session import settle
+from statloom.session import literal_rows, settle
 from statloom.sources.readers import FILE, ROW_ID
 
 
@@ -80,7 +80,7 @@ def strip_and_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def marker_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing cells by origin: empty in the raw table, markers known to file loading, and further markers."""
+    """Rows, blank rows, and missing cells by origin: empty, markers known to file loading, further markers."""
     raw = sum((F.count_if(F.col(c).isNull()) for c in columns[1:]), F.count_if(F.col(columns[0]).isNull()))
     texts = [F.col(c) for c, t in df.dtypes if c in columns and t == "string"]
     load = [F.count_if(c.isNotNull() & load_nulls(strip_text(c)).isNull()) for c in texts]
@@ -89,7 +89,10 @@ def marker_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     def total(hits):
         return sum(hits[1:], hits[0]) if hits else F.lit(0)
 
-    return df.agg(raw.alias("raw_missing"), total(load).alias("load_missing"), total(more).alias("marker_missing"))
+    solid = [clean_cell(F.col(c)) if t == "string" else F.nanvl(F.col(c), F.lit(None).cast(t))
+             if t in ("double", "float") else F.col(c) for c, t in df.dtypes if c in columns]
+    blank = F.coalesce(*[x.cast("string") for x in solid]).isNull()
+    return df.agg(F.count("*").alias("rows"), F.count_if(blank).alias("blank_rows"), raw.alias("raw_missing"), total(load).alias("load_missing"), total(more).alias("marker_missing"))
 
 
 def drop_blank_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -163,15 +166,20 @@ def clean(df: DataFrame, row_id: str = ROW_ID, duplicate_strategy: str = "first"
     """Run every step and return the cleaned table with log, statistics and side tables."""
     log: list[tuple[str, str, str]] = []
     raw_cols = [c for c in df.columns if c not in (row_id, FILE)]
-    mixed_counts = profile.value_counts(df.withColumns({c: load_nulls(strip_text(F.col(c))) for c, t in df.dtypes
-                                                        if c in raw_cols and t == "string"}), raw_cols, row_id)
     marks = marker_counts(df, raw_cols).first()
+    rows_in, rows_solid = marks["rows"], marks["rows"] - marks["blank_rows"]
+    loaded = df.withColumns({c: load_nulls(strip_text(F.col(c))) for c, t in df.dtypes
+                             if c in raw_cols and t == "string"})
+    raw_counts = settle(profile.value_counts(loaded, raw_cols, row_id))
     log.append(("ok", "Whitespace stripped", "Column names + string cells cleaned"))
     log.append(("ok", "Null markers standardised", f"{marks['marker_missing']} additional nulls identified"))
 
     stripped = strip_and_null(df, raw_cols)
     solid = drop_blank_rows(stripped, raw_cols)
-    counts = settle(profile.value_counts(solid, raw_cols, row_id))
+    # the distinct values are already counted: markers and blank rows only change the count of missing cells
+    counts = raw_counts.withColumn("value", null_markers(F.col("value"))).groupBy("variable", "value").agg(
+        F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
+    counts = counts.withColumn("n", F.col("n") - F.when(F.col("value").isNull(), marks["blank_rows"]).otherwise(0))
     prof = profile.profile(counts)
     names = dict(zip(raw_cols, sanitise_names(raw_cols)))
     if rename:
@@ -179,9 +187,7 @@ def clean(df: DataFrame, row_id: str = ROW_ID, duplicate_strategy: str = "first"
     named = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     found = (profile.semantic_type(prof.withColumn("_raw", F.col("variable"))
                                    .withColumn("variable", F.element_at(named, F.col("variable"))))
-             .select("_raw", "type", "rows", "filled").collect())
-    rows_in = df.count()
-    rows_solid = found[0]["rows"] if found else 0
+             .select("_raw", "type", "filled").collect())
     blank_cols = [r["_raw"] for r in found if r["filled"] == 0]
     if rows_in > rows_solid:
         log.append(("warn", "Blank rows removed", f"{rows_in - rows_solid} empty rows dropped"))
@@ -229,7 +235,7 @@ def clean(df: DataFrame, row_id: str = ROW_ID, duplicate_strategy: str = "first"
 
     spark = df.sparkSession
     report = (outliers.outlier_rows(data, numbers, row_id, outlier_method, outlier_factor) if numbers else
-              spark.createDataFrame([], f"{row_id} long, variable string, value double"))
+              literal_rows(spark, [], f"{row_id} long, variable string, value double"))
     report = settle(report)
     outlier_n = outliers.outlier_counts(report)
     n_by_col = {r["variable"]: r["outliers"] for r in outlier_n.collect()}
@@ -263,10 +269,10 @@ def clean(df: DataFrame, row_id: str = ROW_ID, duplicate_strategy: str = "first"
     elif impute_strategy != "leave":
         log.append(("ok", "Missing value check", "No imputation needed"))
 
-    mixed = settle(profile.mixed_columns(mixed_counts).withColumn(
+    mixed = settle(profile.mixed_columns(raw_counts).withColumn(
         "variable", F.element_at(named, F.col("variable"))))
     mixed_names = [r["variable"] for r in mixed.select("variable").collect()]
-    type_rows = spark.createDataFrame([(c, types[c], c in mixed_names) for c in cols],
+    type_rows = literal_rows(spark, [(c, types[c], c in mixed_names) for c in cols],
                                       "variable string, type string, mixed boolean")
     final_counts = profile.value_counts(data, cols, row_id)
     summary = settle(profile.column_summary(final_counts, type_rows))
@@ -288,8 +294,8 @@ def clean(df: DataFrame, row_id: str = ROW_ID, duplicate_strategy: str = "first"
     tables = {
         "cleaned_data": data, "column_summary": summary, "outlier_report": report, "mixed_columns": mixed,
         "recommendations": advice.orderBy("kind", "variable").select("advice"),
-        "cleaning_log": spark.createDataFrame(log, "level string, stage string, detail string"),
-        "run_stats": spark.createDataFrame([(k, str(v)) for k, v in stats.items()], "metric string, value string"),
+        "cleaning_log": literal_rows(spark, log, "level string, stage string, detail string"),
+        "run_stats": literal_rows(spark, [(k, str(v)) for k, v in stats.items()], "metric string, value string"),
     }
     return CleanResult(data, types, log, stats, tables)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from statloom import fixed_values as fv
 from statloom.operators import assumptions, comparisons, correlation, crosstab, profile, regression, summaries
 from statloom.plans import interpret
+from statloom.session import literal_rows
 
 ALWAYS_SOUND = ("descriptive",)
 
@@ -254,7 +255,7 @@ def soundness_table(df: DataFrame, config: dict[str, dict], order: list[str],
         else:
             checks = part if checks is None else checks.unionByName(part)
     schema = "test string, score double, passed_count long, total_count long, sound boolean, recommendation string"
-    out = spark.createDataFrame(free, schema)
+    out = literal_rows(spark, free, schema)
     if checks is not None:
         out = out.unionByName(assumptions.soundness(assumptions.score(checks), min_score))
     return out
@@ -273,7 +274,7 @@ def validate(df: DataFrame, config: dict[str, dict], order: list[str]) -> DataFr
             errors.append((test, label, "structural", problem))
     bad = {e[0] for e in errors}
     spark = df.sparkSession
-    rows = spark.createDataFrame(errors, "test string, label string, kind string, message string")
+    rows = literal_rows(spark, errors, "test string, label string, kind string, message string")
     sound = soundness_table(df, {t: p for t, p in config.items() if t not in bad}, order)
     labels = F.create_map(*[F.lit(x) for kv in fv.STUDY_TESTS.items() for x in kv])
     warn = sound.where("NOT sound").select("test", F.element_at(labels, F.col("test")).alias("label"),
@@ -332,7 +333,7 @@ def report_sections(spark: SparkSession, study: StudyResult) -> DataFrame:
              if t not in study.skipped]
     rows += [(i, 0, t, f"{i}. {fv.STUDY_TESTS[t]}") for i, t in enumerate(
         [t for t in fv.STUDY_TESTS if t in study.results], 1)]
-    return spark.createDataFrame(rows, "section int, line int, test string, text string").orderBy("section", "line", "test")
+    return literal_rows(spark, rows, "section int, line int, test string, text string").orderBy("section", "line", "test")
 
 
 def combined_report(study: StudyResult) -> DataFrame | None:

@@ -1,7 +1,9 @@
 """Session settings and the one place where lineage is cut."""
 
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,16 +31,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder so later jobs neither recompute it nor lose it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint()
+    """Write `df` once to the shared checkpoint folder and go on from the written table.
+
+    Later jobs neither recompute it nor lose it with an executor, and read only the columns they need.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation, planned without an RDD."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [part.split() for part in schema.split(", ")]
+    columns = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=[name for name, _ in fields]))
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, None where the session does not expose it."""
+    """Catalyst's size estimate of a plan before optimisation, None where the session does not expose it."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     except AttributeError:
         return None
