@@ -7,12 +7,18 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 _TINY = 1e-300
 _HUGE_DF = 1e8
 
 
+def _lgamma(x):
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(x), dtype=float)
+
+
+def _erfc(x):
+    return np.asarray(np.frompyfunc(math.erfc, 1, 1)(x), dtype=float)
+
+
 def betainc(a, b, x):
     """Regularised incomplete beta function, modified Lentz continued fraction."""
     a, b, x = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, x))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
 
-# Tried in this order; the first that decodes without replacement characters is kept.
-ENCODINGS = ["UTF-8", "ISO-8859-1", "windows-1252"]
+# UTF-8 is kept when every line is valid; the single-byte encoding reads anything else.
+ENCODINGS = ["UTF-8", "ISO-8859-1"]
 ROW_ID, FILE = "_row_id", "_file"
 
 
@@ -17,8 +17,8 @@ def _csv(spark: SparkSession, path, encoding: str) -> DataFrame:
 
 
 def pick_encoding(spark: SparkSession, path) -> str:
-    """UTF-8 unless some line holds a byte sequence that is not; one pass over the raw lines."""
-    bad = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
+    """UTF-8 unless some line holds a byte sequence that is not; the pass stops at the first such line."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return ENCODINGS[1] if bad else ENCODINGS[0]
 
 
