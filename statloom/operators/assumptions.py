@@ -65,10 +65,9 @@ def outlier_check(df: DataFrame, test: str, value: str, small: bool | None = Non
     """Three-IQR fences; a column without spread keeps its closed fence, so any other value counts."""
     q = outliers.quantiles(numeric(df, [value]), [value], [0.25, 0.75], small=small)
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    lim = q.select((q1 - 3 * (q3 - q1)).alias("low"), (q3 + 3 * (q3 - q1)).alias("high"))
+    lim = q.select(F.struct((q1 - 3 * (q3 - q1)).alias("low"), (q3 + 3 * (q3 - q1)).alias("high"))).scalar()
     x = F.col(value)
-    n = numeric(df, [value]).agg(F.count_if((x < lim.select("low").scalar()) | (x > lim.select("high").scalar()))
-                                 .alias("n"))
+    n = numeric(df, [value]).agg(F.count_if((x < lim["low"]) | (x > lim["high"])).alias("n"))
     ok = F.col("n") == 0
     note = F.when(ok, F.lit("No extreme outliers found.")).otherwise(
         F.format_string("%d extreme outlier(s) detected (IQR×3 method).", "n"))

@@ -7,7 +7,7 @@ function of its key, so every stage, retry and branch of a plan agrees on it.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.session import estimated_bytes
+from statloom.session import estimated_bytes, settle
 
 # Plans estimated below this size keep the single-window or exact-percentile form.
 SMALL_BYTES = 64 * 1024 * 1024
@@ -18,6 +18,11 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return size is not None and size <= (SMALL_BYTES if limit is None else limit)
 
 
+def reusable(table: DataFrame, small: bool) -> DataFrame:
+    """A reduced table that several parts of a plan read: left lazy over a small source, written once otherwise."""
+    return table if small else settle(table)
+
+
 def bucket_count(df: DataFrame) -> int:
     return max(8, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -25,7 +30,7 @@ def bucket_count(df: DataFrame) -> int:
 def cut_points(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
     """Ascending cut points of a numeric key; approximate, since they only set the balance.
 
-    One row per distinct key goes in, so a value that fills a third of the table weighs as one row.
+    Distinct keys are weighed, so a value that fills a third of the table counts as one row.
     """
     buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from statloom.functions.scalars import r4
 from statloom.functions.tails import normal_quantile, t_quantile
 from statloom.operators import crosstab, regression
-from statloom.operators.ranks import cumulative, quantiles
+from statloom.operators.bucketing import is_small, reusable
+from statloom.operators.ranks import cumulative, quantiles, value_table
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import group_summary, numeric
 
@@ -31,6 +32,7 @@ def histogram(df: DataFrame, value: str, small: bool | None = None) -> DataFrame
     bins = F.when(span > 0, F.ceil(F.try_divide(span, width)).cast("int")).otherwise(1)
     plan = _stats(num, value, small).select("low", "high", "mean", F.get("q", F.lit(1)).alias("median"),
                                             bins.alias("bins"))
+    plan = reusable(plan, is_small(df.select(value)) if small is None else small)
     packed = plan.select(F.struct("*").alias("s")).scalar()
     step = (packed["high"] - packed["low"]) / packed["bins"]
     at = F.when(step > 0, F.least(F.floor((F.col(value) - packed["low"]) / step).cast("int"), packed["bins"] - 1)
@@ -82,7 +84,8 @@ def qq_points(df: DataFrame, value: str, points: int = 1000, small: bool | None
     """
     num = numeric(df, [value]).where(F.col(value).isNotNull())
     size = num.agg(F.count("*").alias("n")).scalar()
-    cum = cumulative(num, value, small=small)
+    counts, small = value_table(num, value, small=small)
+    cum = cumulative(counts, value, small=small)
     step = F.greatest(F.lit(1), F.ceil(size / F.lit(points))).cast("long")
     first = F.ceil(F.col("below") / step) * step
     last = F.col("below") + F.col("tie") - 1

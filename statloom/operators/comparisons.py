@@ -8,7 +8,8 @@ from pyspark.sql.types import DoubleType
 
 from statloom.functions.scalars import effect_label, p_text, r4, stars
 from statloom.functions.tails import chi2_upper, f_upper, normal_quantile, normal_upper, t_quantile, t_two_sided
-from statloom.operators.ranks import average_ranks
+from statloom.operators.bucketing import is_small, reusable
+from statloom.operators.ranks import average_ranks, counted_quantiles, value_table, with_ranks
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import group_medians, group_summary, numeric
 
@@ -64,10 +65,10 @@ def t_test(df: DataFrame, value: str, group: str, by: list[str] = (), alpha: flo
 def anova_from_groups(groups: DataFrame, by: list[str] = ()) -> DataFrame:
     """F test from (n, mean, var) per group: sums of squares about the grand mean, no second pass over details."""
     by = list(by)
-    mean = groups.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"))
-    centred = groups.join(mean, by) if by else groups.withColumn("_grand", mean.scalar())
-    agg = (centred.groupBy(*by).agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"),
+    seg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # over group rows only
+    grand = F.sum(F.col("n") * F.col("mean")).over(seg) / F.sum("n").over(seg)
+    agg = (groups.withColumn("_grand", grand).groupBy(*by).agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("smallest"),
         F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) * (F.col("mean") - F.col("_grand"))).alias("ss_between"),
         F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ss_within")))
     d1, d2 = (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")
@@ -80,7 +81,7 @@ def anova_from_groups(groups: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def anova(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
-    out = anova_from_groups(group_summary(df, value, group, by), by)
+    out = anova_from_groups(group_summary(df, value, group, by), by).drop("smallest")
     return (out.withColumn("effect_size", effect_label("eta_squared", F.col("eta_squared")))
             .withColumn("significance", stars(F.col("p_value"))).withColumn("p_display", p_text(F.col("p_value"))))
 
@@ -88,7 +89,7 @@ def anova(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFram
 def pairwise_t(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """Bonferroni-adjusted pooled t for every pair of groups; joins group rows, never detail rows."""
     by = list(by)
-    groups = group_summary(df, value, group, by)
+    groups = reusable(group_summary(df, value, group, by), is_small(df.select(*by, value, group)))
     keys = [F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by] or [F.lit("")]
     pack = groups.select(F.struct(*by, *keys).alias("seg"), F.struct("grp", "n", "mean", "var").alias("g"))
     left, right = pack.select("seg", F.col("g").alias("a")), pack.select("seg", F.col("g").alias("b"))
@@ -116,10 +117,8 @@ def levene(df: DataFrame, value: str, group: str, by: list[str] = (), small: boo
     dev = (lookup_by_key(rows, med.join(size, [*by, "grp"]), [*by, "grp"], "_rows", small=small)
            .withColumn("_dev", F.abs(F.col("_x") - F.col("median"))))
     groups = group_summary(dev, "_dev", "grp", by)
-    enough = groups.groupBy(*by).agg(F.min("n").alias("_least"))
     out = anova_from_groups(groups, by)
-    out = out.join(enough, by) if by else out.withColumn("_least", enough.select("_least").scalar())
-    ok = (F.col("_least") >= 2) & (F.col("k") >= 2)
+    ok = (F.col("smallest") >= 2) & (F.col("k") >= 2)
     return out.select(*by, "k", "n", F.when(ok, F.col("f_statistic")).alias("levene_f"),
                       F.when(ok, F.col("p_value")).alias("levene_p"))
 
@@ -149,7 +148,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = (), smal
     """U of the first group (by value), tie-corrected normal p with continuity, exact p for small untied groups."""
     by = list(by)
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    ranked = average_ranks(num.withColumnRenamed(group, "grp"), value, by, ["grp"], small)
+    counts, small = value_table(num.withColumnRenamed(group, "grp"), value, by, ["grp"], small)
+    ranked = with_ranks(counts, value, by, ["grp"], small)
     tie = F.col("tie").cast("double")
     per = ranked.groupBy(*by, "grp").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"),
@@ -157,10 +157,11 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = (), smal
     pack = F.struct("grp", "n", "rank_sum")
     row = per.groupBy(*by).agg(F.count("*").alias("groups"), F.min_by(pack, "grp").alias("a"),
                                F.max_by(pack, "grp").alias("b"), F.sum("ties").alias("ties"))
-    med = group_medians(df, value, group, by, small).groupBy(*by).agg(
-        F.min_by("median", "grp").alias("median_1"), F.max_by("median", "grp").alias("median_2"))
-    row = row.join(med, by) if by else row.withColumns(
-        {c: med.select(c).scalar() for c in ("median_1", "median_2")})
+    middle = F.get("q", F.lit(0))
+    med = counted_quantiles(counts, value, [0.5], [*by, "grp"], small).groupBy(*by).agg(
+        F.struct(F.min_by(middle, "grp").alias("m1"), F.max_by(middle, "grp").alias("m2")).alias("_med"))
+    row = row.join(med, by) if by else row.withColumn("_med", med.scalar())
+    row = row.withColumns({"median_1": F.col("_med.m1"), "median_2": F.col("_med.m2")})
     n1, n2 = F.col("a.n").cast("double"), F.col("b.n").cast("double")
     size = n1 + n2
     u1 = F.col("a.rank_sum") - n1 * (n1 + 1) / 2

@@ -11,7 +11,7 @@ from statloom.operators.bucketing import SMALL_BYTES
 from statloom.operators.ranks import average_ranks
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import numeric
-from statloom.session import estimated_bytes
+from statloom.session import estimated_bytes, settle
 
 
 def correlate(complete: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -41,6 +41,8 @@ def spearman(df: DataFrame, columns: list[str], by: list[str] = (), small: bool
     for c in columns:
         table = average_ranks(complete, c, by, small=small).select(*by, c, F.col("rank").alias(f"_rank_{c}"), "n")
         ranked = lookup_by_key(ranked, table, [*by, c], "n", small=small, size=size).drop("n")
+        if not small:
+            ranked = settle(ranked)  # each lookup reads its input twice; written, the next one reads a table
     return correlate(ranked.select(*by, *[F.col(f"_rank_{c}").alias(c) for c in columns]), columns, by)
 
 

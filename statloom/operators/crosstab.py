@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.scalars import effect_label, p_text, r4, stars
 from statloom.functions.tails import chi2_upper
+from statloom.operators.bucketing import is_small, reusable
 
 
 def counts(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
@@ -49,7 +50,7 @@ def grid(cells: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def residuals(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
     """Observed, expected and standardised residual of every cell."""
-    g = grid(counts(df, var1, var2, by), by)
+    g = grid(reusable(counts(df, var1, var2, by), is_small(df.select(*by, var1, var2))), by)
     return g.withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
 
 
@@ -65,7 +66,7 @@ def chi_square(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataF
     add what the observed ones leave of the total. So the level grid is never built.
     """
     by = list(by)
-    cells = counts(df, var1, var2, by)
+    cells = reusable(counts(df, var1, var2, by), is_small(df.select(*by, var1, var2)))
     total = cells.groupBy(*by).agg(F.sum("n").alias("total"), F.count("*").alias("held"))
     if by:
         cells = cells.join(total, by)
@@ -101,4 +102,4 @@ def chi_square(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataF
 
 
 def expected_table(df: DataFrame, var1: str, var2: str) -> DataFrame:
-    return grid(counts(df, var1, var2)).select("v1", "v2", "n", r4("expected").alias("expected"))
+    return residuals(df, var1, var2).select("v1", "v2", "n", r4("expected").alias("expected"))

@@ -12,8 +12,8 @@ def running_sum(df: DataFrame, keys: list[str], ts: str, order: list[str], value
 
     Rows are ordered by (`ts`, then `order`). A key's timeline is cut into `bucket`-long pieces: pieces are
     summed first (map-side combine), a window runs over the piece totals, and a second window runs inside
-    each piece. A key with a third of all rows is thus split into as many tasks as it has pieces. Both
-    branches read the same exchange, and the final window needs no further shuffle. Small plans use one window.
+    each piece. A key with a third of all rows is thus split into as many tasks as it has pieces. Detail rows
+    move once: the join and the final window share their partitioning. Small plans use one window.
     Keys and `ts` must be present.
     """
     small = is_small(df) if small is None else small

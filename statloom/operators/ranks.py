@@ -6,7 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.operators.bucketing import SMALL_BYTES, bucket_of, cut_points, is_small
+from statloom.operators.bucketing import SMALL_BYTES, bucket_of, cut_points, is_small, reusable
+from statloom.session import settle
 
 # Columns estimated above this size are searched by narrowing instead of holding their distinct values in a buffer.
 NARROW_BYTES = 512 * 1024
@@ -24,17 +25,15 @@ def counted(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = ())
     return df.where(F.col(value).isNotNull()).groupBy(*by, value, *keep).agg(F.count("*").alias("n"))
 
 
-def cumulative(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = (),
-               small: bool | None = None) -> DataFrame:
-    """Per distinct value: `n`, `tie` (rows sharing the value) and `below` (rows with a smaller value).
+def cumulative(counts: DataFrame, value: str, by: list[str] = (), keep: list[str] = (),
+               small: bool = False) -> DataFrame:
+    """Over the rows of `counted`: `tie` (rows sharing the value) and `below` (rows with a smaller value).
 
-    Small plans use one window. Beyond that, values are cut into ordered buckets, windows run inside the
+    Over small sources one window does. Otherwise values are cut into ordered buckets, windows run inside the
     buckets, and the bucket totals (at most a few thousand rows per segment) supply the offsets.
     """
     by, keep = list(by), list(keep)
-    counts = counted(df, value, by, keep)
-    small = is_small(df.select(*by, value, *keep)) if small is None else small
-    bucket = F.lit(0) if small else bucket_of(F.col(value), cut_points(df, value))
+    bucket = F.lit(0) if small else bucket_of(F.col(value), cut_points(counts, value))
     cut = counts.withColumn("_bucket", bucket)
     ordered = Window.partitionBy(*by, "_bucket").orderBy(value)
     upto = F.sum("n").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -51,10 +50,22 @@ def cumulative(df: DataFrame, value: str, by: list[str] = (), keep: list[str] =
             .drop("_bucket", "_offset"))
 
 
+def value_table(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = (),
+                small: bool | None = None) -> tuple[DataFrame, bool]:
+    """The counted values, written once when the source is large, and whether it is small."""
+    small = is_small(df.select(*by, value, *keep)) if small is None else small
+    return reusable(counted(df, value, by, keep), small), small
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = (),
                   small: bool | None = None) -> DataFrame:
     """Rank of each distinct value, ties sharing the mean of their positions."""
-    return cumulative(df, value, by, keep, small).withColumn("rank", F.col("below") + (F.col("tie") + 1) / 2)
+    counts, small = value_table(df, value, by, keep, small)
+    return with_ranks(counts, value, by, keep, small)
+
+
+def with_ranks(counts: DataFrame, value: str, by: list[str] = (), keep: list[str] = (), small: bool = False) -> DataFrame:
+    return cumulative(counts, value, by, keep, small).withColumn("rank", F.col("below") + (F.col("tie") + 1) / 2)
 
 
 def quantiles(df: DataFrame, values: list[str], probs: list[float], by: list[str] = (),
@@ -76,25 +87,25 @@ def quantiles(df: DataFrame, values: list[str], probs: list[float], by: list[str
         return _narrowed(df, values, probs)
     out = None
     for v in values:
-        cum = cumulative(df, v, by, small=False)
-        size = df.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("_size"))
-        picks, q = _order_statistics(v, [F.lit(float(p)) * (F.col("_size") - 1) for p in probs])
-        part = cum.join(size, by).groupBy(*by).agg(*picks).select(*by, F.lit(v).alias("variable"), q.alias("q"))
+        part = counted_quantiles(settle(counted(df, v, by)), v, probs, by).select(*by, F.lit(v).alias("variable"), "q")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _order_statistics(value: str, positions: list[Column]) -> tuple[list[Column], Column]:
-    """Aggregates over cumulative counts that pick the neighbours of each position, and their interpolation."""
+def counted_quantiles(counts: DataFrame, value: str, probs: list[float], by: list[str], small: bool = False) -> DataFrame:
+    """(by, q) from counted values: the neighbours of each position are picked and interpolated."""
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
+    cum = cumulative(counts, value, by, small=small).join(sizes, by)
     held = F.col("below") + F.col("n")
-    picks = []
-    for i, at in enumerate(positions):
+    picks, q = [], []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_size") - 1)
         low, high = F.floor(at), F.ceil(at)
         picks.append(F.max(F.when((F.col("below") <= low) & (low < held), F.col(value))).alias(f"_lo{i}"))
         picks.append(F.max(F.when((F.col("below") <= high) & (high < held), F.col(value))).alias(f"_hi{i}"))
         picks.append(F.first(at - low).alias(f"_w{i}"))
-    q = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(positions))]
-    return picks, F.array(*q)
+        q.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}"))
+    return cum.groupBy(*by).agg(*picks).select(*by, F.array(*q).alias("q"))
 
 
 @dataclass

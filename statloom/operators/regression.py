@@ -103,13 +103,11 @@ def model_summary(df: DataFrame, dependent: str, predictors: list[str], by: list
 
 
 def residual_rows(df: DataFrame, dependent: str, predictors: list[str], keep: list[str] = ()) -> DataFrame:
-    """Fitted value and residual of every complete row; coefficients enter as scalar subqueries, not a join."""
+    """Fitted value and residual of every complete row; the few coefficients are worked out first."""
     cols = [dependent, *predictors]
-    coefs = coefficients(df, dependent, predictors).groupBy().agg(
-        F.map_from_entries(F.collect_list(F.struct("position", "b"))).alias("m"))
-    beta = coefs.select("m").scalar()
+    beta = {r["position"]: r["b"] for r in coefficients(df, dependent, predictors).select("position", "b").collect()}
     rows = numeric(df, cols).dropna(subset=cols)
-    fitted = F.element_at(beta, F.lit(0))
+    fitted = F.lit(beta.get(0)).cast("double")
     for i, c in enumerate(predictors, 1):
-        fitted = fitted + F.element_at(beta, F.lit(i)) * F.col(c)
+        fitted = fitted + F.lit(beta.get(i)).cast("double") * F.col(c)
     return rows.select(*keep, *cols, fitted.alias("fitted")).withColumn("residual", F.col(dependent) - F.col("fitted"))

@@ -4,22 +4,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.bucketing import SMALL_BYTES
-from statloom.session import estimated_bytes
+from statloom.session import estimated_bytes, settle
 
 # A key is hot when it holds more than 1/HOT_SHARE of all rows; at most HOT_SHARE keys can.
 HOT_SHARE = 1000
 # A lookup table has no more rows than its detail table; below this estimate of the latter it is broadcast.
 BROADCAST_BYTES = 16 * 1024 * 1024
+# A lookup table of at most this many rows, by actual count, is broadcast whole.
+BROADCAST_ROWS = 200_000
 
 
 def lookup_by_key(detail: DataFrame, table: DataFrame, keys: list[str], weight: str, total: Column | None = None,
                   how: str = "inner", small: bool | None = None, size: int | None = None) -> DataFrame:
     """Join detail rows to a table with one row per key and its row count in `weight`; nulls match nulls.
 
-    Hot keys (fewer than HOT_SHARE of them can exist) are broadcast, so their rows never move. The rows of the
-    other keys, each a small share of the table, go through an ordinary shuffle join. `total` is the number of
-    detail rows where the table does not cover all of them. Small plans use one join; `size` is the estimate of
-    the detail table where the caller has it.
+    A table that turns out short is broadcast whole. Otherwise only its hot keys are (fewer than HOT_SHARE of
+    them can exist), so their rows never move; the rows of the other keys, each a small share of the table, go
+    through an ordinary shuffle join. `total` is the number of detail rows where the table does not cover all of
+    them. Small plans use one join; `size` is the estimate of the detail table where the caller has it.
     """
     right = [f"_k{i}" for i in range(len(keys))]
     extra = [c for c in table.columns if c not in keys]
@@ -35,6 +37,10 @@ def lookup_by_key(detail: DataFrame, table: DataFrame, keys: list[str], weight:
         return detail.join(F.broadcast(renamed(table)), on, how).drop(*right)
     if small or (small is None and size is not None and size <= SMALL_BYTES):
         return detail.join(renamed(table), on, how).drop(*right)
+    # written once: its size is known from here on, and its parts are read several times
+    table = settle(table)
+    if table.count() <= BROADCAST_ROWS:
+        return detail.join(F.broadcast(renamed(table)), on, how).drop(*right)
     rows = table.agg(F.sum(weight)).scalar() if total is None else total
     is_hot = F.col(weight) * HOT_SHARE > rows
     hot = F.broadcast(renamed(table.where(is_hot)))

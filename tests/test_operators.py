@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import special
 from statloom.operators import (accounts, assumptions, chartdata, comparisons, correlation, crosstab, dedup, ledger, normality,
-                                outliers, profile, ranks, regression, summaries)
+                                outliers, profile, ranks, regression, skew, summaries)
 from statloom.operators.bucketing import bucket_of, cut_points
 from statloom.operators.prefix import running_sum
 
@@ -241,10 +241,11 @@ def test_chi_square_two_by_two(spark):
 
 # --- correlation, regression ----------------------------------------------------------
 
-def test_spearman_paths(spark, skewed):
+def test_spearman_paths(spark, skewed, monkeypatch):
     df = skewed.withColumn("y", F.col("x") * F.col("x") + F.col("id") % 50).withColumn("z", (F.col("id") % 3).cast("double"))
     pdf = df.select("x", "y", "z").toPandas()
-    want = pdf.corr(method="spearman") if False else pdf.rank().corr()
+    want = pdf.rank().corr()
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
     for small in (True, False):
         for r in correlation.spearman(df, ["x", "y", "z"], small=small).collect():
             assert r["r"] == pytest.approx(want.loc[r["variable_1"], r["variable_2"]], abs=1e-12)
@@ -381,7 +382,8 @@ def test_duplicates(spark):
         assert flags == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
 
 
-def test_hot_duplicates_keep_every_row(spark):
+def test_hot_duplicates_keep_every_row(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
     df = spark.range(6000).select(F.col("id").alias("_row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         (F.col("id") % 2500).cast("string")).alias("s"))
     out = dedup.flag_duplicates(df, ["s"], "_row_id", small=False)
