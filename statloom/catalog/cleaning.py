@@ -201,6 +201,14 @@ def clean_customer_table(spark, d):
     return rounded(cleaning.clean(m, rename=False).data, "raw_balance", "raw_mixed")
 
 
+@register("clean_customer_sketch", f"""SELECT c_custkey AS _row_id, {_BALANCE} AS raw_balance, {_SEGMENT} AS raw_segment, {_MODE} AS raw_mode,
+  {_MIXED} AS raw_mixed, CAST(c_custkey AS DOUBLE) AS key FROM customer""")
+def clean_customer_sketch(spark, d):
+    """The cleaning plan with sketched profiles, nothing imputed; the key keeps every row apart."""
+    m = views.messy_customer(spark, d).withColumn("key", F.col("c_custkey").cast("string")).withColumnRenamed("c_custkey", "_row_id")
+    return cleaning.clean(m, impute_strategy="leave", rename=False, exact=False).data
+
+
 @register("clean_customer_log")
 def clean_customer_log(spark, d):
     m = views.messy_customer(spark, d).withColumnRenamed("c_custkey", "_row_id")

@@ -578,6 +578,15 @@ def citation_anova(spark, d):
     return out.select(interpret.citation("anova").alias("citation"))
 
 
+@register("result_sheet_anova", f"""WITH {_ANOVA}, r AS (SELECT *, ssb / (ssb + ssw) AS eta, {q.f_upper('f', 'k - 1', 'n - k')} AS p FROM f)
+SELECT CAST(0 AS INTEGER) AS position, 'Analysis' AS metric, 'One-Way ANOVA' AS value FROM r
+UNION ALL SELECT 1, 'p-value', {q.p_text('p')} FROM r UNION ALL SELECT 2, 'Significance', {q.stars('p')} FROM r
+UNION ALL SELECT 3, 'Effect Size', concat('η² = ', regexp_replace(regexp_replace(printf('%.4f', eta), '0+$', ''), '\\.$', '.0')) FROM r""")
+def result_sheet(spark, d):
+    done = study.run_test(table(spark, d, "orders"), "anova", {"numeric_var": "o_totalprice", "group_var": "o_orderpriority"})
+    return study.result_sheet(done).where("position <= 3")
+
+
 @register("interpretation_by_segment")
 def interpretation(spark, d):
     out = comparisons.t_test(table(spark, d, "lineitem"), "l_quantity", "l_linestatus", ["l_returnflag"])

@@ -90,6 +90,25 @@ def mixed_columns(counts: DataFrame, by: list[str] = ()) -> DataFrame:
         *by, "variable", "numeric_cells", "filled", F.array_join("samples", ", ").alias("samples"))
 
 
+def _top_values(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The three most frequent values of each column as one text."""
+    order = Window.partitionBy(*by, "variable").orderBy(F.desc("n"), "value")
+    ranked = counts.where(F.col("value").isNotNull()).withColumn("_rn", F.row_number().over(order)).where("_rn <= 3")
+    packed = F.sort_array(F.collect_list(F.struct("_rn", "value")))
+    return ranked.groupBy(*by, "variable").agg(F.array_join(F.transform(packed, lambda x: x["value"]), ", ").alias("top"))
+
+
+def _summary_rows(stats: DataFrame, top: DataFrame, types: DataFrame, by: list[str]) -> DataFrame:
+    full = stats.join(top, [*by, "variable"], "left").join(types, [*by, "variable"], "left")
+    sample = (F.when(F.col("type").isin("numeric", "ordinal"),
+                     F.format_string("min=%.2f · max=%.2f · mean=%.2f", "min", "max", "mean"))
+              .when(F.col("type") == "categorical", F.concat(F.lit("Top: "), F.coalesce("top", F.lit(""))))
+              .otherwise(F.coalesce("first_value", F.lit("—"))))
+    return full.select(*by, "variable", "type", "mixed", "missing",
+                       F.round(F.col("missing") * 100.0 / F.col("rows"), 1).alias("missing_percent"),
+                       "distinct", F.substring(sample, 1, 80).alias("sample"))
+
+
 def column_summary(counts: DataFrame, types: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row per column: missing count and share, distinct values, and a sample fitted to its type.
 
@@ -100,23 +119,35 @@ def column_summary(counts: DataFrame, types: DataFrame, by: list[str] = ()) -> D
     held = F.col("value").isNotNull()
     number = parse_number(F.col("value"))
     n = F.col("n")
-    agg = counts.withColumn("number", number).groupBy(*by, "variable").agg(
+    stats = counts.withColumn("number", number).groupBy(*by, "variable").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~held, n)), F.lit(0)).alias("missing"),
         F.count_if(held).alias("distinct"), F.min("number").alias("min"), F.max("number").alias("max"),
         F.try_divide(F.sum(F.col("number") * n), F.sum(F.when(F.col("number").isNotNull(), n))).alias("mean"),
         F.min_by(F.when(held, F.col("value")), F.when(held, F.col("first_row"))).alias("first_value"))
-    order = Window.partitionBy(*by, "variable").orderBy(F.desc("n"), "value")
-    top = (counts.where(held).withColumn("_rn", F.row_number().over(order)).where("_rn <= 3")
-           .groupBy(*by, "variable").agg(F.array_join(F.transform(
-               F.sort_array(F.collect_list(F.struct("_rn", "value"))), lambda x: x["value"]), ", ").alias("top")))
-    full = agg.join(top, [*by, "variable"], "left").join(types, [*by, "variable"], "left")
-    sample = (F.when(F.col("type").isin("numeric", "ordinal"),
-                     F.format_string("min=%.2f · max=%.2f · mean=%.2f", "min", "max", "mean"))
-              .when(F.col("type") == "categorical", F.concat(F.lit("Top: "), F.coalesce("top", F.lit(""))))
-              .otherwise(F.coalesce("first_value", F.lit("—"))))
-    return full.select(*by, "variable", "type", "mixed", "missing",
-                       F.round(F.col("missing") * 100.0 / F.col("rows"), 1).alias("missing_percent"),
-                       "distinct", F.substring(sample, 1, 80).alias("sample"))
+    return _summary_rows(stats, _top_values(counts, by), types, by)
+
+
+def fast_summary(df: DataFrame, columns: list[str], row_id: str, types: DataFrame, categories: list[str]) -> DataFrame:
+    """The same rows from one scan: distinct counts are sketches, only category columns are counted by value.
+
+    `df` holds converted columns: numbers are numeric by type.
+    """
+    kinds = dict(df.dtypes)
+    rows = []
+    for c in columns:
+        s = F.col(c).cast("string")
+        num = F.lit(None).cast("double") if kinds[c] in ("string", "date", "boolean") else F.col(c).cast("double")
+        rows.append(F.struct(
+            F.lit(c).alias("variable"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("missing"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(s, 16)).alias("distinct"), F.min(num).alias("min"),
+            F.max(num).alias("max"), F.avg(num).alias("mean"),
+            F.min_by(s, F.when(s.isNotNull(), F.col(row_id))).alias("first_value")))
+    stats = df.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))
+    if categories:
+        top = _top_values(value_counts(df, categories, row_id), [])
+    else:
+        top = stats.select("variable", F.lit("").alias("top")).limit(0)
+    return _summary_rows(stats, top, types, [])
 
 
 def fast_profile(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:

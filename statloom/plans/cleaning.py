@@ -162,25 +162,33 @@ def preview(counts: DataFrame, rows: int, duplicates: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame, row_id: str = ROW_ID, duplicate_strategy: str = "first", impute_strategy: str = "median",
-          outlier_method: str = "iqr", outlier_factor: float = fv.OUTLIER_FACTOR, rename: bool = True) -> CleanResult:
-    """Run every step and return the cleaned table with log, statistics and side tables."""
+          outlier_method: str = "iqr", outlier_factor: float = fv.OUTLIER_FACTOR, rename: bool = True,
+          exact: bool = True) -> CleanResult:
+    """Run every step and return the cleaned table with log, statistics and side tables.
+
+    `exact=False` profiles by one scan with distinct-count sketches instead of counting every distinct value; meant
+    for tables whose columns are close to unique. Cleaned cells are the same unless a sketch moves a type cut.
+    """
     log: list[tuple[str, str, str]] = []
     raw_cols = [c for c in df.columns if c not in (row_id, FILE)]
     marks = marker_counts(df, raw_cols).first()
     rows_in, rows_solid = marks["rows"], marks["rows"] - marks["blank_rows"]
     loaded = df.withColumns({c: load_nulls(strip_text(F.col(c))) for c, t in df.dtypes
                              if c in raw_cols and t == "string"})
-    raw_counts = settle(profile.value_counts(loaded, raw_cols, row_id))
+    raw_counts = settle(profile.value_counts(loaded, raw_cols, row_id)) if exact else None
     log.append(("ok", "Whitespace stripped", "Column names + string cells cleaned"))
     log.append(("ok", "Null markers standardised", f"{marks['marker_missing']} additional nulls identified"))
 
     stripped = strip_and_null(df, raw_cols)
     solid = drop_blank_rows(stripped, raw_cols)
-    # the distinct values are already counted: markers and blank rows only change the count of missing cells
-    counts = raw_counts.withColumn("value", null_markers(F.col("value"))).groupBy("variable", "value").agg(
-        F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
-    counts = counts.withColumn("n", F.col("n") - F.when(F.col("value").isNull(), marks["blank_rows"]).otherwise(0))
-    prof = profile.profile(counts)
+    if exact:
+        # the distinct values are already counted: markers and blank rows only change the count of missing cells
+        counts = raw_counts.withColumn("value", null_markers(F.col("value"))).groupBy("variable", "value").agg(
+            F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
+        counts = counts.withColumn("n", F.col("n") - F.when(F.col("value").isNull(), marks["blank_rows"]).otherwise(0))
+        prof = profile.profile(counts)
+    else:
+        prof = profile.fast_profile(solid, raw_cols, row_id)
     names = dict(zip(raw_cols, sanitise_names(raw_cols)))
     if rename:
         names = dict(zip(names, standard_names(list(names.values()))))
@@ -269,13 +277,19 @@ def clean(df: DataFrame, row_id: str = ROW_ID, duplicate_strategy: str = "first"
     elif impute_strategy != "leave":
         log.append(("ok", "Missing value check", "No imputation needed"))
 
-    mixed = settle(profile.mixed_columns(raw_counts).withColumn(
-        "variable", F.element_at(named, F.col("variable"))))
+    if exact:
+        mixed = profile.mixed_columns(raw_counts)
+    else:
+        mixed = profile.fast_profile(loaded, raw_cols, row_id).where(profile.is_mixed()).select(
+            "variable", "numeric_cells", "filled", F.col("first_offender").alias("samples"))
+    mixed = settle(mixed.withColumn("variable", F.element_at(named, F.col("variable"))))
     mixed_names = [r["variable"] for r in mixed.select("variable").collect()]
     type_rows = literal_rows(spark, [(c, types[c], c in mixed_names) for c in cols],
                                       "variable string, type string, mixed boolean")
-    final_counts = profile.value_counts(data, cols, row_id)
-    summary = settle(profile.column_summary(final_counts, type_rows))
+    if exact:
+        summary = settle(profile.column_summary(profile.value_counts(data, cols, row_id), type_rows))
+    else:
+        summary = settle(profile.fast_summary(data, cols, row_id, type_rows, categories))
     log.append(("ok", "Column summary generated", f"{len(cols)} columns"))
     after = {r["variable"]: r["missing"] for r in summary.collect()}
     missing_after = sum(after.values())

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
+from statloom.functions.scalars import effect_text, strip_markdown
 from statloom.operators import assumptions, comparisons, correlation, crosstab, profile, regression, summaries
 from statloom.plans import interpret
 from statloom.session import literal_rows
@@ -121,6 +122,24 @@ def run_test(df: DataFrame, name: str, params: dict) -> TestResult:
         return TestResult(name, params, error=str(exc))
 
 
+def result_sheet(result: TestResult) -> DataFrame:
+    """Headline of a result as (position, metric, value) rows."""
+    summary = result.tables["summary"]
+    held = summary.columns
+
+    def text(*names):
+        return F.coalesce(*[F.col(n).cast("string") for n in names if n in held], F.lit("—"))
+
+    effects = {k: interpret.num_text(F.col(k)) for k in ("cohens_d", "cramers_v", "eta_squared", "r_squared", "effect_r")
+               if k in held}
+    effect = effect_text(F.col("effect_size") if not effects and "effect_size" in held else None, **effects)
+    rows = [("Analysis", F.lit(fv.STUDY_TESTS.get(result.test, result.test))), ("p-value", text("p_display")),
+            ("Significance", text("significance")), ("Effect Size", effect), ("APA Citation", text("apa_citation")),
+            ("Interpretation", strip_markdown(text("interpretation")))]
+    return summary.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("position"), F.lit(m).alias("metric"), v.alias("value")) for i, (m, v) in enumerate(rows)])))
+
+
 # --- recommendation ------------------------------------------------------------
 
 def column_metadata(df: DataFrame, columns: list[str], row_id: str | None = None) -> DataFrame:

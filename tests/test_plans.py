@@ -40,6 +40,21 @@ def test_clean_survey(spark):
     assert rows(again.data) == rows(r.data)
 
 
+def test_clean_by_sketch_gives_the_same_cells(spark):
+    df = survey(spark, 80)
+    a, b = cleaning.clean(df), cleaning.clean(df, exact=False)
+    assert a.types == b.types and a.stats == b.stats
+    assert sorted(map(str, a.data.collect())) == sorted(map(str, b.data.collect()))
+    rows = lambda r: sorted(map(str, r.tables["column_summary"].collect()))
+    assert rows(a) == rows(b)
+
+
+def test_result_sheet(spark):
+    done = study.run_test(table(spark), "t_test", {"numeric_var": "score", "group_var": "arm"})
+    sheet = {r["metric"]: r["value"] for r in study.result_sheet(done).collect()}
+    assert sheet["Analysis"] == "Independent Samples T-Test" and sheet["Effect Size"].startswith("Cohen's d = ")
+
+
 def test_clean_report_and_leave(spark):
     df = survey(spark, 60)
     both = df.unionByName(df.limit(4).withColumn("_row_id", F.col("_row_id") + 1000))
