@@ -33,7 +33,7 @@ def values(rows: list[tuple], columns: str) -> str:
 
 _LEDGER = """l AS (SELECT event_id, ts, user_id, event_type AS reason, value,
   CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN ceil(value) WHEN event_type IN ('click', 'view') THEN -ceil(value) END AS BIGINT)
-  AS delta FROM events WHERE event_type <> 'error')"""
+  AS delta FROM events WHERE event_type <> 'error' AND ceil(value) > 0)"""
 
 
 # --- ledger ------------------------------------------------------------------------

@@ -49,7 +49,7 @@ def stream_sliding(spark, d):
 def _ledger_stream(spark, d):
     size = F.ceil("value").cast("long")
     kind = F.col("event_type")
-    return jobs.event_stream(spark, d).where(kind != "error").select(
+    return jobs.event_stream(spark, d).where((kind != "error") & (size > 0)).select(
         "user_id", "event_id", "ts", F.when(kind.isin("purchase", "signup"), size).otherwise(-size).alias("delta"))
 
 

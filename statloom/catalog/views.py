@@ -40,9 +40,9 @@ def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as credit rows: purchases and signups grant, clicks and views spend, errors are no rows."""
+    """Events as credit rows: purchases and signups grant, clicks and views spend, errors and zero amounts are no rows."""
     e = table(spark, folder, "events")
-    size = F.ceil("value").cast("long")
+    size = F.when(F.ceil("value") > 0, F.ceil("value").cast("long"))
     delta = F.when(F.col("event_type").isin("purchase", "signup"), size).when(
         F.col("event_type").isin("click", "view"), -size)
     paid = F.col("event_type") == "purchase"

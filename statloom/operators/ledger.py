@@ -19,9 +19,9 @@ def lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def entry_rows(df: DataFrame, user: str, action: str, amount: str, grants: list[str], spends: list[str],
                keep: list[str]) -> DataFrame:
-    """Ledger rows with a signed delta; non-positive grants and unknown actions are left out."""
-    size = F.col(amount).cast("long")
-    delta = F.when(F.col(action).isin(grants) & (size > 0), size).when(F.col(action).isin(spends), -size)
+    """Ledger rows with a signed delta; amounts that are not positive and unknown actions make no row."""
+    size = F.when(F.col(amount) > 0, F.col(amount).cast("long"))
+    delta = F.when(F.col(action).isin(grants), size).when(F.col(action).isin(spends), -size)
     return df.select(F.col(user).alias("user_id"), *keep, F.col(action).alias("reason"),
                      delta.alias("delta")).where("delta IS NOT NULL")
 
