@@ -24,7 +24,8 @@ def reusable(table: DataFrame, small: bool) -> DataFrame:
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(8, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Several buckets per shuffle partition, so that hashing them leaves the partitions even."""
+    return max(32, min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def cut_points(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
