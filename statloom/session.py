@@ -1,15 +1,16 @@
 """Session settings and the one place where lineage is cut."""
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_settled: list[str] = []
 
-def local_session(app: str = "statloom", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and benchmarks; clusters bring their own."""
-    return (
+
+def local_session(app: str = "statloom", cores: str = "*", partitions: int = 8, folder: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks; clusters bring their own. `folder` takes the written intermediates."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,14 +21,25 @@ def local_session(app: str = "statloom", cores: str = "*", partitions: int = 8)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
+    return builder.getOrCreate()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="statloom-")
+    """The shared folder named by spark.checkpoint.dir.
+
+    A session on one machine that names none gets a folder below its warehouse; on a cluster that is an error, because
+    a folder of the driver's own machine would be empty for the executors.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
+    raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -37,9 +49,20 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_settled(spark: SparkSession) -> int:
+    """Delete the tables written by `settle` in this process; call it once their results are stored. Gives their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_settled)
+    while _settled:
+        path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few driver-side rows as a local relation, planned without an RDD."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ TABLES = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8")
+    session = local_session("tests", "8", folder=tempfile.mkdtemp(prefix="statloom-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
