@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.exact_dedup import exact_dedup
+from statloom.llm.simhash import simhash_groups
 
 QUERIES: dict = {}
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op6_simhash_near_dedup")
+def op6(spark, d):
+    return simhash_groups(table(spark, d, "documents"), width=3, distance=3)
+
+
 @register("op8_exact_dedup", r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
 w AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS n FROM b)
 SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM w""")
