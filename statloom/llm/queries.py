@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.simhash import simhash_groups
+from statloom.llm.substring_dedup import substring_dedup
 
 QUERIES: dict = {}
 
@@ -19,6 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op4_substring_dedup", r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
+h AS (SELECT p.doc_id, s, md5(array_to_string(d.w[s:s + 49], ' ')) AS h FROM p JOIN d USING (doc_id)),
+f AS (SELECT h, min(doc_id) AS low FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT h.doc_id, unnest(range(s, s + 50)) AS i FROM h JOIN f USING (h) WHERE low < h.doc_id),
+g AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""")
+def op4(spark, d):
+    return substring_dedup(table(spark, d, "documents"), length=50, digest=True)
+
+
 @register("op6_simhash_near_dedup")
 def op6(spark, d):
     return simhash_groups(table(spark, d, "documents"), width=3, distance=3)
