@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.exact_dedup import exact_dedup
+from statloom.llm.language_id import language_id
 from statloom.llm.simhash import simhash_groups
 from statloom.llm.substring_dedup import substring_dedup
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op1_language_id")
+def op1(spark, d):
+    return language_id(table(spark, d, "documents"))
+
+
 @register("op4_substring_dedup", r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
 h AS (SELECT p.doc_id, s, md5(array_to_string(d.w[s:s + 49], ' ')) AS h FROM p JOIN d USING (doc_id)),
