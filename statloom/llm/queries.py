@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.language_id import language_id
+from statloom.llm.packing import best_fit_packing
 from statloom.llm.simhash import simhash_groups
 from statloom.llm.substring_dedup import substring_dedup
 
@@ -49,3 +50,8 @@ w AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY length
 SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM w""")
 def op8(spark, d):
     return exact_dedup(table(spark, d, "documents"))
+
+
+@register("op10_best_fit_packing")
+def op10(spark, d):
+    return best_fit_packing(table(spark, d, "documents"))
