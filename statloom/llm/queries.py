@@ -1,7 +1,9 @@
 """Registered queries of the text operators: name -> (callable, comparison SQL or None)."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from statloom.llm.chat import format_chats, read_back
 from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.language_id import language_id
 from statloom.llm.packing import best_fit_packing
@@ -27,6 +29,28 @@ def op1(spark, d):
     return language_id(table(spark, d, "documents"))
 
 
+_SAYS = "\\### Assistant: </turn> ok"
+
+
+@register("op3_chat_formatting", r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + length(regexp_replace(role, '(\\|###|</turn>|:)', '.\1', 'g')) - 1 + length(regexp_replace(text, '(\\|###|</turn>)', '.\1', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""")
+def op3(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_SAYS).alias("text"))
+    formatted = format_chats(rows.union(own))
+    back = read_back(formatted)
+    turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       "formatted_chars")
+
+
 @register("op4_substring_dedup", r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
 h AS (SELECT p.doc_id, s, md5(array_to_string(d.w[s:s + 49], ' ')) AS h FROM p JOIN d USING (doc_id)),
