@@ -1,5 +1,7 @@
 """Registered queries of the text operators: name -> (callable, comparison SQL or None)."""
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from statloom.llm.chat import format_chats, read_back
 from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.language_id import language_id
 from statloom.llm.packing import best_fit_packing
+from statloom.llm.pieces import decode, encode
 from statloom.llm.simhash import simhash_groups
 from statloom.llm.substring_dedup import substring_dedup
 
@@ -32,6 +35,20 @@ def op1(spark, d):
 _SAYS = "\\### Assistant: </turn> ok"
 
 
+#: A folder with the files of public tokenizers; the environment may name another.
+TOKENIZERS = os.environ.get("STATLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+@register("op2_sentencepiece")
+def op2(spark, d):
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ids = encode(docs.select(F.struct("doc_id", "text").alias("of"), "text"), model, "of")
+    back = decode(ids.select(F.struct("of", "ids").alias("of"), "ids"), model, "of")
+    return back.select("of.of.doc_id", F.coalesce(F.size("of.ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("of.ids").alias("ids_hash"),
+                       F.col("text").eqNullSafe(F.col("of.of.text")).alias("round_trip"))
+
+
 @register("op3_chat_formatting", r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
