@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statloom.llm.chat import format_chats, read_back
 from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.language_id import language_id
+from statloom.llm.licenses import KNOWN, SPELLINGS, license_scan
 from statloom.llm.packing import best_fit_packing
 from statloom.llm.pieces import decode, encode
 from statloom.llm.simhash import simhash_groups
@@ -81,6 +82,27 @@ def op4(spark, d):
     return substring_dedup(table(spark, d, "documents"), length=50, digest=True)
 
 
+_QUOTED = {k: [t.replace("'", "''") for t in v] for k, v in sorted(KNOWN.items())}
+_LICENSES = rf"""WITH s AS (SELECT MAP {{{", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items())}}} AS m),
+k AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{t}')" for k, v in _QUOTED.items() for t in v)}) AS k(license_id, t)),
+u AS (SELECT doc_id, coalesce(text, '') AS t, str_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+b AS (SELECT doc_id, str_split(regexp_replace(t, '\n[ \t\r]*\n', chr(1), 'g'), chr(1)) AS b, str_split(regexp_replace(t, '(\n[ \t\r]*\n)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM u),
+i AS (SELECT NULL::BIGINT AS doc_id, 'known' AS unit, 0 AS start, t, license_id FROM k
+  UNION ALL SELECT doc_id, 'text', 0, t, NULL FROM u
+  UNION ALL SELECT doc_id, 'line', start, t, NULL FROM (SELECT doc_id, unnest(l) AS t, unnest(list_transform(l, lambda x, j: coalesce(list_sum(list_transform(l[:j - 1], lambda y: length(y) + 1)), 0)::BIGINT)) AS start FROM u WHERE len(l) > 1) WHERE t <> ''
+  UNION ALL SELECT doc_id, 'block', start, t, NULL FROM (SELECT doc_id, unnest(p) AS t, unnest(range(len(p))) AS n, unnest(list_transform(p, lambda x, j: coalesce(list_sum(list_transform(p[:j - 1], lambda y: length(y))), 0)::BIGINT)) AS start FROM b WHERE len(b) > 1) WHERE n % 2 = 0 AND contains(t, chr(10))),
+c AS (SELECT doc_id, unit, start, license_id, list_filter(str_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^[^\p{{L}}\p{{N}}_©]*(?i:copyright|©|\(c\)|all rights reserved)')) AS l FROM i),
+w AS (SELECT doc_id, unit, start, license_id, array_to_string(list_transform(regexp_extract_all(lower(array_to_string(l, chr(10))), '[\p{{L}}\p{{N}}]+'), lambda x: coalesce(m[x], x)), ' ') AS c FROM c, s),
+d AS (SELECT doc_id, unit, start, license_id, CASE WHEN c = '' THEN NULL ELSE sha256(c) END AS digest FROM w),
+f AS (SELECT digest, min(license_id) AS license_id FROM d WHERE unit = 'known' GROUP BY digest)
+SELECT d.doc_id, d.unit, d.start, d.digest, f.license_id FROM d LEFT JOIN f USING (digest) WHERE d.unit = 'text' OR d.unit <> 'known' AND f.license_id IS NOT NULL"""
+
+
+@register("op5_license_scan", _LICENSES)
+def op5(spark, d):
+    return license_scan(table(spark, d, "documents"))
+
+
 @register("op6_simhash_near_dedup")
 def op6(spark, d):
     return simhash_groups(table(spark, d, "documents"), width=3, distance=3)
