@@ -13,6 +13,7 @@ from statloom.llm.packing import best_fit_packing
 from statloom.llm.pieces import decode, encode
 from statloom.llm.simhash import simhash_groups
 from statloom.llm.substring_dedup import substring_dedup
+from statloom.llm.topk import exact_top_k
 
 QUERIES: dict = {}
 
@@ -108,6 +109,15 @@ def op6(spark, d):
     return simhash_groups(table(spark, d, "documents"), width=3, distance=3)
 
 
+@register("op7_exact_top_k", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op7(spark, d):
+    return exact_top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @register("op8_exact_dedup", r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
 w AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS n FROM b)
 SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM w""")
