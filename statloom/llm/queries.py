@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from statloom.llm.chat import format_chats, read_back
 from statloom.llm.exact_dedup import exact_dedup
-from statloom.llm.language_id import language_id
+from statloom.llm.language_id import held_out, language_id
+from statloom.llm.language_model import score_texts
 from statloom.llm.licenses import KNOWN, SPELLINGS, license_scan
 from statloom.llm.packing import best_fit_packing
 from statloom.llm.pieces import decode, encode
@@ -128,3 +129,10 @@ def op8(spark, d):
 @register("op10_best_fit_packing")
 def op10(spark, d):
     return best_fit_packing(table(spark, d, "documents"))
+
+
+@register("op9_language_model")
+def op9(spark, d):
+    out = held_out("doc_id", 7, 2)
+    scored = score_texts(table(spark, d, "documents"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
