@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.llm.common import letters
 
@@ -137,8 +138,8 @@ def predict(df: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())],
                                                  [id_col, "lang_pred", "score", "ambiguous"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), letters(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType([df.schema[id_col]]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return df.select(F.col(id_col), letters(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:

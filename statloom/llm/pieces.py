@@ -9,6 +9,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.llm.common import letters
 
@@ -151,7 +152,6 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     Map only: nothing is shuffled. The model file is read by the driver; `model_path` is the caller's.
     """
     vocabulary = load(model_path)
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         own = encoder(vocabulary)
@@ -165,13 +165,12 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                 arrays = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array([i is None for i in ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), arrays], [id_col, "ids"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([df.schema[id_col]]).add("ids", "array<int>"))
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Texts of id arrays: one row per row of `df` with `id_col` and text. Null gives null; ids outside the model are an error."""
     vocabulary = load(model_path)
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         table = {i: p.encode() for p, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
@@ -181,4 +180,4 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
                 texts = [None if i is None else decode_ids(i, table, vocabulary.dummy_prefix) for i in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, T.StructType([df.schema[id_col]]).add("text", "string"))

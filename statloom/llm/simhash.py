@@ -5,6 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.llm.common import components, letters, rows_of, settle, word_chunks
 
@@ -45,8 +46,8 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = 3) -> D
             prints = [fingerprint(t, width) for (t,) in rows_of([batch], "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).astype(np.int64))], ["id", "print"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), letters(text_col).alias("text")).mapInArrow(run, f"id {kind}, print long")
+    schema = T.StructType().add("id", df.schema[id_col].dataType).add("print", "long")
+    return df.select(F.col(id_col).alias("id"), letters(text_col).alias("text")).mapInArrow(run, schema)
 
 
 class Anchors:

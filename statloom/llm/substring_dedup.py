@@ -8,6 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.llm.common import letters, maybe_in, rows_of, settle, word_chunks
 
@@ -190,11 +191,13 @@ def _kept(text: bytes | None, runs: list | None, length: int) -> Iterator:
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, digest: bool = False) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, digest: bool = False,
+                    carry: str | None = None) -> DataFrame:
     """Remove words covered by a window of `length` words whose sequence also starts in a document with a smaller id.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. One row per row of `df`: `id_col`, n_words, n_removed, kept_text (kept words
-    joined by one space) or, with `digest`, kept_sha256. Windows are judged on the input.
+    joined by one space) or, with `digest`, kept_sha256. `carry` names a column that takes the id's place in the result. Windows
+    are judged on the input.
 
     A null text has no words. Rows with a null id neither lose words nor make others lose any. Rows that repeat an id take
     nothing from each other, as neither id is smaller. Texts below `length` words stay whole. Other columns are not looked
@@ -208,8 +211,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     runs = repeated_runs(df, id_col, text_col, length)
     runs = settle(runs.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "windows")).alias("runs")))
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
+    own = carry or id_col
+    docs = df.select(F.col(own).alias("own"), F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
     hit = maybe_in(docs, "id", runs.select("id")).join(runs, ["id", "mark"], "left").select("own", "text", "runs")
     rest = maybe_in(docs, "id", runs.select("id"), keep=False).select("own", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     last = "kept_sha256" if digest else "kept_text"
@@ -222,7 +225,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n, gone, kept = zip(*rows, strict=True)
                 kept = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode() for k in kept]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                                                 [id_col, "n_words", "n_removed", last])
+                                                 [own, "n_words", "n_removed", last])
 
-    ddl = f"`{id_col}` {kind}, n_words long, n_removed long, {last} string"
-    return hit.mapInArrow(run, ddl).union(rest.mapInArrow(run, ddl))
+    schema = T.StructType([df.schema[own]]).add("n_words", "long").add("n_removed", "long").add(last, "string")
+    return hit.mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
