@@ -22,12 +22,14 @@ _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def codewords(labels: int) -> np.ndarray:
-    """A matrix of +1 and -1, a row per label. Up to 7 labels: every split of the labels into two parts, once.
+    """A matrix of +1 and -1, a row per label; nothing to tell apart gives no column. Up to 7 labels: every split of the labels into two parts, once.
 
     Beyond: ceil(10 log2 labels) columns, each the better of several pseudo-random balanced splits by the smallest row distance so far.
     """
+    if labels < 2:
+        return np.empty((labels, 0), np.int8)
     if labels <= 7:
-        columns = [[1 if not i or m >> (i - 1) & 1 else -1 for i in range(labels)] for m in range(2 ** max(labels - 1, 0) - 1)]
+        columns = [[1 if not i or m >> (i - 1) & 1 else -1 for i in range(labels)] for m in range(2 ** (labels - 1) - 1)]
         return np.array(columns, np.int8).reshape(-1, labels).T
     rng = np.random.default_rng(labels)
     out = np.empty((labels, 0), np.int8)

@@ -259,8 +259,8 @@ def _pair_slices(per_shard: int, shards: int):
         for row in left.to_pylist():
             c = _Chunk(row, right.to_pylist(), per_shard, shards)
             learnt = c.learnt()
-            cuts = np.flatnonzero(np.r_[True, c.shard[1:] != c.shard[:-1]]).tolist() if len(c.shard) else []
-            for a, b in zip(cuts, [*cuts[1:], len(c.shard)], strict=True):
+            cuts = np.searchsorted(c.shard, np.unique(c.shard)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(c.shard)], strict=False):
                 context, word = c.context[c.known[a:b]], c.word[c.known[a:b]]
                 first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
                 out["shard"].append(int(c.shard[a]))

@@ -68,14 +68,21 @@ def digest(text: str) -> bytes | None:
     return hashlib.sha256(text.encode()).digest() if text else None
 
 
-def units(text: str) -> Iterator[tuple[str, int, str]]:
-    """(kind, first code point, text): the whole text, then its blocks between blank lines, then its lines, where these differ."""
+def paragraphs(text: str) -> int:
+    """Blocks between blank lines."""
+    return len(_BLANK.findall(text.strip("\n"))) + 1
+
+
+def units(text: str, runs: tuple[int, ...] = (1,)) -> Iterator[tuple[str, int, str]]:
+    """(kind, first code point, text): the whole text; every run of as many blocks between blank lines as `runs` names, if it has
+    a line break and is not the whole; every line that is not empty, if there are several."""
     yield "text", 0, text
-    ends = [(m.start(), m.end()) for m in _BLANK.finditer(text)]
-    if ends:
-        for start, end in zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)], strict=True):
-            if "\n" in text[start:end]:
-                yield "block", start, text[start:end]
+    gaps = [(m.start(), m.end()) for m in _BLANK.finditer(text)]
+    starts, ends = [0, *(e for _, e in gaps)], [*(s for s, _ in gaps), len(text)]
+    for n in runs:
+        for i in range(len(starts) - n + 1 if n < len(starts) else 0):
+            if "\n" in text[starts[i]:ends[i + n - 1]]:
+                yield "block", starts[i], text[starts[i]:ends[i + n - 1]]
     at = 0
     if "\n" in text:
         for line in text.split("\n"):
@@ -94,13 +101,18 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None
     return spark.createDataFrame(pa.table({"known": pa.array(list(rows), pa.binary()), "license_id": pa.array(list(rows.values()), pa.string())}))
 
 
-def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Look whole texts, blocks and lines up among known licences.
+#: Numbers of blocks that a licence's text has.
+RUNS = tuple(sorted({paragraphs(t) for texts in KNOWN.values() for t in texts}))
+
+
+def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+                 runs: tuple[int, ...] = RUNS) -> DataFrame:
+    """Look whole texts, runs of blocks and lines up among known licences.
 
     Rows: `id_col`, unit (text, block, line), start (code point), digest (hex, canonical text), license_id. Every row of `df`
     has its text unit, with a null licence if it is none and a null digest if it has no word (null, empty, punctuation
     or copyright lines only); blocks and lines come only where they are a licence. `known` (digest `known`, `license_id`)
-    may be any table, by default the built-in one. Null ids and repeated rows are scanned like any other; other
+    may be any table, by default the built-in one; `runs` says how many blocks its texts have. Null ids and repeated rows are scanned like any other; other
     columns are not looked at; an empty table gives an empty result.
 
     Digests leave Python, the lookup is a hash join: broadcast by Spark if the known table is small, else by digest.
@@ -112,7 +124,7 @@ def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(i, unit, start, d) for i, text in enumerate(part.column(1).to_pylist()) for unit, start, piece in units(text)
+                rows = [(i, unit, start, d) for i, text in enumerate(part.column(1).to_pylist()) for unit, start, piece in units(text, runs)
                         if (d := digest(piece)) is not None or unit == "text"]
                 of, unit, start, found = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(unit), pa.array(start, pa.int64()), pa.array(found, pa.binary())],

@@ -165,7 +165,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                 arrays = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array([i is None for i in ids]))
                 yield pa.RecordBatch.from_arrays([part.column(0), arrays], [id_col, "ids"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([df.schema[id_col]]).add("ids", "array<int>"))
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([df.schema[id_col]]).add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

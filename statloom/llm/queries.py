@@ -9,7 +9,7 @@ from statloom.llm.chat import format_chats, read_back
 from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.language_id import held_out, language_id
 from statloom.llm.language_model import score_texts
-from statloom.llm.licenses import KNOWN, SPELLINGS, license_scan
+from statloom.llm.licenses import KNOWN, RUNS, SPELLINGS, license_scan
 from statloom.llm.packing import best_fit_packing
 from statloom.llm.pieces import decode, encode
 from statloom.llm.simhash import simhash_groups
@@ -92,7 +92,9 @@ b AS (SELECT doc_id, str_split(regexp_replace(t, '\n[ \t\r]*\n', chr(1), 'g'), c
 i AS (SELECT NULL::BIGINT AS doc_id, 'known' AS unit, 0 AS start, t, license_id FROM k
   UNION ALL SELECT doc_id, 'text', 0, t, NULL FROM u
   UNION ALL SELECT doc_id, 'line', start, t, NULL FROM (SELECT doc_id, unnest(l) AS t, unnest(list_transform(l, lambda x, j: coalesce(list_sum(list_transform(l[:j - 1], lambda y: length(y) + 1)), 0)::BIGINT)) AS start FROM u WHERE len(l) > 1) WHERE t <> ''
-  UNION ALL SELECT doc_id, 'block', start, t, NULL FROM (SELECT doc_id, unnest(p) AS t, unnest(range(len(p))) AS n, unnest(list_transform(p, lambda x, j: coalesce(list_sum(list_transform(p[:j - 1], lambda y: length(y))), 0)::BIGINT)) AS start FROM b WHERE len(b) > 1) WHERE n % 2 = 0 AND contains(t, chr(10))),
+  UNION ALL SELECT doc_id, 'block', start, t, NULL FROM (SELECT doc_id, array_to_string(p[2 * i + 1:2 * (i + r) - 1], '') AS t,
+    coalesce(list_sum(list_transform(p[:2 * i], lambda y: length(y))), 0)::BIGINT AS start
+    FROM (SELECT doc_id, p, r, unnest(range(len(b) - r + 1)) AS i FROM b, (SELECT unnest({list(RUNS)}) AS r) WHERE r < len(b))) WHERE contains(t, chr(10))),
 c AS (SELECT doc_id, unit, start, license_id, list_filter(str_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^[^\p{{L}}\p{{N}}_©]*(?i:copyright|©|\(c\)|all rights reserved)')) AS l FROM i),
 w AS (SELECT doc_id, unit, start, license_id, array_to_string(list_transform(regexp_extract_all(lower(array_to_string(l, chr(10))), '[\p{{L}}\p{{N}}]+'), lambda x: coalesce(m[x], x)), ' ') AS c FROM c, s),
 d AS (SELECT doc_id, unit, start, license_id, CASE WHEN c = '' THEN NULL ELSE sha256(c) END AS digest FROM w),
