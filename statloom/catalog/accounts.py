@@ -123,11 +123,12 @@ def price_charge(spark, d):
     return out.select("event_id", "analysis", "cost", "decision")
 
 
-@register("price_list_demand", f"""WITH n AS (SELECT {_PICK} AS position, count(*) AS requests FROM events WHERE {_PICK} < 20 GROUP BY 1)
+@register("price_list_demand", f"""WITH n AS (SELECT CASE WHEN {_PICK} = 21 THEN (SELECT position FROM {_PRICES} WHERE key = 'regression') ELSE {_PICK} END AS position,
+  count(*) AS requests FROM events GROUP BY 1)
 SELECT CAST(position AS INTEGER) AS position, key, label, CAST(credits AS INTEGER) AS credits, credits = 0 AS free, coalesce(requests, 0) AS requests
 FROM {_PRICES} LEFT JOIN n USING (position)""")
 def price_list_demand(spark, d):
-    asked = _requests(spark, d).where(F.col("event_id") % 22 < 20).groupBy(F.col("analysis").alias("key")).agg(
+    asked = _requests(spark, d).groupBy(F.col("analysis").alias("key")).agg(
         F.count("*").alias("requests"))
     return ledger.price_table(spark).join(asked, "key", "left").select(
         "position", "key", "label", "credits", "free", F.coalesce("requests", F.lit(0)).alias("requests"))
@@ -340,10 +341,12 @@ def user_page(spark, d):
   (SELECT count(DISTINCT user_id) FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15') AS active_today,
   CAST(sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS BIGINT) AS credits_sold,
   CAST(-sum(CASE WHEN delta < 0 THEN delta ELSE 0 END) AS BIGINT) AS credits_consumed,
-  round(sum(CASE WHEN reason = 'purchase' THEN round(value, 2) END), 2) AS revenue_usd FROM l""")
+  round(sum(CASE WHEN reason = 'purchase' THEN round(value, 2) END), 2) AS revenue_usd,
+  (SELECT count(*) FROM (SELECT arg_max(event_type, (ts, event_id)) AS s FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id)
+   WHERE s = 'signup') AS active_subscriptions FROM l""")
 def admin_kpis(spark, d):
     return accounts.admin_kpis(views.users(spark, d), views.audit(spark, d), views.ledger(spark, d),
-                               F.lit("2024-01-15").cast("date"))
+                               F.lit("2024-01-15").cast("date"), subscription_state(spark, d))
 
 
 @register("user_detail", f"""WITH {_LEDGER}, {_ACTIVITY}, b AS (SELECT user_id, CAST(sum(delta) AS BIGINT) AS balance FROM l GROUP BY 1)

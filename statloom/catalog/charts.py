@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from statloom.catalog import sqltools as q
-from statloom.catalog.statistics import LINE_KEY, LINE_NUMS, rounded
+from statloom.catalog.statistics import rounded
 from statloom.catalog.views import table
 from statloom.functions import scalars as sc
+from statloom.functions.tails import normal_upper
 from statloom.operators import chartdata
 
 QUERIES: dict = {}
@@ -107,16 +108,20 @@ def coefficient_intervals(spark, d):
     return chartdata.coefficient_intervals(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
 
 
+_QQ = """r AS (SELECT row_number() OVER (ORDER BY o_totalprice) AS position, o_totalprice AS observed, count(*) OVER () AS n FROM orders),
+t AS (SELECT position, observed, CASE WHEN position = n THEN pow(0.5, 1.0 / n) WHEN position = 1 THEN 1 - pow(0.5, 1.0 / n)
+  ELSE (position - 0.3175) / (n + 0.365) END AS p FROM r)"""
+
+
 @register("qq_points")
 def qq_points(spark, d):
     return rounded(chartdata.qq_points(table(spark, d, "orders"), "o_totalprice"), "theoretical")
 
 
-@register("qq_positions", """WITH r AS (SELECT row_number() OVER (ORDER BY o_totalprice) AS position, o_totalprice AS observed,
-  CAST(greatest(1, ceil(count(*) OVER () / 1000.0)) AS BIGINT) AS step FROM orders)
-SELECT position, observed FROM r WHERE (position - 1) % step = 0""")
+@register("qq_positions", f"WITH {_QQ} SELECT position, observed, round(p, 8) AS probability FROM t")
 def qq_positions(spark, d):
-    return chartdata.qq_points(table(spark, d, "orders"), "o_totalprice").select("position", "observed")
+    out = chartdata.qq_points(table(spark, d, "orders"), "o_totalprice")
+    return out.select("position", "observed", F.round(1 - normal_upper("theoretical"), 8).alias("probability"))
 
 
 @register("qq_line")
@@ -124,6 +129,10 @@ def qq_line(spark, d):
     return rounded(chartdata.qq_line(chartdata.qq_points(table(spark, d, "orders"), "o_totalprice")), "slope", "intercept", "r")
 
 
-@register("scatter_points")
+@register("scatter_points", """WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem),
+c AS (SELECT CAST(least(floor((l_quantity - x0) / ((x1 - x0) / 100)), 99) AS INTEGER) AS x_cell,
+  CAST(least(floor((l_extendedprice - y0) / ((y1 - y0) / 100)), 99) AS INTEGER) AS y_cell, l_quantity, l_extendedprice FROM lineitem, e)
+SELECT x_cell, y_cell, count(*) AS n, round(sum(l_quantity), 2) AS x_sum, round(sum(l_extendedprice), 2) AS y_sum FROM c GROUP BY 1, 2""")
 def scatter(spark, d):
-    return chartdata.scatter_points(table(spark, d, "lineitem"), LINE_NUMS, LINE_KEY)
+    cells = chartdata.scatter_cells(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return cells.select("x_cell", "y_cell", "n", F.round(F.col("x") * F.col("n"), 2).alias("x_sum"), F.round(F.col("y") * F.col("n"), 2).alias("y_sum"))

@@ -257,6 +257,19 @@ def dup_flag(spark, d):
     return dedup.flag_duplicates(views.messy_orders(spark, d), _ORDER_COLS, "_row_id").select("_row_id", "_duplicate_flag")
 
 
+@register("dup_events", """SELECT count(*) AS n, count(*) FILTER (c > 1) AS flagged, count(DISTINCT (user_id, ts)) AS kept,
+  count(*) - count(DISTINCT (user_id, ts)) AS duplicates FROM (SELECT *, count(*) OVER (PARTITION BY user_id, ts) AS c FROM
+  (SELECT user_id % 40 AS user_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts FROM events))""")
+def dup_events(spark, d):
+    """Instants to the microsecond: dropping, flagging and counting agree."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 40).alias("user_id"), F.when(
+        F.col("event_id") % 3 == 0, F.date_trunc("hour", "ts")).otherwise(F.col("ts")).alias("ts"))
+    cols = ["user_id", "ts"]
+    flags = dedup.flag_duplicates(e, cols, "event_id").agg(F.count("*").alias("n"), F.count_if("_duplicate_flag").alias("flagged"))
+    kept = dedup.drop_duplicates(e, cols, "event_id").agg(F.count("*")).scalar()
+    return flags.select("n", "flagged", kept.alias("kept"), dedup.duplicate_count(e, cols).select("duplicates").scalar().alias("duplicates"))
+
+
 @register("dup_documents", """SELECT count(*) AS rows, count(DISTINCT text) AS distinct_rows, count(*) - count(DISTINCT text) AS duplicates
 FROM documents""")
 def dup_documents(spark, d):

@@ -6,7 +6,6 @@ from statloom.catalog.accounts import _REPLAY
 from statloom.streaming import jobs
 
 QUERIES: dict = {}
-_MARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
 def register(name, sql=None):
@@ -16,33 +15,38 @@ def register(name, sql=None):
     return keep
 
 
+def closed(spark, d, job):
+    """A windowed job drained to its last window."""
+    markers = jobs.marker_folder(spark)
+    return jobs.drain(job(jobs.event_stream(spark, d, markers=markers)), markers=markers)
+
+
 def wall(c):
     """An instant as wall-clock text."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")
 
 
 @register("stream_daily_quota", f"""SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS used, count(*) > 2 AS over
-FROM events GROUP BY user_id, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_MARK}""")
+FROM events GROUP BY user_id, date_trunc('day', ts)""")
 def stream_daily_quota(spark, d):
-    out = jobs.drain(jobs.daily_quota(jobs.event_stream(spark, d), "user_id", 2))
+    out = closed(spark, d, lambda e: jobs.daily_quota(e, "user_id", 2))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @register("stream_sessions", f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOURS THEN 1 ELSE 0 END AS fresh FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS start, count(*) AS n FROM s GROUP BY user_id, s
-HAVING max(ts) + INTERVAL 12 HOURS <= {_MARK}""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS start, count(*) AS n FROM s GROUP BY user_id, s""")
 def stream_sessions(spark, d):
-    out = jobs.drain(jobs.sessions(jobs.event_stream(spark, d), "user_id"))
+    out = closed(spark, d, lambda e: jobs.sessions(e, "user_id"))
     return out.select("user_id", wall("start").alias("start"), "n")
 
 
 @register("stream_sliding_activity", f"""WITH w AS (SELECT user_id, date_trunc('day', ts) + to_hours(CAST(6 * (floor(hour(ts) / 6) - i) AS BIGINT)) AS start
   FROM events, range(0, 4) AS g(i))
-SELECT user_id, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM w GROUP BY 1, w.start HAVING w.start + INTERVAL 1 DAY <= {_MARK}""")
+SELECT user_id, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM w GROUP BY 1, w.start""")
 def stream_sliding(spark, d):
-    out = jobs.drain(jobs.sliding_activity(jobs.event_stream(spark, d), "user_id"))
+    out = closed(spark, d, lambda e: jobs.sliding_activity(e, "user_id"))
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
@@ -89,9 +93,9 @@ def stream_allowances(spark, d):
     return out.withColumn("granted_at", F.date_format("granted_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@register("stream_profile", f"""WITH e AS (SELECT * FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_MARK})
+@register("stream_profile", f"""WITH e AS (SELECT * FROM events)
 SELECT 'value' AS variable, count(*) AS rows, count(value) AS filled, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean FROM e
 UNION ALL SELECT 'user_id', count(*), count(user_id), CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(avg(user_id), 4) FROM e""")
 def stream_profile(spark, d):
-    out = jobs.merge_profile(jobs.drain(jobs.profile_increments(jobs.event_stream(spark, d), ["value", "user_id"])))
+    out = jobs.merge_profile(closed(spark, d, lambda e: jobs.profile_increments(e, ["value", "user_id"])))
     return out.withColumn("mean", F.round("mean", 4)).drop("distinct")

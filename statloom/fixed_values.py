@@ -50,12 +50,6 @@ SKEW_CUT = 0.5
 NORMALITY_ROW_LIMIT = 5000
 SOUND_SCORE = 0.6
 REVIEW_SCORE = 0.8
-ASSUMPTION_WEIGHTS = {
-    "t_test": {"sample_size": 0.20, "normality": 0.30, "outliers": 0.20, "equal_variances": 0.30},
-    "anova": {"sample_size": 0.15, "normality": 0.25, "outliers": 0.20, "equal_variances": 0.40},
-    "regression": {"residual_normality": 0.25, "homoscedasticity": 0.25, "multicollinearity": 0.25},
-    "chi_square": {"expected_counts": 1.0},
-}
 STUDY_TESTS = {
     "descriptive": "Descriptive Statistics",
     "chi_square": "Chi-Square Test of Independence",

@@ -98,17 +98,18 @@ def user_page(users: DataFrame, order: list[str], after: tuple | None = None, si
     return users.orderBy(*[F.desc(o) for o in order]).limit(size)
 
 
-def admin_kpis(users: DataFrame, audit: DataFrame, ledger: DataFrame, today: Column) -> DataFrame:
-    """One row of totals; three independent aggregates meet as scalars."""
+def admin_kpis(users: DataFrame, audit: DataFrame, ledger: DataFrame, today: Column, subscriptions: DataFrame) -> DataFrame:
+    """One row of totals; four independent aggregates meet as scalars. `subscriptions` has a row per user with its status."""
     spent = -F.sum(F.when(F.col("delta") < 0, F.col("delta")).otherwise(0))
     money = ledger.agg(F.struct(
         F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0)).alias("sold"), spent.alias("consumed"),
         F.round(F.sum("amount_usd"), 2).alias("revenue")).alias("m")).scalar()
     # distinct users are counted through a grouped count, so no distinct set meets in one task
     active = audit.where(F.to_date("ts") == today).groupBy("user_id").agg(F.lit(1).alias("x")).agg(F.count("*")).scalar()
+    running = subscriptions.agg(F.count_if(F.coalesce(F.col("status") == "active", F.lit(False)))).scalar()
     return users.agg(F.count("*").alias("total_users")).select(
         "total_users", active.alias("active_today"), money["sold"].alias("credits_sold"),
-        money["consumed"].alias("credits_consumed"), money["revenue"].alias("revenue_usd"))
+        money["consumed"].alias("credits_consumed"), money["revenue"].alias("revenue_usd"), running.alias("active_subscriptions"))
 
 
 def user_detail(audit: DataFrame, balances: DataFrame, activity: DataFrame) -> DataFrame:

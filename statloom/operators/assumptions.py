@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from statloom import fixed_values as fv
 from statloom.functions.scalars import p_text
 from statloom.operators import comparisons, correlation, crosstab, outliers, regression
-from statloom.operators.normality import shapiro_table
+from statloom.operators.normality import jarque_bera
 from statloom.operators.summaries import numeric
 
 # Display names of the checks.
 CHECK_NAMES = {
     "sample_size": "Adequate sample size",
-    "normality": "Normality (Shapiro-Wilk)",
+    "normality": "Normality (Jarque-Bera)",
     "outliers": "No extreme outliers",
     "equal_variances": "Equal variances (Levene's test)",
     "residual_normality": "Normality of residuals",
@@ -50,20 +50,21 @@ def sample_size_check(df: DataFrame, test: str, value: str) -> DataFrame:
     return _check(n, test, "sample_size", ok, F.col("n"), note)
 
 
-def normality_check(df: DataFrame, test: str, value: str, order: list[str], check: str = "normality") -> DataFrame:
-    sw = shapiro_table(numeric(df, [value]), [value], order).where("n_used >= 3")
+def normality_check(df: DataFrame, test: str, value: str, check: str = "normality") -> DataFrame:
+    """Decided on the whole column; no row is left out."""
+    jb = jarque_bera(numeric(df, [value]), [value]).where("n >= 3")
     ok = F.col("p") > 0.05
     if check == "normality":
         tail = F.when(ok, ". Distribution appears normal.").otherwise(". Distribution is not normal.")
-        note = F.concat(F.format_string("W = %.3f, ", "w"), p_text(F.col("p")), tail)
+        note = F.concat(F.format_string("JB = %.3f, ", "jb"), p_text(F.col("p")), tail)
     else:
-        note = F.concat(F.format_string("Shapiro-Wilk on residuals: W = %.3f, ", "w"), p_text(F.col("p")))
-    return _check(sw, test, check, ok, F.col("w"), note)
+        note = F.concat(F.format_string("Jarque-Bera on residuals: JB = %.3f, ", "jb"), p_text(F.col("p")))
+    return _check(jb, test, check, ok, F.col("jb"), note)
 
 
-def outlier_check(df: DataFrame, test: str, value: str, small: bool | None = None) -> DataFrame:
+def outlier_check(df: DataFrame, test: str, value: str) -> DataFrame:
     """Three-IQR fences; a column without spread keeps its closed fence, so any other value counts."""
-    q = outliers.quantiles(numeric(df, [value]), [value], [0.25, 0.75], small=small)
+    q = outliers.quantiles(numeric(df, [value]), [value], [0.25, 0.75])
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     lim = q.select(F.struct((q1 - 3 * (q3 - q1)).alias("low"), (q3 + 3 * (q3 - q1)).alias("high"))).scalar()
     x = F.col(value)
@@ -74,8 +75,8 @@ def outlier_check(df: DataFrame, test: str, value: str, small: bool | None = Non
     return _check(n, test, "outliers", ok, F.col("n"), note)
 
 
-def variance_check(df: DataFrame, test: str, value: str, group: str, small: bool | None = None) -> DataFrame:
-    lev = comparisons.levene(df, value, group, small=small).where("levene_p IS NOT NULL")
+def variance_check(df: DataFrame, test: str, value: str, group: str) -> DataFrame:
+    lev = comparisons.levene(df, value, group).where("levene_p IS NOT NULL")
     ok = F.col("levene_p") > 0.05
     tail = F.when(ok, ". Variances are equal.").otherwise(
         ". Unequal variances detected — Welch correction applied automatically.")
@@ -112,15 +113,14 @@ def check_assumptions(df: DataFrame, test: str, params: dict, order: list[str])
     parts = []
     value, group = params.get("numeric_var") or params.get("dependent"), params.get("group_var")
     if test in ("t_test", "anova", "mann_whitney", "kruskal_wallis") and value and group:
-        parts = [sample_size_check(df, test, value), normality_check(df, test, value, order),
+        parts = [sample_size_check(df, test, value), normality_check(df, test, value),
                  outlier_check(df, test, value)]
         if test in ("t_test", "anova"):
             parts.append(variance_check(df, test, value, group))
     elif test == "regression" and value and params.get("predictors"):
         predictors = params["predictors"]
         rows = regression.residual_rows(df, value, predictors, [o for o in order if o not in (value, *predictors)])
-        keys = [o for o in order if o in rows.columns]
-        parts = [normality_check(rows, test, "residual", keys, "residual_normality"), homoscedasticity_check(rows)]
+        parts = [normality_check(rows, test, "residual", "residual_normality"), homoscedasticity_check(rows)]
         if len(predictors) > 1:
             parts.append(multicollinearity_check(regression.complete_rows(df, value, predictors), predictors))
     elif test == "chi_square" and params.get("var1") and params.get("var2"):
@@ -133,19 +133,13 @@ def check_assumptions(df: DataFrame, test: str, params: dict, order: list[str])
     return out
 
 
-def score(checks: DataFrame, weighted: bool = False) -> DataFrame:
-    """Passed share per test, or the weighted share over the weights of the checks that ran."""
-    weight = F.lit(1.0)
-    if weighted:
-        entries = [(F.lit(f"{t}/{c}"), F.lit(w)) for t, ws in fv.ASSUMPTION_WEIGHTS.items() for c, w in ws.items()]
-        table = F.create_map(*[x for e in entries for x in e])
-        weight = F.coalesce(F.element_at(table, F.concat_ws("/", "test", "check_id")), F.lit(0.0))
-    hit = F.when(F.col("passed"), weight).otherwise(0.0)
+def score(checks: DataFrame) -> DataFrame:
+    """Passed share of the checks of each test."""
     failed = F.array_compact(F.transform(
         F.sort_array(F.collect_list(F.struct("check_id", "passed", "name"))),
         lambda x: F.when(~x["passed"], x["name"])))
     return checks.groupBy("test").agg(
-        F.round(F.try_divide(F.sum(hit), F.sum(weight)), 4).alias("score"),
+        F.round(F.try_divide(F.count_if("passed"), F.count("*")), 4).alias("score"),
         F.count_if("passed").alias("passed_count"), F.count("*").alias("total_count"), failed.alias("_failed"))
 
 

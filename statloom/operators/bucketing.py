@@ -7,21 +7,6 @@ function of its key, so every stage, retry and branch of a plan agrees on it.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.session import estimated_bytes, settle
-
-# Plans estimated below this size keep the single-window or exact-percentile form.
-SMALL_BYTES = 64 * 1024 * 1024
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= (SMALL_BYTES if limit is None else limit)
-
-
-def reusable(table: DataFrame, small: bool) -> DataFrame:
-    """A reduced table that several parts of a plan read: left lazy over a small source, written once otherwise."""
-    return table if small else settle(table)
-
 
 def bucket_count(df: DataFrame) -> int:
     """Several buckets per shuffle partition, so that hashing them leaves the partitions even."""

@@ -1,4 +1,4 @@
-"""The numbers behind each figure: bins, boxes, quantile points, bands, densities, sampled points."""
+"""The numbers behind each figure: bins, boxes, quantile points, bands, densities, counted points."""
 
 import math
 
@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from statloom.functions.scalars import r4
 from statloom.functions.tails import normal_quantile, t_quantile
 from statloom.operators import crosstab, regression
-from statloom.operators.bucketing import is_small, reusable
 from statloom.operators.ranks import cumulative, quantiles, value_table
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import group_summary, numeric
+from statloom.session import settle
 
 
-def _stats(num: DataFrame, value: str, small: bool | None) -> DataFrame:
-    q = quantiles(num, [value], [0.25, 0.5, 0.75], small=small).select("q")
+# Bins listed by one row.
+RUN = 4096
+
+
+def _stats(num: DataFrame, value: str) -> DataFrame:
+    q = quantiles(num, [value], [0.25, 0.5, 0.75]).select("q")
     base = num.agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
                    F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     return base.withColumn("q", q.scalar())
 
 
-def histogram(df: DataFrame, value: str, small: bool | None = None) -> DataFrame:
+def histogram(df: DataFrame, value: str) -> DataFrame:
     """Automatic bins: the narrower of the Sturges and Freedman-Diaconis widths; empty bins are kept."""
     num = numeric(df, [value]).where(F.col(value).isNotNull())
     span = F.col("high") - F.col("low")
@@ -29,36 +33,31 @@ def histogram(df: DataFrame, value: str, small: bool | None = None) -> DataFrame
     sturges = span / (F.log2(F.col("n").cast("double")) + 1)
     fd = 2 * iqr / F.pow(F.col("n"), F.lit(1 / 3))
     width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
-    bins = F.when(span > 0, F.ceil(F.try_divide(span, width)).cast("int")).otherwise(1)
-    plan = _stats(num, value, small).select("low", "high", "mean", F.get("q", F.lit(1)).alias("median"),
-                                            bins.alias("bins"))
-    plan = reusable(plan, is_small(df.select(value)) if small is None else small)
+    bins = F.when(span > 0, F.ceil(F.try_divide(span, width)).cast("long")).otherwise(F.lit(1).cast("long"))
+    plan = settle(_stats(num, value).select("low", "high", "mean", F.get("q", F.lit(1)).alias("median"), bins.alias("bins")))
     packed = plan.select(F.struct("*").alias("s")).scalar()
     step = (packed["high"] - packed["low"]) / packed["bins"]
-    at = F.when(step > 0, F.least(F.floor((F.col(value) - packed["low"]) / step).cast("int"), packed["bins"] - 1)
+    at = F.when(step > 0, F.least(F.floor((F.col(value) - packed["low"]) / step).cast("long"), packed["bins"] - 1)
                 ).otherwise(0)
     held = num.select(at.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    edges = plan.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    # bins are listed in runs, spread over tasks: one far value may ask for very many
+    runs = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1, F.lit(RUN).cast("long"))).alias("_run"))
+    runs = runs.repartition("_run")
+    edges = runs.select("*", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN, F.col("bins")) - 1)).alias("bin"))
     size = (F.col("high") - F.col("low")) / F.col("bins")
     return edges.join(held, "bin", "left").select(
-        "bin", (F.col("low") + size * F.col("bin")).alias("bin_low"),
+        F.col("bin").cast("int").alias("bin"), (F.col("low") + size * F.col("bin")).alias("bin_low"),
         (F.col("low") + size * (F.col("bin") + 1)).alias("bin_high"), F.coalesce("n", F.lit(0)).alias("n"),
         "mean", "median")
 
 
-def _beside_group(num: DataFrame, per_group: DataFrame, value: str, group: str, small: bool | None) -> DataFrame:
-    """Detail rows next to the figures of their group, large groups matched by broadcast."""
-    size = num.groupBy(group).agg(F.count("*").alias("_rows"))
-    return lookup_by_key(num, per_group.join(size, group), [group], "_rows", small=small).drop("_rows")
-
-
-def box_plot(df: DataFrame, value: str, group: str, small: bool | None = None) -> DataFrame:
+def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, whiskers at the furthest points inside 1.5 IQR, and the count of points beyond them."""
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    q = quantiles(num, [value], [0.25, 0.5, 0.75], [group], small).select(
+    q = quantiles(num, [value], [0.25, 0.5, 0.75], [group]).select(
         group, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"),
         F.get("q", F.lit(2)).alias("q3"))
-    rows = _beside_group(num, q, value, group, small)
+    rows = lookup_by_key(num, q, [group])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.groupBy(F.col(group).alias("grp"), "q1", "median", "q3").agg(
@@ -66,30 +65,28 @@ def box_plot(df: DataFrame, value: str, group: str, small: bool | None = None) -
         F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.count_if(~inside).alias("fliers"))
 
 
-def box_fliers(df: DataFrame, value: str, group: str, row_id: list[str], small: bool | None = None) -> DataFrame:
+def box_fliers(df: DataFrame, value: str, group: str, row_id: list[str]) -> DataFrame:
     """The points beyond the whiskers."""
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    q = quantiles(num, [value], [0.25, 0.75], [group], small).select(group, "q")
+    q = quantiles(num, [value], [0.25, 0.75], [group]).select(group, "q")
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     reach = 1.5 * (q3 - q1)
-    return (_beside_group(num, q, value, group, small).where(~F.col(value).between(q1 - reach, q3 + reach))
+    return (lookup_by_key(num, q, [group]).where(~F.col(value).between(q1 - reach, q3 + reach))
             .select(*row_id, F.col(group).alias("grp"), F.col(value).alias("value")))
 
 
-def qq_points(df: DataFrame, value: str, points: int = 1000, small: bool | None = None) -> DataFrame:
-    """Normal quantile plot: order-statistic medians against values.
+def qq_points(df: DataFrame, value: str) -> DataFrame:
+    """Normal quantile plot: order-statistic medians against values, one point per row.
 
-    Tables with up to `points` rows give one point per row. Larger ones give evenly spaced positions, each read
-    exactly from the cumulative counts.
+    Positions are read from the cumulative counts and listed in runs, so a value that fills a third of the table is
+    spread over tasks.
     """
     num = numeric(df, [value]).where(F.col(value).isNotNull())
     size = num.agg(F.count("*").alias("n")).scalar()
-    counts, small = value_table(num, value, small=small)
-    cum = cumulative(counts, value, small=small)
-    step = F.greatest(F.lit(1), F.ceil(size / F.lit(points))).cast("long")
-    first = F.ceil(F.col("below") / step) * step
-    last = F.col("below") + F.col("tie") - 1
-    spread = cum.where(first <= last).select(value, F.explode(F.sequence(first, last, step)).alias("at"),
+    cum = cumulative(value_table(num, value), value)
+    end = F.col("below") + F.col("tie")
+    runs = cum.select(value, end.alias("_end"), F.explode(F.sequence(F.col("below"), end - 1, F.lit(RUN).cast("long"))).alias("_run"))
+    spread = runs.repartition("_run").select(value, F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN, F.col("_end")) - 1)).alias("at"),
                                              size.alias("n"))
     i = F.col("at") + 1
     n = F.col("n").cast("double")
@@ -133,7 +130,7 @@ def density(df: DataFrame, value: str, group: str | None = None, cells: int = 51
     stats = num.groupBy(*by).agg(F.count("*").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"),
                                  F.stddev_samp(value).alias("_sd"))
     if by:
-        rows = lookup_by_key(num.where(F.col(group).isNotNull()), stats.where(F.col(group).isNotNull()), by, "_n")
+        rows = lookup_by_key(num.where(F.col(group).isNotNull()), stats.where(F.col(group).isNotNull()), by)
     else:
         rows = num.withColumns({c: stats.select(c).scalar() for c in ("_n", "_low", "_high", "_sd")})
     width = (F.col("_high") - F.col("_low")) / cells
@@ -149,10 +146,17 @@ def density(df: DataFrame, value: str, group: str | None = None, cells: int = 51
     return at.groupBy(*by, "_i").agg(F.first("x").alias("x"), F.sum(weight).alias("density")).drop("_i")
 
 
-def scatter_points(df: DataFrame, columns: list[str], key: list[str], points: int = 5000) -> DataFrame:
-    """A plot-sized sample of complete rows: the `points` smallest row digests, the same on every run."""
-    rows = numeric(df, columns).dropna(subset=columns)
-    return (rows.select(*key, *columns, F.xxhash64(*key).alias("_h")).orderBy("_h", *key).limit(points).drop("_h"))
+def scatter_cells(df: DataFrame, x: str, y: str, cells: int = 100) -> DataFrame:
+    """Scatter plot of every complete row: an even grid of `cells` by `cells`, with the rows and mean point of each filled cell."""
+    rows = numeric(df, [x, y]).dropna(subset=[x, y])
+    ends = rows.agg(F.struct(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).alias("e")).scalar()
+
+    def cell(c, low, high):
+        step = (ends[high] - ends[low]) / cells
+        return F.when(step > 0, F.least(F.floor((F.col(c) - ends[low]) / step), F.lit(cells - 1))).otherwise(0).cast("int")
+
+    return rows.groupBy(cell(x, "x0", "x1").alias("x_cell"), cell(y, "y0", "y1").alias("y_cell")).agg(
+        F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"))
 
 
 def regression_band(df: DataFrame, dependent: str, predictor: str, points: int = 200) -> DataFrame:

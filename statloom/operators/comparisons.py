@@ -2,16 +2,16 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from statloom.functions.scalars import effect_label, p_text, r4, stars
 from statloom.functions.tails import chi2_upper, f_upper, normal_quantile, normal_upper, t_quantile, t_two_sided
-from statloom.operators.bucketing import is_small, reusable
 from statloom.operators.ranks import average_ranks, counted_quantiles, value_table, with_ranks
-from statloom.operators.skew import lookup_by_key
+from statloom.operators.skew import every_pair, lookup_by_key
 from statloom.operators.summaries import group_medians, group_summary, numeric
+from statloom.session import settle
 
 # Mann-Whitney is exact when a group has at most this many rows and no value repeats.
 EXACT_ROWS = 8
@@ -65,9 +65,10 @@ def t_test(df: DataFrame, value: str, group: str, by: list[str] = (), alpha: flo
 def anova_from_groups(groups: DataFrame, by: list[str] = ()) -> DataFrame:
     """F test from (n, mean, var) per group: sums of squares about the grand mean, no second pass over details."""
     by = list(by)
-    seg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # over group rows only
-    grand = F.sum(F.col("n") * F.col("mean")).over(seg) / F.sum("n").over(seg)
-    agg = (groups.withColumn("_grand", grand).groupBy(*by).agg(
+    groups = settle(groups)
+    grand = groups.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"))
+    beside = lookup_by_key(groups, grand, by) if by else groups.withColumn("_grand", grand.scalar())
+    agg = (beside.groupBy(*by).agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("smallest"),
         F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) * (F.col("mean") - F.col("_grand"))).alias("ss_between"),
         F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ss_within")))
@@ -87,35 +88,33 @@ def anova(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFram
 
 
 def pairwise_t(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
-    """Bonferroni-adjusted pooled t for every pair of groups; joins group rows, never detail rows."""
+    """Bonferroni-adjusted pooled t for every pair of groups; joins group rows in spread pieces, never detail rows."""
     by = list(by)
-    groups = reusable(group_summary(df, value, group, by), is_small(df.select(*by, value, group)))
-    keys = [F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by] or [F.lit("")]
-    pack = groups.select(F.struct(*by, *keys).alias("seg"), F.struct("grp", "n", "mean", "var").alias("g"))
-    left, right = pack.select("seg", F.col("g").alias("a")), pack.select("seg", F.col("g").alias("b"))
-    pairs = left.join(right, "seg").where(F.col("a.grp") < F.col("b.grp"))
+    groups = settle(group_summary(df, value, group, by))
+    size = groups.groupBy(*by).agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("pairs"))
+    groups = lookup_by_key(groups, size, by) if by else groups.withColumn("pairs", size.scalar())
+    pack = groups.select(*by, "pairs", F.struct("grp", "n", "mean", "var").alias("g"))
+    pairs = every_pair(pack.select(*by, "pairs", F.col("g").alias("a")), pack.select(*by, F.col("g").alias("b")), by)
+    pairs = pairs.where(F.col("a.grp") < F.col("b.grp"))
     n1, n2, md = F.col("a.n"), F.col("b.n"), F.col("a.mean") - F.col("b.mean")
     v1, v2 = F.coalesce(F.col("a.var"), F.lit(0.0)), F.coalesce(F.col("b.var"), F.lit(0.0))
     sp = pooled_sd(n1, v1, n2, v2)
     tested = pairs.select(
-        *[F.col(f"seg.{b}").alias(b) for b in by], F.col("a.grp").alias("group_1"), F.col("b.grp").alias("group_2"),
+        *by, F.col("a.grp").alias("group_1"), F.col("b.grp").alias("group_2"),
         md.alias("mean_diff"), F.try_divide(md, sp * F.sqrt(1 / n1 + 1 / n2)).alias("t"),
-        (n1 + n2 - 2).cast("double").alias("df"),
-        F.count("*").over(Window.partitionBy("seg")).alias("pairs"))
+        (n1 + n2 - 2).cast("double").alias("df"), "pairs")
     adjusted = F.least(t_two_sided("t", "df") * F.col("pairs"), F.lit(1.0))
     return (tested.withColumn("p_bonferroni", adjusted)
             .withColumn("significant", F.when(F.col("p_bonferroni") < 0.05, "Yes").otherwise("No")))
 
 
-def levene(df: DataFrame, value: str, group: str, by: list[str] = (), small: bool | None = None) -> DataFrame:
+def levene(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """Equality of variances: F test on distances from the group medians. Null where a group has one row."""
     by = list(by)
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    med = group_medians(df, value, group, by, small)
-    size = group_summary(df, value, group, by).select(*by, "grp", F.col("n").alias("_rows"))
+    med = group_medians(df, value, group, by)
     rows = num.select(*by, F.col(group).alias("grp"), F.col(value).alias("_x"))
-    dev = (lookup_by_key(rows, med.join(size, [*by, "grp"]), [*by, "grp"], "_rows", small=small)
-           .withColumn("_dev", F.abs(F.col("_x") - F.col("median"))))
+    dev = lookup_by_key(rows, med, [*by, "grp"]).withColumn("_dev", F.abs(F.col("_x") - F.col("median")))
     groups = group_summary(dev, "_dev", "grp", by)
     out = anova_from_groups(groups, by)
     ok = (F.col("smallest") >= 2) & (F.col("k") >= 2)
@@ -144,12 +143,12 @@ def _exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([_exact_two_sided(*x) if x else None for x in cap], dtype="float64")
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = (), small: bool | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """U of the first group (by value), tie-corrected normal p with continuity, exact p for small untied groups."""
     by = list(by)
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    counts, small = value_table(num.withColumnRenamed(group, "grp"), value, by, ["grp"], small)
-    ranked = with_ranks(counts, value, by, ["grp"], small)
+    counts = value_table(num.withColumnRenamed(group, "grp"), value, by, ["grp"])
+    ranked = with_ranks(counts, value, by, ["grp"])
     tie = F.col("tie").cast("double")
     per = ranked.groupBy(*by, "grp").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"),
@@ -158,7 +157,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = (), smal
     row = per.groupBy(*by).agg(F.count("*").alias("groups"), F.min_by(pack, "grp").alias("a"),
                                F.max_by(pack, "grp").alias("b"), F.sum("ties").alias("ties"))
     middle = F.get("q", F.lit(0))
-    med = counted_quantiles(counts, value, [0.5], [*by, "grp"], small).groupBy(*by).agg(
+    med = counted_quantiles(counts, value, [0.5], [*by, "grp"]).groupBy(*by).agg(
         F.struct(F.min_by(middle, "grp").alias("m1"), F.max_by(middle, "grp").alias("m2")).alias("_med"))
     row = row.join(med, by) if by else row.withColumn("_med", med.scalar())
     row = row.withColumns({"median_1": F.col("_med.m1"), "median_2": F.col("_med.m2")})
@@ -183,11 +182,11 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = (), smal
             .withColumn("p_display", p_text(F.col("p_value"))))
 
 
-def kruskal(df: DataFrame, value: str, group: str, by: list[str] = (), small: bool | None = None) -> DataFrame:
+def kruskal(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """Tie-corrected H, its chi-square p and the eta squared of H."""
     by = list(by)
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    ranked = average_ranks(num.withColumnRenamed(group, "grp"), value, by, ["grp"], small)
+    ranked = average_ranks(num.withColumnRenamed(group, "grp"), value, by, ["grp"])
     tie = F.col("tie").cast("double")
     per = ranked.groupBy(*by, "grp").agg(
         F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"),

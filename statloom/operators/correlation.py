@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions.scalars import p_text, stars, strength_text
 from statloom.functions.tails import t_two_sided
-from statloom.operators.bucketing import SMALL_BYTES
 from statloom.operators.ranks import average_ranks
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import numeric
-from statloom.session import estimated_bytes, settle
 
 
 def correlate(complete: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -31,18 +29,14 @@ def pearson(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     return correlate(numeric(df, columns).select(*by, *columns).dropna(subset=columns), columns, by)
 
 
-def spearman(df: DataFrame, columns: list[str], by: list[str] = (), small: bool | None = None) -> DataFrame:
-    """Pearson on average ranks; the ranks of distinct values are looked up by value, hot values by broadcast."""
+def spearman(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """Pearson on average ranks; only the ranks of distinct values are written, the rows look them up in one plan."""
     by = list(by)
     complete = numeric(df, columns).select(*by, *columns).dropna(subset=columns)
-    size = estimated_bytes(complete)
-    small = size is not None and size <= SMALL_BYTES if small is None else small
     ranked = complete
     for c in columns:
-        table = average_ranks(complete, c, by, small=small).select(*by, c, F.col("rank").alias(f"_rank_{c}"), "n")
-        ranked = lookup_by_key(ranked, table, [*by, c], "n", small=small, size=size).drop("n")
-        if not small:
-            ranked = settle(ranked)  # each lookup reads its input twice; written, the next one reads a table
+        table = average_ranks(complete, c, by).select(*by, c, F.col("rank").alias(f"_rank_{c}"))
+        ranked = lookup_by_key(ranked, table, [*by, c])
     return correlate(ranked.select(*by, *[F.col(f"_rank_{c}").alias(c) for c in columns]), columns, by)
 
 

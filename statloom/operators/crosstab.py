@@ -1,11 +1,12 @@
 """Contingency tables and the chi-square test; details are counted once, everything else is on the counts."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import effect_label, p_text, r4, stars
 from statloom.functions.tails import chi2_upper
-from statloom.operators.bucketing import is_small, reusable
+from statloom.operators.skew import every_pair, lookup_by_key, null_safe_join
+from statloom.session import settle
 
 
 def counts(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
@@ -30,54 +31,49 @@ def wide(df: DataFrame, var1: str, var2: str, levels: list | None = None) -> Dat
 def grid(cells: DataFrame, by: list[str] = ()) -> DataFrame:
     """Every level pair, absent ones with zero, with row, column and grand totals and the expected count.
 
-    Levels of the second variable are gathered per segment from the counted cells and spread over the rows.
+    The result has a row per pair of levels, as it must; levels meet in spread joins of the counted margins.
     """
     by = list(by)
-    rows = cells.groupBy(*by, "v1").agg(F.sum("n").alias("row_n"), F.map_from_entries(
-        F.collect_list(F.struct("v2", "n"))).alias("_held"))
+    rows = cells.groupBy(*by, "v1").agg(F.sum("n").alias("row_n"))
     cols = cells.groupBy(*by, "v2").agg(F.sum("n").alias("col_n"))
-    packed = cols.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("v2", "col_n"))).alias("_cols"),
-                                   F.sum("col_n").alias("total"))
-    if by:
-        wide_rows = rows.join(packed, by)
-    else:
-        wide_rows = rows.withColumns({c: packed.select(c).scalar() for c in ("_cols", "total")})
-    full = wide_rows.select(*by, "v1", "row_n", "total", "_held", F.inline("_cols"))
-    n = F.coalesce(F.try_element_at("_held", F.col("v2")), F.lit(0)).cast("long")
+    total = cells.groupBy(*by).agg(F.sum("n").alias("total"))
+    pairs = every_pair(rows, cols, by)
+    pairs = lookup_by_key(pairs, total, by) if by else pairs.withColumn("total", total.scalar())
+    full = null_safe_join(pairs, cells, [*by, "v1", "v2"], "left")
     expected = F.col("row_n") * F.col("col_n") / F.col("total")
-    return full.select(*by, "v1", "v2", n.alias("n"), "row_n", "col_n", "total", expected.alias("expected"))
+    return full.select(*by, "v1", "v2", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "row_n", "col_n", "total",
+                       expected.alias("expected"))
 
 
 def residuals(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
     """Observed, expected and standardised residual of every cell."""
-    g = grid(reusable(counts(df, var1, var2, by), is_small(df.select(*by, var1, var2))), by)
+    g = grid(settle(counts(df, var1, var2, by)), by)
     return g.withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
 
 
 def row_percents(df: DataFrame, var1: str, var2: str) -> DataFrame:
-    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("v1"))
-    return counts(df, var1, var2).select("v1", "v2", "n", share.alias("percent"))
+    cells = settle(counts(df, var1, var2))
+    rows = cells.groupBy("v1").agg(F.sum("n").alias("row_n"))
+    return lookup_by_key(cells, rows, ["v1"]).select("v1", "v2", "n", (F.col("n") * 100.0 / F.col("row_n")).alias("percent"))
 
 
 def chi_square(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
     """Chi-square of independence (continuity-corrected at one degree of freedom) with Cramér's V.
 
     Works on the observed cells alone: an absent cell adds its expected count, and all absent cells together
-    add what the observed ones leave of the total. So the level grid is never built.
+    add what the observed ones leave of the total. So the level grid is never built. Level totals are aggregated and
+    looked up, so a level with half of all cells is not one task's.
     """
     by = list(by)
-    cells = reusable(counts(df, var1, var2, by), is_small(df.select(*by, var1, var2)))
+    cells = settle(counts(df, var1, var2, by))
     total = cells.groupBy(*by).agg(F.sum("n").alias("total"), F.count("*").alias("held"))
+    rows = cells.groupBy(*by, "v1").agg(F.sum("n").alias("rn"), (1.0 / F.count("*")).alias("rw"))
+    cols = cells.groupBy(*by, "v2").agg(F.sum("n").alias("cn"), (1.0 / F.count("*")).alias("cw"))
     if by:
-        cells = cells.join(total, by)
+        cells = lookup_by_key(cells, total, by)
     else:
         cells = cells.withColumns({c: total.select(c).scalar() for c in ("total", "held")})
-    row_n = F.sum("n").over(Window.partitionBy(*by, "v1"))
-    col_n = F.sum("n").over(Window.partitionBy(*by, "v2"))
-    in_row = F.count("*").over(Window.partitionBy(*by, "v1"))
-    in_col = F.count("*").over(Window.partitionBy(*by, "v2"))
-    cells = cells.select("*", row_n.alias("rn"), col_n.alias("cn"), (1.0 / in_row).alias("rw"),
-                         (1.0 / in_col).alias("cw"))
+    cells = lookup_by_key(lookup_by_key(cells, rows, [*by, "v1"]), cols, [*by, "v2"])
     expected = F.col("rn") * F.col("cn") / F.col("total")
     gap = F.abs(F.col("n") - expected)
     agg = cells.groupBy(*by).agg(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.operators.skew import lookup_by_key
 
@@ -15,27 +16,41 @@ def drop_duplicates(df: DataFrame, columns: list[str], row_id: str, keep: str =
     return df.groupBy(*columns).agg(pick.alias(row_id)).select(row_id, *columns)
 
 
-def digest(columns: list[str]) -> Column:
+def exact(column: Column, kind: T.DataType) -> Column:
+    """A value in a form whose text tells exactly what grouping tells: instants to the microsecond, one zero."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return column.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(column == 0, F.lit("0")).otherwise(column.cast("string"))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[exact(column[f.name], f.dataType).alias(f"c{i}") for i, f in enumerate(kind.fields)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: exact(x, kind.elementType))
+    return column
+
+
+def digest(df: DataFrame, columns: list[str]) -> Column:
     """A 256-bit key of a row's content, so that long texts are hashed where they are read and never shuffled."""
-    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256))
+    parts = [exact(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(columns)]
+    return F.unhex(F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
 
 
-def flag_duplicates(df: DataFrame, columns: list[str], row_id: str, small: bool | None = None) -> DataFrame:
+def flag_duplicates(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     """Every row, with `_duplicate_flag` telling whether another row has the same content.
 
-    Contents are counted by digest and only those with copies are looked up. A content that fills a large share
-    of the table is matched by broadcast, so its copies never meet in one task.
+    Contents are counted by digest and only those with copies are looked up.
     """
-    keyed = df.withColumn("_digest", digest(columns))
+    keyed = df.withColumn("_digest", digest(df, columns))
     copied = keyed.groupBy("_digest").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    total = df.agg(F.count("*")).scalar()
-    out = lookup_by_key(keyed, copied, ["_digest"], "_copies", total, "left", small)
+    out = lookup_by_key(keyed, copied, ["_digest"], "left")
     return out.select(*df.columns, F.col("_copies").isNotNull().alias("_duplicate_flag"))
 
 
 def duplicate_count(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that repeat an earlier row."""
-    sizes = df.groupBy(digest(columns).alias("_digest")).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(digest(df, columns).alias("_digest")).agg(F.count("*").alias("n"))
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows"),
                      F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 

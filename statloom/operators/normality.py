@@ -1,4 +1,4 @@
-"""Shapiro-Wilk on a bounded sample of each variable, and a whole-table moment test."""
+"""A whole-table moment test of normality, and Shapiro-Wilk for variables that it is defined for."""
 
 import math
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
 from statloom.functions.special import norm_ppf, norm_sf
+from statloom.operators.skew import null_safe_join
+from statloom.session import settle
 
 
 def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
@@ -62,47 +64,30 @@ def _one_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([[*key, len(rows), w, p]])
 
 
-def bounded_sample(df: DataFrame, columns: list[str], order: list[str], by: list[str] = (),
-                   limit: int = fv.NORMALITY_ROW_LIMIT) -> DataFrame:
-    """The first `limit` values of each variable by the order key: (by, variable, value)."""
-    by = list(by)
-    parts = None
-    for c in columns:
-        rows = df.where(F.col(c).isNotNull()).select(*by, F.col(c).alias("value"), *order)
-        if by:
-            # the smallest rows are kept while aggregating, so a hot segment is cut down before the shuffle
-            pack = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col("value"))
-            firsts = _smallest(rows.withColumn("_pack", pack), by, limit)
-            part = firsts.select(*by, F.lit(c).alias("variable"), "value")
-        else:
-            part = rows.orderBy(*order, "value").limit(limit).select(F.lit(c).alias("variable"), "value")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
-def _smallest(df: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """First rows per segment in two ranked steps: inside hashed slices, then over the survivors."""
-    from pyspark.sql import Window
-
-    slices = df.withColumn("_slice", F.pmod(F.xxhash64("_pack"), F.lit(1024)))
-    inner = Window.partitionBy(*by, "_slice").orderBy("_pack")
-    outer = Window.partitionBy(*by).orderBy("_pack")
-    kept = slices.withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= limit)
-    return kept.withColumn("_rn", F.row_number().over(outer)).where(F.col("_rn") <= limit)
-
+def shapiro_table(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, variable, n, w, p): W and p where the whole variable has at most NORMALITY_ROW_LIMIT values, null beyond.
 
-def shapiro_table(df: DataFrame, columns: list[str], order: list[str], by: list[str] = ()) -> DataFrame:
-    """W and p per (segment, variable); each Python group holds at most 5000 values."""
+    Sizes are counted first; only variables within the limit reach a Python group, whole.
+    """
     by = list(by)
     types = dict(df.dtypes)
-    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["variable string, n_used long, w double, p double"])
-    return bounded_sample(df, columns, order, by).groupBy(*by, "variable").applyInPandas(_one_group, schema)
+    parts = [df.where(F.col(c).isNotNull()).select(*by, F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    sizes = settle(long.groupBy(*by, "variable").agg(F.count("*").alias("n")))
+    fit = F.col("n") <= fv.NORMALITY_ROW_LIMIT
+    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["variable string, n long, w double, p double"])
+    tested = null_safe_join(long, sizes.where(fit).drop("n"), [*by, "variable"]).groupBy(*by, "variable").applyInPandas(_one_group, schema)
+    rest = sizes.where(~fit).select(*by, "variable", "n", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("p"))
+    return tested.unionByName(rest)
 
 
 def jarque_bera(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """Whole-table normality test from skewness and kurtosis; no row limit and no Python."""
+    """Whole-table normality test from skewness and kurtosis; no row limit and no Python. A constant passes."""
     rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.count(c).alias("n"), F.skewness(c).alias("g1"),
                               F.kurtosis(c).alias("g2")) for c in columns])
     agg = df.groupBy(*by).agg(rows.alias("_r")).select(*by, F.inline("_r"))
-    jb = F.col("n") / 6 * (F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2") / 4)
+    moments = F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2") / 4
+    jb = F.col("n") / 6 * F.when(F.isnan(moments), F.lit(0.0)).otherwise(F.coalesce(moments, F.lit(0.0)))
     return agg.select(*by, "variable", "n", jb.alias("jb"), F.exp(-jb / 2).alias("p"))

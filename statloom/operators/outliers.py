@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
 from statloom.operators.ranks import counted, quantiles
+from statloom.operators.skew import null_safe_join
 from statloom.operators.summaries import numeric
 
 MIN_VALUES = 4
 
 
 def fences(df: DataFrame, columns: list[str], method: str = "iqr", factor: float = fv.OUTLIER_FACTOR,
-           by: list[str] = (), small: bool | None = None) -> DataFrame:
+           by: list[str] = ()) -> DataFrame:
     """(by, variable, low, high); null fences where a column has no spread or fewer than four values."""
     by = list(by)
     num = numeric(df, columns)
@@ -22,7 +23,7 @@ def fences(df: DataFrame, columns: list[str], method: str = "iqr", factor: float
         mid, spread, scale = F.col("_m"), F.col("_s"), F.lit(factor)
         low, high = mid - scale * spread, mid + scale * spread
     else:
-        stats = stats.join(quantiles(num, columns, [0.25, 0.75], by, small), [*by, "variable"])
+        stats = null_safe_join(stats, quantiles(num, columns, [0.25, 0.75], by), [*by, "variable"])
         q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
         spread = q3 - q1
         low, high = q1 - factor * spread, q3 + factor * spread
@@ -37,9 +38,9 @@ def _one_row(limits: DataFrame) -> DataFrame:
 
 
 def outlier_rows(df: DataFrame, columns: list[str], row_id: str, method: str = "iqr",
-                 factor: float = fv.OUTLIER_FACTOR, small: bool | None = None) -> DataFrame:
+                 factor: float = fv.OUTLIER_FACTOR) -> DataFrame:
     """Long outlier report (row id, column, value): one scan, compared with the fences as a scalar map."""
-    limits = _one_row(fences(df, columns, method, factor, small=small)).select("m").scalar()
+    limits = _one_row(fences(df, columns, method, factor)).select("m").scalar()
     num = numeric(df, columns)
 
     def hit(c):
@@ -55,8 +56,7 @@ def outlier_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("variable").agg(F.count("*").alias("outliers"))
 
 
-def fill_values(df: DataFrame, numeric_cols: list[str], category_cols: list[str], strategy: str = "median",
-                small: bool | None = None) -> DataFrame:
+def fill_values(df: DataFrame, numeric_cols: list[str], category_cols: list[str], strategy: str = "median") -> DataFrame:
     """(variable, fill_number, fill_text): the value that replaces missing cells, null for empty columns."""
     parts = []
     num = numeric(df, numeric_cols)
@@ -66,7 +66,7 @@ def fill_values(df: DataFrame, numeric_cols: list[str], category_cols: list[str]
         agg = num.agg(rows.alias("_r")).select(F.inline("_r"))
         parts.append(agg.select("variable", F.col("v").alias("fill_number"), none_text.alias("fill_text")))
     elif numeric_cols and strategy == "median":
-        q = quantiles(num, numeric_cols, [0.5], small=small)
+        q = quantiles(num, numeric_cols, [0.5])
         parts.append(q.select("variable", F.get("q", F.lit(0)).alias("fill_number"), none_text.alias("fill_text")))
     elif numeric_cols:
         parts += [_mode(num, c).select(F.lit(c).alias("variable"), F.col("v").alias("fill_number"),
@@ -86,12 +86,11 @@ def _mode(df: DataFrame, c: str) -> DataFrame:
     return best.agg(F.max_by("v", "n").alias("v"))
 
 
-def impute(df: DataFrame, numeric_cols: list[str], category_cols: list[str], strategy: str = "median",
-           small: bool | None = None) -> DataFrame:
+def impute(df: DataFrame, numeric_cols: list[str], category_cols: list[str], strategy: str = "median") -> DataFrame:
     """Fill missing cells; `leave` returns the table as it is. Other column types are never touched."""
     if strategy == "leave" or not (numeric_cols or category_cols):
         return df
-    fills = fill_values(df, numeric_cols, category_cols, strategy, small)
+    fills = fill_values(df, numeric_cols, category_cols, strategy)
     packed = fills.groupBy().agg(F.map_from_entries(F.collect_list(
         F.struct("variable", F.struct("fill_number", "fill_text")))).alias("m"))
     fill = packed.select("m").scalar()

@@ -3,23 +3,16 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.operators.bucketing import is_small
-
 
 def running_sum(df: DataFrame, keys: list[str], ts: str, order: list[str], value: Column, name: str,
-                bucket: str = "minute", small: bool | None = None) -> DataFrame:
+                bucket: str = "minute") -> DataFrame:
     """Add `name`: the sum of `value` over the rows of a key up to and including this row.
 
     Rows are ordered by (`ts`, then `order`). A key's timeline is cut into `bucket`-long pieces: pieces are
     summed first (map-side combine), a window runs over the piece totals, and a second window runs inside
     each piece. A key with a third of all rows is thus split into as many tasks as it has pieces. Detail rows
-    move once: the join and the final window share their partitioning. Small plans use one window.
-    Keys and `ts` must be present.
+    move once: the join and the final window share their partitioning. Keys and `ts` must be present.
     """
-    small = is_small(df) if small is None else small
-    if small:
-        rows = Window.partitionBy(*keys).orderBy(ts, *order)
-        return df.withColumn(name, F.sum(value).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     parts = [F.col(k) for k in keys] + [F.col("_piece")]
     cut = df.withColumn("_piece", F.date_trunc(bucket, F.col(ts))).withColumn("_value", value)
     totals = cut.groupBy(*parts).agg(F.sum("_value").alias("_piece_sum"))

@@ -6,16 +6,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.operators.bucketing import SMALL_BYTES, bucket_of, cut_points, is_small, reusable
+from statloom.operators.bucketing import bucket_of, cut_points
+from statloom.operators.skew import null_safe_join
 from statloom.session import settle
 
-# Columns estimated above this size are searched by narrowing instead of holding their distinct values in a buffer.
-NARROW_BYTES = 512 * 1024
-# A search interval with at most this many rows is small enough to sort.
+# A search interval with at most this many rows is not narrowed further.
 NARROW_ROWS = 2_000_000
-MAX_ROUNDS = 8
-# Columns with at most about this many distinct values keep the built-in percentile.
-FEW_VALUES = 10_000
 # Steps of the quantile grid that a sketch is asked for.
 GRID = 200
 
@@ -25,64 +21,48 @@ def counted(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = ())
     return df.where(F.col(value).isNotNull()).groupBy(*by, value, *keep).agg(F.count("*").alias("n"))
 
 
-def cumulative(counts: DataFrame, value: str, by: list[str] = (), keep: list[str] = (),
-               small: bool = False) -> DataFrame:
+def cumulative(counts: DataFrame, value: str, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """Over the rows of `counted`: `tie` (rows sharing the value) and `below` (rows with a smaller value).
 
-    Over small sources one window does. Otherwise values are cut into ordered buckets, windows run inside the
-    buckets, and the bucket totals (at most a few thousand rows per segment) supply the offsets.
+    Values are cut into ordered buckets, windows run inside the buckets, and the bucket totals (at most a few thousand
+    rows per segment) supply the offsets.
     """
     by, keep = list(by), list(keep)
-    bucket = F.lit(0) if small else bucket_of(F.col(value), cut_points(counts, value))
-    cut = counts.withColumn("_bucket", bucket)
+    cut = counts.withColumn("_bucket", bucket_of(F.col(value), cut_points(counts, value)))
     ordered = Window.partitionBy(*by, "_bucket").orderBy(value)
     upto = F.sum("n").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     tie = F.sum("n").over(Window.partitionBy(*by, "_bucket", value))
     out = cut.withColumn("tie", tie).withColumn("below", upto - F.col("tie"))
-    if small:
-        return out.drop("_bucket")
     totals = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_rows"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    if not by:
-        offsets = F.broadcast(offsets)  # one row per bucket, 4096 at most
-    return (out.join(offsets, [*by, "_bucket"]).withColumn("below", F.col("below") + F.col("_offset"))
-            .drop("_bucket", "_offset"))
+    if by:
+        out = null_safe_join(out, offsets, [*by, "_bucket"])
+    else:
+        out = out.join(F.broadcast(offsets), "_bucket")  # one row per bucket, 4096 at most
+    return out.withColumn("below", F.col("below") + F.col("_offset")).drop("_bucket", "_offset")
 
 
-def value_table(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = (),
-                small: bool | None = None) -> tuple[DataFrame, bool]:
-    """The counted values, written once when the source is large, and whether it is small."""
-    small = is_small(df.select(*by, value, *keep)) if small is None else small
-    return reusable(counted(df, value, by, keep), small), small
+def value_table(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """The counted values, written once, as several parts of a plan read them."""
+    return settle(counted(df, value, by, keep))
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = (),
-                  small: bool | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """Rank of each distinct value, ties sharing the mean of their positions."""
-    counts, small = value_table(df, value, by, keep, small)
-    return with_ranks(counts, value, by, keep, small)
+    return with_ranks(value_table(df, value, by, keep), value, by, keep)
 
 
-def with_ranks(counts: DataFrame, value: str, by: list[str] = (), keep: list[str] = (), small: bool = False) -> DataFrame:
-    return cumulative(counts, value, by, keep, small).withColumn("rank", F.col("below") + (F.col("tie") + 1) / 2)
+def with_ranks(counts: DataFrame, value: str, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    return cumulative(counts, value, by, keep).withColumn("rank", F.col("below") + (F.col("tie") + 1) / 2)
 
 
-def quantiles(df: DataFrame, values: list[str], probs: list[float], by: list[str] = (),
-              small: bool | None = None) -> DataFrame:
+def quantiles(df: DataFrame, values: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (by, column), column `q` an array in order of `probs`.
 
-    Small plans use the built-in `percentile`, whose buffer holds every distinct value. Larger ones narrow the
-    search first (no segments) or read the order statistics out of the cumulative counts (segments).
+    Whole columns are searched by narrowing; segments read the order statistics out of the cumulative counts.
     """
     by = list(by)
-    limit = SMALL_BYTES if by else NARROW_BYTES * len(values)
-    small = is_small(df.select(*by, *values), limit) if small is None else small
-    if small:
-        grid = F.array(*[F.lit(float(p)) for p in probs])
-        agg = df.groupBy(*by).agg(*[F.percentile(F.col(v), grid).alias(v) for v in values])
-        rows = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("q")) for v in values])
-        return agg.select(*by, F.inline(rows))
     if not by:
         return _narrowed(df, values, probs)
     out = None
@@ -92,10 +72,10 @@ def quantiles(df: DataFrame, values: list[str], probs: list[float], by: list[str
     return out
 
 
-def counted_quantiles(counts: DataFrame, value: str, probs: list[float], by: list[str], small: bool = False) -> DataFrame:
+def counted_quantiles(counts: DataFrame, value: str, probs: list[float], by: list[str]) -> DataFrame:
     """(by, q) from counted values: the neighbours of each position are picked and interpolated."""
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
-    cum = cumulative(counts, value, by, small=small).join(sizes, by)
+    cum = null_safe_join(cumulative(counts, value, by), sizes, list(by))
     held = F.col("below") + F.col("n")
     picks, q = [], []
     for i, p in enumerate(probs):
@@ -147,44 +127,33 @@ def _narrowed(df: DataFrame, values: list[str], probs: list[float]) -> DataFrame
 
     Every round is one scan that returns a few numbers per quantile and shuffles nothing. A proposed interval is
     only taken once exact counts show that it holds the wanted rows, so the result is exact whatever the sketch
-    says. What remains at the end, a few million rows at most, is sorted. Columns with few distinct values go to
-    the built-in `percentile` instead.
+    says. A round narrows an interval or finds that it cannot be narrowed, so the rounds end; what remains is counted by
+    value and read out of the cumulative counts, however much it is.
     """
     data = df.select(*[F.col(v).cast("double").alias(v) for v in values])
     first = data.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
-                                F.approx_count_distinct(v).alias("distinct"),
                                 _grid(F.col(v), F.count(v)).alias("grid")).alias(v) for v in values]).first()
-    few = [v for v in values if first[v]["distinct"] <= FEW_VALUES]
     targets = []
     for v in values:
-        n, low, high, _, grid = first[v]
-        if v not in few:
-            targets += [_Target(v, p * (n - 1), low, high, 0, n, grid) for p in probs]
-    for _ in range(MAX_ROUNDS):
-        live = [t for t in targets if not t.done]
-        if not live:
-            break
+        n, low, high, grid = first[v]
+        targets += [_Target(v, p * max(n - 1, 0), low, high, 0, n, grid, done=low == high) for p in probs]
+    while live := [t for t in targets if not t.done]:
         _round(data, live)
-    parts = []
-    if few:
-        parts.append(quantiles(data, few, probs, small=True))
-    if targets:
-        hits = [F.when(F.col(t.value).between(t.low, t.high), F.struct(F.lit(i).alias("target"), F.col(t.value).alias("x")))
-                for i, t in enumerate(targets) if t.low != t.high]
-        one = _search(data, targets, hits) if hits else df.sparkSession.range(1)
-        q = [F.lit(t.low) if t.low == t.high else F.col(f"q{i}") for i, t in enumerate(targets)]
-        step = len(probs)
-        rows = [F.struct(F.lit(targets[i].value).alias("variable"), F.array(*q[i:i + step]).alias("q"))
-                for i in range(0, len(targets), step)]
-        parts.append(one.select(F.inline(F.array(*rows))))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    hits = [F.when(F.col(t.value).between(t.low, t.high), F.struct(F.lit(i).alias("target"), F.col(t.value).alias("x")))
+            for i, t in enumerate(targets) if t.low != t.high]
+    one = _search(data, targets, hits) if hits else df.sparkSession.range(1)
+    q = [F.lit(t.low).cast("double") if t.low == t.high else F.col(f"q{i}") for i, t in enumerate(targets)]
+    step = len(probs)
+    rows = [F.when(F.lit(targets[i].inside > 0), F.struct(F.lit(targets[i].value).alias("variable"), F.array(*q[i:i + step]).alias("q")))
+            .otherwise(F.struct(F.lit(targets[i].value).alias("variable"), F.lit(None).cast("array<double>").alias("q")))
+            for i in range(0, len(targets), step)]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def _search(data: DataFrame, targets: list[_Target], hits: list[Column]) -> DataFrame:
     """One row with the interpolated value of every target, from the sorted rows of the final intervals."""
-    left = data.select(F.inline(F.array_compact(F.array(*hits)))).groupBy("target", "x").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("target").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    counts = left.withColumn("below", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    left = settle(data.select(F.inline(F.array_compact(F.array(*hits)))).groupBy("target", "x").agg(F.count("*").alias("n")))
+    counts = cumulative(left, "x", ["target"])
     held = F.col("below") + F.col("n")
     aggs, out = [], []
     for i, t in enumerate(targets):

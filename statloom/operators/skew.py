@@ -1,50 +1,38 @@
 """Joins that stay balanced when one key holds a large share of the rows."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.bucketing import SMALL_BYTES
-from statloom.session import estimated_bytes, settle
+from statloom.session import settle
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows; at most HOT_SHARE keys can.
-HOT_SHARE = 1000
-# A lookup table has no more rows than its detail table; below this estimate of the latter it is broadcast.
-BROADCAST_BYTES = 16 * 1024 * 1024
-# A lookup table of at most this many rows, by actual count, is broadcast whole.
-BROADCAST_ROWS = 200_000
+# Pieces into which the pairs of one segment are spread.
+SPREAD = 16
 
 
-def lookup_by_key(detail: DataFrame, table: DataFrame, keys: list[str], weight: str, total: Column | None = None,
-                  how: str = "inner", small: bool | None = None, size: int | None = None) -> DataFrame:
-    """Join detail rows to a table with one row per key and its row count in `weight`; nulls match nulls.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys`, nulls matching nulls; the keys come once."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    right = right.select(*[F.col(k).alias(r) for k, r in zip(keys, names)], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k, r in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(r))
+    return left.join(right, on, how).drop(*names)
+
+
+def lookup_by_key(detail: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join detail rows to a table with one row per key; nulls match nulls.
 
-    A table that turns out short is broadcast whole. Otherwise only its hot keys are (fewer than HOT_SHARE of
-    them can exist), so their rows never move; the rows of the other keys, each a small share of the table, go
-    through an ordinary shuffle join. `total` is the number of detail rows where the table does not cover all of
-    them. Small plans use one join; `size` is the estimate of the detail table where the caller has it.
+    The table is written once: its size is then known, so Spark broadcasts a short one, and otherwise both sides are
+    shuffled for this join alone, which lets AQE split a hot key over several tasks.
     """
-    right = [f"_k{i}" for i in range(len(keys))]
-    extra = [c for c in table.columns if c not in keys]
+    return null_safe_join(detail, settle(table), keys, how)
 
-    def renamed(side):
-        return side.select(*[F.col(k).alias(r) for k, r in zip(keys, right)], *extra)
 
-    on = F.lit(True)
-    for k, r in zip(keys, right):
-        on = on & F.col(k).eqNullSafe(F.col(r))
-    size = estimated_bytes(detail) if size is None else size
-    if small is not False and size is not None and size <= BROADCAST_BYTES:
-        return detail.join(F.broadcast(renamed(table)), on, how).drop(*right)
-    if small or (small is None and size is not None and size <= SMALL_BYTES):
-        return detail.join(renamed(table), on, how).drop(*right)
-    # written once: its size is known from here on, and its parts are read several times
-    table = settle(table)
-    if table.count() <= BROADCAST_ROWS:
-        return detail.join(F.broadcast(renamed(table)), on, how).drop(*right)
-    rows = table.agg(F.sum(weight)).scalar() if total is None else total
-    is_hot = F.col(weight) * HOT_SHARE > rows
-    hot = F.broadcast(renamed(table.where(is_hot)))
-    cold = renamed(table.where(~is_hot))
-    first = detail.join(hot, on, "inner").drop(*right)
-    rest = detail.join(hot.select(*right), on, "left_anti").join(cold, on, how).drop(*right)
-    return first.unionByName(rest)
+def every_pair(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """All pairs of rows of the two reduced tables within a segment, for results that have a row per pair.
+
+    The right rows are dealt into SPREAD pieces and each left row meets every piece, so that no segment is one task.
+    """
+    right = right.withColumn("_piece", F.pmod(F.xxhash64(*[c for c in right.columns if c not in by]), F.lit(SPREAD)).cast("int"))
+    left = left.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return null_safe_join(left, right, [*by, "_piece"]).drop("_piece")

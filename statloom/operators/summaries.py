@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions.parsing import to_number
 from statloom.functions.scalars import r4, skew_label
-from statloom.operators.normality import shapiro_table
+from statloom.operators.normality import jarque_bera, shapiro_table
 from statloom.operators.ranks import quantiles
+from statloom.operators.skew import null_safe_join
 
 _MARKERS = ["", "N/A", "nan"]
 
@@ -51,9 +52,9 @@ def sample_kurtosis(c: str) -> Column:
     return F.when(n >= 4, F.coalesce(fixed, F.lit(0.0)))
 
 
-def describe(df: DataFrame, columns: list[str], by: list[str] = (), order: list[str] | None = None,
-             small: bool | None = None) -> DataFrame:
-    """One row per (segment, numeric column): N, missing, moments, quartiles, and Shapiro-Wilk p when `order` is given."""
+def describe(df: DataFrame, columns: list[str], by: list[str] = (), normality: bool = False) -> DataFrame:
+    """One row per (segment, numeric column): N, missing, moments, quartiles; with `normality` also the Jarque-Bera
+    p of the whole column, and the Shapiro-Wilk p where the column is short enough for that test."""
     by = list(by)
     types = dict(df.dtypes)
     flags = {f"_missing_{i}": missing_cell(c, types[c]) for i, c in enumerate(columns)}
@@ -66,15 +67,17 @@ def describe(df: DataFrame, columns: list[str], by: list[str] = (), order: list[
             sample_skew(c).alias("skewness"), sample_kurtosis(c).alias("kurtosis")))
     # the moments stay apart from the quantiles: together they would leave the generated-code aggregate
     moments = num.groupBy(*by).agg(F.array(*aggs).alias("_r")).select(*by, F.inline("_r")).where("n > 0")
-    out = moments.join(quantiles(num, columns, [0.5, 0.25, 0.75], by, small), [*by, "variable"])
+    out = null_safe_join(moments, quantiles(num, columns, [0.5, 0.25, 0.75], by), [*by, "variable"])
     cols = [*by, "variable", "n", "missing", r4("mean").alias("mean"), r4(F.get("q", F.lit(0))).alias("median"),
             r4("std_dev").alias("std_dev"), r4("min").alias("min"), r4("max").alias("max"),
             r4(F.get("q", F.lit(1))).alias("q1"), r4(F.get("q", F.lit(2))).alias("q3"),
             r4("skewness").alias("skewness"), r4("kurtosis").alias("kurtosis")]
-    if order is None:
+    if not normality:
         return out.select(*cols)
-    tests = shapiro_table(num, columns, order, by).select(*by, "variable", r4("p").alias("shapiro_p"))
-    return out.join(tests, [*by, "variable"], "left").select(*cols, "shapiro_p")
+    whole = jarque_bera(num, columns, by).select(*by, "variable", r4("p").alias("normality_p"))
+    tests = shapiro_table(num, columns, by).select(*by, "variable", r4("p").alias("shapiro_p"))
+    out = null_safe_join(null_safe_join(out, whole, [*by, "variable"], "left"), tests, [*by, "variable"], "left")
+    return out.select(*cols, "normality_p", "shapiro_p")
 
 
 def skew_notes(described: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def group_summary(df: DataFrame, value: str, group: str, by: list[str] = ()) ->
             .withColumn("std_dev", F.sqrt("var")).withColumn("std_error", F.sqrt(F.col("var") / F.col("n"))))
 
 
-def group_medians(df: DataFrame, value: str, group: str, by: list[str] = (), small: bool | None = None) -> DataFrame:
+def group_medians(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    q = quantiles(num, [value], [0.5], [*by, group], small)
+    q = quantiles(num, [value], [0.5], [*by, group])
     return q.select(*by, F.col(group).alias("grp"), F.get("q", F.lit(0)).alias("median"))

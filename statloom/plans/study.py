@@ -33,11 +33,11 @@ def _cited(df: DataFrame, test: str, params: dict) -> DataFrame:
         "interpretation", interpret.sentence(test, params))
 
 
-def run_descriptive(df, columns, order=None):
+def run_descriptive(df, columns):
     num, cat = summaries.split_numeric(df, columns)
     tables = {}
     if num:
-        tables["numeric_summary"] = summaries.describe(df, num, order=order)
+        tables["numeric_summary"] = summaries.describe(df, num, normality=True)
         tables["summary"] = interpret.highlights(tables["numeric_summary"], num).withColumn(
             "apa_citation", interpret.citation("descriptive"))
     if cat:

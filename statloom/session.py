@@ -69,11 +69,3 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     fields = [part.split() for part in schema.split(", ")]
     columns = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
     return spark.createDataFrame(pa.Table.from_arrays(columns, names=[name for name, _ in fields]))
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan before optimisation, None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    except AttributeError:
-        return None

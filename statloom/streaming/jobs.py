@@ -1,7 +1,8 @@
 """Structured Streaming jobs over the activity and payment events.
 
 Every job appends to a file sink: results are written by the executors and nothing passes through the driver.
-Windowed results appear once the watermark has closed their window, so late rows within the delay still count.
+Windowed results appear once the watermark has closed their window, so late rows within the delay still count. A stream
+that is drained to its end is closed by markers far in the future, so its last windows appear too.
 """
 
 import uuid
@@ -24,22 +25,52 @@ PAYLOAD_SCHEMA = """
 """
 
 
-def event_stream(spark: SparkSession, folder: str, table: str = "events", files_per_batch: int | None = None) -> DataFrame:
-    """A parquet table as a file stream, `ts` as an instant."""
+# The instant of the markers that close a drained stream: their own window stays open and is never written.
+END_OF_TIME = "2200-01-01 00:00:00"
+# Files that one micro-batch takes at most.
+FILES_PER_BATCH = 16
+
+
+def event_stream(spark: SparkSession, folder: str, table: str = "events", files_per_batch: int = FILES_PER_BATCH,
+                 markers: str | None = None) -> DataFrame:
+    """A parquet table as a file stream, `ts` as an instant. Rows put into the folder `markers` by `drain` join the stream."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
+    def reader():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+
+    events = reader().option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    if markers:
+        spark.createDataFrame([], schema).write.mode("append").parquet(markers)
+        events = events.unionByName(reader().parquet(markers))
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def marker_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/markers-{uuid.uuid4().hex}"
 
-def drain(stream: DataFrame, fmt: str = "parquet") -> DataFrame:
-    """Run a stream over everything available, into a fresh folder of the shared checkpoint area, and read it back."""
+
+def drain(stream: DataFrame, fmt: str = "parquet", markers: str | None = None) -> DataFrame:
+    """Run a stream over everything available, into a fresh folder of the shared checkpoint area, and read it back.
+
+    With `markers` (the folder given to `event_stream`) the stream is then closed: two marker rows move the watermark past
+    every window of the data, which gives the rows that a batch job over the same events gives.
+    """
     spark = stream.sparkSession
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
-    query = (stream.writeStream.outputMode("append").format(fmt).option("path", f"{folder}/out")
-             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
+
+    def run():
+        query = (stream.writeStream.outputMode("append").format(fmt).option("path", f"{folder}/out")
+                 .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
+
+    run()
+    if markers:
+        schema = spark.read.parquet(markers).schema
+        row = [F.lit(END_OF_TIME if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        for _ in range(2):  # the watermark a batch sets holds from the next one on
+            spark.range(1).select(*row).write.mode("append").parquet(markers)
+            run()
     return spark.read.schema(stream.schema).format(fmt).load(f"{folder}/out")
 
 

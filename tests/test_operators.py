@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import special
 from statloom.operators import (accounts, assumptions, chartdata, comparisons, correlation, crosstab, dedup, ledger, normality,
-                                outliers, profile, ranks, regression, skew, summaries)
+                                outliers, profile, ranks, regression, summaries)
 from statloom.operators.bucketing import bucket_of, cut_points
 from statloom.operators.prefix import running_sum
 
@@ -43,12 +43,11 @@ def test_ranks_do_not_depend_on_path_or_partitions(spark, skewed, partitions):
     try:
         want = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])["x"]
         expected = dict(zip(want, want.rank()))
-        for small in (True, False):
-            got = {r["x"]: r["rank"] for r in ranks.average_ranks(skewed, "x", small=small).collect()}
-            assert got == expected
-            by = ranks.average_ranks(skewed, "x", ["g"], small=small).agg(F.sum(F.col("n") * F.col("rank"))).first()[0]
-            sizes = [r["count"] for r in skewed.groupBy("g").count().collect()]
-            assert by == sum(n * (n + 1) / 2 for n in sizes)
+        got = {r["x"]: r["rank"] for r in ranks.average_ranks(skewed, "x").collect()}
+        assert got == expected
+        by = ranks.average_ranks(skewed, "x", ["g"]).agg(F.sum(F.col("n") * F.col("rank"))).first()[0]
+        sizes = [r["count"] for r in skewed.groupBy("g").count().collect()]
+        assert by == sum(n * (n + 1) / 2 for n in sizes)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -66,23 +65,26 @@ def test_quantile_paths_agree(spark, skewed, monkeypatch):
     x = np.array([r[1] for r in skewed_rows()])
     want = np.quantile(x, probs)
     got = {}
-    got["builtin"] = ranks.quantiles(skewed, ["x"], probs, small=True).first()["q"]
-    got["few"] = ranks.quantiles(skewed, ["x"], probs, small=False).first()["q"]
-    monkeypatch.setattr(ranks, "FEW_VALUES", 0)
-    got["narrow"] = ranks.quantiles(skewed, ["x"], probs, small=False).first()["q"]
+    got["narrow"] = ranks.quantiles(skewed, ["x"], probs).first()["q"]
     monkeypatch.setattr(ranks, "NARROW_ROWS", 20)
-    got["rounds"] = ranks.quantiles(skewed, ["x"], probs, small=False).first()["q"]
+    got["rounds"] = ranks.quantiles(skewed, ["x"], probs).first()["q"]
     for q in got.values():
         assert q == pytest.approx(list(want))
 
 
 def test_segment_quantiles_agree(skewed):
     probs = [0.25, 0.5, 0.9]
-    small = {r["g"]: r["q"] for r in ranks.quantiles(skewed, ["x"], probs, ["g"], small=True).collect()}
-    large = {r["g"]: r["q"] for r in ranks.quantiles(skewed, ["x"], probs, ["g"], small=False).collect()}
-    assert small.keys() == large.keys()
-    for g in small:
-        assert small[g] == pytest.approx(large[g])
+    got = {r["g"]: r["q"] for r in ranks.quantiles(skewed, ["x"], probs, ["g"]).collect()}
+    pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])
+    assert set(got) == set(pdf["g"])
+    for g, part in pdf.groupby("g"):
+        assert got[g] == pytest.approx(list(np.quantile(part["x"], probs)))
+
+
+def test_quantiles_of_odd_columns(spark):
+    df = frame(spark, [(1, None, 2.0), (2, None, 2.0), (3, None, 2.0)], "id long, e double, c double")
+    got = {r["variable"]: r["q"] for r in ranks.quantiles(df, ["e", "c"], [0.25, 0.5]).collect()}
+    assert got["c"] == [2.0, 2.0] and not [x for x in got.get("e") or [] if x is not None]
 
 
 def test_narrowing_recovers_from_bad_sketch(spark, monkeypatch):
@@ -95,9 +97,8 @@ def test_narrowing_recovers_from_bad_sketch(spark, monkeypatch):
         calls.append(1)
         return (self.low, self.low) if len(calls) == 1 else real(self)
 
-    monkeypatch.setattr(ranks, "FEW_VALUES", 0)
     monkeypatch.setattr(ranks._Target, "proposal", wrong)
-    assert ranks.quantiles(df, ["x"], [0.5], small=False).first()["q"] == [999.5]
+    assert ranks.quantiles(df, ["x"], [0.5]).first()["q"] == [999.5]
 
 
 # --- tests ------------------------------------------------------------------------
@@ -167,30 +168,39 @@ def test_mann_whitney_exact(spark):
     a, b = [1.1, 5.2, 3.3, 9.4, 2.5], [4.0, 8.0, 7.0, 10.0, 11.0, 6.0, 12.0]
     df = frame(spark, [("a", x) for x in a] + [("b", x) for x in b], "g string, x double")
     u, p = brute_u(a, b)
-    for small in (True, False):
-        r = comparisons.mann_whitney(df, "x", "g", small=small).first()
-        assert (r["u_statistic"], r["p_value"]) == (u, pytest.approx(p))
+    r = comparisons.mann_whitney(df, "x", "g").first()
+    assert (r["u_statistic"], r["p_value"]) == (u, pytest.approx(p))
 
 
 def test_mann_whitney_ties_and_symmetry(spark, skewed):
     two = skewed.where("g IN ('hot', 'g1')")
     r = comparisons.mann_whitney(two, "x", "g").first()
     turned = two.withColumn("g", F.when(F.col("g") == "hot", "a").otherwise("z"))
-    s = comparisons.mann_whitney(turned, "x", "g", small=False).first()
+    s = comparisons.mann_whitney(turned, "x", "g").first()
     assert r["u_statistic"] + s["u_statistic"] == r["n_1"] * r["n_2"]
     assert r["p_value"] == pytest.approx(s["p_value"])
     assert comparisons.mann_whitney(skewed, "x", "g").first()["error"]
 
 
-def test_kruskal_paths(skewed):
-    a, b = (comparisons.kruskal(skewed, "x", "g", small=s).first() for s in (True, False))
-    assert a["h_statistic"] == pytest.approx(b["h_statistic"])
-    assert a["df"] == 5
+def test_kruskal_against_pandas(skewed):
+    pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])
+    rank, n = pdf["x"].rank(), len(pdf)
+    h = 12 / (n * (n + 1)) * (rank.groupby(pdf["g"]).sum() ** 2 / pdf.groupby("g").size()).sum() - 3 * (n + 1)
+    ties = pdf["x"].value_counts()
+    r = comparisons.kruskal(skewed, "x", "g").first()
+    assert r["h_statistic"] == pytest.approx(h / (1 - (ties**3 - ties).sum() / (n**3 - n)))
+    assert r["df"] == 5
 
 
-def test_levene_paths(spark, skewed):
-    a, b = (comparisons.levene(skewed, "x", "g", small=s).first() for s in (True, False))
-    assert a["levene_f"] == pytest.approx(b["levene_f"]) and a["n"] == b["n"] == 4000
+def test_levene_against_pandas(spark, skewed):
+    pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])
+    z = (pdf["x"] - pdf.groupby("g")["x"].transform("median")).abs()
+    means, sizes = z.groupby(pdf["g"]).mean(), pdf.groupby("g").size()
+    k, n = len(sizes), len(z)
+    between = (sizes * (means - z.mean()) ** 2).sum() / (k - 1)
+    within = ((z - z.groupby(pdf["g"]).transform("mean")) ** 2).sum() / (n - k)
+    r = comparisons.levene(skewed, "x", "g").first()
+    assert r["levene_f"] == pytest.approx(between / within) and r["n"] == 4000
     single = frame(spark, [("a", 1.0), ("b", 2.0), ("b", 3.0)], "g string, x double")
     assert comparisons.levene(single, "x", "g").first()["levene_p"] is None
 
@@ -241,15 +251,13 @@ def test_chi_square_two_by_two(spark):
 
 # --- correlation, regression ----------------------------------------------------------
 
-def test_spearman_paths(spark, skewed, monkeypatch):
+def test_spearman_against_pandas(spark, skewed):
     df = skewed.withColumn("y", F.col("x") * F.col("x") + F.col("id") % 50).withColumn("z", (F.col("id") % 3).cast("double"))
     pdf = df.select("x", "y", "z").toPandas()
     want = pdf.rank().corr()
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
-    for small in (True, False):
-        for r in correlation.spearman(df, ["x", "y", "z"], small=small).collect():
-            assert r["r"] == pytest.approx(want.loc[r["variable_1"], r["variable_2"]], abs=1e-12)
-            assert r["n"] == 4000
+    for r in correlation.spearman(df, ["x", "y", "z"]).collect():
+        assert r["r"] == pytest.approx(want.loc[r["variable_1"], r["variable_2"]], abs=1e-12)
+        assert r["n"] == 4000
 
 
 def test_perfect_correlation(spark):
@@ -287,13 +295,12 @@ def test_regression_edges(spark):
 
 def test_describe_against_pandas(spark, skewed):
     pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])
-    for small in (True, False):
-        r = summaries.describe(skewed, ["x"], order=["id"], small=small).first()
-        assert r["skewness"] == pytest.approx(pdf["x"].skew(), abs=1e-4)
-        assert r["kurtosis"] == pytest.approx(pdf["x"].kurt(), abs=1e-4)
-        assert (r["median"], r["q1"], r["q3"]) == tuple(pytest.approx(v, abs=1e-4) for v in pdf["x"].quantile([0.5, 0.25, 0.75]))
-        assert r["std_dev"] == pytest.approx(pdf["x"].std(), abs=1e-4)
-        assert r["shapiro_p"] == 0.0
+    r = summaries.describe(skewed, ["x"], normality=True).first()
+    assert r["skewness"] == pytest.approx(pdf["x"].skew(), abs=1e-4)
+    assert r["kurtosis"] == pytest.approx(pdf["x"].kurt(), abs=1e-4)
+    assert (r["median"], r["q1"], r["q3"]) == tuple(pytest.approx(v, abs=1e-4) for v in pdf["x"].quantile([0.5, 0.25, 0.75]))
+    assert r["std_dev"] == pytest.approx(pdf["x"].std(), abs=1e-4)
+    assert r["normality_p"] == r["shapiro_p"] == 0.0
 
 
 def test_describe_counts_missing_once(spark):
@@ -313,13 +320,29 @@ def test_histogram_counts_every_row(spark, skewed):
     assert [b["n"] for b in chartdata.histogram(flat, "x").collect()] == [2]
 
 
-def test_box_plot_paths(skewed):
-    a = chartdata.box_plot(skewed, "x", "g", small=True).orderBy("grp").collect()
-    b = chartdata.box_plot(skewed, "x", "g", small=False).orderBy("grp").collect()
-    assert [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in a] == [
-        tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b]
-    fliers = chartdata.box_fliers(skewed, "x", "g", ["id"], small=False).count()
-    assert fliers == sum(r["fliers"] for r in a)
+def test_box_plot_against_pandas(skewed):
+    pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])
+    boxes = {r["grp"]: r for r in chartdata.box_plot(skewed, "x", "g").collect()}
+    for g, part in pdf.groupby("g"):
+        q1, q3 = part["x"].quantile([0.25, 0.75])
+        inside = part["x"].between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+        r = boxes[g]
+        assert (r["q1"], r["q3"], r["whisker_low"], r["whisker_high"]) == pytest.approx(
+            (q1, q3, part["x"][inside].min(), part["x"][inside].max()))
+        assert r["fliers"] == (~inside).sum()
+    assert chartdata.box_fliers(skewed, "x", "g", ["id"]).count() == sum(r["fliers"] for r in boxes.values())
+
+
+def test_histogram_with_a_far_value(spark, monkeypatch):
+    monkeypatch.setattr(chartdata, "RUN", 16)
+    df = spark.range(2000).select(F.when(F.col("id") == 0, 5000.0).otherwise(F.col("id") % 10 / 10).alias("x"))
+    bins = chartdata.histogram(df, "x").orderBy("bin").collect()
+    assert len(bins) > 1000 and [b["bin"] for b in bins] == list(range(len(bins))) and sum(b["n"] for b in bins) == 2000
+
+
+def test_scatter_counts_every_row(spark, skewed):
+    cells = chartdata.scatter_cells(skewed.withColumn("y", F.col("id") % 17), "x", "y", 20).collect()
+    assert sum(c["n"] for c in cells) == 4000 and all(0 <= c["x_cell"] < 20 and 0 <= c["y_cell"] < 20 for c in cells)
 
 
 def test_density_integrates_to_one(skewed):
@@ -335,14 +358,42 @@ def test_qq_points(spark):
     assert pts[2]["theoretical"] == pytest.approx(0, abs=1e-12)
     assert pts[4]["theoretical"] == pytest.approx(float(special.norm_ppf(np.array([0.5 ** 0.2]))[0]))
     many = spark.range(2500).select((F.col("id") % 7).cast("double").alias("x"))
-    assert chartdata.qq_points(many, "x", small=False).count() == 834
+    pts = chartdata.qq_points(many, "x")
+    assert pts.count() == 2500 and pts.agg(F.countDistinct("position")).first()[0] == 2500
 
 
-def test_bounded_sample_by_segment(spark, skewed):
-    got = normality.bounded_sample(skewed, ["x"], ["id"], ["g"], limit=20).toPandas()
-    pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"]).sort_values("id")
+def test_shapiro_needs_whole_variables(spark, skewed):
+    pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])
+    got = {r["g"]: r for r in normality.shapiro_table(skewed, ["x"], ["g"]).collect()}
     for g, part in pdf.groupby("g"):
-        assert sorted(got[got["g"] == g]["value"]) == sorted(part["x"].head(20))
+        w, p = normality.shapiro_wilk(part["x"].to_numpy())
+        assert (got[g]["n"], got[g]["w"], got[g]["p"]) == (len(part), pytest.approx(w), pytest.approx(p))
+    long = normality.shapiro_table(spark.range(5001).select(F.col("id").cast("double").alias("x")), ["x"]).first()
+    assert long["n"] == 5001 and long["w"] is None and long["p"] is None
+
+
+def test_normality_is_judged_on_every_row(spark):
+    """The first 6,000 values are even; what follows is not."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 6000, F.col("id") % 100).otherwise(F.col("id") * F.col("id")).cast("double").alias("x"))
+    assert not assumptions.normality_check(df, "t_test", "x").first()["passed"]
+    flat = spark.range(50).select(F.lit(1.0).alias("x"))
+    assert assumptions.normality_check(flat, "t_test", "x").first()["passed"]
+
+
+def test_crosstab_with_a_near_unique_level(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("a"), F.col("id").alias("b"))
+    r = crosstab.chi_square(df, "a", "b").first()
+    assert r["chi2"] == pytest.approx(3000) and r["dof"] == 2999
+    assert crosstab.residuals(df, "a", "b").count() == 6000
+    shares = crosstab.row_percents(df, "a", "b")
+    assert shares.agg(F.round(F.sum("percent"), 6)).first()[0] == 200.0
+
+
+def test_pairwise_t_has_every_pair_once(spark):
+    df = spark.range(400).select((F.col("id") % 20).alias("g"), (F.col("id") * 7 % 31).cast("double").alias("x"), (F.col("id") % 2).alias("s"))
+    assert comparisons.pairwise_t(df, "x", "g").count() == 190
+    by = comparisons.pairwise_t(df, "x", "g", ["s"])
+    assert by.count() == 90 and by.select("pairs").distinct().collect() == [(45,)]
 
 
 # --- profile, duplicates, outliers -----------------------------------------------------------
@@ -377,16 +428,27 @@ def test_duplicates(spark):
     last = {r["_row_id"] for r in dedup.drop_duplicates(df, cols, "_row_id", "last").collect()}
     assert (first, last) == ({1, 3, 4, 6}, {2, 3, 5, 6})
     assert dedup.duplicate_count(df, cols).first()["duplicates"] == 2
-    for small in (True, False, None):
-        flags = {r["_row_id"]: r["_duplicate_flag"] for r in dedup.flag_duplicates(df, cols, "_row_id", small).collect()}
-        assert flags == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
+    flags = {r["_row_id"]: r["_duplicate_flag"] for r in dedup.flag_duplicates(df, cols, "_row_id").collect()}
+    assert flags == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
+
+
+def test_duplicates_by_value(spark):
+    """Instants a microsecond apart differ, zeros of either sign do not; all three operators agree."""
+    rows = [(1, "2024-01-01 00:00:00.123456", 0.0), (2, "2024-01-01 00:00:00.123999", 0.0), (3, "2024-01-01 00:00:00.123456", -0.0),
+            (4, None, float("nan")), (5, None, float("nan")), (6, None, None)]
+    df = frame(spark, rows, "_row_id long, t string, d double").withColumn("t", F.col("t").cast("timestamp")).withColumn(
+        "deep", F.struct(F.array("d").alias("a"), "t"))
+    for cols in (["t", "d"], ["deep"]):
+        flags = {r["_row_id"] for r in dedup.flag_duplicates(df, cols, "_row_id").where("_duplicate_flag").collect()}
+        assert flags == {1, 3, 4, 5}
+        assert dedup.duplicate_count(df, cols).first()["duplicates"] == 2
+        assert dedup.drop_duplicates(df, cols, "_row_id").count() == 4
 
 
-def test_hot_duplicates_keep_every_row(spark, monkeypatch):
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+def test_hot_duplicates_keep_every_row(spark):
     df = spark.range(6000).select(F.col("id").alias("_row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         (F.col("id") % 2500).cast("string")).alias("s"))
-    out = dedup.flag_duplicates(df, ["s"], "_row_id", small=False)
+    out = dedup.flag_duplicates(df, ["s"], "_row_id")
     pdf = df.toPandas()
     assert out.count() == 6000
     assert out.where("_duplicate_flag").count() == pdf["s"].duplicated(keep=False).sum()
@@ -394,8 +456,7 @@ def test_hot_duplicates_keep_every_row(spark, monkeypatch):
 
 def test_outliers(spark):
     df = spark.range(40).select("id", F.when(F.col("id") == 7, 1000.0).otherwise(F.col("id") * 1.0).alias("x"), F.lit(3.0).alias("flat"))
-    for small in (True, False):
-        assert [(r["id"], r["variable"]) for r in outliers.outlier_rows(df, ["x", "flat"], "id", small=small).collect()] == [(7, "x")]
+    assert [(r["id"], r["variable"]) for r in outliers.outlier_rows(df, ["x", "flat"], "id").collect()] == [(7, "x")]
     assert outliers.outlier_rows(df, ["x"], "id", "zscore").count() == 1
     assert outliers.outlier_rows(df.limit(3), ["x"], "id").count() == 0
 
@@ -456,9 +517,8 @@ def test_running_sum_paths(book, bucket):
     for user, event, ts, delta in sorted(ledger_rows(), key=lambda r: (r[0], r[2], r[1])):
         total[user] = total.get(user, 0) + delta
         want[event] = total[user]
-    for small in (True, False):
-        out = running_sum(book, ["user_id"], "ts", ["event_id"], F.col("delta"), "b", bucket, small)
-        assert {r["event_id"]: r["b"] for r in out.collect()} == want
+    out = running_sum(book, ["user_id"], "ts", ["event_id"], F.col("delta"), "b", bucket)
+    assert {r["event_id"]: r["b"] for r in out.collect()} == want
 
 
 def test_audit_finds_the_tampered_row(book):
@@ -487,7 +547,6 @@ def test_scores(spark):
             ("t_test", "equal_variances", False, "v")]
     checks = frame(spark, rows, "test string, check_id string, passed boolean, name string")
     assert assumptions.score(checks).first()["score"] == 0.5
-    assert assumptions.score(checks, weighted=True).first()["score"] == 0.4
     r = assumptions.soundness(assumptions.score(checks)).first()
     assert not r["sound"] and "Failed assumptions: v, w." in r["recommendation"]
 
