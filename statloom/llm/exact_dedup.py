@@ -43,11 +43,13 @@ def unpack(runs: bytes, remainders: bytes, extra: bytes) -> tuple[np.ndarray, np
 
 def build(fingerprints: np.ndarray) -> Iterator[tuple]:
     """The filter of one partition, slice by slice."""
+    if not len(fingerprints):
+        return
     values, counts = np.unique(fingerprints, return_counts=True)
     cut = np.uint64(QUOTIENT_BITS - SLICE_BITS + REMAINDER_BITS)
     slices = values >> cut
     inner = values & ((np.uint64(1) << cut) - np.uint64(1))
-    starts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]]) if len(values) else []
+    starts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]])
     for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
         yield int(slices[a]), *pack(inner[a:b], counts[a:b])
 
@@ -134,6 +136,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     best = F.max_by("first", F.struct(F.col("first").isNotNull(), "chars", _falling(F.col("first"), kinds[id_col].dataType.typeName())))
     classes = (classes.select(F.sha2("bare", 256).alias("class"), "chars", "n", "first")
                .groupBy("class").agg(F.sum("n").alias("n"), best.alias("keep")).where("n > 1"))
+    classes = settle(classes)  # read back, both sides of the join are shuffled and AQE can split a hot class
     joined = keys.join(classes, F.col("sha") == F.col("class"), "left")
     keep = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("keep"))
     return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
