@@ -1,5 +1,7 @@
 """Registered queries: parsing, profiling, duplicates, outliers, imputation, the cleaning plan."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statloom.catalog import views
@@ -9,7 +11,7 @@ from statloom.functions import parsing, scalars as sc
 from statloom.operators import dedup, outliers, profile, summaries
 from statloom.plans import cleaning
 from statloom.sources import readers, sinks
-from statloom.session import literal_rows
+from statloom.session import checkpoint_folder, literal_rows
 
 QUERIES: dict = {}
 MESSY = ["raw_balance", "raw_segment", "raw_mode", "raw_mixed", "raw_blank"]
@@ -225,14 +227,19 @@ def recommendations(spark, d):
     return cleaning.recommendations(column_summary(spark, d), mixed_columns(spark, d), none, 0, "iqr", "first")
 
 
-@register("cleaning_preview", """SELECT 'mixed' AS issue, 'raw_mixed' AS variable, 'abc' AS detail FROM (SELECT count(*) FROM customer)
-UNION ALL SELECT 'missing', 'raw_balance', printf('%.1f%% missing', count(*) FILTER (c_custkey % 6 = 4) * 100.0 / count(*)) FROM customer
-UNION ALL SELECT 'missing', 'raw_segment', printf('%.1f%% missing', count(*) FILTER (c_custkey % 9 = 0) * 100.0 / count(*)) FROM customer
-UNION ALL SELECT 'missing', 'raw_blank', printf('%.1f%% missing', 100.0) FROM (SELECT count(*) FROM customer)""")
+_PLACE = {c: f"missing_{i:03d}" for i, c in enumerate(MESSY, 1)}
+
+
+@register("cleaning_preview", f"""SELECT 'mixed' AS issue, 'raw_mixed' AS variable, 'abc' AS detail FROM (SELECT count(*) FROM customer)
+UNION ALL SELECT '{_PLACE["raw_balance"]}', 'raw_balance', printf('%.1f%% missing', count(*) FILTER (c_custkey % 6 = 4) * 100.0 / count(*)) FROM customer
+UNION ALL SELECT '{_PLACE["raw_segment"]}', 'raw_segment', printf('%.1f%% missing', count(*) FILTER (c_custkey % 9 = 0) * 100.0 / count(*)) FROM customer
+UNION ALL SELECT '{_PLACE["raw_blank"]}', 'raw_blank', printf('%.1f%% missing', 100.0) FROM (SELECT count(*) FROM customer)
+UNION ALL SELECT 'missing', '', format('{{:,}} missing values in 3 columns', count(*) FILTER (c_custkey % 6 = 4) + count(*) FILTER (c_custkey % 9 = 0) + count(*))
+  FROM customer""")
 def cleaning_preview(spark, d):
     m = cleaning.strip_and_null(views.messy_customer(spark, d), MESSY)
     rows = m.count()
-    return cleaning.preview(_counts(spark, d), rows, dedup.duplicate_count(m, ["c_custkey"]))
+    return cleaning.preview(_counts(spark, d), rows, dedup.duplicate_count(m, ["c_custkey"]), MESSY)
 
 
 _ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "raw_date"]
@@ -353,3 +360,32 @@ def analysis_roundtrip(spark, d):
     back = sinks.read_analysis(saved, "n bigint, chart_count int, chart_titles array<string>")
     return back.select("p_partkey", "analysis_type", "dataset_name", F.get("variables", F.lit(0)).alias("first_variable"),
                        "results.n", "results.chart_count", "interpretation")
+
+
+def _csv_files(spark, d):
+    """Customers as two CSV files of different encoding and column order; the note holds a line break and an accent."""
+    folder = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.col("c_name"), F.lit("\n\u00e9t\u00e9, "), F.col("c_mktsegment")).alias("note"), "c_acctbal")
+    c.where("c_custkey % 2 = 0").coalesce(1).write.option("header", True).csv(f"{folder}/a")
+    c.where("c_custkey % 2 = 1").select("c_acctbal", "note", "c_custkey").coalesce(1).write.option("header", True).option(
+        "encoding", "ISO-8859-1").csv(f"{folder}/b")
+    return f"{folder}/*"
+
+
+@register("csv_files", """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || '\u00e9t\u00e9, ' || c_mktsegment AS note, round(c_acctbal, 2) AS c_acctbal FROM customer""")
+def csv_files(spark, d):
+    out = readers.read_csv(spark, _csv_files(spark, d))
+    return out.select("c_custkey", "note", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"))
+
+
+@register("csv_row_ids", """SELECT count(*) AS rows, count(*) AS ids, 2 AS files, max(n) - 1 AS last FROM (SELECT count(*) OVER (PARTITION BY c_custkey % 2) AS n FROM customer)""")
+def csv_row_ids(spark, d):
+    out = readers.read_csv(spark, _csv_files(spark, d))
+    return out.agg(F.count("*").alias("rows"), F.countDistinct(readers.ROW_ID).alias("ids"), F.countDistinct(readers.FILE).cast("int").alias("files"),
+                   F.max(F.col(readers.ROW_ID).bitwiseAND(F.lit((1 << 40) - 1))).alias("last"))
+
+
+@register("clean_folder", """SELECT count(*) AS rows, 3 AS columns FROM customer GROUP BY c_custkey % 2""")
+def clean_folder(spark, d):
+    out = cleaning.clean_folder(readers.read_csv(spark, _csv_files(spark, d)), f"{checkpoint_folder(spark)}/cleaned-{uuid.uuid4().hex}")
+    return out.select("rows", F.col("columns").cast("int").alias("columns"))

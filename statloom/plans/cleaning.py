@@ -15,6 +15,11 @@ from statloom.functions.parsing import clean_cell, load_nulls, null_markers, par
 from statloom.operators import dedup, outliers, profile
 from statloom.session import literal_rows, settle
 from statloom.sources.readers import FILE, ROW_ID
+from statloom.sources.sinks import write_tables
+
+
+# Columns with missing cells that the text form of the preview lists.
+PREVIEW_COLUMNS = 5
 
 
 @dataclass
@@ -149,14 +154,23 @@ def recommendations(summary: DataFrame, mixed: DataFrame, outlier_n: DataFrame,
     return rows.unionByName(clear)
 
 
-def preview(counts: DataFrame, rows: int, duplicates: DataFrame) -> DataFrame:
-    """Issues found before cleaning: mixed columns, missing shares of the first five columns, duplicate rows."""
-    missing = counts.where(F.col("value").isNull()).groupBy("variable").agg(F.sum("n").alias("n"))
+def preview(counts: DataFrame, rows: int, duplicates: DataFrame, columns: list[str]) -> DataFrame:
+    """Issues found before cleaning: mixed columns, missing cells in all and per column, duplicate rows.
+
+    Every column with missing cells has its row, with its place in the table; the text form shows PREVIEW_COLUMNS of them and
+    says how many more there are.
+    """
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("variable"))
+    missing = counts.where(F.col("value").isNull()).groupBy("variable").agg(F.sum("n").alias("n")).withColumn("place", place)
+    whole = missing.agg(F.count("*").alias("held"), F.sum("n").alias("n")).where("held > 0")
     lines = profile.mixed_columns(counts).select(
         F.lit("mixed").alias("issue"), "variable", F.col("samples").alias("detail")).unionByName(
-        missing.orderBy("variable").limit(5).select(
-            F.lit("missing").alias("issue"), "variable",
-            F.format_string("%.1f%% missing", F.col("n") * 100.0 / rows).alias("detail")))
+        missing.select(F.format_string("missing_%03d", "place").alias("issue"), "variable",
+                       F.format_string("%.1f%% missing", F.col("n") * 100.0 / rows).alias("detail"))).unionByName(
+        whole.select(F.lit("missing").alias("issue"), F.lit("").alias("variable"),
+                     F.concat(F.format_string("%,d missing values in %d columns", "n", "held"),
+                              F.when(F.col("held") > PREVIEW_COLUMNS, F.format_string(", %d more than are shown", F.col("held") - PREVIEW_COLUMNS))
+                              .otherwise("")).alias("detail")))
     return lines.unionByName(duplicates.where("duplicates > 0").select(
         F.lit("duplicates").alias("issue"), F.lit("").alias("variable"), F.col("duplicates").cast("string").alias("detail")))
 
@@ -319,3 +333,21 @@ def clean_folder_counts(df: DataFrame, columns: list[str], row_id: str = ROW_ID)
     solid = drop_blank_rows(strip_and_null(df, columns), columns)
     counts = profile.value_counts(solid, columns, row_id, [FILE])
     return profile.semantic_type(profile.profile(counts, [FILE]))
+
+
+def clean_folder(df: DataFrame, folder: str, fmt: str = "parquet", **options) -> DataFrame:
+    """Folder batch: clean every source file of `read_csv` by itself and write its table, log and side tables below `folder`.
+
+    Returns (file, rows, columns, quality_score) per file. Columns that a file does not have at all are left out of its table.
+    """
+    spark = df.sparkSession
+    columns = [c for c in df.columns if c not in (ROW_ID, FILE)]
+    held = df.groupBy(FILE).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)]).orderBy(FILE).collect()
+    rows = []
+    for r in held:
+        own = [c for i, c in enumerate(columns) if r[f"_n{i}"]]
+        result = clean(df.where(F.col(FILE) == r[FILE]).select(ROW_ID, *own), **options)
+        name = r[FILE].rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        write_tables(result.tables, f"{folder}/{name}", fmt)
+        rows.append((r[FILE].rsplit("/", 1)[-1], result.stats["rows_out"], result.stats["cols_out"], float(result.stats["data_quality_score"])))
+    return literal_rows(spark, rows, "file string, rows long, columns long, quality_score double")

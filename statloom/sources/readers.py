@@ -1,38 +1,82 @@
 """Table readers: CSV files and folders as text columns with row ids, and the intake gate."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
+from statloom.session import settle
 
 # UTF-8 is kept when every line is valid; the single-byte encoding reads anything else.
 ENCODINGS = ["UTF-8", "ISO-8859-1"]
 ROW_ID, FILE = "_row_id", "_file"
 
 
-def _csv(spark: SparkSession, path, encoding: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
-    reader = reader.option("multiLine", False).option("mode", "PERMISSIVE")
-    return reader.csv(path)
+#: Cells of a record beyond the widest header are kept so far, to be dropped knowingly.
+_SPARE = 1
 
 
-def pick_encoding(spark: SparkSession, path) -> str:
-    """UTF-8 unless some line holds a byte sequence that is not; the pass stops at the first such line."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return ENCODINGS[1] if bad else ENCODINGS[0]
+def files_of(spark: SparkSession, path) -> list[tuple[str, str, int]]:
+    """(file, encoding, cells of its first line) in order of the file names; one pass over the lines.
+
+    A file is UTF-8 if every line is, and is read by the single-byte encoding otherwise.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    cells = F.size(F.split(F.min_by("value", "at"), ","))
+    rows = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), cells.alias("cells")).orderBy("file").collect()
+    return [(r["file"], ENCODINGS[0] if r["utf8"] else ENCODINGS[1], r["cells"]) for r in rows]
+
+
+def _records(spark: SparkSession, files: list[str], encoding: str, width: int) -> DataFrame:
+    """All records of the files as arrays of cells, header included; a quoted cell may hold line breaks."""
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    reader = spark.read.schema(schema).option("encoding", encoding).option("multiLine", True).option("escape", "\"")
+    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    return reader.csv(files).select(F.col("_metadata.file_path").alias(FILE), F.monotonically_increasing_id().alias("_at"), cells.alias("_cells"))
+
+
+def _names(cells: list) -> list[str]:
+    """Header names without the byte-order mark; repeated ones are numbered, empty ones at the end dropped."""
+    names, seen = [], {}
+    for i, cell in enumerate(cells):
+        name = (cell or "").lstrip("\ufeff").lstrip("\u00ef\u00bb\u00bf").strip() or f"_c{i}"
+        seen[name] = seen.get(name, 0) + 1
+        names.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
+    while cells and cells[-1] is None:
+        cells, names = cells[:-1], names[:-1]
+    return names
 
 
 def read_csv(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
-    """All columns as text, with the source file and a row id that follows file order within each file.
+    """All columns as text, with the source file and a row id that follows (file name, position in the file).
 
-    The byte-order mark of the first header is dropped. Row ids grow with the position in the file for a fixed
-    split layout; they are stable across retries because splits are planned from file sizes alone.
+    Each file has its own encoding and header: columns meet by name whatever their order, and a column that a file lacks is
+    null there. Records are parsed once and written to the shared folder, so ids and headers agree.
     """
-    df = _csv(spark, path, encoding or pick_encoding(spark, path))
-    names = [c.lstrip("﻿") for c in df.columns]
-    return df.toDF(*names).select(F.monotonically_increasing_id().alias(ROW_ID),
-                                  F.input_file_name().alias(FILE),
-                                  *[F.col(f"`{n}`") for n in names])
+    files = files_of(spark, path)
+    width = max((n for *_, n in files), default=1) + _SPARE
+    raw = None
+    for code in sorted({e for _, e, _ in files}):
+        part = _records(spark, [f for f, e, _ in files if e == code], encoding or code, width)
+        part = part.withColumn("_at", F.col("_at") * 2 + ENCODINGS.index(code))
+        raw = part if raw is None else raw.unionByName(part)
+    raw = settle(raw)
+    heads = {r[FILE]: (r["first"], r["cells"]) for r in raw.groupBy(FILE).agg(F.min("_at").alias("first"), F.min_by("_cells", "_at").alias("cells")).collect()}
+    order = {f: i for i, f in enumerate(sorted(heads))}
+    names: list[str] = []
+    for f in order:
+        names += [n for n in _names(list(heads[f][1])) if n not in names]
+    rows = []
+    for f, (first, cells) in heads.items():
+        own = _names(list(cells))
+        rows.append((f, order[f], first, [own.index(n) if n in own else -1 for n in names]))
+    places = spark.createDataFrame(pa.table({"_of": pa.array([r[0] for r in rows]), "_rank": pa.array([r[1] for r in rows], pa.int64()),
+                                             "_first": pa.array([r[2] for r in rows], pa.int64()), "_place": pa.array([r[3] for r in rows], pa.list_(pa.int32()))}))
+    # one row per file
+    body = raw.join(places, F.col(FILE) == F.col("_of")).where("_at > _first")
+    row_id = F.shiftleft("_rank", 40) + F.floor((F.col("_at") - F.col("_first")) / 2) - 1
+    cell = [F.when(F.col("_place")[i] >= 0, F.get("_cells", F.col("_place")[i])).alias(n) for i, n in enumerate(names)]
+    return body.select(row_id.alias(ROW_ID), FILE, *cell)
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:

@@ -14,7 +14,7 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     path = f"{folder}/{name}"
     if fmt == "csv":
         texts = {c: guard_formula(F.col(c)) for c, t in df.dtypes if t == "string"}
-        df.withColumns(texts).write.mode("overwrite").option("header", True).option(
+        df.withColumns(texts).write.mode("overwrite").option("header", True).option("escape", "\"").option(
             "dateFormat", "yyyy-MM-dd").csv(path)
     else:
         df.write.mode("overwrite").format(fmt).save(path)

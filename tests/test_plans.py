@@ -85,6 +85,43 @@ def test_csv_folder(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "l")).first()["name"] == "café"
 
 
+def test_csv_files_of_different_make(spark, tmp_path):
+    """Encodings, column orders, missing columns, quoted line breaks and a byte-order mark, file by file."""
+    (tmp_path / "a.csv").write_bytes('\ufeffid,name,note\n1,José,"line one\nline two"\n2,x,"a, ""b"""\n'.encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("name,id\nJosé,3\nz,4\nw,5\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_text("id,extra\n6,e\n", encoding="utf-8")
+    rows = readers.read_csv(spark, str(tmp_path)).orderBy(readers.ROW_ID).collect()
+    assert [(r["id"], r["name"], r["note"], r["extra"]) for r in rows] == [
+        ("1", "José", "line one\nline two", None), ("2", "x", 'a, "b"', None), ("3", "José", None, None), ("4", "z", None, None),
+        ("5", "w", None, None), ("6", None, None, "e")]
+
+
+def test_clean_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,day\n" + "".join(f"{i},2024-01-{i % 28 + 1:02d}\n" for i in range(40)), encoding="utf-8")
+    (tmp_path / "b.csv").write_text("id,price\n" + "".join(f"{i},${i}.50\n" for i in range(30)), encoding="utf-8")
+    got = cleaning.clean_folder(readers.read_csv(spark, str(tmp_path)), str(tmp_path / "out"), rename=False).collect()
+    assert [(r["file"], r["rows"], r["columns"]) for r in got] == [("a.csv", 40, 2), ("b.csv", 30, 2)]
+    assert dict(spark.read.parquet(str(tmp_path / "out" / "b" / "cleaned_data")).dtypes)["price"] == "double"
+    assert spark.read.parquet(str(tmp_path / "out" / "a" / "cleaning_log")).count() > 3
+
+
+def test_shared_folder_or_error():
+    from statloom import session
+
+    class Fake:
+        class conf:  # noqa: N801
+            values = {"spark.master": "spark://host:7077"}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.values.get(key, default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_folder(Fake)
+    Fake.conf.values = {"spark.master": "local[4]", "spark.sql.warehouse.dir": "file:/w"}
+    assert session.checkpoint_folder(Fake) == "file:/w/_settled"
+
+
 def test_gate(spark):
     counts = spark.createDataFrame([("a", 10, 100), ("b", 200000, 100), ("c", 1, 90 << 20)], "file string, rows long, bytes long")
     out = {r["file"]: (r["ok"], r["reason"]) for r in readers.gate(counts, 5).collect()}
