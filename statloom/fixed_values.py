@@ -17,6 +17,11 @@ DATE_PATTERNS = [
     "yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "yyyy/M/d",
     "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd",
 ]
+# Readings of the generic date parser, tried after the others; month before day.
+DATE_FALLBACK_PATTERNS = [
+    "MMM d, yyyy", "MMMM d, yyyy", "d MMM, yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss",
+    "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss",
+]
 BOOLEAN_TOKENS = ["true", "false", "yes", "no", "1", "0", "y", "n"]
 IDENTIFIER_TOKENS = [
     "id", "code", "ref", "number", "no", "num", "email", "phone", "mobile", "tel",

@@ -87,18 +87,18 @@ def to_number(c: Column, dtype: str) -> Column:
 def _shape(pattern: str) -> str:
     """Regex of the texts a date pattern can read at all."""
     out = pattern
-    for token, regex in (("yyyy", r"\d{4}"), ("MMMM", "[A-Za-z]+"), ("MMM", "[A-Za-z]+"), ("MM", r"\d{2}"), ("dd", r"\d{2}")):
+    for token, regex in (("yyyy", r"\d{4}"), ("MMMM", "[A-Za-z]+"), ("MMM", "[A-Za-z]+"), ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("mm", r"\d{2}"), ("ss", r"\d{2}")):
         out = out.replace(token, regex)
-    return "^" + re.sub(r"(?<!\\)\b[Md]\b", r"\\d{1,2}", out) + "$"
+    return "^" + re.sub(r"(?<!\\)\b[MdH]\b", r"\\d{1,2}", out) + "$"
 
 
 def parse_date(c: Column) -> Column:
-    """First pattern that fits wins, day before month; ISO date-times are the last resort.
+    """First pattern that fits wins, day before month; long forms and date-times are the last resort.
 
     Texts are sorted by shape first: a pattern is only tried on texts of its shape, since failed parses are slow.
     """
     shapes: dict[str, list[str]] = {}
-    for p in fv.DATE_PATTERNS:
+    for p in [*fv.DATE_PATTERNS, *fv.DATE_FALLBACK_PATTERNS]:
         shapes.setdefault(_shape(p), []).append(p)
 
     def parsed(s):

@@ -17,6 +17,8 @@ NUMBERS = [
     ("abc", None), ("$", None), ("1,2,3.4,5", None), ("nan", None), ("-inf", -math.inf), (None, None), ("0x10", None),
 ]
 DATES = [
+    ("Jan 5, 2024", "2024-01-05"), ("March 15, 2024", "2024-03-15"), ("05/03/2024 10:30", "2024-05-03"), ("25/03/2024 10:30", "2024-03-25"),
+    ("2024/3/5 1:02:03", "2024-03-05"),
     ("2024-01-05", "2024-01-05"), ("2024-1-5", "2024-01-05"), ("05/01/2024", "2024-01-05"), ("1/2/2024", "2024-02-01"),
     ("12/31/2024", "2024-12-31"), ("5-1-2024", "2024-01-05"), ("2024/1/5", "2024-01-05"), ("Jan 5 2024", "2024-01-05"),
     ("jan  5 2024", "2024-01-05"), ("January 5 2024", "2024-01-05"), ("5 Jan 2024", "2024-01-05"),
