@@ -349,14 +349,27 @@ def admin_kpis(spark, d):
                                F.lit("2024-01-15").cast("date"), subscription_state(spark, d))
 
 
-@register("user_detail", f"""WITH {_LEDGER}, {_ACTIVITY}, b AS (SELECT user_id, CAST(sum(delta) AS BIGINT) AS balance FROM l GROUP BY 1)
-SELECT e.user_id, coalesce(max(balance), 0) AS balance, arg_max(event_type, (ts, event_id)) AS last_action,
-  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_activity_at, coalesce(max(n), 0) AS tests_saved
-FROM events e LEFT JOIN b USING (user_id) LEFT JOIN a USING (user_id) GROUP BY 1""")
+@register("user_detail", f"""WITH {_LEDGER}, {_ACTIVITY}, b AS (SELECT user_id, CAST(sum(delta) AS BIGINT) AS balance FROM l GROUP BY 1),
+e AS (SELECT user_id, min(ts) AS created_at, arg_max(event_type, (ts, event_id)) AS last_action, max(ts) AS last_at FROM events GROUP BY 1),
+s AS (SELECT user_id, arg_max(CASE event_type WHEN 'signup' THEN 'active' WHEN 'error' THEN 'cancelled' END, (ts, event_id))
+    FILTER (event_type IN ('signup', 'error')) AS st,
+  arg_max(CASE event_type WHEN 'purchase' THEN 'researcher' ELSE 'student' END, (ts, event_id)) FILTER (event_type IN ('purchase', 'signup')) AS pl
+  FROM events GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM l),
+t AS (SELECT user_id, string_agg(reason || ' ' || delta, ', ' ORDER BY rn) AS transactions FROM r WHERE rn <= 15 GROUP BY 1)
+SELECT e.user_id, coalesce(balance, 0) AS balance, strftime(created_at, '%Y-%m-%d') AS joined,
+  CASE WHEN e.user_id % 9 = 0 THEN 'Suspended' ELSE 'Active' END AS status, CASE WHEN st IS NULL OR pl IS NULL THEN 'None' ELSE pl || ' (' || st || ')' END
+  AS subscription, last_action, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_activity_at, coalesce(n, 0) AS tests_saved, transactions
+FROM e LEFT JOIN b USING (user_id) LEFT JOIN a USING (user_id) LEFT JOIN s USING (user_id) LEFT JOIN t USING (user_id)""")
 def user_detail(spark, d):
-    balances = ledger.latest_balance(ledger.running_balance(views.ledger(spark, d)))
-    out = accounts.user_detail(views.audit(spark, d), balances, activity_counts(spark, d))
-    return out.withColumn("last_activity_at", F.date_format("last_activity_at", "yyyy-MM-dd HH:mm:ss"))
+    book = views.ledger(spark, d)
+    profiles = views.audit(spark, d).groupBy("user_id").agg(F.min("ts").alias("created_at")).withColumn("is_active", F.col("user_id") % 9 != 0)
+    balances = ledger.latest_balance(ledger.running_balance(book))
+    newest = ledger.history(book, "user_id", ["ts", "event_id"], 15)
+    out = accounts.user_detail(profiles, views.audit(spark, d), balances, activity_counts(spark, d), subscription_state(spark, d), newest)
+    moves = F.transform("transactions", lambda t: F.concat_ws(" ", t["reason"], t["delta"].cast("string")))
+    return out.withColumns({"last_activity_at": F.date_format("last_activity_at", "yyyy-MM-dd HH:mm:ss"), "joined": F.col("joined").cast("string"),
+                            "transactions": F.array_join(moves, ", ")})
 
 
 @register("payments", f"""WITH {_LEDGER} SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'paystack' ELSE 'lemonsqueezy' END AS gateway,

@@ -112,13 +112,21 @@ def admin_kpis(users: DataFrame, audit: DataFrame, ledger: DataFrame, today: Col
         money["consumed"].alias("credits_consumed"), money["revenue"].alias("revenue_usd"), running.alias("active_subscriptions"))
 
 
-def user_detail(audit: DataFrame, balances: DataFrame, activity: DataFrame) -> DataFrame:
-    """Balance, last action and saved tests per user."""
+def user_detail(profiles: DataFrame, audit: DataFrame, balances: DataFrame, activity: DataFrame, subscriptions: DataFrame,
+                newest: DataFrame) -> DataFrame:
+    """A row per profile (user_id, created_at, is_active): balance, joined, status, subscription, last action, saved tests and
+    the transactions of `newest` (user_id, rn, reason, delta; the newest few per user), newest first."""
     last = audit.groupBy("user_id").agg(F.max_by("action", F.struct("ts", "event_id")).alias("last_action"),
                                         F.max("ts").alias("last_activity_at"))
-    out = last.join(balances, "user_id", "left").join(activity, "user_id", "left")
-    return out.select("user_id", F.coalesce("balance", F.lit(0)).alias("balance"), "last_action", "last_activity_at",
-                      F.coalesce("analyses_run", F.lit(0)).alias("tests_saved"))
+    plan = subscriptions.where("status IS NOT NULL").select("user_id", F.concat("plan", F.lit(" ("), "status", F.lit(")")).alias("subscription"))
+    moves = newest.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rn", "reason", "delta"))).alias("transactions"))
+    out = profiles
+    for part in (last, balances, activity, plan, moves):
+        out = out.join(part, "user_id", "left")
+    return out.select("user_id", F.coalesce("balance", F.lit(0)).alias("balance"), F.to_date("created_at").alias("joined"),
+                      F.when(F.col("is_active"), "Active").otherwise("Suspended").alias("status"),
+                      F.coalesce("subscription", F.lit("None")).alias("subscription"), "last_action", "last_activity_at",
+                      F.coalesce("analyses_run", F.lit(0)).alias("tests_saved"), "transactions")
 
 
 def payments(ledger: DataFrame, order: list[str], limit: int = 50) -> DataFrame:
