@@ -1,11 +1,13 @@
 """Encoding and decoding with the pieces of a SentencePiece model, by best total score."""
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +15,17 @@ from pyspark.sql import types as T
 
 from statloom.llm.common import letters
 
-#: Units whose encoding a worker remembers; the memory is started anew when it is full.
+#: Words whose encoding a worker remembers, with and without a space before; a full memory is started anew.
 REMEMBERED = 300_000
-#: Longer units are encoded without being remembered.
+#: Longer words are encoded without being remembered.
 LONGEST_KEPT = 64
 #: What a character that no piece covers scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
 
+_RUNS = re.compile(r" +[^ ]*|[^ ]+")
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Ordinary pieces (word mark as space) with id and score, byte ids, and whether texts get a space in front."""
@@ -41,8 +46,27 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(pieces, tuple(byte_ids[b] for b in range(256)), m.encode("a") == m.encode(" a")[-1:] or m.decode(m.encode("a")) == "a" and m.id_to_piece(m.encode("a")[0])[0] == "▁")
 
 
+class Memory(dict):
+    """Encoded words, each worked out when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.encode(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Encoder:
-    """An Aho-Corasick automaton over the pieces and a memory of encoded units."""
+    """An Aho-Corasick automaton over the pieces and a memory of encoded words.
+
+    Texts are cut where no piece can reach across: before a run of spaces, and at line breaks if no piece has one.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -51,8 +75,12 @@ class Encoder:
             self.automaton.add_word(piece, (len(piece), id_, score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, _, s in vocabulary.pieces) - UNKNOWN_PENALTY
-        self.cut = _units(p for p, _, _ in vocabulary.pieces)
-        self.memory: dict[str, bytes] = {}
+        texts = [p for p, _, _ in vocabulary.pieces]
+        self.by_space = not any(" " in p.lstrip(" ") for p in texts)
+        self.by_line = not any("\n" in p for p in texts)
+        self.newline = self.ids("\n") if self.by_line else b""
+        self.bare = Memory(self.ids)
+        self.spaced = Memory(lambda word: self.ids(" " + word))
 
     def best(self, text: str) -> tuple[list[int], float]:
         """Ids of the segmentation with the highest total score, and the score; of equals the one with the longest last piece.
@@ -96,32 +124,25 @@ class Encoder:
             at = start
         return out[::-1], score[n]
 
-    def unit(self, text: str) -> bytes:
-        found = self.memory.get(text)
-        if found is None:
-            found = np.array(self.best(text)[0], "<i4").tobytes()
-            if len(text) <= LONGEST_KEPT:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
-                self.memory[text] = found
-        return found
+    def ids(self, text: str) -> bytes:
+        return array("i", self.best(text)[0]).tobytes()
+
+    def line(self, text: str) -> bytes:
+        """A text whose pieces stay between spaces."""
+        first, *words = text.split(" ")
+        if "" in words:  # runs of spaces
+            return b"".join(map(self.bare.__getitem__, _RUNS.findall(text)))
+        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, words))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; none for an empty one."""
         if not text:
             return np.empty(0, np.int32)
         text = " " + text if self.vocabulary.dummy_prefix else text
-        return np.frombuffer(b"".join(map(self.unit, self.cut(text))), "<i4")
-
-
-def _units(pieces):
-    """How a text is cut where no piece can reach across: before a run of spaces, and around line breaks if no piece has one."""
-    pieces = list(pieces)
-    if any(" " in p.lstrip(" ") for p in pieces):
-        return lambda text: [text]
-    if any("\n" in p for p in pieces):
-        return re.compile(r" +[^ ]*|[^ ]+").findall
-    return re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
+        if not self.by_space:
+            return np.frombuffer(self.ids(text), "<i4")
+        lines = text.split("\n") if self.by_line else [text]
+        return np.frombuffer(self.newline.join(map(self.line, lines)), "<i4")
 
 
 _encoders: dict[Vocabulary, Encoder] = {}
@@ -135,9 +156,26 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
     return _encoders[vocabulary]
 
 
-def decode_ids(ids: list[int], table: list[bytes], dummy_prefix: bool) -> str:
-    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if dummy_prefix and text.startswith(" ") else text
+def piece_bytes(vocabulary: Vocabulary) -> pa.Array:
+    """The bytes of each id; null for ids that stand for no text."""
+    table = {i: p.encode() for p, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+    return pa.array([table.get(i) for i in range(max(table) + 1)], pa.binary())
+
+
+def decode_lists(lists: pa.ListArray, table: pa.Array, dummy_prefix: bool) -> list[str | None]:
+    """Texts of id lists: the bytes of all ids follow each other in one buffer, which is cut per list."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    taken = table.take(lists.flatten())
+    if taken.null_count:
+        raise ValueError("an id stands for no text")
+    raw = taken.buffers()[2].to_pybytes() if len(taken) else b""
+    starts = np.frombuffer(taken.buffers()[1], "<i4")[: len(taken) + 1] if len(taken) else np.zeros(1, "<i4")
+    cuts = starts[np.r_[0, np.cumsum(sizes)]].tolist()
+    out: list[str | None] = []
+    for a, b, there in zip(cuts, cuts[1:], lists.is_valid().to_pylist(), strict=False):
+        text = raw[a:b].decode("utf-8", "replace")
+        out.append((text[1:] if dummy_prefix and text.startswith(" ") else text) if there else None)
+    return out
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,11 +211,11 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     vocabulary = load(model_path)
 
     def run(batches):
-        table = {i: p.encode() for p, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+        table = piece_bytes(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if i is None else decode_ids(i, table, vocabulary.dummy_prefix) for i in part.column(1).to_pylist()]
+                texts = decode_lists(part.column(1), table, vocabulary.dummy_prefix)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, T.StructType([df.schema[id_col]]).add("text", "string"))

@@ -148,8 +148,17 @@ def test_any_text_round_trips(text):
     test_any_text_round_trips.v = vocabulary
     own = pieces.encoder(vocabulary)
     text = text.encode("utf-8", "ignore").decode()
-    table = {i: p.encode() for p, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
-    assert pieces.decode_ids(own.encode(text).tolist(), table, vocabulary.dummy_prefix) == text
+    lists = pa.array([own.encode(text), None, []], pa.list_(pa.int32()))
+    assert pieces.decode_lists(lists, pieces.piece_bytes(vocabulary), vocabulary.dummy_prefix) == [text, None, ""]
+
+
+def test_words_are_cut_where_pieces_end():
+    """Cutting at spaces and lines changes nothing: the whole text at once has the same score."""
+    own = pieces.Encoder(pieces.load(MODEL))
+    for text in ("a  b\n\n c d   e", "one two\nthree", "   ", "\n", "x\n ", " \nab ab"):
+        score = {i: s for _, i, s in own.vocabulary.pieces}
+        total = lambda ids: sum(score.get(i, 0) for i in ids)
+        assert total(own.encode(text).tolist()) == total(own.best(" " + text)[0])
 
 
 # ---- chat
