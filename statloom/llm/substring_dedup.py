@@ -149,7 +149,8 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str, length: int) -> Dat
     found = settle(docs.mapInArrow(_pieces(length), "anchor long, s1 long, s2 long, id long, mark int, start int, windows short"))
     # level one: half-length windows that more than one document has
     ends = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    live = settle(found.join(ends, "anchor", "left_semi").drop("anchor"))
+    # written first: both sides of the join are then shuffled, and AQE can split a hot anchor
+    live = settle(found.join(settle(ends), "anchor", "left_semi").drop("anchor"))
     # whole runs that a smaller id has go; of equal runs the smallest id's goes on, which keeps every window's smallest holder
     holders = live.groupBy("s1", "s2").agg(F.min("id").alias("low"))
     holders = live.join(settle(holders), ["s1", "s2"])
