@@ -12,8 +12,10 @@ from pyspark.sql import Window
 
 from statloom.llm.common import settle
 
-#: Pivots (drawn by hash from the rows), rings of distance around each, and rows or queries in one block.
+#: Pivots (drawn by hash from the rows), most rings of distance around each, and rows or queries in one block.
 PIVOTS, RINGS, BLOCK = 32, 64, 2048
+#: Queries of one annulus that are put into blocks together.
+DEALT = 8 * BLOCK
 #: Annuli that a query looks into before it knows a bound.
 FIRST = 4
 
@@ -47,8 +49,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0))
 
 
-def keyed(vectors: DataFrame, pivots: np.ndarray, step: float) -> DataFrame:
-    """(annulus, distance, norm2, id, v): key of the nearest pivot and the ring of the distance to it."""
+def keyed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(pivot, distance, norm2, id, v): the nearest pivot and the distance to it."""
     width = pivots.shape[1]
 
     def run(batches):
@@ -57,11 +59,23 @@ def keyed(vectors: DataFrame, pivots: np.ndarray, step: float) -> DataFrame:
             d = distances(rows, pivots)
             near = d.argmin(axis=1)
             d = d[np.arange(len(rows)), near] if len(rows) else np.empty(0)
-            ring = np.minimum(d / step, RINGS - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((near * RINGS + ring).astype(np.int32)), pa.array(d), pa.array((rows * rows).sum(1)), batch.column(0),
-                                              batch.column(1)], ["annulus", "distance", "norm2", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(d), pa.array((rows * rows).sum(1)), batch.column(0),
+                                              batch.column(1)], ["pivot", "distance", "norm2", "id", "v"])
 
-    return vectors.mapInArrow(run, "annulus int, distance double, norm2 double, id long, v array<double>")
+    return vectors.mapInArrow(run, "pivot int, distance double, norm2 double, id long, v array<double>")
+
+
+def annulus(near: DataFrame, pivots: int) -> Column:
+    """Pivot times RINGS plus ring. A pivot's rows are cut at quantiles of their distance into rings of about BLOCK rows, at most
+    RINGS of them; the driver gets RINGS numbers per pivot."""
+    grid = [i / RINGS for i in range(1, RINGS)]
+    lines = near.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("distance", grid, 10_000).alias("cuts")).collect()
+    edges: list[list[float]] = [[] for _ in range(pivots)]
+    for line in lines:
+        rings = min(RINGS, -(-line["n"] // BLOCK))
+        edges[line["pivot"]] = sorted({line["cuts"][RINGS * j // rings - 1] for j in range(1, rings)})
+    table = F.array(*[F.array(*[F.lit(float(e)) for e in row]).cast("array<double>") for row in edges])
+    return F.col("pivot") * RINGS + F.size(F.filter(F.get(table, F.col("pivot")), lambda e: e <= F.col("distance")))
 
 
 def bounds(queries: np.ndarray, pivots: np.ndarray, annuli: np.ndarray, low: np.ndarray, high: np.ndarray, norm2: np.ndarray) -> np.ndarray:
@@ -142,9 +156,9 @@ def _blocks(width):
     return run
 
 
-def blocks(rows: DataFrame, width: int) -> DataFrame:
-    """An annulus may hold any share of the rows: rows are dealt out by annulus and a salt, so its blocks spread over tasks."""
-    dealt = rows.select("annulus", "id", "v").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+def blocks(rows: DataFrame, width: int, salts: Column) -> DataFrame:
+    """An annulus may hold any share of the rows: they are dealt over `salts` groups, whose blocks spread over tasks."""
+    dealt = rows.select("annulus", "id", "v").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     dealt = dealt.repartition("annulus", "salt").sortWithinPartitions("annulus", "salt").drop("salt")
     return dealt.mapInArrow(_blocks(width), "annulus int, ids binary, vectors binary")
 
@@ -198,7 +212,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     are not looked at; an empty table or no query gives an empty result.
 
     Index: pivots are a bounded sample; every row is keyed by its nearest pivot and the ring of its distance. The driver gets
-    one line per annulus (at most pivots x RINGS). A query looks into its best annuli, which gives a k-th score, then into all
+    one line per annulus (at most pivots x RINGS); a large annulus is several blocks. A query looks into its best annuli, which gives a k-th score, then into all
     others that the triangle inequality lets reach that score, and no more. Within an annulus, blocks of queries meet
     blocks of rows as matrix products.
     """
@@ -206,15 +220,19 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     asked = settle(whole_vectors(df.where(is_query), id_col, vector_col, scale).dropDuplicates(["id", "v"]))
     width = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
     points = choose_pivots(vectors, width, pivots)
-    far = keyed(vectors, points, math.inf).agg(F.max("distance")).first()[0] or 1.0
-    rows = settle(keyed(vectors, points, max(far, 1e-9) / RINGS))
+    near = settle(keyed(vectors, points))
+    rows = near.withColumn("annulus", annulus(near, len(points)))
     lines = rows.groupBy("annulus").agg(F.min("distance"), F.max("distance"), F.max("norm2"), F.count("*")).orderBy("annulus").collect()
     stats = tuple(np.array([line[i] for line in lines], float if 0 < i < 4 else np.int64) for i in range(5))
-    blocked = settle(blocks(rows, width))
+    sets = [1] * (len(points) * RINGS)
+    for line in lines:
+        sets[line["annulus"]] = -(-line[4] // BLOCK)
+    blocked = settle(blocks(rows, width, F.get(F.array(*map(F.lit, sets)), F.col("annulus"))))
+    groups = F.lit(max(1, -(-asked.count() // DEALT)))
 
     def look(queries: DataFrame, known: bool) -> DataFrame:
         visits = queries.mapInArrow(_visits(points, stats, k, known), "annulus int, id long, v array<double>")
-        mine = blocks(visits, width).select("annulus", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
+        mine = blocks(visits, width, groups).select("annulus", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
         met = mine.join(blocked, "annulus").select("q_ids", "q", "ids", "vectors")
         return met.mapInArrow(_best(width, k), "query_id long, vec_id long, score long")
 
