@@ -26,10 +26,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all labelled rows; a document goes if it has no letter (or no text) or if no codeword is clearly nearest."""
+    """Learn from all labelled rows; a document goes if it has no letter or no text. An ambiguous one stays: a clean text may
+    quote another language."""
     model = fit(docs.select("lang", "text"))
     found = predict(_rows(docs), model, "row", "text")
-    return found.where("lang_pred <> 'und' AND NOT ambiguous").select("row.*")
+    return found.where("lang_pred <> 'und'").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
