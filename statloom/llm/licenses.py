@@ -1,8 +1,12 @@
 """Licence scans: canonical texts meet the digests of known licences in a hash join."""
 
+import csv
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, chain
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,21 +72,34 @@ def digest(text: str) -> bytes | None:
     return hashlib.sha256(text.encode()).digest() if text else None
 
 
+#: Words by which a known text is told to begin.
+BEGIN = 3
+#: Bytes of a digest by which a run is told to be worth a lookup.
+PREFIX = 8
+#: Licence, first words, number of words and digest of published texts, written by tools/license_digests.py.
+TABLE = Path(__file__).with_name("licenses.csv")
+
+
 def paragraphs(text: str) -> int:
     """Blocks between blank lines."""
     return len(_BLANK.findall(text.strip("\n"))) + 1
 
 
-def units(text: str, runs: tuple[int, ...] = (1,)) -> Iterator[tuple[str, int, str]]:
-    """(kind, first code point, text): the whole text; every run of as many blocks between blank lines as `runs` names, if it has
-    a line break and is not the whole; every line that is not empty, if there are several."""
+def units(text: str, begins: dict[str, dict[int, set[bytes]]] | None = None) -> Iterator[tuple[str, int, str]]:
+    """(kind, first code point, text): the whole text; runs of blocks between blank lines that have a line break and are not the
+    whole; every line that is not empty, if there are several.
+
+    `begins` tells of known texts the first words, then numbers of words, then digest prefixes: a run begins at a block with such
+    words and ends at the block that completes such a number, however the words are cut into blocks. Blocks without words (empty,
+    or of copyright lines only) neither begin nor end a run; a run inside a longer known one is not told.
+    Without `begins` every block is a run.
+    """
     yield "text", 0, text
     gaps = [(m.start(), m.end()) for m in _BLANK.finditer(text)]
     starts, ends = [0, *(e for _, e in gaps)], [*(s for s, _ in gaps), len(text)]
-    for n in runs:
-        for i in range(len(starts) - n + 1 if n < len(starts) else 0):
-            if "\n" in text[starts[i]:ends[i + n - 1]]:
-                yield "block", starts[i], text[starts[i]:ends[i + n - 1]]
+    for i, j in _runs([text[s:e] for s, e in zip(starts, ends, strict=True)], begins) if gaps else ():
+        if "\n" in text[starts[i]:ends[j]]:
+            yield "block", starts[i], text[starts[i]:ends[j]]
     at = 0
     if "\n" in text:
         for line in text.split("\n"):
@@ -91,45 +108,84 @@ def units(text: str, runs: tuple[int, ...] = (1,)) -> Iterator[tuple[str, int, s
             at += len(line) + 1
 
 
-def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license_id), one row per canonical text; of equal texts the licence that sorts first."""
-    rows: dict[bytes, str] = {}
-    for name, texts in sorted((KNOWN if known is None else known).items()):
-        for text in texts:
-            if (d := digest(text)) is not None:
-                rows.setdefault(d, name)
-    return spark.createDataFrame(pa.table({"known": pa.array(list(rows), pa.binary()), "license_id": pa.array(list(rows.values()), pa.string())}))
+def _runs(blocks: list[str], begins: dict[str, dict[int, set[bytes]]] | None) -> Iterator[tuple[int, int]]:
+    """First and last block of every run that is not the whole."""
+    if begins is None:
+        yield from ((i, i) for i in range(len(blocks)))
+        return
+    words = [canonical(b).split() for b in blocks]
+    upto = list(accumulate(map(len, words)))
+    told = -1  # last block of the runs so far
+    for i, own in enumerate(words):
+        if not own:
+            continue
+        first, k = own[:BEGIN], i + 1
+        while len(first) < BEGIN and k < len(words):
+            first, k = first + words[k][:BEGIN - len(first)], k + 1
+        sizes: dict[int, set[bytes]] = {}
+        for n in range(1, len(first) + 1):
+            for size, prefixes in begins.get(" ".join(first[:n]), {}).items():
+                sizes.setdefault(size, set()).update(prefixes)
+        for n in sorted(sizes, reverse=True):
+            end = upto[i] - len(own) + n
+            j = bisect_left(upto, end)
+            if j <= told or j == len(upto) or upto[j] != end:
+                continue
+            if hashlib.sha256(" ".join(chain.from_iterable(words[i:j + 1])).encode()).digest()[:PREFIX] in sizes[n]:
+                told = j
+                if i or j + 1 < len(words):
+                    yield i, j
+                break
+
 
+def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
+    """(known, license_id, begin, words), one row per canonical text; of equal texts the licence that sorts first.
 
-#: Numbers of blocks that a licence's text has.
+    Without `known`: the texts of KNOWN and the published ones of TABLE.
+    """
+    rows = [(name, text, digest(text)) for name, texts in (KNOWN if known is None else known).items() for text in texts]
+    cells = [(d, name, " ".join(canonical(text).split()[:BEGIN]), len(canonical(text).split())) for name, text, d in rows if d is not None]
+    if known is None:
+        with TABLE.open(newline="") as lines:
+            cells += [(bytes.fromhex(r["digest"]), r["license_id"], r["begin"], int(r["words"])) for r in csv.DictReader(lines)]
+    one = {c[0]: c for c in sorted(cells, key=lambda c: c[1], reverse=True)}
+    columns = list(zip(*one.values(), strict=True)) or [()] * 4
+    kinds = {"known": pa.binary(), "license_id": pa.string(), "begin": pa.string(), "words": pa.int64()}
+    return spark.createDataFrame(pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)}))
+
+
+#: Numbers of blocks that the texts of KNOWN have; the comparison SQL knows only these texts.
 RUNS = tuple(sorted({paragraphs(t) for texts in KNOWN.values() for t in texts}))
 
 
-def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 runs: tuple[int, ...] = RUNS) -> DataFrame:
+def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Look whole texts, runs of blocks and lines up among known licences.
 
     Rows: `id_col`, unit (text, block, line), start (code point), digest (hex, canonical text), license_id. Every row of `df`
     has its text unit, with a null licence if it is none and a null digest if it has no word (null, empty, punctuation
-    or copyright lines only); blocks and lines come only where they are a licence. `known` (digest `known`, `license_id`)
-    may be any table, by default the built-in one; `runs` says how many blocks its texts have. Null ids and repeated rows are scanned like any other; other
+    or copyright lines only); blocks and lines come only where they are a licence. `known` may be any table like that of
+    `known_digests`, which is the default; the driver receives first words, length and eight bytes of the digest of each of its texts,
+    which say where runs of blocks begin and end. Null ids and repeated rows are scanned like any other; other
     columns are not looked at; an empty table gives an empty result.
 
     Digests leave Python, the lookup is a hash join: broadcast by Spark if the known table is small, else by digest.
     """
     known = known_digests(df.sparkSession) if known is None else known
+    begins: dict[str, dict[int, set[bytes]]] = {}
+    for begin, n, prefix in known.select("begin", "words", F.substring("known", 1, PREFIX)).distinct().collect():
+        begins.setdefault(begin, {}).setdefault(n, set()).add(bytes(prefix))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(i, unit, start, d) for i, text in enumerate(part.column(1).to_pylist()) for unit, start, piece in units(text, runs)
+                rows = [(i, unit, start, d) for i, text in enumerate(part.column(1).to_pylist()) for unit, start, piece in units(text, begins)
                         if (d := digest(piece)) is not None or unit == "text"]
                 of, unit, start, found = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(unit), pa.array(start, pa.int64()), pa.array(found, pa.binary())],
                                                  ["id", "unit", "start", "digest"])
 
     found = df.select(F.col(id_col).alias("id"), letters(text_col).alias("text")).mapInArrow(run, f"id {kind}, unit string, start long, digest binary")
-    joined = found.join(known, F.col("digest") == F.col("known"), "left").where("unit = 'text' OR license_id IS NOT NULL")
+    joined = found.join(known.select("known", "license_id"), F.col("digest") == F.col("known"), "left").where("unit = 'text' OR license_id IS NOT NULL")
     return joined.select(F.col("id").alias(id_col), "unit", "start", F.lower(F.hex("digest")).alias("digest"), "license_id")

@@ -245,6 +245,29 @@ def test_units_are_where_they_say():
     assert [p for kind, _, p in licenses.units(text) if kind == "line"] == ["a", "b", " ", "c d", "e", "f"]
 
 
+def test_published_licenses_inside_documents(spark):
+    mit = licenses.KNOWN["MIT"][0]
+    title, body = mit.split("\n\n", 1)
+    apart = f"{title}\n\nCopyright (c) 2020 Nobody\n\n\n\n{body}"
+    shared = "/usr/share/common-licenses"
+    gpl, apache = (open(f"{shared}/{n}", encoding="utf8").read() for n in ("GPL-3", "Apache-2.0"))
+    notice = apache[apache.index("   Licensed under the Apache"):].strip()
+    inside = [apart, body, gpl, apache, notice, open(f"{shared}/BSD", encoding="utf8").read(), "/*\n * SPDX-License-Identifier: MPL-2.0\n */"]
+    rows = [(i, f"Some text\n\n{t.strip()}\n\nMore text.", "en") for i, t in enumerate(inside)] + [(10, apart, "en"), (11, gpl, "en")]
+    got = collected(licenses.license_scan(documents(spark, rows)).where("license_id IS NOT NULL").select("doc_id", "unit", "start", "license_id"))
+    names = ["MIT", "MIT", "GPL-3.0", "Apache-2.0", "Apache-2.0-notice", "BSD-3-Clause", "MPL-2.0-notice"]
+    assert by_text(r for r in got if r[0] < 10 and r[1] == "block") == by_text(
+        (i, "block", rows[i][1].index("Redistribution") if i == 5 else 11, n) for i, n in enumerate(names))
+    assert by_text(r for r in got if r[1] == "text") == [(10, "text", 0, "MIT"), (11, "text", 0, "GPL-3.0")]
+
+
+def test_own_table_of_licenses(spark):
+    known = licenses.known_digests(spark, {"own": ["one two\n\nthree four\n\nfive"]})
+    rows = [(1, "x\n\none\ntwo three\n\n(c) me\n\nfour\nfive\n\ny", "en"), (2, "one two\n\nthree four\n\nsix", "en")]
+    got = collected(licenses.license_scan(documents(spark, rows), known).where("license_id IS NOT NULL").select("doc_id", "unit", "start", "license_id"))
+    assert got == [(1, "block", 3, "own")]
+
+
 # ---- language model
 
 def test_scores_of_odd_rows(spark):
