@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import SPACES, letters, maybe_in
 from statloom.llm.exact_dedup import exact_dedup
-from statloom.llm.language_id import fit, predict
+from statloom.llm.language_id import NO_MODEL, fit, predict
 from statloom.llm.packing import best_fit_packing
 from statloom.llm.simhash import fingerprints, simhash_groups
 from statloom.llm.substring_dedup import substring_dedup
@@ -26,11 +26,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all labelled rows; a document goes if it has no letter or no text. An ambiguous one stays: a clean text may
-    quote another language."""
+    """Learn from all labelled rows; a document goes if it has no letter or no text, or is beyond the decoding distance FAR from
+    every learned language. An ambiguous one stays: a clean text may quote another language. If nothing is labelled, every text
+    with a letter stays."""
     model = fit(docs.select("lang", "text"))
     found = predict(_rows(docs), model, "row", "text")
-    return found.where("lang_pred <> 'und'").select("row.*")
+    return found.where(F.col("reason").isNull() | (F.col("reason") == NO_MODEL)).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

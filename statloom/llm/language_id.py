@@ -18,6 +18,10 @@ BUCKETS, ORDERS = 1 << 16, (2, 3, 4)
 MOST_LABELS = 512
 #: Letters of a text are cut into pieces of about so many bytes.
 PIECE = 1 << 20
+#: Decoding distance (mean exponential loss) beyond which a text has no language: what a text without any evidence has.
+FAR = 1.0
+#: Why a text has no language.
+NO_LETTER, NO_MODEL, TOO_FAR = "no letter", "no model", "too far"
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -88,31 +92,38 @@ class CodeModel:
         self.scale = 1 / np.maximum(spread, 1e-6)  # a bit that separates little speaks as loud as the others
 
     def decode(self, margins: np.ndarray) -> tuple[int, float, bool]:
-        """Nearest codeword under exponential loss, its share of the decoded mass, and whether a second one is close.
+        """Nearest codeword under exponential loss, its share of the decoded mass, and whether a second one is close."""
+        return self.nearest(margins)[:3]
+
+    def nearest(self, margins: np.ndarray) -> tuple[int, float, bool, float]:
+        """Nearest codeword under exponential loss, its share of the decoded mass, whether a second one is close, and its loss.
 
         Ambiguous: the loss of the second is within 5 % of the first, or as many bits disagree with the codeword as the code's
         distance allows to correct, plus one.
         """
         if len(self.labels) == 1:
-            return 0, 1.0, False
+            return 0, 1.0, False, 0.0
         loss = np.exp(-np.clip(self.code * margins, -20, 20)).mean(axis=1)
         order = np.argsort(loss, kind="stable")
         best, second = order[0], order[1]
         share = np.exp(-8 * (loss / loss[best] - 1))
         bits = (np.sign(margins) * self.code[best] < 0).sum()
         apart = (self.code[:, None] != self.code[None]).sum(2)[~np.eye(len(self.labels), dtype=bool)].min()
-        return int(best), float(share[best] / share.sum()), bool(loss[second] <= 1.05 * loss[best] or bits > (apart - 1) // 2)
+        return int(best), float(share[best] / share.sum()), bool(loss[second] <= 1.05 * loss[best] or bits > (apart - 1) // 2), float(loss[best])
 
-    def predict(self, text: str) -> tuple[str, float, bool]:
+    def predict(self, text: str) -> tuple[str, float, bool, str | None]:
+        """Label, score, ambiguous, and the reason if the text has no language."""
         total, n = np.zeros(self.code.shape[1]), 0
         for g in grams(text):
             n += len(g)
             for at in range(0, len(g), 1 << 17):
                 total += self.weights[g[at:at + (1 << 17)]].sum(axis=0, dtype=np.float64)
         if not n or not self.labels:
-            return "und", 0.0, True
-        best, score, ambiguous = self.decode(total / n * self.scale)
-        return self.labels[best], score, ambiguous
+            return "und", 0.0, True, NO_MODEL if n else NO_LETTER
+        best, score, ambiguous, loss = self.nearest(total / n * self.scale)
+        if loss > FAR:
+            return "und", 0.0, True, TOO_FAR
+        return self.labels[best], score, ambiguous, None
 
 
 def fit(labelled: DataFrame, label_col: str = "lang", text_col: str = "text") -> CodeModel:
@@ -130,17 +141,21 @@ def fit(labelled: DataFrame, label_col: str = "lang", text_col: str = "text") ->
 
 
 def predict(df: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `df`: `id_col`, lang_pred, score (0 to 1), ambiguous."""
+    """One row per row of `df`: `id_col`, lang_pred, score (0 to 1), ambiguous, reason.
+
+    The reason says why a text has no language (`und`, score 0, ambiguous): no letter, no model (nothing was labelled), or too far
+    (beyond the decoding distance FAR from every codeword). It is null for a predicted label, be that label `und` itself.
+    """
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lang, score, ambiguous = zip(*(model.predict(t) for t in part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())],
-                                                 [id_col, "lang_pred", "score", "ambiguous"])
+                lang, score, ambiguous, reason = zip(*(model.predict(t) for t in part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_()),
+                                                  pa.array(reason, pa.string())], [id_col, "lang_pred", "score", "ambiguous", "reason"])
 
-    schema = T.StructType([df.schema[id_col]]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = T.StructType([df.schema[id_col]]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean").add("reason", "string")
     return df.select(F.col(id_col), letters(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -149,11 +164,13 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 5, fold: int = 0) -> DataFrame:
+def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 5, fold: int = 0,
+                why: bool = False) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold, then predict every row.
 
-    One row per row of `df`: `id_col`, held_out, lang_pred, score, ambiguous. A text that is null or has no letter gets `und`,
-    score 0 and ambiguous; so does every row if nothing is labelled. Rows with a null id are not held out. Only text enters a
+    One row per row of `df`: `id_col`, held_out, lang_pred, score, ambiguous; with `why` also reason (see `predict`). A text that is null
+    or has no letter gets `und`, score 0 and ambiguous; so does every row if nothing is labelled, and a text too far from every
+    codeword. Rows with a null id are not held out. Only text enters a
     prediction; labels, ids and other columns do not. Repeated rows count as often as they occur; an empty table gives an empty
     result. Ties between codewords go to the label that sorts first.
 
@@ -162,4 +179,4 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     out = held_out(id_col, folds, fold)
     model = fit(df.where(~out), label_col, text_col)
-    return predict(df, model, id_col, text_col).select(id_col, out.alias("held_out"), "lang_pred", "score", "ambiguous")
+    return predict(df, model, id_col, text_col).select(id_col, out.alias("held_out"), "lang_pred", "score", "ambiguous", *(["reason"] if why else []))

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -7,6 +8,7 @@ from odd import PASSAGE, ROWS, by_text, documents, words
 from test_dedup import bare, exact_by_hand, print_by_hand
 
 import corpus_pipeline as pipeline
+from statloom.llm import language_id
 from statloom.session import settle
 
 
@@ -34,6 +36,30 @@ def test_language_stage_drops_what_has_no_letter(spark, odd):
     assert kept[12, ROWS[12][1]] == 1
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(i, t, None) for i, t, _ in ROWS]
+    got = Counter(plain(pipeline.language(spark, documents(spark, rows), "")))
+    assert got == Counter((i, t) for i, t, _ in ROWS if t is not None and any(c.isalpha() for c in t))
+
+
+def test_language_stage_keeps_a_label_named_und(spark):
+    rows = [(1, "le renard brun saute", "fr"), (2, "xxyy zzqq wwkk", "und"), (3, "12 34", "und")]
+    assert sorted(plain(pipeline.language(spark, documents(spark, rows), ""))) == [(1, rows[0][1]), (2, rows[1][1])]
+
+
+def test_language_stage_drops_what_is_too_far(spark, monkeypatch):
+    model = language_id.CodeModel(list("abcd"), np.ones((4, language_id.BUCKETS)))
+    model.weights, model.scale = np.zeros_like(model.weights), np.ones(model.code.shape[1])
+    near, far = next(language_id.grams("near")), next(language_id.grams("far"))
+    model.weights[near], model.weights[far] = model.code[1], -model.code[0]  # on a codeword; against the first, between the others
+    monkeypatch.setattr(pipeline, "fit", lambda labelled: model)
+    rows = [(1, "near", None), (2, "far", None), (3, "some other words", None), (4, "!", None)]
+    docs = documents(spark, rows)
+    assert sorted(plain(pipeline.language(spark, docs, ""))) == [(1, "near"), (3, "some other words")]
+    got = {r.doc_id: r.reason for r in language_id.predict(docs, model).collect()}
+    assert got == {1: None, 2: language_id.TOO_FAR, 3: None, 4: language_id.NO_LETTER}
+
+
 def test_exact_stage(spark, odd):
     got = pipeline.exact(spark, odd, "")
     assert got.columns == odd.columns
