@@ -27,19 +27,28 @@ PAYLOAD_SCHEMA = """
 
 # The instant of the markers that close a drained stream: their own window stays open and is never written.
 END_OF_TIME = "2200-01-01 00:00:00"
-# Files that one micro-batch takes at most.
-FILES_PER_BATCH = 16
 
 
-def event_stream(spark: SparkSession, folder: str, table: str = "events", files_per_batch: int = FILES_PER_BATCH,
+def event_stream(spark: SparkSession, folder: str, table: str = "events", files_per_batch: int | None = None,
                  markers: str | None = None) -> DataFrame:
-    """A parquet table as a file stream, `ts` as an instant. Rows put into the folder `markers` by `drain` join the stream."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    """A parquet table, one file or a folder of files, as a file stream, `ts` as an instant. Rows put into the folder `markers` by
+    `drain` join the stream.
 
-    def reader():
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    All files there are make one micro-batch: the watermark moves between batches, so no row of the table is late, and an account's
+    rows meet in time order, whatever the order of the files. `files_per_batch` bounds a batch; it is for files in time order only.
+    """
+    path = f"{folder}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
 
-    events = reader().option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    def reader():
+        stream = spark.readStream.schema(schema)
+        return stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        events = reader().parquet(path)
+    else:
+        events = reader().option("pathGlobFilter", f"{table}.parquet").parquet(folder)
     if markers:
         spark.createDataFrame([], schema).write.mode("append").parquet(markers)
         events = events.unionByName(reader().parquet(markers))
@@ -110,7 +119,7 @@ def _spend(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def spend_decisions(ledger: DataFrame) -> DataFrame:
     """Ledger rows (user_id, event_id, ts, delta) with the balance after each and whether it was accepted.
 
-    Micro-batches are bounded by the source options, so the rows of one account in one batch are too.
+    The rows of one account in one micro-batch meet in one task; see `event_stream` for what a batch holds.
     """
     rows = ledger.select("user_id", "event_id", "ts", F.col("delta").cast("long").alias("delta"))
     return rows.groupBy("user_id").applyInPandasWithState(

@@ -1,7 +1,12 @@
+import os
+
+import duckdb
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from statloom.catalog import streams
 from statloom.streaming import jobs
 
 
@@ -66,3 +71,26 @@ def test_allowance_period(spark, tmp_path):
 def test_profile_slices_merge(stream):
     r = jobs.merge_profile(jobs.drain(jobs.profile_increments(stream, ["value"], delay="0 seconds"))).first()
     assert (r["rows"], r["min"], r["max"], r["distinct"]) == (4, 1.0, 3.0, 3)
+
+
+@pytest.mark.parametrize("name", ["stream_daily_quota", "stream_sessions", "stream_sliding_activity", "stream_spend", "stream_payments",
+                                  "stream_allowances", "stream_profile"])
+def test_table_in_many_files_out_of_order(spark, folder, tmp_path, name):
+    rows = pq.read_table(f"{folder}/events.parquet").sort_by("ts")
+    parts = tmp_path / "events.parquet"
+    parts.mkdir()
+    size = len(rows) // 40 + 1
+    for i in range(40):  # each file a stretch of time; neither names nor modification times follow it
+        part = parts / f"part-{i * 7 % 40:05}.parquet"
+        pq.write_table(rows.slice(i * size, size), part)
+        os.utime(part, (1_700_000_000 - i * 60,) * 2)
+    query, sql = streams.QUERIES[name]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{parts}/*.parquet'")
+    want = con.execute(sql).fetch_df()
+    got = query(spark, str(tmp_path)).toPandas()[list(want.columns)]
+
+    def cells(pdf):
+        return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in pdf.itertuples(index=False))
+
+    assert len(got) and cells(got) == cells(want)
