@@ -48,7 +48,7 @@ def op2(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     ids = encode(docs.select(F.struct("doc_id", "text").alias("of"), "text"), model, "of")
     back = decode(ids.select(F.struct("of", "ids").alias("of"), "ids"), model, "of")
-    return back.select("of.of.doc_id", F.coalesce(F.size("of.ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("of.ids").alias("ids_hash"),
+    return back.select("of.of.doc_id", "of.ids", F.coalesce(F.size("of.ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("of.ids").alias("ids_hash"),
                        F.col("text").eqNullSafe(F.col("of.of.text")).alias("round_trip"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from statloom.llm import chat, language_id, language_model, licenses, packing, pieces
 from statloom.llm.chat import TemplateError, compile_template, format_chats, read_back, read_turns
 from statloom.llm.language_id import CodeModel, codewords, held_out
-from statloom.llm.queries import TOKENIZERS
+from statloom.llm.queries import QUERIES, TOKENIZERS
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
@@ -218,6 +218,13 @@ def test_templates_reach_no_python_objects():
     assert compile_template("{{ open }}{{ messages[0] }}")([])[0] == ""
 
 
+def test_pieces_query_returns_the_ids(spark, folder):
+    got = QUERIES["op2_sentencepiece"][0](spark, folder).limit(50)
+    docs = {r.doc_id: r for r in pieces.encode(spark.read.parquet(f"{folder}/documents.parquet"), MODEL).collect()}
+    rows = got.collect()
+    assert rows and all(r.ids == docs[r.doc_id].ids and r.n_ids == len(r.ids or []) and r.round_trip for r in rows)
+
+
 # ---- licences
 
 def test_equivalent_texts_are_one():
