@@ -12,6 +12,7 @@ from statloom.llm.language_model import score_texts
 from statloom.llm.licenses import KNOWN, RUNS, SPELLINGS, license_scan
 from statloom.llm.packing import best_fit_packing
 from statloom.llm.pieces import decode, encode
+from statloom.llm.ptolemy import ptolemaic_clusters
 from statloom.llm.simhash import simhash_groups
 from statloom.llm.substring_dedup import substring_dedup
 from statloom.llm.topk import exact_top_k
@@ -138,3 +139,25 @@ def op9(spark, d):
     out = held_out("doc_id", 7, 2)
     scored = score_texts(table(spark, d, "documents"), ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    """Exact rounds of assignment and floored means, one after the other."""
+    parts = ["""x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v FROM x QUALIFY k < {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"""n{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(k, d * {k} + k) AS k, min(d) AS d FROM (SELECT vec_id, x.v, k,
+  list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM x, c{r} AS c) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
+  FROM (SELECT k, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM n{r}, range(1, 65) AS t(i) GROUP BY k, i) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN m{r} AS m USING (k))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, n.k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY n.k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM n{rounds} AS n JOIN c{rounds} AS c ON n.k = c.k"""
+
+
+@register("op12_centroid_clustering", _lloyd(8, 10))
+def op12(spark, d):
+    return ptolemaic_clusters(table(spark, d, "embeddings"))
