@@ -10,6 +10,7 @@ from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.language_id import held_out, language_id
 from statloom.llm.language_model import score_texts
 from statloom.llm.licenses import KNOWN, RUNS, SPELLINGS, license_scan
+from statloom.llm.merkle import document_manifest
 from statloom.llm.packing import best_fit_packing
 from statloom.llm.pieces import decode, encode
 from statloom.llm.ptolemy import ptolemaic_clusters
@@ -161,3 +162,32 @@ SELECT vec_id, n.k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY
 @register("op12_centroid_clustering", _lloyd(8, 10))
 def op12(spark, d):
     return ptolemaic_clusters(table(spark, d, "embeddings"))
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+
+
+@register("op13_merkle_manifest", f"""WITH RECURSIVE m AS MATERIALIZED (SELECT list_transform(range(256),
+  lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS m),
+l AS MATERIALIZED (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank,
+  {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("(n_chars + CASE WHEN n7 = 0 THEN 1 ELSE 0 END)")} AS copy FROM
+  (SELECT *, xor(list_reduce(list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT),
+    lambda c, b: xor(c >> 8, m[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 7 AS n7 FROM documents, m)),
+v AS (SELECT lang, 0 AS level, list(leaf ORDER BY rank) AS nodes FROM l GROUP BY lang UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM v WHERE len(nodes) > 1),
+s AS MATERIALIZED (SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM v WHERE len(nodes) = 1),
+t AS (SELECT 0 AS level, list(subroot ORDER BY rank) AS nodes FROM s UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM t WHERE len(nodes) > 1),
+p AS MATERIALIZED (SELECT doc_id, v.level, (l.rank >> v.level) & 1 AS side, nodes[xor(l.rank >> v.level, 1) + 1] AS sibling FROM l JOIN v ON l.lang IS NOT DISTINCT FROM v.lang WHERE len(nodes) > 1 UNION ALL
+  SELECT doc_id, s.height + t.level, (s.rank >> t.level) & 1, nodes[xor(s.rank >> t.level, 1) + 1] FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang, t WHERE len(nodes) > 1),
+g AS MATERIALIZED (SELECT doc_id, list(coalesce(sibling, '') ORDER BY level) AS steps, list(side ORDER BY level) AS sides FROM p GROUP BY doc_id),
+f AS (SELECT doc_id, 0 AS level, copy AS node FROM l UNION ALL
+  SELECT f.doc_id, level + 1, sha256(CASE WHEN sides[level + 1] = 1 THEN steps[level + 1] || node ELSE node || steps[level + 1] END)
+  FROM f JOIN g ON f.doc_id = g.doc_id AND level < len(steps)),
+e AS (SELECT doc_id, arg_max(node, level) AS folded_root FROM f GROUP BY doc_id),
+r AS (SELECT nodes[1] AS root FROM t WHERE len(nodes) = 1)
+SELECT l.doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(steps, ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN e ON e.doc_id = l.doc_id LEFT JOIN g ON g.doc_id = l.doc_id, r""")
+def op13(spark, d):
+    return document_manifest(table(spark, d, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
