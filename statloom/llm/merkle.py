@@ -188,7 +188,7 @@ class Manifest:
         trees = wanted.select("tree").distinct()
         asked = null_safe_join(self.subroots, trees, ["tree"])
         top = self.subroots.sparkSession.range(1).select(F.lit(None).cast("string").alias("tree"), F.lit(self.root).alias("digest"),
-                                                         F.array().cast("array<string>").alias("path"))
+                                                         F.array().cast("array<string>").alias("path")).where("digest IS NOT NULL")
         paths = descend(self.top_levels, top, asked.select(F.lit(None).cast("string").alias("tree"), "rank", F.struct(F.col("tree").alias("name")).alias("carry")), self.bits)
         entries = settle(paths.select(F.col("carry.name").alias("tree"), "digest", "path"))
         found = descend(self.levels, entries, wanted, self.bits)

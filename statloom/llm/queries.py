@@ -17,6 +17,7 @@ from statloom.llm.ptolemy import ptolemaic_clusters
 from statloom.llm.simhash import simhash_groups
 from statloom.llm.substring_dedup import substring_dedup
 from statloom.llm.topk import exact_top_k
+from statloom.llm.warc import warc_revisits
 
 QUERIES: dict = {}
 
@@ -142,6 +143,19 @@ def op9(spark, d):
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@register("op11_warc_revisits", f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, t, array_to_string(list_transform(range(0, 4), lambda i: array_to_string(list_transform(range(0, 8),
+  lambda j: '{_BASE32}'[(('0x' || h[10 * i + 1:10 * i + 10])::BIGINT >> (35 - 5 * j)) % 32 + 1]), '')), '') AS digest,
+  max(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to FROM d""")
+def op11(spark, d):
+    return warc_revisits(table(spark, d, "pages"), min_bytes=0).drop("url")
+
+
 def _lloyd(k: int, rounds: int) -> str:
     """Exact rounds of assignment and floored means, one after the other."""
     parts = ["""x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
