@@ -50,6 +50,28 @@ def running_balance(spark, d):
     return ledger.running_balance(views.ledger(spark, d)).select("event_id", "user_id", "delta", "balance")
 
 
+def _gappy(spark, d):
+    """The ledger with a null time on every seventh row and a null account on every fifth user's rows."""
+    rows = views.ledger(spark, d)
+    return rows.withColumns({"ts": F.when(F.col("event_id") % 7 != 0, F.col("ts")), "user_id": F.when(F.col("user_id") % 5 != 0, F.col("user_id"))})
+
+
+_GAPPY = f"""{_LEDGER}, g AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts, CASE WHEN user_id % 5 <> 0 THEN user_id END AS user_id, delta FROM l)"""
+
+
+@register("running_balance_nulls", f"""WITH {_GAPPY} SELECT event_id, user_id, delta, CAST(sum(delta) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id
+  ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM g""")
+def running_balance_nulls(spark, d):
+    """Rows without a time come first, rows without an account are one account; no row is lost."""
+    return ledger.running_balance(_gappy(spark, d)).select("event_id", "user_id", "delta", "balance")
+
+
+@register("daily_quota_nulls", f"""WITH {_GAPPY}, r AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE)
+  ORDER BY ts NULLS FIRST, event_id) AS used FROM g) SELECT event_id, user_id, day, used, used <= 2 AS allowed FROM r""")
+def daily_quota_nulls(spark, d):
+    return ledger.daily_quota(_gappy(spark, d), "user_id", "ts", ["event_id"], 2).select("event_id", "user_id", "day", "used", "allowed")
+
+
 @register("latest_balance", f"WITH {_LEDGER} SELECT user_id, CAST(sum(delta) AS BIGINT) AS balance FROM l GROUP BY 1")
 def latest_balance(spark, d):
     return ledger.latest_balance(ledger.running_balance(views.ledger(spark, d)))

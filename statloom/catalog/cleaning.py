@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statloom.catalog import views
@@ -10,6 +11,7 @@ from statloom.catalog.views import table
 from statloom.functions import parsing, scalars as sc
 from statloom.operators import dedup, outliers, profile, summaries
 from statloom.plans import cleaning
+from statloom.plans.folder import HEADER, clean_folder as clean_files
 from statloom.sources import readers, sinks
 from statloom.session import checkpoint_folder, literal_rows
 
@@ -387,5 +389,59 @@ def csv_row_ids(spark, d):
 
 @register("clean_folder", """SELECT count(*) AS rows, 3 AS columns FROM customer GROUP BY c_custkey % 2""")
 def clean_folder(spark, d):
-    out = cleaning.clean_folder(readers.read_csv(spark, _csv_files(spark, d)), f"{checkpoint_folder(spark)}/cleaned-{uuid.uuid4().hex}")
+    out = clean_files(readers.read_csv(spark, _csv_files(spark, d)), f"{checkpoint_folder(spark)}/cleaned-{uuid.uuid4().hex}")
     return out.select("rows", F.col("columns").cast("int").alias("columns"))
+
+
+def _ragged(spark, d):
+    """Orders as CSV text in two folders whose files may share names: every third record has a cell beyond its header, every fifth a note of two lines."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 5 == 0, F.concat(F.lit('"say ""'), F.col("o_orderpriority"), F.lit('"",\n'), F.col("o_orderstatus"), F.lit('"'))).otherwise(F.col("o_orderpriority"))
+    line = F.concat_ws(",", k.cast("string"), note, F.format_string("%.2f", "o_totalprice"), F.when(k % 3 == 0, F.concat(F.lit("extra"), (k % 7).cast("string"))))
+    rows = table(spark, d, "orders").select((k % 2).alias("half"), line.alias("value"))
+    folder = f"{checkpoint_folder(spark)}/ragged-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        head = spark.range(1).select(F.lit('key,"no\nte",price').alias("value"))
+        part = head.unionByName(rows.where(F.col("half") == half).select("value"))
+        # one file: its header is its first line
+        part.coalesce(1).write.text(f"{folder}/{half}")
+    return f"{folder}/*"
+
+
+@register("csv_ragged", """SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'say "' || o_orderpriority || '",' || chr(10) || o_orderstatus ELSE o_orderpriority END AS note,
+  printf('%.2f', o_totalprice) AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'extra' || (o_orderkey % 7) END AS more, o_orderkey % 2 AS file,
+  row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) - 1 AS record FROM orders""")
+def csv_ragged(spark, d):
+    """No cell is lost: cells beyond the header, line breaks in quotes, a header of two lines; ids count the records of a file."""
+    out = readers.read_csv(spark, _ragged(spark, d))
+    ranked = out.withColumn("record", F.row_number().over(Window.partitionBy(readers.FILE, F.col("key").cast("long") % 2).orderBy(readers.ROW_ID)) - 1)
+    return ranked.select("key", F.col("no\nte").alias("note"), "price", F.col("_c3").alias("more"), (F.col("key").cast("long") % 2).alias("file"),
+                         F.col("record").cast("long").alias("record"))
+
+
+def _customer_files(spark, d):
+    """Two files of messy customers, both called part-...: one with all columns, one with other names for some of them."""
+    m = views.messy_customer(spark, d)
+    folder = f"{checkpoint_folder(spark)}/customers-{uuid.uuid4().hex}"
+    even, odd = m.where("c_custkey % 2 = 0"), m.where("c_custkey % 2 = 1")
+    even.write.option("header", True).option("escape", '"').csv(f"{folder}/even")
+    odd.select("c_custkey", F.col("raw_balance").alias("price.usd"), F.col("raw_segment").alias("sex"), "raw_blank").write.option("header", True).option("escape", '"').csv(f"{folder}/odd")
+    return folder
+
+
+@register("clean_folder_cells", f"""WITH v AS (SELECT c_custkey, c_custkey % 2 = 0 AS even, {_BALANCE} AS b, {_SEGMENT} AS s, {_MODE} AS m FROM customer),
+f AS (SELECT even, quantile_cont(b, 0.5) AS fb FROM v GROUP BY even),
+g AS (SELECT even, s AS fs FROM v WHERE s IS NOT NULL GROUP BY even, s QUALIFY row_number() OVER (PARTITION BY even ORDER BY count(*) DESC, s) = 1)
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN even THEN round(coalesce(b, fb), 4) END AS raw_balance, CASE WHEN NOT even THEN round(coalesce(b, fb), 4) END AS price,
+  CASE WHEN even THEN coalesce(s, fs) END AS raw_segment, CASE WHEN NOT even THEN coalesce(s, fs) END AS gender, CASE WHEN even THEN m END AS raw_mode
+FROM v JOIN f USING (even) JOIN g USING (even)""")
+def clean_folder_cells(spark, d):
+    """The cleaned cells of a folder: every file with its own types, fills and names, in one partitioned table."""
+    folder = _customer_files(spark, d)
+    merged = readers.read_csv(spark, [f"{folder}/even", f"{folder}/odd"], header=HEADER)
+    # the files of a folder count as one source
+    merged = merged.withColumn(readers.FILE, F.regexp_extract(readers.FILE, "/(even|odd)/", 1))
+    clean_files(merged, f"{folder}/out")
+    out = spark.read.parquet(f"{folder}/out/cleaned_data")
+    return rounded(out.select(F.col("c_custkey").cast("bigint").cast("string").alias("c_custkey"), "raw_balance", F.col("priceusd").alias("price"), "raw_segment", F.col("Gender").alias("gender"),
+                              "raw_mode"), "raw_balance", "price")

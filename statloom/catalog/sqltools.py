@@ -57,3 +57,54 @@ def average_ranks(table: str, value: str) -> str:
     """Subquery of (v, n, r): distinct values with counts and average ranks."""
     return (f"(SELECT v, n, sum(n) OVER (ORDER BY v) - n + (n + 1) / 2.0 AS r FROM "
             f"(SELECT {value} AS v, count(*) AS n FROM {table} GROUP BY 1))")
+
+
+# Coefficients of the rational approximations of the normal quantile of algorithm AS 241, lowest power first.
+_NEAR = ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
+          3.3430575583588128105e4, 2.5090809287301226727e3),
+         (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4,
+          2.8729085735721942674e4, 5.2264952788528545610e3))
+_TAIL = ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0,
+          2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+         (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2,
+          5.47593808499534494600e-4, 1.05075007164441684324e-9))
+_FAR = ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2,
+         1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+        (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5,
+         1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
+
+def _power_sum(coefficients, x: str) -> str:
+    out = repr(float(coefficients[-1]))
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {float(c)!r})"
+    return out
+
+
+def normal_quantile(p: str) -> str:
+    def ratio(pair, x):
+        return f"{_power_sum(pair[0], x)} / {_power_sum(pair[1], x)}"
+
+    q, r = f"(({p}) - 0.5)", f"sqrt(-ln(least({p}, 1 - ({p}))))"
+    side = f"CASE WHEN {q} < 0 THEN -1 ELSE 1 END"
+    return (f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(_NEAR, f'(0.180625 - {q} * {q})')} WHEN {r} <= 5 THEN ({side}) * {ratio(_TAIL, f'({r} - 1.6)')} "
+            f"ELSE ({side}) * {ratio(_FAR, f'({r} - 5)')} END")
+
+
+def shapiro_wilk(rows: str, by: str) -> str:
+    """Subquery (by, n, w, p) after Royston for samples of more than eleven values; `rows` selects the columns of `by` and x."""
+    def poly(coefficients, x):
+        return _power_sum(tuple(reversed(coefficients)), x)
+
+    a1 = poly((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0), "u")
+    a2 = poly((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0), "u")
+    mean, spread = poly((0.0038915, -0.083751, -0.31082, -1.5861), "ln(n)"), poly((0.0030302, -0.082676, -0.4803), "ln(n)")
+    half = normal_two_sided("z")
+    return f"""(SELECT {by}, n, w, CASE WHEN z >= 0 THEN half / 2 ELSE 1 - half / 2 END AS p FROM (SELECT *, {half} AS half FROM (
+SELECT *, (ln(1 - w) - {mean}) / exp({spread}) AS z FROM (
+SELECT {by}, n, pow((t - m1 * (y1 - x1) - m2 * (y2 - x2)) / sqrt((ssq - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * (y1 - x1) + a2 * (y2 - x2), 2) / ss AS w FROM (
+SELECT *, m1 / sqrt(ssq) + {a1} AS a1, m2 / sqrt(ssq) + {a2} AS a2 FROM (
+SELECT {by}, count(*) AS n, 1 / sqrt(count(*)) AS u, sum(m * x) AS t, sum(m * m) AS ssq, var_samp(x) * (count(*) - 1) AS ss, max(m) AS m1, max(m) FILTER (i = k - 1) AS m2,
+  min(x) AS x1, max(x) FILTER (i = 2) AS x2, max(x) FILTER (i = k - 1) AS y2, max(x) AS y1 FROM (
+SELECT *, {normal_quantile('(i - 0.375) / (k + 0.25)')} AS m FROM (
+SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY x) AS i, count(*) OVER (PARTITION BY {by}) AS k FROM ({rows}) WHERE x IS NOT NULL)) GROUP BY {by}))))))"""

@@ -428,13 +428,23 @@ _JB = """(SELECT n, n / 6.0 * (g1 * g1 + g2 * g2 / 4) AS jb, exp(-n / 12.0 * (g1
   FROM {t}, (SELECT avg({c}) AS m FROM {t})))"""
 
 
-@register("describe_with_normality", f"""SELECT d.*, j.p AS normality_p, CAST(NULL AS DOUBLE) AS shapiro_p FROM ({_describe_sql('lineitem', LINE_NUMS)}) d
-JOIN ({" UNION ALL ".join(f"SELECT '{c}' AS variable, round(p, 4) AS p FROM {_JB.format(c=c, t='lineitem')}" for c in LINE_NUMS)}) j USING (variable)""")
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS x FROM lineitem" for c in LINE_NUMS)
+
+
+@register("describe_with_normality", f"""SELECT d.*, j.p AS normality_p, round(w.p, 4) AS shapiro_p FROM ({_describe_sql('lineitem', LINE_NUMS)}) d
+JOIN ({" UNION ALL ".join(f"SELECT '{c}' AS variable, round(p, 4) AS p FROM {_JB.format(c=c, t='lineitem')}" for c in LINE_NUMS)}) j USING (variable)
+JOIN {q.shapiro_wilk(_LONG, "variable")} w USING (variable)""")
 def describe_normality(spark, d):
-    """More than 5,000 values at every scale, so Shapiro-Wilk stays null; see `shapiro_customer`."""
     return summaries.describe(table(spark, d, "lineitem"), LINE_NUMS, normality=True)
 
 
+@register("shapiro_lineitem", f"SELECT variable, n, round(w, 6) AS w, round(p, 6) AS p FROM {q.shapiro_wilk(_LONG, 'variable')}")
+def shapiro_lineitem(spark, d):
+    """W of whole columns of any length, with many ties."""
+    out = normality.shapiro_table(table(spark, d, "lineitem"), LINE_NUMS)
+    return out.select("variable", "n", F.round("w", 6).alias("w"), F.round("p", 6).alias("p"))
+
+
 @register("skew_notes", f"""SELECT variable, CASE WHEN abs(skewness) < 0.5 THEN 'approximately symmetric' WHEN skewness > 0 THEN
   'positively skewed' ELSE 'negatively skewed' END AS shape FROM ({_describe_sql('events', ['value', 'user_id'])})""")
 def skew_notes(spark, d):
@@ -450,7 +460,8 @@ def freq(spark, d):
 
 # --- normality, assumptions, selection -----------------------------------------------------
 
-@register("shapiro_customer")
+@register("shapiro_customer", f"""SELECT c_mktsegment, 'c_acctbal' AS variable, n, round(w, 4) AS w, round(p, 4) AS p
+FROM {q.shapiro_wilk("SELECT c_mktsegment, c_acctbal AS x FROM customer", "c_mktsegment")}""")
 def shapiro(spark, d):
     c = table(spark, d, "customer")
     return rounded(normality.shapiro_table(c, ["c_acctbal"], ["c_mktsegment"]), "w", "p")

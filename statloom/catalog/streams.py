@@ -1,9 +1,12 @@
 """Registered queries: streaming jobs drained over the event table."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statloom.catalog.accounts import _REPLAY
-from statloom.streaming import jobs
+from statloom.session import checkpoint_folder
+from statloom.streaming import jobs, profiles, timed
 
 QUERIES: dict = {}
 
@@ -50,16 +53,17 @@ def stream_sliding(spark, d):
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-def _ledger_stream(spark, d):
+def _ledger_stream(events):
+    """Rows that are no ledger rows have no delta; they still tell how far time has come."""
     size = F.ceil("value").cast("long")
     kind = F.col("event_type")
-    return jobs.event_stream(spark, d).where((kind != "error") & (size > 0)).select(
-        "user_id", "event_id", "ts", F.when(kind.isin("purchase", "signup"), size).otherwise(-size).alias("delta"))
+    delta = F.when(kind.isin("purchase", "signup"), size).when(kind != "error", -size)
+    return events.select("user_id", "event_id", "ts", F.when(size > 0, delta).alias("delta"))
 
 
 @register("stream_spend", f"{_REPLAY} SELECT user_id, event_id, delta, CAST(balance AS BIGINT) AS balance, accepted FROM r")
 def stream_spend(spark, d):
-    out = jobs.drain(jobs.spend_decisions(_ledger_stream(spark, d)))
+    out = closed(spark, d, lambda e: timed.spends_in_time(_ledger_stream(e)))
     return out.select("user_id", "event_id", "delta", "balance", "accepted")
 
 
@@ -89,13 +93,32 @@ def stream_payments(spark, d):
     AND floor(epoch(e.ts)) - floor(epoch(g.at_ts)) >= 7 * 86400) AS nxt FROM g) WHERE nxt IS NOT NULL)
 SELECT user_id AS enrolment, strftime(at_ts, '%Y-%m-%d %H:%M:%S') AS granted_at FROM g""")
 def stream_allowances(spark, d):
-    out = jobs.drain(jobs.allowance_grants(jobs.event_stream(spark, d), "user_id", 7))
+    out = closed(spark, d, lambda e: timed.grants_in_time(e, "user_id", 7))
     return out.withColumn("granted_at", F.date_format("granted_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@register("stream_profile", f"""WITH e AS (SELECT * FROM events)
-SELECT 'value' AS variable, count(*) AS rows, count(value) AS filled, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean FROM e
-UNION ALL SELECT 'user_id', count(*), count(user_id), CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(avg(user_id), 4) FROM e""")
+_PROFILE = """SELECT 'value' AS variable, count(*) AS rows, count(value) AS filled, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean{0} FROM events
+UNION ALL SELECT 'user_id', count(*), count(user_id), CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(avg(user_id), 4){0} FROM events"""
+
+
+def _near(out, events):
+    """Whether a sketch's distinct count lies within three standard errors of the exact one."""
+    exact = events.agg(*[F.countDistinct(c).alias(c) for c in ("value", "user_id")]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).alias("exact")) for c in ("value", "user_id")])))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= 3 * 0.83 / 2 ** (profiles.LG / 2) * F.col("exact")
+    return out.join(exact, "variable").withColumn("distinct_near", near).drop("distinct", "exact")
+
+
+@register("stream_profile", _PROFILE.format(", true AS distinct_near"))
 def stream_profile(spark, d):
     out = jobs.merge_profile(closed(spark, d, lambda e: jobs.profile_increments(e, ["value", "user_id"])))
-    return out.withColumn("mean", F.round("mean", 4)).drop("distinct")
+    return _near(out.withColumn("mean", F.round("mean", 4)), spark.read.parquet(f"{d}/events.parquet"))
+
+
+@register("stream_profile_kept", _PROFILE.format(", true AS distinct_near"))
+def stream_profile_kept(spark, d):
+    """The profile kept in a table, batch by batch."""
+    folder = f"{checkpoint_folder(spark)}/profile-{uuid.uuid4().hex}"
+    profiles.keep_profile(jobs.event_stream(spark, d), ["value", "user_id"], f"{folder}/table", f"{folder}/state").awaitTermination()
+    out = profiles.read_profile(spark, f"{folder}/table")
+    return _near(out.withColumn("mean", F.round("mean", 4)), spark.read.parquet(f"{d}/events.parquet"))

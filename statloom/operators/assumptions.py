@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from statloom import fixed_values as fv
 from statloom.functions.scalars import p_text
 from statloom.operators import comparisons, correlation, crosstab, outliers, regression
-from statloom.operators.normality import jarque_bera
+from statloom.operators.naming import col
+from statloom.operators.normality import shapiro_table
 from statloom.operators.summaries import numeric
 
 # Display names of the checks.
 CHECK_NAMES = {
     "sample_size": "Adequate sample size",
-    "normality": "Normality (Jarque-Bera)",
+    "normality": "Normality (Shapiro-Wilk)",
     "outliers": "No extreme outliers",
     "equal_variances": "Equal variances (Levene's test)",
     "residual_normality": "Normality of residuals",
@@ -43,7 +44,7 @@ def _check(df: DataFrame, test: str, check: str, passed: Column, measure: Column
 
 
 def sample_size_check(df: DataFrame, test: str, value: str) -> DataFrame:
-    n = numeric(df, [value]).agg(F.count(value).alias("n"))
+    n = numeric(df, [value]).agg(F.count(col(value)).alias("n"))
     ok = F.col("n") >= 30
     note = F.concat(F.format_string("N = %d. ", "n"),
                     F.when(ok, "Sufficient (≥ 30).").otherwise("Small sample — results may be unreliable."))
@@ -51,15 +52,15 @@ def sample_size_check(df: DataFrame, test: str, value: str) -> DataFrame:
 
 
 def normality_check(df: DataFrame, test: str, value: str, check: str = "normality") -> DataFrame:
-    """Decided on the whole column; no row is left out."""
-    jb = jarque_bera(numeric(df, [value]), [value]).where("n >= 3")
+    """Shapiro-Wilk on the whole column; no row is left out."""
+    sw = shapiro_table(numeric(df, [value]), [value]).where("n >= 3")
     ok = F.col("p") > 0.05
     if check == "normality":
         tail = F.when(ok, ". Distribution appears normal.").otherwise(". Distribution is not normal.")
-        note = F.concat(F.format_string("JB = %.3f, ", "jb"), p_text(F.col("p")), tail)
+        note = F.concat(F.format_string("W = %.3f, ", "w"), p_text(F.col("p")), tail)
     else:
-        note = F.concat(F.format_string("Jarque-Bera on residuals: JB = %.3f, ", "jb"), p_text(F.col("p")))
-    return _check(jb, test, check, ok, F.col("jb"), note)
+        note = F.concat(F.format_string("Shapiro-Wilk on residuals: W = %.3f, ", "w"), p_text(F.col("p")))
+    return _check(sw, test, check, ok, F.col("w"), note)
 
 
 def outlier_check(df: DataFrame, test: str, value: str) -> DataFrame:
@@ -67,7 +68,7 @@ def outlier_check(df: DataFrame, test: str, value: str) -> DataFrame:
     q = outliers.quantiles(numeric(df, [value]), [value], [0.25, 0.75])
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     lim = q.select(F.struct((q1 - 3 * (q3 - q1)).alias("low"), (q3 + 3 * (q3 - q1)).alias("high"))).scalar()
-    x = F.col(value)
+    x = col(value)
     n = numeric(df, [value]).agg(F.count_if((x < lim["low"]) | (x > lim["high"])).alias("n"))
     ok = F.col("n") == 0
     note = F.when(ok, F.lit("No extreme outliers found.")).otherwise(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statloom.functions.scalars import r4
 from statloom.functions.tails import normal_quantile, t_quantile
 from statloom.operators import crosstab, regression
+from statloom.operators.naming import plain_names
 from statloom.operators.ranks import cumulative, quantiles, value_table
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import group_summary, numeric
@@ -25,6 +26,7 @@ def _stats(num: DataFrame, value: str) -> DataFrame:
     return base.withColumn("q", q.scalar())
 
 
+@plain_names("value")
 def histogram(df: DataFrame, value: str) -> DataFrame:
     """Automatic bins: the narrower of the Sturges and Freedman-Diaconis widths; empty bins are kept."""
     num = numeric(df, [value]).where(F.col(value).isNotNull())
@@ -51,6 +53,7 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
         "mean", "median")
 
 
+@plain_names("value", "group")
 def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, whiskers at the furthest points inside 1.5 IQR, and the count of points beyond them."""
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -65,6 +68,7 @@ def box_plot(df: DataFrame, value: str, group: str) -> DataFrame:
         F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.count_if(~inside).alias("fliers"))
 
 
+@plain_names("value", "group", "row_id")
 def box_fliers(df: DataFrame, value: str, group: str, row_id: list[str]) -> DataFrame:
     """The points beyond the whiskers."""
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -75,6 +79,7 @@ def box_fliers(df: DataFrame, value: str, group: str, row_id: list[str]) -> Data
             .select(*row_id, F.col(group).alias("grp"), F.col(value).alias("value")))
 
 
+@plain_names("value")
 def qq_points(df: DataFrame, value: str) -> DataFrame:
     """Normal quantile plot: order-statistic medians against values, one point per row.
 
@@ -102,6 +107,7 @@ def qq_line(points: DataFrame) -> DataFrame:
                       F.corr("observed", "theoretical").alias("r"))
 
 
+@plain_names("column")
 def shares(df: DataFrame, column: str) -> DataFrame:
     """Bar heights and pie shares."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("category")).agg(
@@ -120,6 +126,7 @@ def mean_intervals(df: DataFrame, value: str, group: str) -> DataFrame:
                                                   (F.col("mean") + half).alias("high"))
 
 
+@plain_names("value", "group")
 def density(df: DataFrame, value: str, group: str | None = None, cells: int = 512, grid: int = 100) -> DataFrame:
     """Gaussian density on an even grid, Scott bandwidth, from binned counts.
 
@@ -146,6 +153,7 @@ def density(df: DataFrame, value: str, group: str | None = None, cells: int = 51
     return at.groupBy(*by, "_i").agg(F.first("x").alias("x"), F.sum(weight).alias("density")).drop("_i")
 
 
+@plain_names("x", "y")
 def scatter_cells(df: DataFrame, x: str, y: str, cells: int = 100) -> DataFrame:
     """Scatter plot of every complete row: an even grid of `cells` by `cells`, with the rows and mean point of each filled cell."""
     rows = numeric(df, [x, y]).dropna(subset=[x, y])
@@ -159,6 +167,7 @@ def scatter_cells(df: DataFrame, x: str, y: str, cells: int = 100) -> DataFrame:
         F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"))
 
 
+@plain_names("dependent", "predictor")
 def regression_band(df: DataFrame, dependent: str, predictor: str, points: int = 200) -> DataFrame:
     """Line and 95 % band on an even grid over the predictor's range."""
     rows = regression.complete_rows(df, dependent, [predictor])

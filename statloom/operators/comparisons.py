@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from statloom.functions.scalars import effect_label, p_text, r4, stars
 from statloom.functions.tails import chi2_upper, f_upper, normal_quantile, normal_upper, t_quantile, t_two_sided
+from statloom.operators.naming import plain_names
 from statloom.operators.ranks import average_ranks, counted_quantiles, value_table, with_ranks
 from statloom.operators.skew import every_pair, lookup_by_key
 from statloom.operators.summaries import group_medians, group_summary, numeric
@@ -28,6 +29,7 @@ def two_group_row(groups: DataFrame, by: list[str]) -> DataFrame:
                                    F.max_by(pack, "grp").alias("b"))
 
 
+@plain_names("value", "group", "by")
 def t_test(df: DataFrame, value: str, group: str, by: list[str] = (), alpha: float = 0.05) -> DataFrame:
     """Pooled and Welch t side by side; segments without exactly two groups carry an error text instead."""
     by = list(by)
@@ -81,12 +83,14 @@ def anova_from_groups(groups: DataFrame, by: list[str] = ()) -> DataFrame:
             .withColumn("p_value", f_upper("f_statistic", d1, d2)))
 
 
+@plain_names("value", "group", "by")
 def anova(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     out = anova_from_groups(group_summary(df, value, group, by), by).drop("smallest")
     return (out.withColumn("effect_size", effect_label("eta_squared", F.col("eta_squared")))
             .withColumn("significance", stars(F.col("p_value"))).withColumn("p_display", p_text(F.col("p_value"))))
 
 
+@plain_names("value", "group", "by")
 def pairwise_t(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """Bonferroni-adjusted pooled t for every pair of groups; joins group rows in spread pieces, never detail rows."""
     by = list(by)
@@ -108,6 +112,7 @@ def pairwise_t(df: DataFrame, value: str, group: str, by: list[str] = ()) -> Dat
             .withColumn("significant", F.when(F.col("p_bonferroni") < 0.05, "Yes").otherwise("No")))
 
 
+@plain_names("value", "group", "by")
 def levene(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """Equality of variances: F test on distances from the group medians. Null where a group has one row."""
     by = list(by)
@@ -143,6 +148,7 @@ def _exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([_exact_two_sided(*x) if x else None for x in cap], dtype="float64")
 
 
+@plain_names("value", "group", "by")
 def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """U of the first group (by value), tie-corrected normal p with continuity, exact p for small untied groups."""
     by = list(by)
@@ -182,6 +188,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = ()) -> D
             .withColumn("p_display", p_text(F.col("p_value"))))
 
 
+@plain_names("value", "group", "by")
 def kruskal(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """Tie-corrected H, its chi-square p and the eta squared of H."""
     by = list(by)
@@ -204,6 +211,7 @@ def kruskal(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFr
             .withColumn("p_display", p_text(F.col("p_value"))).withColumn("n", n.cast("long")).drop("_s", "ties"))
 
 
+@plain_names("items", "by")
 def reliability(df: DataFrame, items: list[str], by: list[str] = ()) -> DataFrame:
     """Cronbach's alpha over complete rows, item variances from one aggregate."""
     by = list(by)
@@ -220,6 +228,7 @@ def reliability(df: DataFrame, items: list[str], by: list[str] = ()) -> DataFram
     return out.withColumn("effect_size", effect_label("alpha", F.col("alpha")))
 
 
+@plain_names("items", "by", told=("item",))
 def item_totals(df: DataFrame, items: list[str], by: list[str] = ()) -> DataFrame:
     """Variance of each item and its correlation with the sum of the others."""
     by = list(by)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from statloom.functions.scalars import p_text, stars, strength_text
 from statloom.functions.tails import t_two_sided
+from statloom.operators.naming import plain_names
 from statloom.operators.ranks import average_ranks
 from statloom.operators.skew import lookup_by_key
 from statloom.operators.summaries import numeric
 
 
+@plain_names("columns", "by", told=("variable_1", "variable_2"))
 def correlate(complete: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """All pairs in one aggregate over complete rows, then p from the t transform of r."""
     by = list(by)
@@ -25,10 +27,12 @@ def correlate(complete: DataFrame, columns: list[str], by: list[str] = ()) -> Da
             .withColumn("significance", stars(F.col("p_value"))).withColumn("strength", strength_text(F.col("r"))))
 
 
+@plain_names("columns", "by", told=("variable_1", "variable_2"))
 def pearson(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     return correlate(numeric(df, columns).select(*by, *columns).dropna(subset=columns), columns, by)
 
 
+@plain_names("columns", "by", told=("variable_1", "variable_2"))
 def spearman(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """Pearson on average ranks; only the ranks of distinct values are written, the rows look them up in one plan."""
     by = list(by)

@@ -5,15 +5,18 @@ from pyspark.sql import functions as F
 
 from statloom.functions.scalars import effect_label, p_text, r4, stars
 from statloom.functions.tails import chi2_upper
+from statloom.operators.naming import plain_names
 from statloom.operators.skew import every_pair, lookup_by_key, null_safe_join
 from statloom.session import settle
 
 
+@plain_names("var1", "var2", "by")
 def counts(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
     return (df.where(F.col(var1).isNotNull() & F.col(var2).isNotNull())
             .groupBy(*by, F.col(var1).alias("v1"), F.col(var2).alias("v2")).agg(F.count("*").alias("n")))
 
 
+@plain_names("var1", "var2")
 def with_margins(df: DataFrame, var1: str, var2: str) -> DataFrame:
     """Cells, row totals, column totals and the grand total in long form."""
     cells = counts(df, var1, var2)
@@ -23,6 +26,7 @@ def with_margins(df: DataFrame, var1: str, var2: str) -> DataFrame:
     return cube.select("row_label", "col_label", "n")
 
 
+@plain_names("var1", "var2")
 def wide(df: DataFrame, var1: str, var2: str, levels: list | None = None) -> DataFrame:
     """One row per level of the first variable, one column per level of the second."""
     return counts(df, var1, var2).groupBy("v1").pivot("v2", levels).agg(F.sum("n")).na.fill(0)
@@ -45,18 +49,21 @@ def grid(cells: DataFrame, by: list[str] = ()) -> DataFrame:
                        expected.alias("expected"))
 
 
+@plain_names("var1", "var2", "by")
 def residuals(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
     """Observed, expected and standardised residual of every cell."""
     g = grid(settle(counts(df, var1, var2, by)), by)
     return g.withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
 
 
+@plain_names("var1", "var2")
 def row_percents(df: DataFrame, var1: str, var2: str) -> DataFrame:
     cells = settle(counts(df, var1, var2))
     rows = cells.groupBy("v1").agg(F.sum("n").alias("row_n"))
     return lookup_by_key(cells, rows, ["v1"]).select("v1", "v2", "n", (F.col("n") * 100.0 / F.col("row_n")).alias("percent"))
 
 
+@plain_names("var1", "var2", "by")
 def chi_square(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataFrame:
     """Chi-square of independence (continuity-corrected at one degree of freedom) with Cramér's V.
 
@@ -97,5 +104,6 @@ def chi_square(df: DataFrame, var1: str, var2: str, by: list[str] = ()) -> DataF
             .drop("_dim"))
 
 
+@plain_names("var1", "var2")
 def expected_table(df: DataFrame, var1: str, var2: str) -> DataFrame:
     return residuals(df, var1, var2).select("v1", "v2", "n", r4("expected").alias("expected"))

@@ -4,16 +4,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statloom.operators.naming import col, unused
 from statloom.operators.skew import lookup_by_key
 
 
-def drop_duplicates(df: DataFrame, columns: list[str], row_id: str, keep: str = "first") -> DataFrame:
+def drop_duplicates(df: DataFrame, columns: list[str], row_id: str, keep: str = "first", copies: str | None = None) -> DataFrame:
     """One row per distinct content, with the smallest (first) or largest (last) row id of its copies.
 
-    A plain group-by: copies are combined before the shuffle, however many there are. Nulls equal nulls.
+    A plain group-by: copies are combined before the shuffle, however many there are. Nulls equal nulls. `copies` names a column for
+    the number of rows that each one stands for.
     """
-    pick = F.min(row_id) if keep == "first" else F.max(row_id)
-    return df.groupBy(*columns).agg(pick.alias(row_id)).select(row_id, *columns)
+    pick = F.min(col(row_id)) if keep == "first" else F.max(col(row_id))
+    aggs = [pick.alias(row_id)] + ([F.count("*").alias(copies)] if copies else [])
+    return df.groupBy(*[col(c) for c in columns]).agg(*aggs).select(*[col(c) for c in (row_id, *columns, *([copies] if copies else []))])
 
 
 def exact(column: Column, kind: T.DataType) -> Column:
@@ -33,7 +36,7 @@ def exact(column: Column, kind: T.DataType) -> Column:
 
 def digest(df: DataFrame, columns: list[str]) -> Column:
     """A 256-bit key of a row's content, so that long texts are hashed where they are read and never shuffled."""
-    parts = [exact(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(columns)]
+    parts = [exact(col(c), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(columns)]
     return F.unhex(F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
 
 
@@ -42,10 +45,11 @@ def flag_duplicates(df: DataFrame, columns: list[str], row_id: str) -> DataFrame
 
     Contents are counted by digest and only those with copies are looked up.
     """
-    keyed = df.withColumn("_digest", digest(df, columns))
-    copied = keyed.groupBy("_digest").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    out = lookup_by_key(keyed, copied, ["_digest"], "left")
-    return out.select(*df.columns, F.col("_copies").isNotNull().alias("_duplicate_flag"))
+    key, copies = unused("_digest", df.columns), unused("_copies", df.columns)
+    keyed = df.withColumn(key, digest(df, columns))
+    copied = keyed.groupBy(key).agg(F.count("*").alias(copies)).where(F.col(copies) > 1)
+    out = lookup_by_key(keyed, copied, [key], "left")
+    return out.select(*[col(c) for c in df.columns], F.col(copies).isNotNull().alias("_duplicate_flag"))
 
 
 def duplicate_count(df: DataFrame, columns: list[str]) -> DataFrame:

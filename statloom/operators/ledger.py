@@ -3,13 +3,14 @@
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
 from statloom.functions.scalars import format_price
-from statloom.operators.prefix import running_sum
-from statloom.session import literal_rows
+from statloom.operators.prefix import in_units, running_sum
+from statloom.session import literal_rows, settle
 
 
 def lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -68,8 +69,8 @@ def replay_spends(ledger: DataFrame, ts: str = "ts", tie: str = "event_id") -> D
     """Accept a spend only while the balance covers it; rejected rows leave the balance unchanged.
 
     Each decision depends on the one before it, so a user's rows stay in order in one sorted stream. Rows pass
-    through in Arrow batches with one number carried over, so a user of any size needs no more memory. Users who
-    never overdraw are settled by `running_balance` alone; see `replay_by_need`.
+    through in Arrow batches with one number carried over, so a user of any size needs no more memory. `replay_by_need` gives
+    the same in many tasks per user.
     """
     rows = ledger.select("user_id", ts, tie, F.col("delta").cast("long").alias("delta"))
     types = dict(rows.dtypes)
@@ -78,18 +79,77 @@ def replay_spends(ledger: DataFrame, ts: str = "ts", tie: str = "event_id") -> D
     return rows.repartition("user_id").sortWithinPartitions("user_id", ts, tie).mapInPandas(_replay, schema)
 
 
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Balance with which each unit of an account begins. Units come in order, calm ones as their sum alone, others row by row."""
+    now, unit, balance = None, None, 0
+    for batch in batches:
+        out = []
+        for missing, user, of, calm, delta in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (missing, user):
+                now, unit, balance = (missing, user), None, 0
+            if of != unit:
+                unit = of
+                out.append((missing, user, of, balance))
+            if calm or delta >= 0 or balance + delta >= 0:
+                balance += delta
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.int64(), pa.int64()))],
+                                         names=["_none", "_user", "_unit", "_begin"])
+
+
+def _replay_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fold within units whose first balance is known; rows come in order."""
+    now, balance = None, 0
+    for batch in batches:
+        after, ok, short = [], [], []
+        places = [batch.schema.get_field_index(c) for c in ("_none", "_user", "_unit", "_begin", "delta")]
+        for *unit, begin, delta in zip(*(batch.column(i).to_pylist() for i in places)):
+            if now != unit:
+                now, balance = unit, begin
+            fits = delta >= 0 or balance + delta >= 0
+            short.append(0 if fits else -delta - balance)
+            balance += delta if fits else 0
+            after.append(balance)
+            ok.append(fits)
+        keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_none", "_user", "_unit", "_begin", "_at")]
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(after, pa.int64()), pa.array(ok, pa.bool_()), pa.array(short, pa.int64())],
+                                         names=[batch.schema.names[i] for i in keep] + ["balance", "accepted", "shortfall"])
+
+
 def replay_by_need(ledger: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """The same result, with the ordered fold kept to users whose plain running balance dips below zero.
+    """The same result with the ordered fold kept to the runs of rows in which a spend may be rejected.
 
-    A hot account that is always in credit is spread over many tasks by the running sum.
+    The ledger is written in order and cut into units, short runs of one account's rows. Each is reduced to its sum and its least prefix sum. A balance
+    that is cut off at zero instead of rejecting spends is never above the true one and is a prefix minimum of the sums; where it
+    covers a unit's least prefix nothing is rejected there. Accounts without a doubtful unit are settled by sums. In the others one pass per
+    account adds up calm units by their sum and folds the rows of doubtful ones, which tells the balance at the start of each unit; then all units,
+    doubtful ones included, are finished side by side. Nulls: see `running_sum`; a null delta changes nothing.
     """
-    plain = running_sum(ledger.select("user_id", ts, tie, F.col("delta").cast("long").alias("delta")),
-                        ["user_id"], ts, [tie], F.col("delta"), "balance")
-    dips = plain.groupBy("user_id").agg(F.min("balance").alias("_low")).where("_low < 0").select("user_id")
-    calm = plain.join(dips, "user_id", "left_anti").select(
-        "user_id", ts, tie, "delta", "balance", F.lit(True).alias("accepted"),
-        F.lit(0).cast("long").alias("shortfall"))
-    return calm.unionByName(replay_spends(ledger.join(dips, "user_id", "left_semi"), ts, tie))
+    delta = F.coalesce(F.col("delta").cast("long"), F.lit(0).cast("long"))
+    rows = in_units(ledger.select("user_id", ts, tie, delta.alias("delta")), ["user_id", ts, tie, "delta"])
+    rows = rows.withColumns({"_none": F.col("user_id").isNull(), "_user": F.coalesce(F.col("user_id").cast("string"), F.lit(""))})
+    unit, account = ["_none", "_user", "_unit"], ["_none", "_user"]
+    inside = Window.partitionBy(*unit).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    units = rows.withColumn("_run", F.sum("delta").over(inside)).groupBy(*unit).agg(F.sum("delta").alias("_sum"), F.min("_run").alias("_low"))
+    earlier = Window.partitionBy(*account).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("_in", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    units = units.withColumn("_dip", F.coalesce(F.min(F.col("_in") + F.col("_low")).over(earlier), F.lit(0)))
+    calm = F.col("_in") - F.least(F.lit(0), F.col("_dip")) + F.least(F.lit(0), F.col("_low")) >= 0
+    units = settle(units.withColumn("_calm", calm))
+    doubtful = settle(units.where("NOT _calm").select(*account).distinct())
+    settled = units.join(doubtful, account, "left_anti").select(*unit, "_calm", F.col("_in").alias("_begin"))
+    open_ = units.join(doubtful, account, "left_semi")
+    sums = open_.where("_calm").select(*account, "_unit", F.lit(True).alias("_calm"), F.col("_sum").alias("delta"), F.lit(0).cast("long").alias("_at"))
+    single = rows.join(open_.where("NOT _calm").select(*unit), unit, "left_semi").select(*account, "_unit", F.lit(False).alias("_calm"), "delta", "_at")
+    chain = sums.unionByName(single).repartition(*account).sortWithinPartitions(*account, "_unit", "_at").drop("_at")
+    begins = chain.mapInArrow(_starts, "_none boolean, _user string, _unit long, _begin long")
+    begins = settle(settled.unionByName(begins.join(open_.select(*unit, "_calm"), unit)))
+    met = rows.join(begins, unit)
+    easy = met.where("_calm").select("user_id", ts, tie, "delta", (F.col("_begin") + F.sum("delta").over(inside)).alias("balance"),
+                                     F.lit(True).alias("accepted"), F.lit(0).cast("long").alias("shortfall"))
+    hard = met.where("NOT _calm").select("user_id", ts, tie, "delta", *unit, "_begin", "_at").repartition(*unit).sortWithinPartitions(*unit, "_at")
+    types = dict(rows.dtypes)
+    schema = f"user_id {types['user_id']}, `{ts}` {types[ts]}, `{tie}` {types[tie]}, delta long, balance long, accepted boolean, shortfall long"
+    return easy.unionByName(hard.mapInArrow(_replay_units, schema))
 
 
 def charge(requests: DataFrame, analysis: str, predictors: Column, role: Column, user: Column) -> DataFrame:

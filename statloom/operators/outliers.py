@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
+from statloom.operators.naming import col, plain_names
 from statloom.operators.ranks import counted, quantiles
 from statloom.operators.skew import null_safe_join
 from statloom.operators.summaries import numeric
@@ -11,6 +12,7 @@ from statloom.operators.summaries import numeric
 MIN_VALUES = 4
 
 
+@plain_names("columns", "by", told=("variable",))
 def fences(df: DataFrame, columns: list[str], method: str = "iqr", factor: float = fv.OUTLIER_FACTOR,
            by: list[str] = ()) -> DataFrame:
     """(by, variable, low, high); null fences where a column has no spread or fewer than four values."""
@@ -37,6 +39,7 @@ def _one_row(limits: DataFrame) -> DataFrame:
         F.struct("variable", F.struct("low", "high")))).alias("m"))
 
 
+@plain_names("columns", "row_id", told=("variable",))
 def outlier_rows(df: DataFrame, columns: list[str], row_id: str, method: str = "iqr",
                  factor: float = fv.OUTLIER_FACTOR) -> DataFrame:
     """Long outlier report (row id, column, value): one scan, compared with the fences as a scalar map."""
@@ -52,10 +55,19 @@ def outlier_rows(df: DataFrame, columns: list[str], row_id: str, method: str = "
             .select(row_id, F.inline("_hits")))
 
 
+def rows_beyond(df: DataFrame, limits: dict[str, tuple[float, float]], row_id: str) -> DataFrame:
+    """The outlier report for fences that are known already, a pair per column."""
+    num = numeric(df, list(limits))
+    hits = [F.when((col(c) < low) | (col(c) > high), F.struct(F.lit(c).alias("variable"), col(c).alias("value"))) for c, (low, high) in limits.items()]
+    none = F.array().cast("array<struct<variable:string,value:double>>")
+    return num.select(col(row_id), (F.array_compact(F.array(*hits)) if hits else none).alias("_hits")).select(col(row_id), F.inline("_hits"))
+
+
 def outlier_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("variable").agg(F.count("*").alias("outliers"))
 
 
+@plain_names("numeric_cols", "category_cols", told=("variable",))
 def fill_values(df: DataFrame, numeric_cols: list[str], category_cols: list[str], strategy: str = "median") -> DataFrame:
     """(variable, fill_number, fill_text): the value that replaces missing cells, null for empty columns."""
     parts = []
@@ -95,14 +107,14 @@ def impute(df: DataFrame, numeric_cols: list[str], category_cols: list[str], str
         F.struct("variable", F.struct("fill_number", "fill_text")))).alias("m"))
     fill = packed.select("m").scalar()
     num = numeric(df, numeric_cols)
-    exprs = {c: F.coalesce(F.col(c), F.element_at(fill, F.lit(c))["fill_number"]) for c in numeric_cols}
-    exprs |= {c: F.coalesce(F.col(c), F.element_at(fill, F.lit(c))["fill_text"]) for c in category_cols}
+    exprs = {c: F.coalesce(col(c), F.element_at(fill, F.lit(c))["fill_number"]) for c in numeric_cols}
+    exprs |= {c: F.coalesce(col(c), F.element_at(fill, F.lit(c))["fill_text"]) for c in category_cols}
     return num.withColumns(exprs)
 
 
 def log_transform(df: DataFrame, column: str) -> DataFrame:
     """Add `<column>_log`; a column with a value at or below zero is first moved so that its minimum is one."""
     num = numeric(df, [column])
-    low = num.agg(F.min(column)).scalar()
+    low = num.agg(F.min(col(column))).scalar()
     shift = F.when(low <= 0, 1 - low).otherwise(F.lit(0.0))
-    return num.withColumn(f"{column}_log", F.ln(F.col(column) + shift))
+    return num.withColumn(f"{column}_log", F.ln(col(column) + shift))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
 from statloom.functions.parsing import is_boolean_token, parse_date, parse_number
+from statloom.operators.naming import plain_names
 
 
+@plain_names("columns", "row_id", "by", told=("variable",))
 def value_counts(df: DataFrame, columns: list[str], row_id: str, by: list[str] = ()) -> DataFrame:
     """(by, variable, value, n, first_row) of the text form of every column; missing cells stay as null values."""
     by = list(by)
@@ -90,7 +92,7 @@ def mixed_columns(counts: DataFrame, by: list[str] = ()) -> DataFrame:
         *by, "variable", "numeric_cells", "filled", F.array_join("samples", ", ").alias("samples"))
 
 
-def _top_values(counts: DataFrame, by: list[str]) -> DataFrame:
+def top_values(counts: DataFrame, by: list[str]) -> DataFrame:
     """The three most frequent values of each column as one text."""
     order = Window.partitionBy(*by, "variable").orderBy(F.desc("n"), "value")
     ranked = counts.where(F.col("value").isNotNull()).withColumn("_rn", F.row_number().over(order)).where("_rn <= 3")
@@ -98,14 +100,14 @@ def _top_values(counts: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "variable").agg(F.array_join(F.transform(packed, lambda x: x["value"]), ", ").alias("top"))
 
 
-def _summary_rows(stats: DataFrame, top: DataFrame, types: DataFrame, by: list[str]) -> DataFrame:
+def summary_rows(stats: DataFrame, top: DataFrame, types: DataFrame, by: list[str]) -> DataFrame:
     full = stats.join(top, [*by, "variable"], "left").join(types, [*by, "variable"], "left")
     sample = (F.when(F.col("type").isin("numeric", "ordinal"),
                      F.format_string("min=%.2f · max=%.2f · mean=%.2f", "min", "max", "mean"))
               .when(F.col("type") == "categorical", F.concat(F.lit("Top: "), F.coalesce("top", F.lit(""))))
               .otherwise(F.coalesce("first_value", F.lit("—"))))
     return full.select(*by, "variable", "type", "mixed", "missing",
-                       F.round(F.col("missing") * 100.0 / F.col("rows"), 1).alias("missing_percent"),
+                       F.coalesce(F.round(F.try_divide(F.col("missing") * 100.0, F.col("rows")), 1), F.lit(0.0)).alias("missing_percent"),
                        "distinct", F.substring(sample, 1, 80).alias("sample"))
 
 
@@ -124,7 +126,7 @@ def column_summary(counts: DataFrame, types: DataFrame, by: list[str] = ()) -> D
         F.count_if(held).alias("distinct"), F.min("number").alias("min"), F.max("number").alias("max"),
         F.try_divide(F.sum(F.col("number") * n), F.sum(F.when(F.col("number").isNotNull(), n))).alias("mean"),
         F.min_by(F.when(held, F.col("value")), F.when(held, F.col("first_row"))).alias("first_value"))
-    return _summary_rows(stats, _top_values(counts, by), types, by)
+    return summary_rows(stats, top_values(counts, by), types, by)
 
 
 def fast_summary(df: DataFrame, columns: list[str], row_id: str, types: DataFrame, categories: list[str]) -> DataFrame:
@@ -144,10 +146,10 @@ def fast_summary(df: DataFrame, columns: list[str], row_id: str, types: DataFram
             F.min_by(s, F.when(s.isNotNull(), F.col(row_id))).alias("first_value")))
     stats = df.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))
     if categories:
-        top = _top_values(value_counts(df, categories, row_id), [])
+        top = top_values(value_counts(df, categories, row_id), [])
     else:
         top = stats.select("variable", F.lit("").alias("top")).limit(0)
-    return _summary_rows(stats, top, types, [])
+    return summary_rows(stats, top, types, [])
 
 
 def fast_profile(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.operators.bucketing import bucket_of, cut_points
+from statloom.operators.naming import plain_names
 from statloom.operators.skew import null_safe_join
 from statloom.session import settle
 
 # A search interval with at most this many rows is not narrowed further.
 NARROW_ROWS = 2_000_000
+# So many rows of an interval are sorted in one aggregate; more are counted by value and written.
+SORT_ROWS = 20_000
 # Steps of the quantile grid that a sketch is asked for.
 GRID = 200
 
@@ -48,6 +51,7 @@ def value_table(df: DataFrame, value: str, by: list[str] = (), keep: list[str] =
     return settle(counted(df, value, by, keep))
 
 
+@plain_names("value", "by", "keep")
 def average_ranks(df: DataFrame, value: str, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """Rank of each distinct value, ties sharing the mean of their positions."""
     return with_ranks(value_table(df, value, by, keep), value, by, keep)
@@ -57,6 +61,7 @@ def with_ranks(counts: DataFrame, value: str, by: list[str] = (), keep: list[str
     return cumulative(counts, value, by, keep).withColumn("rank", F.col("below") + (F.col("tie") + 1) / 2)
 
 
+@plain_names("values", "by", told=("variable",))
 def quantiles(df: DataFrame, values: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (by, column), column `q` an array in order of `probs`.
 
@@ -130,7 +135,8 @@ def _narrowed(df: DataFrame, values: list[str], probs: list[float]) -> DataFrame
     says. A round narrows an interval or finds that it cannot be narrowed, so the rounds end; what remains is counted by
     value and read out of the cumulative counts, however much it is.
     """
-    data = df.select(*[F.col(v).cast("double").alias(v) for v in values])
+    # what is not a number has no place in an order
+    data = df.select(*[F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double")).alias(v) for v in values])
     first = data.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
                                 _grid(F.col(v), F.count(v)).alias("grid")).alias(v) for v in values]).first()
     targets = []
@@ -141,7 +147,12 @@ def _narrowed(df: DataFrame, values: list[str], probs: list[float]) -> DataFrame
         _round(data, live)
     hits = [F.when(F.col(t.value).between(t.low, t.high), F.struct(F.lit(i).alias("target"), F.col(t.value).alias("x")))
             for i, t in enumerate(targets) if t.low != t.high]
-    one = _search(data, targets, hits) if hits else df.sparkSession.range(1)
+    if not hits:
+        one = df.sparkSession.range(1)
+    elif max(t.inside for t in targets if t.low != t.high) <= SORT_ROWS:
+        one = _sorted(data, targets)
+    else:
+        one = _search(data, targets, hits)
     q = [F.lit(t.low).cast("double") if t.low == t.high else F.col(f"q{i}") for i, t in enumerate(targets)]
     step = len(probs)
     rows = [F.when(F.lit(targets[i].inside > 0), F.struct(F.lit(targets[i].value).alias("variable"), F.array(*q[i:i + step]).alias("q")))
@@ -150,6 +161,20 @@ def _narrowed(df: DataFrame, values: list[str], probs: list[float]) -> DataFrame
     return one.select(F.inline(F.array(*rows)))
 
 
+def _sorted(data: DataFrame, targets: list[_Target]) -> DataFrame:
+    """The same for intervals that are known to hold few rows: one scan, each interval's values sorted in the aggregate."""
+    aggs, out = [], []
+    for i, t in enumerate(targets):
+        if t.low == t.high:
+            continue
+        at = t.at - t.below
+        inside = F.when(F.col(t.value).between(t.low, t.high), F.col(t.value))
+        aggs.append(F.sort_array(F.collect_list(inside)).alias(f"_s{i}"))
+        lo, hi = F.get(f"_s{i}", F.lit(math.floor(at))), F.get(f"_s{i}", F.lit(math.ceil(at)))
+        out.append((lo + (hi - lo) * (at - math.floor(at))).alias(f"q{i}"))
+    return data.agg(*aggs).select(*out)
+
+
 def _search(data: DataFrame, targets: list[_Target], hits: list[Column]) -> DataFrame:
     """One row with the interpolated value of every target, from the sorted rows of the final intervals."""
     left = settle(data.select(F.inline(F.array_compact(F.array(*hits)))).groupBy("target", "x").agg(F.count("*").alias("n")))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from statloom.functions import special
 from statloom.functions.scalars import p_text, r4, stars
+from statloom.operators.naming import col, plain_names
 from statloom.operators.summaries import numeric
 
 _COEF = ("predictor string, position int, b double, std_error double, t double, p double, n long, k int, "
          "r_squared double, adj_r_squared double, f_statistic double, f_p double, mse double, mean_x double, sxx double")
 
 
+@plain_names("dependent", "predictors", "by")
 def complete_rows(df: DataFrame, dependent: str, predictors: list[str], by: list[str] = ()) -> DataFrame:
     cols = [dependent, *predictors]
     return numeric(df, cols).select(*by, *cols).dropna(subset=cols)
@@ -54,6 +56,7 @@ def _fit(n: int, means: np.ndarray, packed: np.ndarray, names: list[str]) -> lis
     return out
 
 
+@plain_names("dependent", "predictors", "by", told=("predictor",))
 def coefficients(df: DataFrame, dependent: str, predictors: list[str], by: list[str] = ()) -> DataFrame:
     """One row per coefficient, the model figures repeated on each."""
     by = list(by)
@@ -73,9 +76,14 @@ def coefficients(df: DataFrame, dependent: str, predictors: list[str], by: list[
     return rows.mapInPandas(fit, schema)
 
 
+def _segments(coefs: DataFrame, by: list[str]) -> list:
+    """The segment columns of a coefficient table, which come first and may have got another name."""
+    return [col(c) for c in coefs.columns[:len(by)]]
+
+
 def coef_table(df: DataFrame, dependent: str, predictors: list[str], by: list[str] = ()) -> DataFrame:
     c = coefficients(df, dependent, predictors, by)
-    return c.select(*by, "predictor", "position", r4("b").alias("b"), r4("std_error").alias("std_error"),
+    return c.select(*_segments(c, by), "predictor", "position", r4("b").alias("b"), r4("std_error").alias("std_error"),
                     r4("t").alias("t"), r4("p").alias("p"), stars(F.col("p")).alias("significance"))
 
 
@@ -90,8 +98,8 @@ def equation_text(coefs: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def model_summary(df: DataFrame, dependent: str, predictors: list[str], by: list[str] = ()) -> DataFrame:
     """One row per model: fit, F test and equation."""
-    by = list(by)
     coefs = coefficients(df, dependent, predictors, by)
+    by = _segments(coefs, by)
     term = F.struct("position", F.when(F.col("position") == 0, F.round("b", 4).cast("string")).otherwise(
         F.concat(F.round("b", 4).cast("string"), F.lit("×"), F.col("predictor"))).alias("text"))
     figures = ["n", "k", "r_squared", "adj_r_squared", "f_statistic", "f_p"]
@@ -102,6 +110,7 @@ def model_summary(df: DataFrame, dependent: str, predictors: list[str], by: list
             .withColumn("p_display", p_text(F.col("p_value"))).withColumn("significance", stars(F.col("p_value"))))
 
 
+@plain_names("dependent", "predictors", "keep")
 def residual_rows(df: DataFrame, dependent: str, predictors: list[str], keep: list[str] = ()) -> DataFrame:
     """Fitted value and residual of every complete row; the few coefficients are worked out first."""
     cols = [dependent, *predictors]

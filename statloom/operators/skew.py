@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.operators.naming import col
 from statloom.session import settle
 
 # Pieces into which the pairs of one segment are spread.
@@ -12,10 +13,10 @@ SPREAD = 16
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on `keys`, nulls matching nulls; the keys come once."""
     names = [f"_k{i}" for i in range(len(keys))]
-    right = right.select(*[F.col(k).alias(r) for k, r in zip(keys, names)], *[c for c in right.columns if c not in keys])
+    right = right.select(*[col(k).alias(r) for k, r in zip(keys, names)], *[col(c) for c in right.columns if c not in keys])
     on = F.lit(True)
     for k, r in zip(keys, names):
-        on = on & F.col(k).eqNullSafe(F.col(r))
+        on = on & col(k).eqNullSafe(F.col(r))
     return left.join(right, on, how).drop(*names)
 
 

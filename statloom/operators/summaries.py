@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.parsing import to_number
 from statloom.functions.scalars import r4, skew_label
+from statloom.operators.naming import col, plain_names
 from statloom.operators.normality import jarque_bera, shapiro_table
 from statloom.operators.ranks import quantiles
 from statloom.operators.skew import null_safe_join
@@ -15,15 +16,15 @@ _MARKERS = ["", "N/A", "nan"]
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns read as doubles (text that is no number, and NaN, become null); others kept."""
     types = dict(df.dtypes)
-    return df.withColumns({c: to_number(F.col(c), types[c]) for c in columns})
+    return df.withColumns({c: to_number(col(c), types[c]) for c in columns})
 
 
 def missing_cell(c: str, dtype: str) -> Column:
     if dtype == "string":
-        return F.col(c).isNull() | F.trim(F.col(c)).isin(_MARKERS)
+        return col(c).isNull() | F.trim(col(c)).isin(_MARKERS)
     if dtype in ("double", "float"):
-        return F.col(c).isNull() | F.isnan(c)
-    return F.col(c).isNull()
+        return col(c).isNull() | F.isnan(col(c))
+    return col(c).isNull()
 
 
 def split_numeric(df: DataFrame, columns: list[str], share: float = 0.5) -> tuple[list[str], list[str]]:
@@ -34,7 +35,7 @@ def split_numeric(df: DataFrame, columns: list[str], share: float = 0.5) -> tupl
         keep = [c for c in columns if types[c] not in ("boolean", "date") and not types[c].startswith("timestamp")]
         return keep, [c for c in columns if c not in keep]
     row = numeric(df, columns).agg(F.count("*").alias("_rows"),
-                                   *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
+                                   *[F.count(col(c)).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
     keep = [c for i, c in enumerate(columns) if row[f"n_{i}"] > share * row["_rows"]]
     return keep, [c for c in columns if c not in keep]
 
@@ -52,9 +53,10 @@ def sample_kurtosis(c: str) -> Column:
     return F.when(n >= 4, F.coalesce(fixed, F.lit(0.0)))
 
 
+@plain_names("columns", "by", told=("variable",))
 def describe(df: DataFrame, columns: list[str], by: list[str] = (), normality: bool = False) -> DataFrame:
     """One row per (segment, numeric column): N, missing, moments, quartiles; with `normality` also the Jarque-Bera
-    p of the whole column, and the Shapiro-Wilk p where the column is short enough for that test."""
+    and the Shapiro-Wilk p of the whole column."""
     by = list(by)
     types = dict(df.dtypes)
     flags = {f"_missing_{i}": missing_cell(c, types[c]) for i, c in enumerate(columns)}
@@ -87,6 +89,7 @@ def skew_notes(described: DataFrame) -> DataFrame:
     return described.select("variable", label.alias("shape"), text.alias("note"))
 
 
+@plain_names("columns", told=("variable",))
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts and percentages of every category, most frequent first within a variable."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
@@ -98,6 +101,7 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
         "variable", "category", "n", share.alias("percent")).orderBy("variable", F.desc("n"), "category")
 
 
+@plain_names("value", "group", "by")
 def group_summary(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     """N, mean, variance, SD, standard error and range per group; the base of every mean comparison."""
     return (numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -107,6 +111,7 @@ def group_summary(df: DataFrame, value: str, group: str, by: list[str] = ()) ->
             .withColumn("std_dev", F.sqrt("var")).withColumn("std_error", F.sqrt(F.col("var") / F.col("n"))))
 
 
+@plain_names("value", "group", "by")
 def group_medians(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
     num = numeric(df, [value]).where(F.col(value).isNotNull() & F.col(group).isNotNull())
     q = quantiles(num, [value], [0.5], [*by, group])

@@ -318,7 +318,7 @@ def run_study(df: DataFrame, config: dict[str, dict], order: list[str], skip_uns
     """Gate every test on its soundness, run the sound ones, and write their tables when a folder is given.
 
     The soundness rows are one job over the table; tests are independent, so their writes are submitted side by
-    side and share the cluster.
+    side and share the cluster. A test that fails, while it is planned or while a table of it is written, is in `errors`; the others go on.
     """
     sound = {r["test"]: r.asDict() for r in soundness_table(df, config, order, min_score).collect()}
     results, errors, skipped = {}, {}, {}
@@ -338,10 +338,17 @@ def run_study(df: DataFrame, config: dict[str, dict], order: list[str], skip_uns
         jobs = [(t, name, table) for t, r in results.items() for name, table in r.tables.items()]
 
         def write(job):
-            job[2].write.mode("overwrite").parquet(f"{folder}/{job[0]}/{job[1]}")
+            try:
+                job[2].write.mode("overwrite").parquet(f"{folder}/{job[0]}/{job[1]}")
+            except Exception as exc:  # what fails while it runs is an outcome of that test alone
+                return job[0], f"{job[1]}: {exc}"
+            return job[0], None
 
         with ThreadPoolExecutor(threads) as pool:
-            list(pool.map(write, jobs))
+            for test, problem in pool.map(write, jobs):
+                if problem:
+                    errors.setdefault(test, problem)
+                    results.pop(test, None)
     return StudyResult(results, errors, skipped, sound)
 
 

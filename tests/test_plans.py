@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import comparisons
 from statloom.plans import cleaning, interpret, study
+from statloom.plans.folder import HEADER, clean_folder as clean_files
 from statloom.plans.templates import MODES, TEXTS
 from statloom.sources import readers, sinks
 
@@ -96,13 +97,67 @@ def test_csv_files_of_different_make(spark, tmp_path):
         ("5", "w", None, None), ("6", None, None, "e")]
 
 
+def test_folder_equals_single_runs(spark, tmp_path):
+    """Cells, log, figures, summaries and advice of every file are those of a run over that file alone."""
+    for name in ("x", "y", "z"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+    head = "student id,age,sex,price.usd,joined,code\n"
+    rows = [f"{i + 1},{'N/A' if i % 11 == 3 else i % 18 + 17},{' Female' if i % 2 else 'male '},\"${i * 531 + 8000:,}.50\",{i % 28 + 1:02d}/0{i % 9 + 1}/2024,{'abc' if i % 7 == 0 else i}" for i in range(60)]
+    (tmp_path / "in" / "x" / "a.csv").write_text(head + "\n".join(rows + rows[:3] + [",,,,,"]) + "\n")
+    (tmp_path / "in" / "y" / "a.csv").write_text("code,Sex,empty\n" + "\n".join(f"{v},{s}," for v, s in zip([5, 6, 7, 8, 5, 9, 4000, 6, 7, 8], ["m", "f", "", "m", "m", "f", "?", "m", "f", "m"])) + "\n")
+    (tmp_path / "in" / "z" / "b.csv").write_text("text\n" + "\n".join(f"word {i}" for i in range(40)) + "\n")
+    paths = [str(tmp_path / "in" / n) for n in ("x", "y", "z")]
+    for n, options in enumerate(({}, {"duplicate_strategy": "last", "impute_strategy": "mean", "outlier_method": "zscore", "outlier_factor": 2.0}, {"duplicate_strategy": "report", "impute_strategy": "mode"})):
+        out = f"{tmp_path}/out{n}"
+        found = clean_files(readers.read_csv(spark, paths, header=HEADER), out, **options).collect()
+        assert [r["file"].rsplit("/", 2)[1:] for r in found] == [["x", "a.csv"], ["y", "a.csv"], ["z", "b.csv"]]
+        for r, path in zip(found, paths):
+            alone = cleaning.clean(readers.read_csv(spark, path), **options)
+            here = {t: spark.read.parquet(f"{out}/{t}").where(F.col("_file") == r["file"]).drop("_file") for t in alone.tables}
+            assert (r["rows"], r["quality_score"]) == (alone.stats["rows_out"], alone.stats["data_quality_score"])
+            cells = lambda d, own: sorted(tuple(_text(x[c]) for c in own) for x in d.collect())
+            own = [c for c in alone.data.columns if c != "_row_id"]
+            assert cells(here["cleaned_data"], own) == cells(alone.data, own)
+            assert [tuple(x)[1:] for x in here["cleaning_log"].orderBy("position").collect()] == alone.log
+            for t, keys in (("run_stats", ["metric", "value"]), ("column_summary", alone.tables["column_summary"].columns), ("mixed_columns", ["variable", "samples"]), ("recommendations", ["advice"]),
+                            ("outlier_report", ["variable", "value"])):
+                assert cells(here[t], keys) == cells(alone.tables[t], keys), t
+
+
+def _text(v):
+    try:
+        return f"{float(v):.6g}"
+    except (TypeError, ValueError):
+        return str(v)
+
+
+def test_number_of_jobs_does_not_grow_with_files(spark, tmp_path):
+    def jobs(files):
+        folder = tmp_path / f"in{files}"
+        folder.mkdir()
+        for i in range(files):
+            (folder / f"f{i}.csv").write_text("id,v\n" + "".join(f"{j},{j * i % 7}\n" for j in range(20)))
+        tracker, group = spark.sparkContext.statusTracker(), f"files-{files}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = clean_files(readers.read_csv(spark, str(folder)), f"{tmp_path}/out{files}")
+            assert got.count() == files
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(40) <= jobs(4) + 10
+
+
 def test_clean_folder(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,day\n" + "".join(f"{i},2024-01-{i % 28 + 1:02d}\n" for i in range(40)), encoding="utf-8")
     (tmp_path / "b.csv").write_text("id,price\n" + "".join(f"{i},${i}.50\n" for i in range(30)), encoding="utf-8")
-    got = cleaning.clean_folder(readers.read_csv(spark, str(tmp_path)), str(tmp_path / "out"), rename=False).collect()
-    assert [(r["file"], r["rows"], r["columns"]) for r in got] == [("a.csv", 40, 2), ("b.csv", 30, 2)]
-    assert dict(spark.read.parquet(str(tmp_path / "out" / "b" / "cleaned_data")).dtypes)["price"] == "double"
-    assert spark.read.parquet(str(tmp_path / "out" / "a" / "cleaning_log")).count() > 3
+    got = clean_files(readers.read_csv(spark, str(tmp_path)), str(tmp_path / "out"), rename=False).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["rows"], r["columns"]) for r in got] == [("a.csv", 40, 2), ("b.csv", 30, 2)]
+    assert dict(spark.read.parquet(str(tmp_path / "out" / "cleaned_data")).dtypes)["price"] == "double"
+    assert spark.read.parquet(str(tmp_path / "out" / "cleaning_log")).where("_file LIKE '%a.csv'").count() > 3
+    clean_files(readers.read_csv(spark, str(tmp_path / "*.csv")), str(tmp_path / "csv"), fmt="csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "cleaned_data")).count() == 70
 
 
 def test_shared_folder_or_error():
