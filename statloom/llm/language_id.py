@@ -1,28 +1,29 @@
 """Language identification with error-correcting output codes."""
 
 import math
-import re
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import letters
+from statloom.llm.common import batches_of, letters, rows_of, settle
 
 #: Hash buckets of the byte n-grams and the n-gram lengths.
 BUCKETS, ORDERS = 1 << 16, (2, 3, 4)
-#: More labels than this are refused: what reaches the driver is BUCKETS counts for each.
-MOST_LABELS = 512
+#: Labels whose counts a task holds at once; more are passed on and begun anew.
+HELD_LABELS = 64
 #: Letters of a text are cut into pieces of about so many bytes.
 PIECE = 1 << 20
-#: Decoding distance (mean exponential loss) beyond which a text has no language: what a text without any evidence has.
-FAR = 1.0
-#: Why a text has no language.
-NO_LETTER, NO_MODEL, TOO_FAR = "no letter", "no model", "too far"
-_NO_LETTER = re.compile(r"[\W\d_]+")
+#: Share of a text's n-grams that must have been seen in learning; below it the text is of no learned language.
+SEEN = 0.5
+#: Why a text has no language, or hardly one.
+NO_LETTER, NO_MODEL, UNFAMILIAR = "no letter", "no model", "unfamiliar"
+#: Letters and the marks on them, by Unicode category; number signs such as a superscript two are none.
+_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(labels: int) -> np.ndarray:
@@ -48,7 +49,7 @@ def grams(text: str):
     """Buckets of the byte n-grams of the letters of a text, lower-cased, with one space between words; piece by piece."""
     for at in range(0, len(text), PIECE):
         words = _NO_LETTER.sub(" ", text[at:at + PIECE].lower()).strip()
-        if not words:
+        if not _LETTER.search(words):
             continue
         b = np.frombuffer(f"  {words}  ".encode(), np.uint8).astype(np.uint64)
         out, code = [], b
@@ -59,36 +60,76 @@ def grams(text: str):
         yield np.concatenate(out)
 
 
+def _add(row: np.ndarray, g: np.ndarray) -> None:
+    if len(g) < BUCKETS // 16:
+        some, n = np.unique(g, return_counts=True)
+        row[some] += n
+    else:
+        row += np.bincount(g, minlength=BUCKETS)
+
+
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(label, bucket, n) over all rows of (label, text): counted in arrays per task, added up by Spark."""
 
+    def told(counts):
+        for label, row in counts.items():
+            some = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(row[some])], ["label", "bucket", "n"])
+
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for g in grams(text):
-                    row = counts.setdefault(label, np.zeros(BUCKETS, np.int64))
-                    row += np.bincount(g, minlength=BUCKETS)
-        for label, row in counts.items():
-            some = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(some)), pa.array(some.astype(np.int32)), pa.array(row[some])], ["label", "bucket", "n"])
+                    if label not in counts and len(counts) == HELD_LABELS:
+                        yield from told(counts)
+                        counts = {}
+                    _add(counts.setdefault(label, np.zeros(BUCKETS, np.int64)), g)
+        yield from told(counts)
 
     return labelled.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _bit_weights(labels: dict[bytes, int], totals: np.ndarray, code: np.ndarray):
+    """For each bucket that was seen the log odds of every bit, and its mean share over the labels. Rows come bucket by bucket.
+
+    A label's share of a bucket is its count plus a half over its total; the labels of a side weigh alike.
+    """
+    sides = [code > 0, code < 0]
+    base = 0.5 / totals
+    rest = [(s * base[:, None]).sum(axis=0) for s in sides]
+    sizes = [s.sum(axis=0) for s in sides]
+    schema = pa.schema([("bucket", pa.int32()), ("weights", pa.binary()), ("share", pa.float64())])
+
+    def told(bucket, share):
+        up, down = ((rest[i] + (sides[i] * share[:, None]).sum(axis=0)) / sizes[i] for i in (0, 1))
+        return bucket, (np.log(up) - np.log(down)).astype("<f4").tobytes(), float((base + share).mean())
+
+    def run(rows):
+        now, share = None, None
+        for bucket, label, n in rows:
+            if bucket != now:
+                if now is not None:
+                    yield told(now, share)
+                now, share = bucket, np.zeros(len(totals))
+            share[labels[label]] += n / totals[labels[label]]
+        if now is not None:
+            yield told(now, share)
+
+    return lambda batches: batches_of(run(rows_of(batches, "bucket", "label", "n")), schema)
+
+
 class CodeModel:
-    """Weights of one binary n-gram classifier per bit, and the codewords they vote on."""
+    """Weights of one binary n-gram classifier per bit, and the codewords they vote on. An n-gram that was never seen weighs nothing."""
 
-    def __init__(self, labels: list[str], counts: np.ndarray):
+    def __init__(self, labels: list[str], buckets: np.ndarray, weights: np.ndarray, shares: np.ndarray):
         self.labels = labels
         self.code = codewords(len(labels))
-        share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-        weights = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
-        for b in range(self.code.shape[1]):  # log odds of a gram between the two sides, labels of a side weighing alike
-            side = self.code[:, b] > 0
-            weights[:, b] = np.log(share[side].mean(axis=0)) - np.log(share[~side].mean(axis=0))
-        self.weights = weights
-        spread = np.sqrt((weights**2 * share.mean(axis=0)[:, None]).sum(axis=0))
+        self.weights = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
+        self.weights[buckets] = weights
+        self.seen = np.zeros(BUCKETS, bool)
+        self.seen[buckets] = True
+        spread = np.sqrt((weights.astype(np.float64)**2 * shares[:, None]).sum(axis=0))
         self.scale = 1 / np.maximum(spread, 1e-6)  # a bit that separates little speaks as loud as the others
 
     def decode(self, margins: np.ndarray) -> tuple[int, float, bool]:
@@ -112,39 +153,42 @@ class CodeModel:
         return int(best), float(share[best] / share.sum()), bool(loss[second] <= 1.05 * loss[best] or bits > (apart - 1) // 2), float(loss[best])
 
     def predict(self, text: str) -> tuple[str, float, bool, str | None]:
-        """Label, score, ambiguous, and the reason if the text has no language."""
-        total, n = np.zeros(self.code.shape[1]), 0
+        """Label, score, ambiguous, and the reason if the text has no language or is of none that was learned."""
+        total, n, seen = np.zeros(self.code.shape[1]), 0, 0
         for g in grams(text):
             n += len(g)
+            seen += int(self.seen[g].sum())
             for at in range(0, len(g), 1 << 17):
                 total += self.weights[g[at:at + (1 << 17)]].sum(axis=0, dtype=np.float64)
         if not n or not self.labels:
             return "und", 0.0, True, NO_MODEL if n else NO_LETTER
-        best, score, ambiguous, loss = self.nearest(total / n * self.scale)
-        if loss > FAR:
-            return "und", 0.0, True, TOO_FAR
-        return self.labels[best], score, ambiguous, None
+        best, score, ambiguous, _ = self.nearest(total / max(seen, 1) * self.scale)
+        strange = seen < SEEN * n
+        return self.labels[best], score, ambiguous or strange, UNFAMILIAR if strange else None
 
 
 def fit(labelled: DataFrame, label_col: str = "lang", text_col: str = "text") -> CodeModel:
-    """Learn from every row with a label and a text. The driver receives at most MOST_LABELS x BUCKETS counts."""
+    """Learn from every row with a label and a text. The driver receives the labels with their totals, and for each of at most BUCKETS buckets a
+    number per bit of the code, which has ten bits for each doubling of the labels."""
     rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
-    counts = gram_counts(rows).select("label", "bucket", "n").toArrow()
-    labels = sorted(counts.column(0).unique().to_pylist())
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"{len(labels)} labels; at most {MOST_LABELS} can be told apart")
-    table = np.zeros((len(labels), BUCKETS), np.float64)
-    row = {label: i for i, label in enumerate(labels)}
-    at = np.array([row[x] for x in counts.column(0).to_pylist()], np.int64)
-    table[at, counts.column(1).to_numpy()] = counts.column(2).to_numpy()
-    return CodeModel(labels, table)
+    counts = settle(gram_counts(rows))
+    lines = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").collect()
+    labels = [r["label"] for r in lines]
+    if not labels:
+        return CodeModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
+    totals = np.array([r["n"] + 0.5 * BUCKETS for r in lines])
+    places = {x.encode(): i for i, x in enumerate(labels)}
+    learn = _bit_weights(places, totals, codewords(len(labels)))
+    learned = counts.repartition("bucket").sortWithinPartitions("bucket", "label").mapInArrow(learn, "bucket int, weights binary, share double").toArrow()
+    weights = np.frombuffer(b"".join(learned.column(1).to_pylist()), "<f4").reshape(learned.num_rows, codewords(len(labels)).shape[1])
+    return CodeModel(labels, learned.column(0).to_numpy(), weights, learned.column(2).to_numpy())
 
 
 def predict(df: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: `id_col`, lang_pred, score (0 to 1), ambiguous, reason.
 
-    The reason says why a text has no language (`und`, score 0, ambiguous): no letter, no model (nothing was labelled), or too far
-    (beyond the decoding distance FAR from every codeword). It is null for a predicted label, be that label `und` itself.
+    The reason says why a text has no language (`und`, score 0, ambiguous): no letter, or no model (nothing was labelled); or why its label
+    means little (ambiguous): unfamiliar, if less than SEEN of its n-grams occur in the learned texts. Else it is null.
     """
 
     def run(batches):
@@ -169,8 +213,8 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Learn from the labelled rows outside the held-out fold, then predict every row.
 
     One row per row of `df`: `id_col`, held_out, lang_pred, score, ambiguous; with `why` also reason (see `predict`). A text that is null
-    or has no letter gets `und`, score 0 and ambiguous; so does every row if nothing is labelled, and a text too far from every
-    codeword. Rows with a null id are not held out. Only text enters a
+    or has no letter gets `und`, score 0 and ambiguous; so does every row if nothing is labelled. A text of no learned language gets the
+    nearest label and is ambiguous. Rows with a null id are not held out. Only text enters a
     prediction; labels, ids and other columns do not. Repeated rows count as often as they occur; an empty table gives an empty
     result. Ties between codewords go to the label that sorts first.
 

@@ -55,15 +55,42 @@ LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRA
 IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""],
 }
 
-_COPYRIGHT = re.compile(r"^[^\w©]*(?:copyright|©|\(c\)|all rights reserved)", re.I)
+# Words with which a licence, or its title, goes on after a copyright notice in the same paragraph.
+BODY = ["permission is", "permission to", "redistribution and use", "redistribution of", "everyone is permitted", "licensed under", "licensed to", "released under",
+        "distributed under", "verbatim copying", "this software", "this program", "this library", "this file", "this work", "this source", "this package", "this license",
+        "this licence", "this document", "this product", "you may", "mit license", "mit licence", "isc license", "isc licence", "bsd license", "apache license",
+        "zlib license"]
+
+#: A copyright notice: the word with a sign, a year or a placeholder, or a sign with a year. The holder may be anything, so the notice ends where
+#: licence wording goes on, or with its paragraph; it does not matter how its lines are broken. Written for Python and for the engine of
+#: the comparison SQL alike.
+_YEAR = r"[12][0-9][0-9][0-9]"
+_SIGN = r"(?:©|\(c\))"
+_GO_ON = "|".join(p.replace(" ", r"\s+") for p in BODY)
+NOTICE = rf"(?i)(?:\bcopyright[\s,:.-]*(?:{_SIGN}|[<\[{{]*(?:{_YEAR}|year|yyyy|date))|{_SIGN}[\s,:.-]*(?:copyright[\s,:.-]*)?{_YEAR})[\s\S]*?(?:\b({_GO_ON})\b|END)"
+#: A short paragraph that begins with the word and has none of that.
+SHORT = r"(?i)START[^\w]*copyright\b(?:\W+\w+){0,11}\W*END"
+RESERVED = r"(?i)\ball\s+rights\s+reserved\b\W*"
+GO_ON = rf"(?i){_GO_ON}"
+_NOTICE, _SHORT = (re.compile(p.replace("START", r"\A").replace("END", r"\Z")) for p in (NOTICE, SHORT))
+_RESERVED = re.compile(RESERVED)
 _WORD = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
 
+def _wording(paragraph: str) -> str:
+    """A paragraph without copyright notices."""
+    low = paragraph.lower()
+    if not any(sign in low for sign in ("copyright", "©", "(c)", "reserved")):
+        return paragraph
+    bare = _RESERVED.sub(" ", paragraph)
+    bare = _NOTICE.sub(lambda m: m.group(1) or "", bare)
+    return "" if _SHORT.match(bare) and not re.search(GO_ON, bare) else bare
+
+
 def canonical(text: str) -> str:
-    """Words in lower case with one space between; copyright lines gone, equivalent spellings made one."""
-    lines = [line for line in text.split("\n") if not _COPYRIGHT.match(line)]
-    return " ".join(SPELLINGS.get(w, w) for line in lines for w in _WORD.findall(line.lower()))
+    """Words in lower case with one space between; copyright notices gone, equivalent spellings made one. Line breaks within a paragraph do not matter."""
+    return " ".join(SPELLINGS.get(w, w) for p in _BLANK.split(text) for w in _WORD.findall(_wording(p).lower()))
 
 
 def digest(text: str) -> bytes | None:
@@ -76,7 +103,7 @@ def digest(text: str) -> bytes | None:
 BEGIN = 3
 #: Bytes of a digest by which a run is told to be worth a lookup.
 PREFIX = 8
-#: Licence, first words, number of words and digest of published texts, written by tools/license_digests.py.
+#: Licence, first words, number of words and digest of published texts, written by license_table.py.
 TABLE = Path(__file__).with_name("licenses.csv")
 
 
@@ -91,7 +118,7 @@ def units(text: str, begins: dict[str, dict[int, set[bytes]]] | None = None) ->
 
     `begins` tells of known texts the first words, then numbers of words, then digest prefixes: a run begins at a block with such
     words and ends at the block that completes such a number, however the words are cut into blocks. Blocks without words (empty,
-    or of copyright lines only) neither begin nor end a run; a run inside a longer known one is not told.
+    or of a copyright notice only) neither begin nor end a run; a run inside a longer known one is not told.
     Without `begins` every block is a run.
     """
     yield "text", 0, text
@@ -163,7 +190,7 @@ def license_scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "d
 
     Rows: `id_col`, unit (text, block, line), start (code point), digest (hex, canonical text), license_id. Every row of `df`
     has its text unit, with a null licence if it is none and a null digest if it has no word (null, empty, punctuation
-    or copyright lines only); blocks and lines come only where they are a licence. `known` may be any table like that of
+    or copyright notices only); blocks and lines come only where they are a licence. `known` may be any table like that of
     `known_digests`, which is the default; the driver receives first words, length and eight bytes of the digest of each of its texts,
     which say where runs of blocks begin and end. Null ids and repeated rows are scanned like any other; other
     columns are not looked at; an empty table gives an empty result.

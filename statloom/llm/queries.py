@@ -9,7 +9,7 @@ from statloom.llm.chat import format_chats, read_back
 from statloom.llm.exact_dedup import exact_dedup
 from statloom.llm.language_id import held_out, language_id
 from statloom.llm.language_model import score_texts
-from statloom.llm.licenses import KNOWN, RUNS, SPELLINGS, license_scan
+from statloom.llm.licenses import GO_ON, KNOWN, NOTICE, RESERVED, RUNS, SHORT, SPELLINGS, license_scan
 from statloom.llm.merkle import document_manifest
 from statloom.llm.packing import best_fit_packing
 from statloom.llm.pieces import decode, encode
@@ -98,8 +98,10 @@ i AS (SELECT NULL::BIGINT AS doc_id, 'known' AS unit, 0 AS start, t, license_id
   UNION ALL SELECT doc_id, 'block', start, t, NULL FROM (SELECT doc_id, array_to_string(p[2 * i + 1:2 * (i + r) - 1], '') AS t,
     coalesce(list_sum(list_transform(p[:2 * i], lambda y: length(y))), 0)::BIGINT AS start
     FROM (SELECT doc_id, p, r, unnest(range(len(b) - r + 1)) AS i FROM b, (SELECT unnest({list(RUNS)}) AS r) WHERE r < len(b))) WHERE contains(t, chr(10))),
-c AS (SELECT doc_id, unit, start, license_id, list_filter(str_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^[^\p{{L}}\p{{N}}_©]*(?i:copyright|©|\(c\)|all rights reserved)')) AS l FROM i),
-w AS (SELECT doc_id, unit, start, license_id, array_to_string(list_transform(regexp_extract_all(lower(array_to_string(l, chr(10))), '[\p{{L}}\p{{N}}]+'), lambda x: coalesce(m[x], x)), ' ') AS c FROM c, s),
+c AS (SELECT doc_id, unit, start, license_id, list_transform(str_split(regexp_replace(t, '\n[ \t\r]*\n', chr(1), 'g'), chr(1)),
+  lambda x: regexp_replace(regexp_replace(x, '{RESERVED}', ' ', 'g'), '{NOTICE.replace("END", chr(92) + "z")}', '\1', 'g')) AS l FROM i),
+w AS (SELECT doc_id, unit, start, license_id, array_to_string(list_transform(regexp_extract_all(lower(array_to_string(list_transform(l, lambda x: CASE WHEN
+    regexp_matches(x, '{SHORT.replace("START", chr(92) + "A").replace("END", chr(92) + "z")}') AND NOT regexp_matches(x, '{GO_ON}') THEN '' ELSE x END), chr(10))), '[\p{{L}}\p{{N}}]+'), lambda x: coalesce(m[x], x)), ' ') AS c FROM c, s),
 d AS (SELECT doc_id, unit, start, license_id, CASE WHEN c = '' THEN NULL ELSE sha256(c) END AS digest FROM w),
 f AS (SELECT digest, min(license_id) AS license_id FROM d WHERE unit = 'known' GROUP BY digest)
 SELECT d.doc_id, d.unit, d.start, d.digest, f.license_id FROM d LEFT JOIN f USING (digest) WHERE d.unit = 'text' OR d.unit <> 'known' AND f.license_id IS NOT NULL"""

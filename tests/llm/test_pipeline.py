@@ -1,6 +1,5 @@
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -47,17 +46,13 @@ def test_language_stage_keeps_a_label_named_und(spark):
     assert sorted(plain(pipeline.language(spark, documents(spark, rows), ""))) == [(1, rows[0][1]), (2, rows[1][1])]
 
 
-def test_language_stage_drops_what_is_too_far(spark, monkeypatch):
-    model = language_id.CodeModel(list("abcd"), np.ones((4, language_id.BUCKETS)))
-    model.weights, model.scale = np.zeros_like(model.weights), np.ones(model.code.shape[1])
-    near, far = next(language_id.grams("near")), next(language_id.grams("far"))
-    model.weights[near], model.weights[far] = model.code[1], -model.code[0]  # on a codeword; against the first, between the others
-    monkeypatch.setattr(pipeline, "fit", lambda labelled: model)
-    rows = [(1, "near", None), (2, "far", None), (3, "some other words", None), (4, "!", None)]
+def test_language_stage_drops_what_is_of_no_learned_language(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog", "en"), (2, "le renard brun saute par-dessus le chien", "fr"), (3, "the brown dog", None),
+            (4, "Съешь же ещё этих мягких булок", None), (5, "!", None), (6, "le chien brun, the dog: Съешь", None)]
     docs = documents(spark, rows)
-    assert sorted(plain(pipeline.language(spark, docs, ""))) == [(1, "near"), (3, "some other words")]
-    got = {r.doc_id: r.reason for r in language_id.predict(docs, model).collect()}
-    assert got == {1: None, 2: language_id.TOO_FAR, 3: None, 4: language_id.NO_LETTER}
+    assert sorted(plain(pipeline.language(spark, docs, ""))) == [r[:2] for r in rows if r[0] in (1, 2, 3, 6)]
+    got = {r.doc_id: r.reason for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: language_id.UNFAMILIAR, 5: language_id.NO_LETTER, 6: None}
 
 
 def test_exact_stage(spark, odd):

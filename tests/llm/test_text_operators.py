@@ -1,6 +1,10 @@
 import math
+import re
+import textwrap
+import unicodedata
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +70,83 @@ def test_codewords_are_apart(labels):
     assert ((code == 1).any(0) & (code == -1).any(0)).all()
 
 
+def blank_model(labels):
+    return CodeModel(list(labels), np.zeros(0, np.int64), np.zeros((0, codewords(len(labels)).shape[1]), np.float32), np.zeros(0))
+
+
+def model_by_hand(rows):
+    """Counts, weights, scales by plain dictionaries: every n-gram of the letters of every labelled text."""
+    counts = {}
+    for text, label in rows:
+        cells = counts.setdefault(label, Counter())
+        for piece in [text[i:i + language_id.PIECE] for i in range(0, len(text), language_id.PIECE)]:
+            kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in piece.lower())
+            if not any(unicodedata.category(c)[0] == "L" for c in kept):
+                continue
+            b = f"  {' '.join(kept.split(' ')).strip()}  "
+            b = re.sub(" +", " ", b.strip()).join(["  ", "  "]).encode()
+            for n in language_id.ORDERS:
+                for i in range(len(b) - n + 1):
+                    code = int.from_bytes(b[i:i + n], "big")
+                    cells[(code * 8 + n) * 0x9E3779B97F4A7C15 % 2**64 >> 48] += 1
+    labels = sorted(counts)
+    total = {label: sum(counts[label].values()) + 0.5 * language_id.BUCKETS for label in labels}
+    share = {label: lambda g, label=label: (counts[label][g] + 0.5) / total[label] for label in labels}
+    code = codewords(len(labels))
+    weights = {}
+    for g in set().union(*counts.values()):
+        means = [[np.mean([share[x](g) for i, x in enumerate(labels) if code[i, bit] == sign]) for sign in (1, -1)] for bit in range(code.shape[1])]
+        weights[g] = [math.log(up) - math.log(down) for up, down in means]
+    spread = [math.sqrt(sum(w[bit] ** 2 * np.mean([share[x](g) for x in labels]) for g, w in weights.items())) for bit in range(code.shape[1])]
+    return labels, weights, [1 / max(s, 1e-6) for s in spread]
+
+
+def test_counts_weights_and_loss_by_hand(spark):
+    texts = [("le renard brun saute été ½", "fr"), ("the quick brown fox", "en"), ("der schnelle braune Fuchs", "de"), ("THE lazy dog 12", "en"), ("² 34 !", "de"), (None, "de"), ("no label", None)]
+    docs = documents(spark, [(i, t, lang) for i, (t, lang) in enumerate(texts)])
+    model = language_id.fit(docs)
+    labels, weights, scale = model_by_hand([(t, x) for t, x in texts if t and x])
+    assert model.labels == labels and set(np.flatnonzero(model.seen)) == set(weights)
+    for g, w in weights.items():
+        assert model.weights[g] == pytest.approx(w, rel=1e-5, abs=1e-6)
+    assert model.scale == pytest.approx(scale, rel=1e-4)
+    for text in ("ein brauner fox", "le quick été", "unbekannt zzz"):
+        grams = np.concatenate(list(language_id.grams(text)))
+        known = [g for g in grams.tolist() if g in weights]
+        margins = [sum(weights[g][bit] for g in known) / max(len(known), 1) * scale[bit] for bit in range(len(scale))]
+        losses = [np.mean([math.exp(-max(-20, min(20, c * m))) for c, m in zip(row, margins, strict=True)]) for row in model.code]
+        best = int(np.argmin(losses))
+        shares = [math.exp(-8 * (x / losses[best] - 1)) for x in losses]
+        got = model.predict(text)
+        assert got[0] == labels[best] and got[1] == pytest.approx(shares[best] / sum(shares), rel=1e-3)
+        assert (got[3] == language_id.UNFAMILIAR) == (len(known) < language_id.SEEN * len(grams))
+
+
+def test_letters_are_letters(spark):
+    rows = [(1, "the quick fox", "en"), (2, "le renard brun", "fr"), (3, "² ½ ①", None), (4, "Ⅷ ७ ٣", None), (5, "ª", None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(documents(spark, rows), folds=1000, fold=1000).collect()}
+    assert got[3] == got[4] == "und" and got[5] in ("en", "fr")
+
+
+def test_unlearned_languages_are_ambiguous(spark, folder):
+    model = language_id.fit(spark.read.parquet(f"{folder}/documents.parquet"))
+    for text in ("Съешь же ещё этих мягких французских булок, да выпей чаю", "いろはにほへと ちりぬるを わかよたれそ つねならむ", "Τάχιστη αλώπηξ βαφής ψημένη γη"):
+        label, _, ambiguous, reason = model.predict(text)
+        assert label in model.labels and ambiguous and reason == language_id.UNFAMILIAR
+
+
+def test_many_labels(spark, monkeypatch):
+    """More labels than a task holds at once, without a limit on their number."""
+    monkeypatch.setattr(language_id, "HELD_LABELS", 7)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{alphabet[i % 26] * 3}{alphabet[i // 26] * 3} " * 5, f"l{i:03d}") for i in range(600)]
+    model = language_id.fit(documents(spark, rows))
+    assert len(model.labels) == 600
+    assert sum(model.predict(rows[i][1])[0] == rows[i][2] for i in range(0, 600, 20)) >= 27
+
+
 def test_decoding_corrects_a_wrong_bit():
-    model = CodeModel(list("abcd"), np.ones((4, language_id.BUCKETS)))
+    model = blank_model("abcd")
     for label in range(4):
         for wrong in range(7):
             margins = model.code[label].astype(float)
@@ -386,3 +465,89 @@ def test_packing_of_odd_rows(spark):
     pieces_ = got[got.doc_id == 12].sort_values("piece")
     assert (pieces_.start == pieces_.piece * 1024).all()
     assert packing.best_fit_packing(documents(spark, [])).collect() == []
+
+
+# ---- packing by brute force
+
+def packed_by_hand(lengths, sizes, overhead):
+    """Every bin looked at for every piece, longest first: (size, lengths in order of their places) of each bin."""
+    left, bins = sorted(lengths, reverse=True), []
+
+    def filled(room, rest):
+        used = 0
+        for n in sorted(rest, reverse=True):
+            if used + n <= room:
+                used += n
+        return used
+
+    while left:
+        n = left.pop(0)
+        open_ = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if open_:
+            min(open_, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+        else:
+            size = min((s for s in sizes if s >= n), key=lambda s: ((s + overhead) / (n + filled(s - n, left)), s))
+            bins.append((size, [n]))
+    return Counter((min(s for s in sizes if s >= sum(held)), tuple(held)) for _, held in bins)
+
+
+@pytest.mark.parametrize("shard_pieces", [5, 8192])
+@pytest.mark.parametrize("sizes", [(64,), (16, 32, 128), (512, 1024, 2048, 4096)])
+def test_packing_against_brute_force(spark, folder, sizes, shard_pieces):
+    docs = documents(spark).select("doc_id", "text")
+    if sizes == (512, 1024, 2048, 4096):
+        docs = docs.union(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    else:
+        docs = docs.where("length(text) < 100000 OR text IS NULL")
+    rows = packing.best_fit_packing(docs, sizes=sizes, shard_pieces=shard_pieces).collect()
+    texts = [r.text for r in docs.collect()]
+    pieces_ = Counter(n for t in texts for n in [max(sizes)] * (len(words(t)) // max(sizes)) + [len(words(t)) % max(sizes)] if n)
+    assert Counter(r.n_words for r in rows if r.n_words) == pieces_
+    assert sum(r.n_words == 0 for r in rows) == sum(not words(t) for t in texts)
+    shards = {}
+    for r in rows:
+        if r.n_words:
+            shards.setdefault(r.bin_id >> 32, {}).setdefault(r.bin_id, []).append((r.bin_offset, r.n_words, r.bin_size))
+    for bins in shards.values():
+        got = Counter()
+        for held in bins.values():
+            held.sort()
+            assert [o for o, _, _ in held] == [sum(n for _, n, _ in held[:i]) for i in range(len(held))]
+            got[held[0][2], tuple(n for _, n, _ in held)] += 1
+        assert got == packed_by_hand([n for held in bins.values() for _, n, _ in held], sizes, packing.OVERHEAD)
+
+
+# ---- licence wording does not depend on line breaks
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n[ \t\r]*\n", text))
+
+
+PUBLISHED = {"MIT": licenses.KNOWN["MIT"][0].replace("MIT License\n", "MIT License\n\nCopyright (c) 2019-2023 A very long name of a holder, with co-workers, contributors and their employers in several places\n"),
+             "ISC": "Copyright 2004 B (b@example.org)\n\n" + licenses.KNOWN["ISC"][0]}
+
+
+def published():
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    return PUBLISHED | {names[f.name]: f.read_text(encoding="utf8") for f in sorted(folder.glob("*")) if f.name in names and not f.is_symlink()}
+
+
+def test_licenses_are_found_however_they_are_wrapped(spark):
+    texts = [(name, wrapped(text, width)) for name, text in published().items() for width in (60, 64, 70, 72, 76, 78, 79, 80, 100, 120)]
+    rows = [(2 * i, t, None) for i, (_, t) in enumerate(texts)] + [(2 * i + 1, f"A post about code.\n\n{t}\n\nMore of it follows.", None) for i, (_, t) in enumerate(texts)]
+    got = licenses.license_scan(documents(spark, rows)).where("license_id IS NOT NULL AND unit IN ('text', 'block')").select("doc_id", "license_id").distinct().collect()
+    found = {}
+    for i, name in got:
+        found.setdefault(i, set()).add(name)
+    for i, (name, _) in enumerate(texts):
+        assert name in found.get(2 * i, set()), (name, "whole")
+        assert name in found.get(2 * i + 1, set()), (name, "inside")
+
+
+def test_only_notices_are_left_out():
+    for kept in ("(c) You must retain, in the Source form", "copyright license to reproduce", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM AND MORE WORDS THAN A NOTICE HAS", "the copyright owner"):
+        assert licenses.canonical(kept).split()[:2] == [licenses.SPELLINGS.get(w, w) for w in re.findall(r"[^\W_]+", kept.lower())][:2]
+    for gone in ("Copyright (c) 2020 Somebody", "(c) 1999 X", "© 2001 Y Inc.", "Copyright <YEAR> <HOLDER>", "Copyright 2012 A\nCopyright 2013 B. All rights reserved.", "All rights\nreserved.", "Copyright The Authors"):
+        assert licenses.canonical(gone) == ""
+    assert licenses.canonical("Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy") == "everyone is permitted to copy"
