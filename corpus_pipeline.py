@@ -26,9 +26,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all labelled rows; a document goes if it has no letter or no text, or is beyond the decoding distance FAR from
-    every learned language. An ambiguous one stays: a clean text may quote another language. If nothing is labelled, every text
-    with a letter stays."""
+    """Learn from all labelled rows; a document goes if it has no letter or no text, or is of no learned language (most of its n-grams
+    were never learned). One that is ambiguous otherwise stays: a clean text may quote another language. If nothing is labelled,
+    every text with a letter stays."""
     model = fit(docs.select("lang", "text"))
     found = predict(_rows(docs), model, "row", "text")
     return found.where(F.col("reason").isNull() | (F.col("reason") == NO_MODEL)).select("row.*")
