@@ -38,11 +38,12 @@ def _columns(spark: SparkSession, files: DataFrame, safe: dict[str, str], rename
     Names are worked out per distinct header; the driver gets each of these once.
     """
     rows = []
+    inner = {n.lower(): s for n, s in safe.items()}
     for r in files.select("own").distinct().collect():
-        own = [n for n in r["own"] if n in safe]
-        clean = sanitise_names(own)
-        clean = standard_names(clean) if rename else clean
-        rows += [(r["own"], safe[n], c, i, c != s) for i, (n, c, s) in enumerate(zip(own, clean, sanitise_names(own)))]
+        own = [n for n in r["own"] if n.lower() in inner]
+        plain = sanitise_names(own)
+        clean = standard_names(plain) if rename else plain
+        rows += [(r["own"], inner[n.lower()], c, i, c != s) for i, (n, c, s) in enumerate(zip(own, clean, plain))]
     kinds = (pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.bool_())
     named = pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("of", "variable", "name", "position", "renamed"), kinds))})
     return files.join(spark.createDataFrame(named), F.col("own") == F.col("of")).select(*_COLUMN, "name", "position", "renamed")
@@ -151,8 +152,8 @@ def clean_folder(df: DataFrame, folder: str, fmt: str = "parquet", duplicate_str
                  outlier_method: str = "iqr", outlier_factor: float = fv.OUTLIER_FACTOR, rename: bool = True) -> DataFrame:
     """Clean every source file of `read_csv` by itself; one row (file, rows, columns, quality_score) per file with any record.
 
-    Below `folder` each table is written once, partitioned by file: cleaned_data, column_summary, outlier_report, mixed_columns,
-    recommendations, cleaning_log, run_stats. A cleaned column is a number or a date where it is one in every file that has it, else text; in the
+    Below `folder` each table is written once: cleaned_data, partitioned by file, and column_summary, outlier_report, mixed_columns,
+    recommendations, cleaning_log, run_stats, which tell the file in a column. A cleaned column is a number or a date where it is one in every file that has it, else text; in the
     rows of a file without it it is null. Pass `read_csv(header=HEADER)` to let columns without any cell count as a file's own.
     """
     spark = df.sparkSession
@@ -187,7 +188,7 @@ def clean_folder(df: DataFrame, folder: str, fmt: str = "parquet", duplicate_str
     held = kept.join(sizes.select(FILE, "rows", F.inline("_held")), _COLUMN).withColumn("gaps", F.col("rows") - F.col("held"))
     is_number = F.col("type").isin("numeric", "ordinal")
     cells = _long(data, inner, [FILE, ROW_ID]).where("value IS NOT NULL")
-    numbers = lookup_by_key(cells, kept.where(is_number).select(*_COLUMN, "name"), _COLUMN).withColumn("x", F.col("value").cast("double"))
+    numbers = lookup_by_key(cells, kept.where(is_number).select(*_COLUMN, "name"), _COLUMN).withColumn("x", F.col("value").try_cast("double"))
     words = lookup_by_key(cells, kept.where("type = 'categorical'").select(*_COLUMN), _COLUMN)
     by_number = settle(counted(numbers, "x", _COLUMN))
     limits = settle(_fences(numbers, by_number, outlier_method, outlier_factor))
@@ -205,7 +206,7 @@ def clean_folder(df: DataFrame, folder: str, fmt: str = "parquet", duplicate_str
         fills = fills.limit(0)
     fills = settle(held.where("gaps > 0").join(fills, _COLUMN).where("fill IS NOT NULL"))
     shown = F.when(F.col("type") == "categorical", F.concat(F.col("name"), F.lit("(mode='"), F.col("fill"), F.lit("')"))).otherwise(
-        F.concat(F.col("name"), F.lit(f"({impute_strategy}="), F.format_string("%.2f", F.col("fill").cast("double")), F.lit(")")))
+        F.concat(F.col("name"), F.lit(f"({impute_strategy}="), F.format_string("%.2f", F.col("fill").try_cast("double")), F.lit(")")))
 
     # the cleaned rows, columns by their cleaned names
     maps = _per_file(kept, "variable", F.col("name"), "_names").join(_per_file(fills, "variable", F.col("fill"), "_fills"), FILE, "left")
@@ -220,7 +221,7 @@ def clean_folder(df: DataFrame, folder: str, fmt: str = "parquet", duplicate_str
     for name, members in places.items():
         text = F.coalesce(*[F.when(F.try_element_at("_names", F.lit(c)) == name, whole[c]) for c in members])
         kind = "double" if sorts[name] <= {"numeric", "ordinal"} else "date" if sorts[name] == {"date"} else "string"
-        out.append(text.cast(kind).alias(name))
+        out.append(text.try_cast(kind).alias(name))
     flag = ["_duplicate_flag"] if duplicate_strategy == "report" else []
     cleaned = rows.select(FILE, ROW_ID, *out, *flag)
 
@@ -262,7 +263,7 @@ def clean_folder(df: DataFrame, folder: str, fmt: str = "parquet", duplicate_str
     score = quality_score(F.col("rows") * F.col("columns"), F.col("missing_after"), F.col("rows"), F.col("outliers"), F.col("bad_dates"), F.col("rows") * F.col("dates"),
                           F.col("rows_removed"), F.col("rows_in"), F.col("mixed_columns"), F.col("columns"))
     stats = settle(stats.withColumn("quality_score", score))
-    extra = F.lit(len(flag))
+    extra = F.when(F.col("duplicates") > 0, len(flag)).otherwise(0)
     metrics = {"rows_in": "rows_in", "cols_in": "cols_in", "rows_out": "rows", "cols_out": F.col("columns") + extra, "rows_removed": "rows_removed",
                "missing_before": "missing_before", "missing_after": "missing_after", "impute_strategy": F.lit(impute_strategy),
                "duplicate_strategy": F.lit(duplicate_strategy), "outlier_method": F.lit(outlier_method), "mixed_columns": "mixed_columns",
@@ -274,14 +275,16 @@ def clean_folder(df: DataFrame, folder: str, fmt: str = "parquet", duplicate_str
         "cleaning_log": _log(stats, duplicate_strategy, outlier_method, impute_strategy), "run_stats": stats.select(FILE, F.inline(listed)),
     }
     for name, part in tables.items():
-        _write(part, f"{folder}/{name}", fmt)
+        _write(part, f"{folder}/{name}", fmt, name == "cleaned_data")
     return stats.select(F.col(FILE).alias("file"), "rows", "columns", "quality_score").orderBy("file")
 
 
-def _write(part: DataFrame, path: str, fmt: str) -> None:
-    """One partitioned write; text cells are guarded against formula evaluation in CSV output."""
+def _write(part: DataFrame, path: str, fmt: str, by_file: bool) -> None:
+    """One write; text cells are guarded against formula evaluation in CSV output."""
+    writer = part.write
     if fmt == "csv":
-        part = part.withColumns({c: guard_formula(F.col(c)) for c, t in part.dtypes if t == "string" and c != FILE})
-        part.write.mode("overwrite").partitionBy(FILE).option("header", True).option("escape", "\"").option("dateFormat", "yyyy-MM-dd").csv(path)
-    else:
-        part.write.mode("overwrite").partitionBy(FILE).format(fmt).save(path)
+        writer = part.withColumns({c: guard_formula(F.col(c)) for c, t in part.dtypes if t == "string" and c != FILE}).write
+        writer = writer.option("header", True).option("escape", "\"").option("dateFormat", "yyyy-MM-dd")
+    if by_file:
+        writer = writer.partitionBy(FILE)
+    writer.mode("overwrite").format(fmt).save(path)

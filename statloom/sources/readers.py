@@ -213,7 +213,7 @@ def _cells(text: Column) -> Column:
 
 
 def _names(cells: list, width: int = 0) -> list[str]:
-    """Header names without the byte-order mark; repeated ones are numbered. Cells beyond the last name, up to `width`, get names of their own;
+    """Header names without the byte-order mark; repeated ones (in any letter case) are numbered. Cells beyond the last name, up to `width`, get names of their own;
     a column without name and cells is none."""
     cells = list(cells)
     while cells and cells[-1] is None:
@@ -222,15 +222,16 @@ def _names(cells: list, width: int = 0) -> list[str]:
     names, seen = [], {}
     for i, cell in enumerate(cells):
         name = (cell or "").lstrip("\ufeff").lstrip("\u00ef\u00bb\u00bf").strip() or f"_c{i}"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
+        low = name.lower()
+        seen[low] = seen.get(low, 0) + 1
+        names.append(name if seen[low] == 1 else f"{name}.{seen[low] - 1}")
     return names
 
 
 def read_csv(spark: SparkSession, path, encoding: str | None = None, header: str | None = None) -> DataFrame:
     """All columns as text, with the source file and a row id that follows (file name, record number in the file).
 
-    Each file has its own encoding and header: columns meet by name whatever their order, and a column that a file lacks is
+    Each file has its own encoding and header: columns meet by name, whatever its letter case and their order, and a column that a file lacks is
     null there. No cell is lost: a record longer than its header fills columns named after their place (`_c3` is the fourth).
     Large files are read by many tasks, also with line breaks in quoted cells; blank lines are no records. Lines and records are
     written to the shared folder once, so ids and headers agree. `header` names a column for the names of the file's own columns.
@@ -249,8 +250,15 @@ def read_csv(spark: SparkSession, path, encoding: str | None = None, header: str
         (F.count("*") == F.max("pos") - F.min("pos") + 1).alias("dense")).collect()}
     order = {f: i for i, f in enumerate(sorted(heads))}
     own = {f: _names(r["cells"], r["width"] or 0) for f, r in heads.items()}
-    names = list(dict.fromkeys(n for f in order for n in own[f]))
-    rows = [(f, order[f], heads[f]["first"], heads[f]["dense"], [own[f].index(n) if n in own[f] else -1 for n in names], own[f]) for f in order]
+    spelled: dict[str, str] = {}
+    for f in order:
+        for n in own[f]:
+            spelled.setdefault(n.lower(), n)
+    names = list(spelled.values())
+    rows = []
+    for f in order:
+        place = {n.lower(): i for i, n in enumerate(own[f])}
+        rows.append((f, order[f], heads[f]["first"], heads[f]["dense"], [place.get(n, -1) for n in spelled], own[f]))
     places = spark.createDataFrame(pa.Table.from_batches([_table(rows, _PLACES)]) if rows else _PLACES.empty_table())
     # one row per file
     body = records.join(places, F.col(FILE) == F.col("_of"))

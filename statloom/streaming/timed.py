@@ -8,7 +8,7 @@ batches. A key without waiting rows keeps only what its fold needs, and that is
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,6 +40,7 @@ class InTime(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
+            pdf = pdf[pdf["real"]]
             own = pdf["us"] // (self.slice_ms * 1000)
             for at, part in pdf.groupby(own, sort=False):
                 at = int(at)
@@ -129,8 +130,13 @@ class Grants(InTime):
 _SPENDS = ["user_id", "event_id", "us", "delta", "balance", "accepted"]
 
 
-def _micros(df: DataFrame, delay: str) -> DataFrame:
-    return df.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+def _waiting(df: DataFrame, delay: str, key: str, real: Column, event: Column, amount: Column) -> DataFrame:
+    """Rows as the processors take them. Those that are not `real` only tell how far time has come: were they filtered out, the filter would
+    move below the watermark."""
+    none = F.lit(0).cast("long")
+    return df.withWatermark("ts", delay).select(
+        F.col(key).cast("long").alias("key"), "ts", F.coalesce(F.unix_micros("ts"), none).alias("us"), F.coalesce(event.cast("long"), none).alias("id"),
+        F.coalesce(amount.cast("long"), none).alias("amount"), (real & F.col("ts").isNotNull()).alias("real"))
 
 
 def spends_in_time(ledger: DataFrame, delay: str = "1 day", slice_minutes: int = 60) -> DataFrame:
@@ -140,9 +146,8 @@ def spends_in_time(ledger: DataFrame, delay: str = "1 day", slice_minutes: int =
     that come later are dropped. Rows without time or delta are left out.
     """
     use_rocksdb(ledger.sparkSession)
-    rows = _micros(ledger, delay).where("us IS NOT NULL AND delta IS NOT NULL").select(
-        F.col("user_id").cast("long").alias("user_id"), "ts", "us", F.col("event_id").cast("long").alias("id"), F.col("delta").cast("long").alias("amount"))
-    out = rows.groupBy("user_id").transformWithStateInPandas(
+    rows = _waiting(ledger, delay, "user_id", F.col("delta").isNotNull(), F.col("event_id"), F.col("delta"))
+    out = rows.groupBy("key").transformWithStateInPandas(
         Spends(slice_minutes * 60_000), "user_id long, event_id long, us long, delta long, balance long, accepted boolean", "Append", "EventTime")
     return out.select("user_id", "event_id", F.timestamp_micros("us").alias("ts"), "delta", "balance", "accepted")
 
@@ -151,7 +156,6 @@ def grants_in_time(activity: DataFrame, key: str, days: int = fv.ALLOWANCE_PERIO
     """(enrolment, granted_at) as the allowance rule gives them, decided slice by slice as the watermark passes; what an enrolment's last grant
     blocks is forgotten by a timer when its period is over."""
     use_rocksdb(activity.sparkSession)
-    rows = _micros(activity, delay).where(F.col("us").isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("enrolment"), "ts", "us", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("amount"))
-    out = rows.groupBy("enrolment").transformWithStateInPandas(Grants(slice_minutes * 60_000, days * 86_400_000), "enrolment long, us long", "Append", "EventTime")
+    rows = _waiting(activity, delay, key, F.col(key).isNotNull(), F.lit(0), F.lit(0))
+    out = rows.groupBy("key").transformWithStateInPandas(Grants(slice_minutes * 60_000, days * 86_400_000), "enrolment long, us long", "Append", "EventTime")
     return out.select("enrolment", F.timestamp_micros("us").alias("granted_at"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,14 +363,37 @@ def test_qq_points(spark):
     assert pts.count() == 2500 and pts.agg(F.countDistinct("position")).first()[0] == 2500
 
 
-def test_shapiro_needs_whole_variables(spark, skewed):
+def test_shapiro_of_whole_variables(spark, skewed):
     pdf = pd.DataFrame(skewed_rows(), columns=["id", "x", "g"])
     got = {r["g"]: r for r in normality.shapiro_table(skewed, ["x"], ["g"]).collect()}
     for g, part in pdf.groupby("g"):
         w, p = normality.shapiro_wilk(part["x"].to_numpy())
         assert (got[g]["n"], got[g]["w"], got[g]["p"]) == (len(part), pytest.approx(w), pytest.approx(p))
-    long = normality.shapiro_table(spark.range(5001).select(F.col("id").cast("double").alias("x")), ["x"]).first()
-    assert long["n"] == 5001 and long["w"] is None and long["p"] is None
+    rng = np.random.default_rng(3)
+    samples = {"tiny": [1.0, 2.0], "three": [1.0, 2.0, 4.0], "five": [3.0, 1.0, 2.0, 7.0, 5.0], "eleven": [148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], "flat": [2.0] * 40,
+               "normal": rng.normal(10, 3, 5000), "ties": np.round(rng.normal(0, 2, 4999)), "runs": rng.integers(0, 3, 3000).astype(float), "skew": rng.exponential(1, 700),
+               "far": np.r_[rng.normal(0, 1, 300), 1e9], "edge": rng.normal(0, 1, 129), "middle": np.r_[np.zeros(1000), rng.normal(0, 1, 200)]}
+    rows = pa.table({"g": [g for g, v in samples.items() for _ in v], "x": [float(x) for v in samples.values() for x in v]})
+    got = {r["g"]: r for r in normality.shapiro_table(spark.createDataFrame(rows), ["x"], ["g"]).collect()}
+    for g, values in samples.items():
+        w, p = normality.shapiro_wilk(np.array(values))
+        if len(values) < 3:
+            assert got[g]["w"] is None and got[g]["p"] is None
+        else:
+            assert (got[g]["w"], got[g]["p"]) == (pytest.approx(w, abs=1e-6), pytest.approx(p, abs=1e-5)), g
+
+
+def test_shapiro_beyond_its_published_range():
+    """The same sums one rank at a time, for 20,000 values with and without ties."""
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(0, 1, 20_000), np.round(rng.normal(0, 3, 20_001))):
+        w, p = normality.shapiro_wilk(values)
+        x, n = np.sort(values) - values.mean(), len(values)
+        found, counts = np.unique(x, return_counts=True)
+        below = np.cumsum(counts) - counts
+        scores = normality.score_sums(below.astype(float), counts.astype(float), np.full(len(found), float(n)))
+        got = normality.w_and_p(n, float((found * scores).sum()), float((x * x).sum()), (x[0], x[1], x[-2], x[-1]))
+        assert got == (pytest.approx(w, abs=1e-8), pytest.approx(p, abs=1e-4))
 
 
 def test_normality_is_judged_on_every_row(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.catalog import streams
-from statloom.streaming import jobs
+from statloom.streaming import jobs, profiles, timed
 
 
 def write(spark, folder, rows):
@@ -74,7 +74,7 @@ def test_profile_slices_merge(stream):
 
 
 @pytest.mark.parametrize("name", ["stream_daily_quota", "stream_sessions", "stream_sliding_activity", "stream_spend", "stream_payments",
-                                  "stream_allowances", "stream_profile"])
+                                  "stream_allowances", "stream_profile", "stream_profile_kept"])
 def test_table_in_many_files_out_of_order(spark, folder, tmp_path, name):
     rows = pq.read_table(f"{folder}/events.parquet").sort_by("ts")
     parts = tmp_path / "events.parquet"
@@ -94,3 +94,103 @@ def test_table_in_many_files_out_of_order(spark, folder, tmp_path, name):
         return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in pdf.itertuples(index=False))
 
     assert len(got) and cells(got) == cells(want)
+
+
+def ordered_files(spark, folder, rows, n):
+    """`rows` (event_id, user_id, t, value) dealt into n files in order of time, read one per batch."""
+    for i in range(n):
+        write(spark, folder, rows[i * len(rows) // n:(i + 1) * len(rows) // n])
+    schema = spark.read.parquet(str(folder)).schema
+    return schema, lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_spends_wait_for_their_time(spark, tmp_path):
+    """Rows within a batch come in any order, rows of a later file may be older within the delay; a key is many slices; timers decide."""
+    rows = [(i, i % 2, f"2024-01-0{1 + i // 24} {i % 24:02d}:{59 - i % 60:02d}:00", 0.0) for i in range(72)]
+    rows[10], rows[30] = rows[30], rows[10]
+    schema, read = ordered_files(spark, tmp_path / "e", rows, 4)
+    stream = read().select("user_id", "event_id", "ts", F.when(F.col("event_id") % 3 == 0, 7).otherwise(-5).alias("delta"))
+    out = jobs.drain(timed.spends_in_time(stream, "2 days", 30)).collect()
+    want, balance = [], {0: 0, 1: 0}
+    for event, who, ts, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        delta = 7 if event % 3 == 0 else -5
+        fits = delta > 0 or balance[who] + delta >= 0
+        balance[who] += delta if fits else 0
+        want.append((event, balance[who], fits))
+    got = sorted((r["event_id"], r["balance"], r["accepted"]) for r in out)
+    # slices that the watermark has not passed stay in the state
+    assert 20 <= len(got) < 72 and set(got) <= set(want)
+
+
+def test_a_grant_is_forgotten_when_its_period_is_over(monkeypatch):
+    """State of an enrolment: what waits, and the last grant until a timer says that any activity is granted."""
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    class Map(dict):
+        def getValue(self, k):
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getMapState(self, *_):
+            return Map()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+    class Now:
+        def __init__(self, t):
+            self.t = t
+
+        def getExpiryTimeInMs(self):
+            return self.t
+
+    hour, day = 3_600_000, 86_400_000
+    grants = timed.Grants(hour, 7 * day + 1000)
+    grants.init(handle := Handle())
+    at = [0, 5 * day, 7 * day, 7 * day + 500, 7 * day + 1000, 7 * day + 2000, 30 * day]
+    rows = pd.DataFrame({"us": [a * 1000 for a in reversed(at)], "id": 0, "amount": 0, "real": True})
+    assert list(grants.handleInputRows((1,), iter([rows.iloc[:3], rows.iloc[3:]]), None)) == []
+    out = []
+    while handle.timers:
+        now = min(handle.timers)
+        handle.timers.remove(now)
+        out += [u // 1000 for pdf in grants.handleExpiredTimer((1,), None, Now(now)) for u in pdf["us"]]
+    assert out == [0, 7 * day + 1000, 30 * day]
+    assert not grants.sizes and not grants.rows and not grants.memory.exists()
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    batches = [spark.range(a, b).select(F.col("id"), (F.col("id") % 7).cast("double").alias("v")) for a, b in ((0, 50), (50, 120), (120, 121))]
+    assert profiles.read_profile(spark, folder).collect() == []
+    for batch_id in (0, 1, 1, 2, 2, 2):
+        profiles.merge_batch(batches[batch_id], batch_id, ["id", "v"], folder)
+    got = {r["variable"]: tuple(r)[1:] for r in profiles.read_profile(spark, folder).collect()}
+    assert got == {"id": (121, 121, 0.0, 120.0, 60.0, 121), "v": (121, 121, 0.0, 6.0, pytest.approx(sum(i % 7 for i in range(121)) / 121), 7)}
+    assert len(profiles.versions(spark, folder)) <= 3
