@@ -37,12 +37,20 @@ def codewords(labels: int) -> np.ndarray:
         columns = [[1 if not i or m >> (i - 1) & 1 else -1 for i in range(labels)] for m in range(2 ** (labels - 1) - 1)]
         return np.array(columns, np.int8).reshape(-1, labels).T
     rng = np.random.default_rng(labels)
-    out = np.empty((labels, 0), np.int8)
     base = np.where(np.arange(labels) % 2, 1, -1).astype(np.int8)
+    columns, apart = [], np.zeros((labels, labels), np.int16)
+    np.fill_diagonal(apart, np.iinfo(np.int16).max // 2)
     for _ in range(math.ceil(10 * math.log2(labels))):
-        tries = [np.c_[out, rng.permutation(base)] for _ in range(8)]
-        out = max(tries, key=lambda c: min((c[:, None] != c[None]).sum(2)[~np.eye(labels, dtype=bool)]))
-    return out
+        tries = [rng.permutation(base) for _ in range(8)]
+        best = max(tries, key=lambda c: (apart + (c[:, None] != c[None])).min())
+        columns.append(best)
+        apart += best[:, None] != best[None]
+    return np.array(columns, np.int8).T
+
+
+def least_distance(code: np.ndarray) -> int:
+    """The smallest number of bits in which two codewords differ."""
+    return min((int((code[i + 1:] != code[i]).sum(1).min()) for i in range(len(code) - 1)), default=0)
 
 
 def grams(text: str):
@@ -125,6 +133,7 @@ class CodeModel:
     def __init__(self, labels: list[str], buckets: np.ndarray, weights: np.ndarray, shares: np.ndarray):
         self.labels = labels
         self.code = codewords(len(labels))
+        self.apart = least_distance(self.code)
         self.weights = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
         self.weights[buckets] = weights
         self.seen = np.zeros(BUCKETS, bool)
@@ -149,8 +158,7 @@ class CodeModel:
         best, second = order[0], order[1]
         share = np.exp(-8 * (loss / loss[best] - 1))
         bits = (np.sign(margins) * self.code[best] < 0).sum()
-        apart = (self.code[:, None] != self.code[None]).sum(2)[~np.eye(len(self.labels), dtype=bool)].min()
-        return int(best), float(share[best] / share.sum()), bool(loss[second] <= 1.05 * loss[best] or bits > (apart - 1) // 2), float(loss[best])
+        return int(best), float(share[best] / share.sum()), bool(loss[second] <= 1.05 * loss[best] or bits > (self.apart - 1) // 2), float(loss[best])
 
     def predict(self, text: str) -> tuple[str, float, bool, str | None]:
         """Label, score, ambiguous, and the reason if the text has no language or is of none that was learned."""

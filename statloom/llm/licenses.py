@@ -68,8 +68,8 @@ _YEAR = r"[12][0-9][0-9][0-9]"
 _SIGN = r"(?:©|\(c\))"
 _GO_ON = "|".join(p.replace(" ", r"\s+") for p in BODY)
 NOTICE = rf"(?i)(?:\bcopyright[\s,:.-]*(?:{_SIGN}|[<\[{{]*(?:{_YEAR}|year|yyyy|date))|{_SIGN}[\s,:.-]*(?:copyright[\s,:.-]*)?{_YEAR})[\s\S]*?(?:\b({_GO_ON})\b|END)"
-#: A short paragraph that begins with the word and has none of that.
-SHORT = r"(?i)START[^\w]*copyright\b(?:\W+\w+){0,11}\W*END"
+#: A paragraph of the word and names alone, or of a sign and up to four words, without a year.
+SHORT = r"START[^\w©]*(?:Copyright(?:\s+(?:[A-Z]\S*|by|and|of|the|&))+|(?:©|\([cC]\))(?:\s+\S+){1,4})\W*END"
 RESERVED = r"(?i)\ball\s+rights\s+reserved\b\W*"
 GO_ON = rf"(?i){_GO_ON}"
 _NOTICE, _SHORT = (re.compile(p.replace("START", r"\A").replace("END", r"\Z")) for p in (NOTICE, SHORT))

@@ -138,8 +138,8 @@ def test_unlearned_languages_are_ambiguous(spark, folder):
 def test_many_labels(spark, monkeypatch):
     """More labels than a task holds at once, without a limit on their number."""
     monkeypatch.setattr(language_id, "HELD_LABELS", 7)
-    alphabet = "abcdefghijklmnopqrstuvwxyz"
-    rows = [(i, f"{alphabet[i % 26] * 3}{alphabet[i // 26] * 3} " * 5, f"l{i:03d}") for i in range(600)]
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(12)), f"l{i:03d}") for i in range(600)]
     model = language_id.fit(documents(spark, rows))
     assert len(model.labels) == 600
     assert sum(model.predict(rows[i][1])[0] == rows[i][2] for i in range(0, 600, 20)) >= 27
