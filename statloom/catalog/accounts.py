@@ -6,6 +6,7 @@ from statloom import fixed_values as fv
 from statloom.catalog import views
 from statloom.catalog.views import table
 from statloom.operators import accounts, dedup, ledger
+from statloom.operators.asof import last_known
 
 QUERIES: dict = {}
 NOW = "2024-01-20 00:00:00"
@@ -253,6 +254,43 @@ def allowance_due(spark, d):
     return ledger.due_allowances(_granted(spark, d), views.classes(spark, d), moment).select("student_id", "class_id", "granted")
 
 
+_DAYS = [f"{year}-{month}-01" for year in range(1992, 2000) for month in ("03", "09")]
+
+
+@register("allowance_due_days", f"""WITH {_CLASS}, t AS (SELECT unnest({[f"{d}" for d in _DAYS]})::TIMESTAMP AS day),
+a AS (SELECT s.student_id, s.class_id, c.allowance, t.day, (SELECT max(o_orderdate) FROM orders WHERE o_custkey = s.student_id AND o_orderdate <= t.day) AS last
+  FROM s JOIN c ON c.id = s.class_id, t WHERE s.is_active AND c.is_active)
+SELECT strftime(day, '%Y-%m-%d') AS day, student_id, class_id, allowance AS granted FROM a WHERE last IS NULL OR floor((epoch(day) - epoch(last)) / 86400) >= 30""")
+def allowance_due_days(spark, d):
+    """Allowances due on many days at once, from the history of grants."""
+    grants = table(spark, d, "orders").select(F.col("o_custkey").alias("student_id"), F.col("o_orderdate").alias("last_allowance_at"))
+    out = ledger.due_on_days(views.enrolments(spark, d), views.classes(spark, d), grants, _DAYS)
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "student_id", "class_id", "granted")
+
+
+@register("balance_as_of", f"""WITH {_LEDGER}, b AS (SELECT user_id, ts, event_id, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS balance FROM l)
+SELECT e.event_id, CAST(b.balance AS BIGINT) AS balance FROM events e ASOF LEFT JOIN (SELECT user_id, ts, arg_max(balance, event_id) AS balance FROM b GROUP BY 1, 2) b
+  ON e.user_id = b.user_id AND e.ts >= b.ts WHERE e.event_type = 'error'""")
+def balance_as_of(spark, d):
+    """The balance that stood when an error happened."""
+    errors = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
+    stood = ledger.running_balance(views.ledger(spark, d)).select("user_id", "ts", F.col("event_id").alias("of"), "balance")
+    return last_known(errors, stood, ["user_id"], "ts", ["balance"], ["of"]).select("event_id", "balance")
+
+
+@register("audit_details", """SELECT event_type AS action, json_extract_string(props, '$.k')::BIGINT % 10 AS last_digit, count(*) AS n FROM events GROUP BY 1, 2""")
+def audit_details(spark, d):
+    """Details of any shape, read by path."""
+    details = accounts.audit_details(table(spark, d, "events"), "event_type", "props", {"k": "bigint"})
+    return details.groupBy("action", (F.col("k") % 10).alias("last_digit")).agg(F.count("*").alias("n"))
+
+
+@register("audit_detail_fields", """SELECT event_type AS action, 'k' AS field, 'BIGINT' AS type, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY 1""")
+def audit_detail_fields(spark, d):
+    """What the details hold, without knowing it before."""
+    return accounts.detail_fields(table(spark, d, "events"), "event_type", "props")
+
+
 @register("allowance_totals", f"""WITH {_CLASS}, g AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1)
 SELECT s.class_id, count(*) AS students, CAST(sum(c.allowance) AS BIGINT) AS granted FROM s JOIN c ON c.id = s.class_id
 LEFT JOIN g ON o_custkey = s.student_id WHERE s.is_active AND c.is_active

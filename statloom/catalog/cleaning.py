@@ -168,6 +168,17 @@ def column_summary(spark, d):
     return profile.column_summary(counts, types).drop("mixed")
 
 
+@register("frequent_values", " UNION ALL ".join(f"""SELECT '{c}' AS variable, string_agg(v, ', ' ORDER BY n DESC, v) AS top, true AS decided FROM (
+  SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {t} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)""" for c, t in (("l_returnflag", "lineitem"), ("o_orderpriority", "orders"), ("user_id", "events"))))
+def frequent_values(spark, d):
+    """The three most frequent values of columns, proposed by a sketch and counted exactly."""
+    out = None
+    for c, t in (("l_returnflag", "lineitem"), ("o_orderpriority", "orders"), ("user_id", "events")):
+        part = profile.frequent_values(table(spark, d, t), [c])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("quality_score", f"""WITH v AS (SELECT {_BALANCE} AS balance, {_SEGMENT} AS segment FROM customer),
 q AS (SELECT quantile_cont(balance, 0.25) AS q1, quantile_cont(balance, 0.75) AS q3 FROM v),
 s AS (SELECT count(*) AS n, count(*) FILTER (balance IS NULL) + count(*) FILTER (segment IS NULL) AS missing,
@@ -364,6 +375,32 @@ def analysis_roundtrip(spark, d):
                        "results.n", "results.chart_count", "interpretation")
 
 
+def _unlike(spark, d):
+    """Saved results of three shapes and one that is no JSON, in one table that was written and read."""
+    k = F.col("p_size") % 4
+    body = (F.when(k == 0, F.to_json(F.struct(F.col("p_size").alias("n"), F.struct(F.col("p_type").alias("label")).alias("best"))))
+            .when(k == 1, F.to_json(F.array(F.struct((F.col("p_size") / 4).alias("r")), F.struct(F.lit(0.5).alias("r")))))
+            .when(k == 2, F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))).otherwise("{broken"))
+    saved = table(spark, d, "part").select("p_partkey", F.concat(F.lit("kind"), k).alias("analysis_type"), body.alias("results"))
+    folder = f"{checkpoint_folder(spark)}/variants-{uuid.uuid4().hex}"
+    sinks.read_variants(saved).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@register("analysis_variants", """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS BIGINT) END AS n, CASE WHEN p_size % 4 = 0 THEN p_type END AS label,
+  CASE WHEN p_size % 4 = 1 THEN p_size / 4.0 END AS r, CASE WHEN p_size % 4 = 2 THEN p_brand END AS word, p_size % 4 = 3 AS unreadable FROM part""")
+def analysis_variants(spark, d):
+    v = F.col("results")
+    return _unlike(spark, d).select("p_partkey", F.try_variant_get(v, "$.n", "bigint").alias("n"), F.try_variant_get(v, "$.best.label", "string").alias("label"),
+                                    F.try_variant_get(v, "$[0].r", "double").alias("r"), F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).alias("word"), v.isNull().alias("unreadable"))
+
+
+@register("analysis_shapes", """SELECT 'kind' || (p_size % 4) AS analysis_type, CASE p_size % 4 WHEN 0 THEN 'OBJECT<best: OBJECT<label: STRING>, n: BIGINT>' WHEN 2 THEN 'STRING' END AS shape, count(*) AS n
+FROM part WHERE p_size % 4 <> 1 GROUP BY p_size % 4""")
+def analysis_shapes(spark, d):
+    return sinks.result_shapes(_unlike(spark, d)).where("analysis_type <> 'kind1'")
+
+
 def _csv_files(spark, d):
     """Customers as two CSV files of different encoding and column order; the note holds a line break and an accent."""
     folder = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from statloom import fixed_values as fv
 from statloom.catalog import sqltools as q
 from statloom.catalog.views import table
 from statloom.functions import scalars as sc
@@ -596,13 +597,23 @@ def citation_anova(spark, d):
     return out.select(interpret.citation("anova").alias("citation"))
 
 
+def _label(kind: str, value: str) -> str:
+    """The effect label by the cuts of its kind."""
+    cuts, top = fv.EFFECT_CUTS[kind]
+    return "CASE " + " ".join(f"WHEN {value} < {cut} THEN '{text}'" for cut, text in cuts) + f" ELSE '{top}' END"
+
+
 @register("result_sheet_anova", f"""WITH {_ANOVA}, r AS (SELECT *, ssb / (ssb + ssw) AS eta, {q.f_upper('f', 'k - 1', 'n - k')} AS p FROM f)
 SELECT CAST(0 AS INTEGER) AS position, 'Analysis' AS metric, 'One-Way ANOVA' AS value FROM r
 UNION ALL SELECT 1, 'p-value', {q.p_text('p')} FROM r UNION ALL SELECT 2, 'Significance', {q.stars('p')} FROM r
-UNION ALL SELECT 3, 'Effect Size', concat('η² = ', regexp_replace(regexp_replace(printf('%.4f', eta), '0+$', ''), '\\.$', '.0')) FROM r""")
+UNION ALL SELECT 3, 'Effect Size', concat('η² = ', regexp_replace(regexp_replace(printf('%.4f', eta), '0+$', ''), '\\.$', '.0')) FROM r
+UNION ALL SELECT 4, 'APA Citation', printf('F(%d,%d)=%.2f, %s, η²=%.3f', CAST(k - 1 AS BIGINT), CAST(n - k AS BIGINT), f, {q.p_text('p')}, eta) FROM r
+UNION ALL SELECT 5, 'Interpretation', concat(printf('One-way ANOVA compared o_totalprice across %d groups of o_orderpriority. Result was %s, F(%d,%d)=%.2f, %s, η²=%.3f (%s effect). We %s the null hypothesis of equal means.',
+  CAST(k AS BIGINT), CASE WHEN p < 0.05 THEN 'statistically significant' ELSE 'not statistically significant' END, CAST(k - 1 AS BIGINT), CAST(n - k AS BIGINT), f, {q.p_text('p')}, eta,
+  {_label('eta_squared', 'eta')}, CASE WHEN p < 0.05 THEN 'reject' ELSE 'fail to reject' END), CASE WHEN p < 0.05 THEN ' Bonferroni post-hoc comparisons provided.' ELSE '' END) FROM r""")
 def result_sheet(spark, d):
     done = study.run_test(table(spark, d, "orders"), "anova", {"numeric_var": "o_totalprice", "group_var": "o_orderpriority"})
-    return study.result_sheet(done).where("position <= 3")
+    return study.result_sheet(done)
 
 
 @register("interpretation_by_segment")

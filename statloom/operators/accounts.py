@@ -156,6 +156,19 @@ def audit_rollup(audit: DataFrame, action: str, ts: str) -> DataFrame:
     return audit.groupBy(F.col(action).alias("action"), F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
 
 
+def audit_details(audit: DataFrame, action: str, details: str, fields: dict[str, str]) -> DataFrame:
+    """Every audit row with its action and the named fields of its JSON details; text that is no JSON, a missing field or one of another type gives null."""
+    found = F.try_parse_json(F.col(details))
+    return audit.select(F.col(action).alias("action"), *[F.try_variant_get(found, f"$.{f}", kind).alias(f) for f, kind in fields.items()])
+
+
+def detail_fields(audit: DataFrame, action: str, details: str) -> DataFrame:
+    """(action, field, type, n): the top-level fields that the details of each action hold, with their types; nothing needs to be known before."""
+    parsed = audit.select(F.col(action).alias("action"), F.try_parse_json(F.col(details)).alias("_v"))
+    fields = parsed.lateralJoin(audit.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    return fields.groupBy("action", F.col("key").alias("field"), F.schema_of_variant("value").alias("type")).agg(F.count("*").alias("n"))
+
+
 def newest_first(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(*[F.desc(o) for o in order])
 

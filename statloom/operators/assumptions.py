@@ -9,6 +9,7 @@ from statloom.operators import comparisons, correlation, crosstab, outliers, reg
 from statloom.operators.naming import col
 from statloom.operators.normality import shapiro_table
 from statloom.operators.summaries import numeric
+from statloom.session import literal_rows
 
 # Display names of the checks.
 CHECK_NAMES = {
@@ -43,17 +44,37 @@ def _check(df: DataFrame, test: str, check: str, passed: Column, measure: Column
         F.when(~passed, F.lit(FIXES.get(check))).alias("fix"))
 
 
-def sample_size_check(df: DataFrame, test: str, value: str) -> DataFrame:
-    n = numeric(df, [value]).agg(F.count(col(value)).alias("n"))
+def figures_of(df: DataFrame, values: list[str]) -> dict[str, tuple[int, float | None, float | None, int]]:
+    """What the checks of single variables need, for all of them together: value -> (n, W, p, cells beyond three-IQR fences).
+
+    One count of distinct values, one narrowing of quartiles and one scan, however many tests ask for a variable; the driver gets a line each.
+    """
+    num = numeric(df, values)
+    tested = {r["variable"]: (r["n"], r["w"], r["p"]) for r in shapiro_table(num, values).collect()}
+    quartiles = {r["variable"]: r["q"] for r in outliers.quantiles(num, values, [0.25, 0.75]).collect()}
+    far = []
+    for i, v in enumerate(values):
+        q1, q3 = quartiles[v] or (0.0, 0.0)
+        far.append(F.count_if((col(v) < q1 - 3 * (q3 - q1)) | (col(v) > q3 + 3 * (q3 - q1))).alias(f"n{i}"))
+    beyond = num.agg(*far).first()
+    return {v: (*tested.get(v, (0, None, None)), beyond[i]) for i, v in enumerate(values)}
+
+
+def sample_size_check(df: DataFrame, test: str, value: str, known: dict | None = None) -> DataFrame:
+    if known:
+        n = literal_rows(df.sparkSession, [known[value][:1]], "n long")
+    else:
+        n = numeric(df, [value]).agg(F.count(col(value)).alias("n"))
     ok = F.col("n") >= 30
     note = F.concat(F.format_string("N = %d. ", "n"),
                     F.when(ok, "Sufficient (≥ 30).").otherwise("Small sample — results may be unreliable."))
     return _check(n, test, "sample_size", ok, F.col("n"), note)
 
 
-def normality_check(df: DataFrame, test: str, value: str, check: str = "normality") -> DataFrame:
+def normality_check(df: DataFrame, test: str, value: str, check: str = "normality", known: dict | None = None) -> DataFrame:
     """Shapiro-Wilk on the whole column; no row is left out."""
-    sw = shapiro_table(numeric(df, [value]), [value]).where("n >= 3")
+    sw = literal_rows(df.sparkSession, [known[value][:3]], "n long, w double, p double") if known else shapiro_table(numeric(df, [value]), [value])
+    sw = sw.where("n >= 3")
     ok = F.col("p") > 0.05
     if check == "normality":
         tail = F.when(ok, ". Distribution appears normal.").otherwise(". Distribution is not normal.")
@@ -63,13 +84,18 @@ def normality_check(df: DataFrame, test: str, value: str, check: str = "normalit
     return _check(sw, test, check, ok, F.col("w"), note)
 
 
-def outlier_check(df: DataFrame, test: str, value: str) -> DataFrame:
+def outlier_check(df: DataFrame, test: str, value: str, known: dict | None = None) -> DataFrame:
     """Three-IQR fences; a column without spread keeps its closed fence, so any other value counts."""
+    if known:
+        return _outlier_rows(literal_rows(df.sparkSession, [known[value][3:]], "n long"), test)
     q = outliers.quantiles(numeric(df, [value]), [value], [0.25, 0.75])
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     lim = q.select(F.struct((q1 - 3 * (q3 - q1)).alias("low"), (q3 + 3 * (q3 - q1)).alias("high"))).scalar()
     x = col(value)
-    n = numeric(df, [value]).agg(F.count_if((x < lim["low"]) | (x > lim["high"])).alias("n"))
+    return _outlier_rows(numeric(df, [value]).agg(F.count_if((x < lim["low"]) | (x > lim["high"])).alias("n")), test)
+
+
+def _outlier_rows(n: DataFrame, test: str) -> DataFrame:
     ok = F.col("n") == 0
     note = F.when(ok, F.lit("No extreme outliers found.")).otherwise(
         F.format_string("%d extreme outlier(s) detected (IQR×3 method).", "n"))
@@ -109,13 +135,16 @@ def expected_count_check(df: DataFrame, var1: str, var2: str) -> DataFrame:
     return _check(low, "chi_square", "expected_counts", ok, F.col("e"), note)
 
 
-def check_assumptions(df: DataFrame, test: str, params: dict, order: list[str]) -> DataFrame | None:
-    """All checks of a test in report order; None for tests that assume nothing."""
+GROUP_TESTS = ("t_test", "anova", "mann_whitney", "kruskal_wallis")
+
+
+def check_assumptions(df: DataFrame, test: str, params: dict, order: list[str], known: dict | None = None) -> DataFrame | None:
+    """All checks of a test in report order; None for tests that assume nothing. `known` are the `figures_of` its variable."""
     parts = []
     value, group = params.get("numeric_var") or params.get("dependent"), params.get("group_var")
-    if test in ("t_test", "anova", "mann_whitney", "kruskal_wallis") and value and group:
-        parts = [sample_size_check(df, test, value), normality_check(df, test, value),
-                 outlier_check(df, test, value)]
+    if test in GROUP_TESTS and value and group:
+        parts = [sample_size_check(df, test, value, known), normality_check(df, test, value, known=known),
+                 outlier_check(df, test, value, known)]
         if test in ("t_test", "anova"):
             parts.append(variance_check(df, test, value, group))
     elif test == "regression" and value and params.get("predictors"):

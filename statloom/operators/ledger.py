@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
 from statloom.functions.scalars import format_price
+from statloom.operators.asof import last_known
 from statloom.operators.prefix import in_units, running_sum
 from statloom.session import literal_rows, settle
 
@@ -236,6 +237,16 @@ def due_allowances(enrolments: DataFrame, classes: DataFrame, now: Column) -> Da
             .where("granted > 0"))
 
 
+def due_on_days(enrolments: DataFrame, classes: DataFrame, grants: DataFrame, days: list[str]) -> DataFrame:
+    """(day, enrolment_id, class_id, student_id, granted): the allowances that were due on each of the days, from the history of grants
+    (student_id, last_allowance_at), in one job."""
+    asked = enrolments.drop("last_allowance_at").withColumn("day", F.explode(F.array(*[F.lit(d).cast("timestamp") for d in days])))
+    history = grants.select("student_id", F.col("last_allowance_at").cast("timestamp").alias("day"), F.col("last_allowance_at").cast("timestamp").alias("last_allowance_at"))
+    known = last_known(asked, history, ["student_id"], "day", ["last_allowance_at"], bucket="month")
+    rows = due_allowances(known.withColumn("enrolment_id", F.struct("day", "enrolment_id")), classes, F.col("day"))
+    return rows.select("enrolment_id.day", "enrolment_id.enrolment_id", "class_id", "student_id", "granted")
+
+
 def current_state(changes: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """Latest value of each field over the change rows of a key; null fields leave the older value standing."""
     return changes.groupBy(key).agg(*[

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from statloom import fixed_values as fv
 from statloom.functions.parsing import is_boolean_token, parse_date, parse_number
-from statloom.operators.naming import plain_names
+from statloom.operators.naming import col, plain_names
+from statloom.session import literal_rows
 
 
 @plain_names("columns", "row_id", "by", told=("variable",))
@@ -100,6 +101,41 @@ def top_values(counts: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "variable").agg(F.array_join(F.transform(packed, lambda x: x["value"]), ", ").alias("top"))
 
 
+# Values per column that a sketch proposes as frequent, and those that it tracks.
+CANDIDATES, TRACKED = 32, 4096
+
+
+def frequent_values(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
+    """(variable, top, decided): the `k` most frequent filled values of each column as one text, ties in order of the value, without counting every distinct value.
+
+    A mergeable sketch of frequent items proposes CANDIDATES values per column in one scan; a second scan counts exactly these. A value that was not
+    proposed occurs at most as often as the sketch says of the last one proposed, or as its error allows, so where the k-th exact count is above that
+    the answer is exact (`decided`). Only candidates are shuffled and reach the driver.
+    """
+    inner = {c: f"_u{i}" for i, c in enumerate(columns)}
+    text = df.select(*[col(c).cast("string").alias(u) for c, u in inner.items()])
+    got = text.agg(*[F.expr(f"approx_top_k({u}, {CANDIDATES}, {TRACKED})").alias(u) for u in inner.values()], *[F.count(u).alias(f"n{u}") for u in inner.values()]).first()
+    proposed, least = [], []
+    for c, u in inner.items():
+        # an estimate is never too small
+        items = [(r["item"], r["count"]) for r in got[u] if r["item"] is not None]
+        proposed += [(u, item) for item, _ in items]
+        most = max(items[-1][1] if len(got[u]) == CANDIDATES else 0, int(3.5 / TRACKED * got[f"n{u}"]))
+        least.append((u, c, most, got[f"n{u}"]))
+    spark = df.sparkSession
+    # at most CANDIDATES rows per column
+    wanted = F.broadcast(literal_rows(spark, proposed, "of string, item string"))
+    long = text.unpivot([], list(inner.values()), "variable", "value")
+    counts = long.join(wanted, (F.col("variable") == F.col("of")) & (F.col("value") == F.col("item"))).groupBy("variable", "value").agg(F.count("*").alias("n"))
+    ordered = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))), 1, k)
+    top = counts.groupBy("variable").agg(ordered.alias("t"), F.sum("n").alias("seen"))
+    bounds = literal_rows(spark, least, "of string, name string, most long, filled long")
+    full = bounds.join(top, F.col("of") == F.col("variable"), "left")
+    last = -F.element_at("t", -1)["m"]
+    decided = (F.col("filled") == F.coalesce("seen", F.lit(0))) | ((F.size("t") == k) & (last > F.col("most")))
+    return full.select(F.col("name").alias("variable"), F.array_join(F.transform("t", lambda x: x["value"]), ", ").alias("top"), F.coalesce(decided, F.lit(False)).alias("decided"))
+
+
 def summary_rows(stats: DataFrame, top: DataFrame, types: DataFrame, by: list[str]) -> DataFrame:
     full = stats.join(top, [*by, "variable"], "left").join(types, [*by, "variable"], "left")
     sample = (F.when(F.col("type").isin("numeric", "ordinal"),
@@ -130,7 +166,7 @@ def column_summary(counts: DataFrame, types: DataFrame, by: list[str] = ()) -> D
 
 
 def fast_summary(df: DataFrame, columns: list[str], row_id: str, types: DataFrame, categories: list[str]) -> DataFrame:
-    """The same rows from one scan: distinct counts are sketches, only category columns are counted by value.
+    """The same rows without a shuffle of values: distinct counts and the proposals for frequent categories are sketches; the latter are counted.
 
     `df` holds converted columns: numbers are numeric by type.
     """
@@ -146,7 +182,8 @@ def fast_summary(df: DataFrame, columns: list[str], row_id: str, types: DataFram
             F.min_by(s, F.when(s.isNotNull(), F.col(row_id))).alias("first_value")))
     stats = df.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))
     if categories:
-        top = top_values(value_counts(df, categories, row_id), [])
+        found = frequent_values(df, categories)
+        top = found.select("variable", F.concat("top", F.when(F.col("decided"), "").otherwise(" (approximate)")).alias("top"))
     else:
         top = stats.select("variable", F.lit("").alias("top")).limit(0)
     return summary_rows(stats, top, types, [])

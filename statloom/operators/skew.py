@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from statloom.operators.naming import col
 from statloom.session import settle
 
-# Pieces into which the pairs of one segment are spread.
-SPREAD = 16
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -32,8 +30,10 @@ def lookup_by_key(detail: DataFrame, table: DataFrame, keys: list[str], how: str
 def every_pair(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """All pairs of rows of the two reduced tables within a segment, for results that have a row per pair.
 
-    The right rows are dealt into SPREAD pieces and each left row meets every piece, so that no segment is one task.
+    The right rows are dealt into as many pieces as a shuffle has partitions and each left row meets every piece, so that no segment is one task
+    and a larger cluster takes smaller shares.
     """
-    right = right.withColumn("_piece", F.pmod(F.xxhash64(*[c for c in right.columns if c not in by]), F.lit(SPREAD)).cast("int"))
-    left = left.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    pieces = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = right.withColumn("_piece", F.pmod(F.xxhash64(*[c for c in right.columns if c not in by]), F.lit(pieces)).cast("int"))
+    left = left.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     return null_safe_join(left, right, [*by, "_piece"]).drop("_piece")

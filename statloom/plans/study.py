@@ -258,15 +258,28 @@ def structural_error(test: str, params: dict | None, levels: dict[str, int]) ->
     return None
 
 
+def _columns_of(params: dict) -> set[str]:
+    """All columns that the parameters of a test name."""
+    out: set[str] = set()
+    for key in ("numeric_var", "group_var", "dependent", "predictors", "var1", "var2", "columns"):
+        v = params.get(key)
+        out |= {v} if isinstance(v, str) else set(v or ())
+    return out
+
+
 def soundness_table(df: DataFrame, config: dict[str, dict], order: list[str],
                     min_score: float = fv.SOUND_SCORE) -> DataFrame:
     """(test, score, passed_count, total_count, sound, recommendation) for every configured test, computed once."""
     spark = df.sparkSession
     checks, free = None, []
+    asked = [p["numeric_var"] for t, p in config.items() if p and t in assumptions.GROUP_TESTS and p.get("numeric_var") in df.columns and p.get("group_var")]
+    known = assumptions.figures_of(df, list(dict.fromkeys(asked))) if asked else None
     for test, params in config.items():
         if not params:
             continue
-        part = None if test in ALWAYS_SOUND else assumptions.check_assumptions(df, test, params, order)
+        if not _columns_of(params) <= set(df.columns):
+            continue  # the test itself tells what is wrong
+        part = None if test in ALWAYS_SOUND else assumptions.check_assumptions(df, test, params, order, known)
         if part is None:
             note = ("Descriptive statistics are always valid for any data." if test in ALWAYS_SOUND else
                     "This test is statistically sound for your data (score: 100.0%).")

@@ -51,6 +51,17 @@ def analysis_row(df: DataFrame, analysis: Column, dataset: Column, params: Colum
                      F.coalesce(interpretation, F.lit("")).alias("interpretation"))
 
 
+def read_variants(df: DataFrame, columns: list[str] = ("variables", "parameters", "results")) -> DataFrame:
+    """Saved analyses with their JSON columns as VARIANT: results of unlike shape stand in one column and are read by path
+    (`try_variant_get`), without a schema of the caller's. Text that is no JSON becomes null."""
+    return df.withColumns({c: F.try_parse_json(F.col(c)) for c in columns if c in df.columns})
+
+
+def result_shapes(df: DataFrame, column: str = "results", by: list[str] = ("analysis_type",)) -> DataFrame:
+    """(by, shape, n): the shapes that results have, unreadable ones as null."""
+    return df.groupBy(*by, F.schema_of_variant(F.col(column)).alias("shape")).agg(F.count("*").alias("n"))
+
+
 def read_analysis(df: DataFrame, results_schema: str) -> DataFrame:
     """JSON text back to structures; unreadable text becomes null structures."""
     return df.withColumns({"variables": F.from_json("variables", "array<string>"),
