@@ -181,15 +181,17 @@ def _kept(text: bytes | None, runs: list | None, length: int) -> Iterator:
     """Words, removed words, kept text."""
     if text is None:
         return 0, 0, b""
-    if not runs:
-        n, out = 0, []
-        for words in word_chunks(text):
-            n += len(words)
-            out.append(b" ".join(words))
-        return n, 0, b" ".join(x for x in out if x)
-    words = text.split()
-    gone = covered(len(words), runs, length)
-    return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+    # a long text is never all held as words
+    gone = covered(max(r["start"] + r["windows"] for r in runs) + length - 1, runs, length) if runs else np.zeros(0, bool)
+    n, lost, out = 0, 0, []
+    for words in word_chunks(text):
+        own = gone[n:n + len(words)]
+        n += len(words)
+        if own.any():
+            lost += int(own.sum())
+            words = [w for w, g in zip(words, own.tolist(), strict=False) if not g] + words[len(own):]
+        out.append(b" ".join(words))
+    return n, lost, b" ".join(x for x in out if x)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, digest: bool = False,
