@@ -194,3 +194,96 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
     got = {r["variable"]: tuple(r)[1:] for r in profiles.read_profile(spark, folder).collect()}
     assert got == {"id": (121, 121, 0.0, 120.0, 60.0, 121), "v": (121, 121, 0.0, 6.0, pytest.approx(sum(i % 7 for i in range(121)) / 121), 7)}
     assert len(profiles.versions(spark, folder)) <= 3
+
+
+class Calls:
+    """A handle whose states are dicts, counting the messages a real one would send."""
+
+    def __init__(self):
+        self.n, self.timers, self.states = 0, set(), []
+
+    def registerTimer(self, t):
+        self.n += 1
+        self.timers.add(t)
+
+    def getValueState(self, *_):
+        return self._state()
+
+    getMapState = getValueState
+
+    def _state(self):
+        calls, held = self, {}
+        self.states.append(held)
+
+        class State:
+            def get(self, key=None):
+                calls.n += 1
+                return held.get(key)
+
+            getValue = get
+
+            def update(self, value):
+                self.updateValue(None, value)
+
+            def updateValue(self, key, value):
+                calls.n += 1
+                held[key] = value
+
+            def removeKey(self, key):
+                calls.n += 1
+                held.pop(key, None)
+
+            def clear(self):
+                self.removeKey(None)
+
+            def exists(self):
+                calls.n += 1
+                return None in held
+
+            def keys(self):
+                calls.n += 1
+                return iter(list(held))
+
+        return State()
+
+
+class At:
+    def __init__(self, t):
+        self.t = t
+
+    def getExpiryTimeInMs(self):
+        return self.t
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def driven(processor, batches):
+    """The rows a processor gives for one key's batches (us, id, amount), each followed by its watermark; and the handle."""
+    processor.init(handle := Calls())
+    out = []
+    for rows, watermark in batches:
+        pdf = pd.DataFrame(rows, columns=["us", "id", "amount"]).assign(real=True)
+        processor.handleInputRows((1,), iter([pdf.iloc[i:i + 7] for i in range(0, len(pdf), 7)]), At(watermark))
+        while due := [t for t in handle.timers if t <= watermark]:
+            handle.timers.remove(min(due))
+            for pdf in processor.handleExpiredTimer((1,), At(watermark), At(min(due))):
+                out += pdf.values.tolist()
+    return out, handle
+
+
+def granted(rows, period_us):
+    out = []
+    for us in sorted(r[0] for r in rows):
+        if not out or us // 1_000_000 * 1_000_000 - out[-1] // 1_000_000 * 1_000_000 >= period_us:
+            out.append(us)
+    return out
+
+
+HOUR = 3_600_000
+
+
+def test_a_keys_grants_take_few_state_calls():
+    rows = [(i * HOUR * 1000 + 5, 0, 0) for i in range(600)]
+    out, handle = driven(timed.Grants(HOUR, 7 * 24 * HOUR), [(rows[::-1], 5000 * HOUR)])
+    assert [us for _, us in out] == granted(rows, 7 * 24 * HOUR * 1000)
+    assert handle.n < 20 and not any(handle.states)
