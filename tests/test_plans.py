@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.operators import comparisons
+from statloom.operators import comparisons, profile
 from statloom.plans import cleaning, interpret, study
 from statloom.plans.folder import HEADER, clean_folder as clean_files
 from statloom.plans.templates import MODES, TEXTS
@@ -261,3 +261,16 @@ def test_texts_by_example(spark):
                       "The effect size is large (d=-6.0).")
     assert [r[0] for r in spark.createDataFrame([(0.5,), (3.0,), (-0.00004,), (1234.56789,)], "v double").select(
         interpret.num_text(F.col("v"))).collect()] == ["0.5", "3.0", "-0.0", "1234.5679"]
+
+
+def test_sketched_cleaning_of_one_file_runs_on_all_cores(spark, tmp_path, monkeypatch):
+    """Scans that shuffle nothing have as many tasks as the input: one small file must not be one task."""
+    path = str(tmp_path / "one")
+    survey(spark).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path).withColumn("none", F.lit(None))
+    tasks, scan = [], profile.fast_profile
+    monkeypatch.setattr(profile, "fast_profile", lambda rows, *a: tasks.append(rows.rdd.getNumPartitions()) or scan(rows, *a))
+    r = cleaning.clean(df, impute_strategy="leave", rename=False, exact=False)
+    assert df.rdd.getNumPartitions() == 1 and len(tasks) == 2 and min(tasks) >= 4
+    want = cleaning.clean(spark.read.parquet(path), impute_strategy="leave", rename=False)
+    assert sorted(r.data.collect()) == sorted(want.data.collect()) and r.types == want.types
