@@ -287,3 +287,25 @@ def test_a_keys_grants_take_few_state_calls():
     out, handle = driven(timed.Grants(HOUR, 7 * 24 * HOUR), [(rows[::-1], 5000 * HOUR)])
     assert [us for _, us in out] == granted(rows, 7 * 24 * HOUR * 1000)
     assert handle.n < 20 and not any(handle.states)
+
+
+def test_a_keys_spends_take_few_state_calls_and_many_rows_wait_by_slices(monkeypatch):
+    rows = [(i * HOUR * 400 + i % 3, i % 50, 7 if i % 3 == 0 else -5) for i in range(600)] + [(0, 1, 4), (0, 1, 4)]
+    want, balance = [], 0
+    for us, event, delta in sorted(rows):
+        fits = delta >= 0 or balance + delta >= 0
+        balance += delta if fits else 0
+        want.append([1, event, us, delta, balance, fits])
+    mixed = sorted(rows, key=lambda r: (r[0] * 7919 + r[2]) % 1009)
+    out, handle = driven(timed.Spends(HOUR), [(mixed, 5000 * HOUR)])
+    assert out == want and handle.n < 20
+    monkeypatch.setattr(timed, "HELD", 40)
+    monkeypatch.setattr(timed, "CHUNK", 9)
+    # the watermark passes half of the slices, more rows come, then time is over
+    late = [r for r in mixed if r[0] >= 120 * HOUR * 1000]
+    early = [r for r in mixed if r[0] < 120 * HOUR * 1000]
+    for batches in ([(mixed, 5000 * HOUR)], [(early + late[:150], 120 * HOUR), (late[150:], 160 * HOUR + 5), ([], 5000 * HOUR)]):
+        out, handle = driven(timed.Spends(HOUR), batches)
+        assert out == want
+        # only the balance stays
+        assert [len(s) for s in handle.states] == [0, 0, 0, 1]
